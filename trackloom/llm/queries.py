@@ -1,8 +1,11 @@
 """Queries of the training-data operators over the given tables."""
 
-from pyspark.sql import functions as F  # noqa: F401
+import os
 
-from . import simhash
+from . import bpe, sharding, simhash, substrings
+
+#: Folder of the public tokenizer files; a parameter, the files are never copied.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def _read(spark, sf_dir, table):
@@ -13,8 +16,20 @@ def op1_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark, sf_dir):
+    return sharding.shard(_read(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark, sf_dir):
+    return substrings.deduplicate(_read(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark, sf_dir):
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def queries():
-    return {"op1_simhash_dedup": op1_simhash_dedup}
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql():
