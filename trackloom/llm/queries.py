@@ -2,7 +2,7 @@
 
 import os
 
-from . import bpe, sharding, simhash, substrings
+from . import bpe, quality, sharding, simhash, substrings
 
 #: Folder of the public tokenizer files; a parameter, the files are never copied.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -28,6 +28,10 @@ def op5_bpe(spark, sf_dir):
     return bpe.round_trip(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op6_quality(spark, sf_dir):
+    return quality.assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
