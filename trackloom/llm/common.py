@@ -32,6 +32,11 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def let(value, body):
+    """``body`` of a value that is computed once, for use inside larger expressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text):
     """Words between ASCII white space as an array; null and blank text give an empty array."""
     body = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

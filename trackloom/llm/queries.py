@@ -2,7 +2,9 @@
 
 import os
 
-from . import bpe, quality, sharding, simhash, substrings
+from pyspark.sql import functions as F
+
+from . import bpe, mixing, quality, secrets, sharding, simhash, substrings, topk
 
 #: Folder of the public tokenizer files; a parameter, the files are never copied.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -32,9 +34,29 @@ def op6_quality(spark, sf_dir):
     return quality.assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_secrets(spark, sf_dir):
+    return secrets.find(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def op8_topk(spark, sf_dir):
+    return topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op8_topk": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+                  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+            r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    }
