@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, secrets, sharding, simhash, substrings, topk
+from . import bpe, licenses, mixing, quality, secrets, sharding, simhash, substrings, topk
 
 #: Folder of the public tokenizer files; a parameter, the files are never copied.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -42,6 +42,10 @@ def op8_topk(spark, sf_dir):
     return topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_licenses(spark, sf_dir):
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
