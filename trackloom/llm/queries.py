@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality, secrets, sharding, simhash, substrings, topk
+from . import bpe, chat, licenses, mixing, quality, secrets, sharding, simhash, substrings, topk
 
 #: Folder of the public tokenizer files; a parameter, the files are never copied.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -26,6 +26,10 @@ def op3_substring_dedup(spark, sf_dir):
     return substrings.deduplicate(_read(spark, sf_dir, "documents"))
 
 
+def op4_chat_repair(spark, sf_dir):
+    return chat.repair(_read(spark, sf_dir, "conversations"))
+
+
 def op5_bpe(spark, sf_dir):
     return bpe.round_trip(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
