@@ -356,6 +356,7 @@ def deduplicate(docs: DataFrame, doc_id="doc_id", text="text", window=WINDOW, gr
         names, docs = docs.select("id", "doc_id"), docs.select("id", "text")
     else:
         docs = docs.withColumnRenamed("doc_id", "id")
+    docs = docs.filter("id is not null")  # holds; so said, both joins below share one exchange of the texts
     known = common.checkpoint(repeated_windows(docs, window, gram))
     dealt = docs.join(known.hint("shuffle_hash"), "id", "left")
     open_runs = docs.join(known.filter(F.exists("packs", lambda p: p.bitwiseAND(F.lit(3)) != DONE)).hint("shuffle_hash"), "id")
