@@ -235,23 +235,24 @@ def decode(rows: DataFrame, path, ids="ids", text="decoded") -> DataFrame:
     return rows.withColumn(text, run(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, path, doc_id="doc_id", text="text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes each text and decodes the ids again.
+def round_trip(docs: DataFrame, path, doc_id="doc_id", text="text", with_ids=False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``): encodes each text and decodes the ids again.
 
-    One pass without an exchange; ids never leave the worker. Each row, repeated or not, gets a row.
-    A null text counts as empty: no tokens, digests of nothing.
+    One pass without an exchange. Each row, repeated or not, gets a row. A null text counts as empty:
+    no tokens, digests of nothing.
     """
     tables = _shared_tables(docs.sparkSession, path)
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
 
     def run(batches):
         codec = Codec(tables.value)
         for b in batches:
-            n, enc, dec = [], [], []
+            rows = []
             for g in _groups(b.column(1).to_pylist()):
                 for ids in codec.encode_batch(g):
-                    n.append(len(ids))
-                    enc.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    dec.append(hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(codec.decode_bytes(ids)).hexdigest(), *[ids.astype(np.int32)] * with_ids))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)]], ["doc_id", *kinds])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -68,3 +68,15 @@ def running_start(df: DataFrame, order, amount=None, by=None) -> DataFrame:
         parts.alias("p"), (F.col("l._pid") == F.col("p._pid")) & F.col("l._group").eqNullSafe(F.col("p._group"))
     )
     return out.select("l.*", (F.col("_in") + F.col("_before")).alias("_start")).drop("_tie", "_pid", "_pos", "_amount", "_group", "_in")
+
+
+def keyed(docs: DataFrame, doc_id="doc_id", text="text", key="_key") -> DataFrame:
+    """``docs`` with a long ``key`` that no two rows share and that orders rows as their doc_id does.
+
+    It is the doc_id itself where that is unique and not null; else rows are numbered by doc_id (null
+    first), then text.
+    """
+    rows = docs.withColumn(key, F.col(doc_id).cast("long"))
+    if rows.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count():
+        rows = running_start(docs, [doc_id, text]).withColumnRenamed("_start", key)
+    return rows

@@ -77,9 +77,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS) -
     return ranked.select("source", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, block=BLOCK, seed=SEED, keep=()) -> DataFrame:
+def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, block=BLOCK, seed=SEED, keep=(), with_pieces=False) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` (and the columns ``keep``) for every row.
 
+    ``with_pieces`` adds the stretches of words taken, as structs of start, stop and times.
+
     taken: words that the mix takes of the document, repeats counted; 0 to ``most`` times its size. A null
     text has no words; null sources form one source, the last. Rows that repeat a doc_id are
     documents of their own. The same rows and seed give the same result, however they are dealt out,
@@ -113,8 +115,27 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     rows = rows.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_row", F.monotonically_increasing_id())
     rows = common.checkpoint(rows)
     parts = rows.filter("size > 0").select("_row", "source", "_start", "size", "length", F.explode(F.sequence(F.floor(F.col("_start") / F.col("length")), F.floor((F.col("_start") + F.col("size") - 1) / F.col("length")))).alias("block"))
-    overlap = F.least(F.col("_start") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.greatest("_start", F.col("block") * F.col("length"))
+    start, stop = F.greatest(F.lit(0), F.col("block") * F.col("length") - F.col("_start")), F.least(F.col("size"), (F.col("block") + 1) * F.col("length") - F.col("_start"))
     got = parts.join(taken, (F.col("block") == F.col("hit")) & F.col("source").eqNullSafe(F.col("_s")))
-    got = got.groupBy("_row").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    pieces = [F.sort_array(F.collect_list(F.struct(start.alias("start"), stop.alias("stop"), "times"))).alias("pieces")] if with_pieces else []
+    got = got.groupBy("_row").agg(F.sum((stop - start) * F.col("times")).alias("taken"), *pieces)
     out = rows.join(got, "_row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), *keep)
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), *keep, *["pieces"] * with_pieces)
+
+
+def take(docs: DataFrame, doc_id="doc_id", text="text", source="source", n_chars="n_chars", **options) -> DataFrame:
+    """The mixed documents, with the columns of ``docs``: a row for each pass over a document, its text the words taken in that pass.
+
+    The first pass holds the words of blocks that are taken at all, the second those taken twice. White space
+    before a word stays with it. Documents of which nothing is taken are gone; ``n_chars`` follows the text.
+    """
+    rows = common.keyed(docs, doc_id, text)
+    plan = mix(rows, "_key", text, source, with_pieces=True, **options).filter("taken > 0").select(F.col("doc_id").alias("_key"), "pieces")
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = rows.join(plan.select("_key", "pieces", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("pieces", lambda p: p["times"])))).alias("_pass")), "_key")
+    pieces = F.filter("pieces", lambda p: p["times"] >= F.col("_pass"))
+    cut = common.let(words, lambda w: F.flatten(F.transform(pieces, lambda p: F.slice(w, (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")))))
+    rows = rows.withColumn(text, F.ltrim(F.array_join(cut, "")))
+    if n_chars in docs.columns:
+        rows = rows.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
+    return rows.select(*docs.columns)

@@ -32,11 +32,6 @@ RULES = {
 BROADCAST_STRATA = 10_000
 
 
-def _let(value, body):
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _repeated_words(words, n=WINDOW):
     """Words inside n-word windows that occur twice or more in the array."""
 
@@ -56,7 +51,7 @@ def _repeated_words(words, n=WINDOW):
         def total(p):
             return F.aggregate(F.transform(p, lambda x, i: F.when(i == 0, n).otherwise(F.least(F.lit(n), x - F.get(p, i - 1)))), F.lit(0).cast("long"), lambda a, x: a + x)
 
-        return _let(_let(marked, places), total)
+        return common.let(common.let(marked, places), total)
 
     def counted(h):
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h))
@@ -64,8 +59,8 @@ def _repeated_words(words, n=WINDOW):
     if n != 8:
         raise ValueError("windows of eight words are built by doubling")
     one = F.transform(words, lambda w: F.xxhash64(w))
-    eight = _let(_let(_let(one, lambda h: pairwise(h, 1)), lambda h: pairwise(h, 2)), lambda h: pairwise(h, 4))
-    return F.when(F.size(words) < n, F.lit(0).cast("long")).otherwise(_let(_let(eight, windows), counted))
+    eight = common.let(common.let(common.let(one, lambda h: pairwise(h, 1)), lambda h: pairwise(h, 2)), lambda h: pairwise(h, 4))
+    return F.when(F.size(words) < n, F.lit(0).cast("long")).otherwise(common.let(common.let(eight, windows), counted))
 
 
 def features(docs: DataFrame, doc_id="doc_id", text="text", keep=()) -> DataFrame:
@@ -73,7 +68,7 @@ def features(docs: DataFrame, doc_id="doc_id", text="text", keep=()) -> DataFram
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], body.alias("_text"))
     lines = F.transform(F.filter(F.split("_text", "\n"), lambda l: F.btrim(l, F.lit(common.SPACES)) != ""), lambda l: F.xxhash64(l))
-    facts = _let(
+    facts = common.let(
         common.words(F.col("_text")),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated_words(w).alias("n_repeat_words")),
     )
@@ -82,7 +77,7 @@ def features(docs: DataFrame, doc_id="doc_id", text="text", keep=()) -> DataFram
         *keep,
         facts.alias("_facts"),
         (F.char_length("_text") - F.char_length(F.regexp_replace("_text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        _let(lines, lambda l: (F.size(l) - F.size(F.array_distinct(l))).cast("long")).alias("n_dup_lines"),
+        common.let(lines, lambda l: (F.size(l) - F.size(F.array_distinct(l))).cast("long")).alias("n_dup_lines"),
     )
     rows = rows.select("doc_id", *keep, "_facts.n_words", "_facts.word_chars", "n_symbols", "n_dup_lines", "_facts.n_repeat_words")
     return rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
@@ -122,12 +117,29 @@ def assess(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", str
     that repeat a doc_id are judged alike but each by its own text. Without labels only the base rules hold.
     """
     rows = common.checkpoint(features(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(stratum).alias("_stratum")), keep=["_stratum"]))
+    return judge(rows, learn(rows, labels, risk, delta)).drop("_stratum")
+
+
+def learn(rows: DataFrame, labels: DataFrame, risk=RISK, delta=DELTA) -> DataFrame:
+    """``_s, _cut``: each stratum's certified cutoffs as a map by rule, from features (with ``_stratum``) and labels."""
     marks = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     labelled = rows.join(marks, "doc_id").withColumn("holdout", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
     cutoffs = common.checkpoint(certify(labelled, "_stratum", risk, delta).groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut")))
-    cutoffs = common.small(cutoffs.withColumnRenamed("_stratum", "_s"), BROADCAST_STRATA)
+    return common.small(cutoffs.withColumnRenamed("_stratum", "_s"), BROADCAST_STRATA)
+
+
+def judge(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Feature rows with the verdict ``kept``."""
     rows = rows.join(cutoffs, F.col("_stratum").eqNullSafe(F.col("_s")), "left")
     out = F.lit(False)
     for rule, value in RULES.items():
         out = out | F.coalesce(F.expr(value) > F.try_element_at("_cut", F.lit(rule)), F.lit(False))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~out).drop("_stratum", "_s", "_cut")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~out).drop("_s", "_cut")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", stratum="lang", risk=RISK, delta=DELTA) -> DataFrame:
+    """``docs`` without the rows that :func:`assess` rejects, all columns as they are; texts are not exchanged."""
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(stratum).alias("_stratum"), F.struct("*").alias("_row"))
+    # What learning needs is kept without the texts; judging reads them again rather than shuffle them.
+    learned = learn(common.checkpoint(features(plain.drop("_row"), keep=["_stratum"])), labels, risk, delta)
+    return judge(features(plain, keep=["_stratum", "_row"]), learned).filter("kept").select("_row.*")

@@ -110,8 +110,8 @@ def find(docs: DataFrame, ranks_path, doc_id="doc_id", text="text", efficiency=E
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
-def mask(docs: DataFrame, ranks_path, text="text", efficiency=EFFICIENCY) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by ``[secret]`` (overlapping spans by one); null stays null."""
+def mask(docs: DataFrame, ranks_path, text="text", n_chars="n_chars", efficiency=EFFICIENCY) -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by ``[secret]`` (overlapping spans by one); null stays null, ``n_chars`` follows."""
     with open(ranks_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -121,7 +121,10 @@ def mask(docs: DataFrame, ranks_path, text="text", efficiency=EFFICIENCY) -> Dat
         for s in batches:
             yield s.map(lambda t: t if t is None else masked(t, scanner.scan(t)))
 
-    return docs.withColumn(text, run(F.col(text)))
+    out = docs.withColumn(text, run(F.col(text)))
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
+    return out
 
 
 def masked(text, spans, mark="[secret]"):

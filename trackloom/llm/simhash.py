@@ -152,3 +152,15 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", distance=DIST
     found = joined.join(least, "component").join(degree, F.col("fp") == F.col("node")).select("fp", "component_id", "n_links")
     found = classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+#: Rows that leave by a broadcast at most; more are matched by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def keep_first(docs: DataFrame, doc_id="doc_id", text="text", distance=DISTANCE) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one of smallest doc_id, ties by text."""
+    rows = common.keyed(docs, doc_id, text)
+    found = near_duplicates(rows.select("_key", F.col(text).alias("text")), "_key", "text", distance)
+    gone = common.checkpoint(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_key")))
+    return rows.join(common.small(gone, BROADCAST_ROWS), "_key", "left_anti").drop("_key")
