@@ -1,9 +1,16 @@
 """Queries over the given tables and the SQL each one is checked against."""
 
+from .plans import base, q_enrich, q_motion, q_report, q_stats, q_tables  # noqa: F401
+
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.ORACLE)
+
+
+def covered():
+    """Inventory rows by query."""
+    return dict(base.ROWS)
