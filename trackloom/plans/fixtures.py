@@ -45,4 +45,6 @@ def with_views(sql, *names):
     names = [n for n in VIEWS if n in names or (n == "animals" and "reports" in names)]
     views = ",\n".join(f"{n} AS ({VIEWS[n].format(**{t: t for t in _NEEDS[n]})})" for n in names)
     body = sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     return f"WITH {views},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views}\n{body}"

@@ -170,13 +170,13 @@ def _(read):
     return rounded(R.best_settings(methods(read), baseline(read), 0.36), "best", "base_acc", "gain")
 
 
-@query("c23_lift", "C22 C23", f"""WITH {BASE}, {TRANSFER}, c AS (SELECT species, predicted, count(*)/(SELECT count(*) FROM reports q WHERE q.species=r.species) AS s FROM reports r GROUP BY species, predicted),
-    e AS (SELECT CASE WHEN s>0.05 THEN 1.0 ELSE 0.0 END AS x, CASE WHEN gain>0.2 THEN 1.0 ELSE 0.0 END AS y FROM c JOIN x ON c.species=x.species_train AND c.predicted=x.species_test WHERE c.species<>c.predicted),
-    t AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(x) AS nx, sum(y) AS ny, sum(x*y) AS nxy FROM e)
+@query("c23_lift", "C22 C23", f"""WITH {BASE}, {TRANSFER}, e AS (SELECT CASE WHEN gain>0.1 THEN 1.0 ELSE 0.0 END AS x, CASE WHEN gain>0.2 THEN 1.0 ELSE 0.0 END AS y FROM x),
+    t AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS nx, CAST(sum(y) AS DOUBLE) AS ny, CAST(sum(x*y) AS DOUBLE) AS nxy FROM e)
     SELECT n, nx, ny, nxy, round(nxy*n/(nx*ny),6)+0.0 AS lift, round(n*pow(greatest(0.0,abs(n*nxy-nx*ny)-n/2),2)/(nx*ny*(n-nx)*(n-ny)),6)+0.0 AS chi2 FROM t""")
 def _(read):
-    c = R.confusion(rep(read)).filter("real <> pred and n > 0").select(F.col("real").alias("species_train"), F.col("pred").alias("species_test"), "share")
-    return rounded(R.lift(R.joined_events(c, transfer(read), ["species_train", "species_test"], "share", "gain", 0.05, 0.2)), "lift", "chi2").drop("p_value")
+    t = transfer(read).select("species_train", "species_test", "gain")
+    events = R.joined_events(t.withColumnRenamed("gain", "gain_a"), t, ["species_train", "species_test"], "gain_a", "gain", 0.1, 0.2)
+    return rounded(R.lift(events), "lift", "chi2").drop("p_value")
 
 
 @query("c24_rmse_vs_constant", "C24 C28", "WITH p AS (SELECT env AS y, env*0.5+10 AS pred FROM fixes WHERE env IS NOT NULL), m AS (SELECT avg(y) AS m FROM p) SELECT round(sqrt(avg(pow(y-pred,2))),6)+0.0 AS rmse, round(sqrt(avg(pow(y-m,2))),6)+0.0 AS base, round(1-sqrt(avg(pow(y-pred,2)))/sqrt(avg(pow(y-m,2))),6)+0.0 AS skill FROM p, m")
