@@ -85,7 +85,10 @@ def gram(df, columns):
 def vif(df, columns, g=None):
     """Variance inflation factors without an intercept, by column."""
     g = gram(df, columns) if g is None else g
-    return dict(zip(columns, (np.diag(g) * np.diag(np.linalg.pinv(g))).tolist(), strict=True))
+    scale = np.sqrt(np.diag(g))
+    values, vectors = np.linalg.eigh(g / np.outer(scale, scale))
+    # Columns that depend on others exactly get a factor of about 1e14 instead of a division by 0.
+    return dict(zip(columns, (vectors**2 / np.maximum(values, 1e-14)).sum(axis=1).tolist(), strict=True))
 
 
 def eliminate_by_vif(df, columns, most=10.0, keep=()):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..operators import enrich, report as R
 from .base import query
-from .q_motion import r6
+from .q_motion import r6, r9
 
 OK = "ok AS (SELECT *, CASE WHEN predicted=species THEN 1.0 ELSE 0.0 END AS ok FROM reports)"
 
@@ -137,14 +137,14 @@ def transfer(read):
     return R.transfer_matrix(t, baseline(read))
 
 
-@query("c16_transfer_matrix", "C16 C17", f"WITH {BASE}, {TRANSFER} SELECT species_train, species_test, label_mode, round(gain,6)+0.0 AS gain FROM x")
+@query("c16_transfer_matrix", "C16 C17", f"WITH {BASE}, {TRANSFER} SELECT species_train, species_test, label_mode, round(gain,9)+0.0 AS gain FROM x")
 def _(read):
-    return rounded(transfer(read), "gain").drop("std")
+    return transfer(read).withColumn("gain", r9("gain")).drop("std")
 
 
-@query("c18_clean_transfer", "C18", f"WITH {BASE}, {TRANSFER} SELECT species_train, species_test, round(CASE WHEN label_mode<>'real' THEN -gain ELSE gain END,6)+0.0 AS gain FROM x WHERE species_train<>species_test AND gain>=0.01")
+@query("c18_clean_transfer", "C18", f"WITH {BASE}, {TRANSFER} SELECT species_train, species_test, round(CASE WHEN label_mode<>'real' THEN -gain ELSE gain END,9)+0.0 AS gain FROM x WHERE species_train<>species_test AND gain>=0.01")
 def _(read):
-    return rounded(R.clean_transfer(transfer(read)), "gain")
+    return R.clean_transfer(transfer(read)).withColumn("gain", r9("gain"))
 
 
 @query("c19_remapped_accuracy", "C19", f"WITH {BASE}, a AS (SELECT species, avg(CASE WHEN (CASE WHEN fix_id%4=0 THEN 'non-breeding' ELSE stage END)=stage THEN 1.0 ELSE 0.0 END) AS a FROM fixes JOIN animals USING (id) WHERE stage<>'unknown' GROUP BY species) SELECT species, round(a,6)+0.0 AS accuracy, round(base_acc,6)+0.0 AS base_acc, round(a-base_acc,6)+0.0 AS improvement FROM a JOIN b USING (species)")

@@ -220,10 +220,11 @@ def _(read):
     return S.group_pair_difference(attributions(read), read("animals")).withColumn("difference", r9("difference"))
 
 
-@query("t33_compare_settings", "T33", f"WITH {ATTR}, a AS (SELECT feature, avg(abs(value)) AS v FROM attr GROUP BY 1), b AS (SELECT feature, avg(abs(value)) AS v FROM attr WHERE id%2=0 GROUP BY 1) SELECT feature, CAST(row_number() OVER (ORDER BY a.v DESC, feature) AS INTEGER) AS rank_a, CAST(row_number() OVER (ORDER BY b.v DESC, feature) AS INTEGER) AS rank_b FROM a JOIN b USING (feature)")
+@query("t33_compare_settings", "T33", f"WITH {ATTR}, a AS (SELECT feature, round(avg(abs(value)),9) AS v FROM attr GROUP BY 1), b AS (SELECT feature, round(avg(abs(value)),9) AS v FROM attr WHERE id%2=0 GROUP BY 1) SELECT feature, CAST(row_number() OVER (ORDER BY a.v DESC, feature) AS INTEGER) AS rank_a, CAST(row_number() OVER (ORDER BY b.v DESC, feature) AS INTEGER) AS rank_b FROM a JOIN b USING (feature)")
 def _(read):
     a = attributions(read)
-    return S.compare_settings(S.mean_attribution(a), S.mean_attribution(a.filter("id % 2 = 0"))).select("feature", "rank_a", "rank_b")
+    mean = lambda d: S.mean_attribution(d).withColumn("importance", F.round("importance", 9))
+    return S.compare_settings(mean(a), mean(a.filter("id % 2 = 0"))).select("feature", "rank_a", "rank_b")
 
 
 @query("t34_join_difference", "T34", f"""WITH {ATTR}, g AS (SELECT id, CASE WHEN feature IN ('f0','f1','f2') THEN 'Location' ELSE 'Time' END AS g, sum(abs(value)) AS s, abs(sum(value)) AS a FROM attr GROUP BY 1, 2) SELECT g AS "group", round(avg(s),9)+0.0 AS sum_abs, round(avg(a),9)+0.0 AS abs_sum, round(max(s-a),6)+0.0 AS max_gap FROM g GROUP BY g""")
