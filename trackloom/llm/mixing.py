@@ -95,10 +95,12 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     plan = common.checkpoint(plan)
     every = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     shards = max(1, -(-every // SHARD_SLOTS))
+    # Lots are few small rows that grow to many: their number, not their size, says how to deal them out.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, every // (64 * DRAW) + 1)
 
     # Slots draw their shards; what is kept of the draw is a count for each source and shard.
     lots = plan.filter("slots > 0").select("source", "slots", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / DRAW))).alias("lot"))
-    lots = lots.repartition("source", "lot")
+    lots = lots.repartition(tasks, "source", "lot")
     drawn = lots.select("source", F.explode(F.sequence(F.col("lot") * DRAW, F.least(F.col("slots"), (F.col("lot") + 1) * DRAW) - 1)).alias("draw"))
     counts = drawn.select("source", F.pmod(F.xxhash64(F.lit(seed), "source", "draw"), F.lit(shards)).alias("shard")).groupBy("source", "shard").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
 
     # A shard's slots, in lots again, and the blocks that they take.
     named = plan.select(F.col("source").alias("_s"), "blocks", "length")
-    lots = counts.select("source", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DRAW))).alias("lot")).repartition("source", "first", "lot")
+    lots = counts.select("source", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DRAW))).alias("lot")).repartition(tasks, "source", "first", "lot")
     slots = lots.select("source", F.explode(F.sequence(F.col("first") + F.col("lot") * DRAW, F.col("first") + F.least(F.col("n"), (F.col("lot") + 1) * DRAW) - 1)).alias("slot"))
     slots = slots.join(named, F.col("source").eqNullSafe(F.col("_s")))
     taken = slots.select("source", permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("source")).alias("hit")).groupBy(F.col("source").alias("_s"), "hit").agg(F.count(F.lit(1)).alias("times"))
