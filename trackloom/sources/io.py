@@ -58,7 +58,7 @@ def read_biodiversity(spark, path):
 
 def read_matrix(spark, path):
     """``i, j, elevation`` of a blank-separated matrix in one text file; a file holds one grid."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.btrim("value"), r"\n")).alias("i", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.btrim("value", F.lit(" \n\r")), r"\r?\n")).alias("i", "line"))
     return lines.select("i", F.posexplode(F.split(F.btrim("line"), r"\s+")).alias("j", "v")).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("elevation"))
 
 
