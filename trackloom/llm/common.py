@@ -78,5 +78,6 @@ def keyed(docs: DataFrame, doc_id="doc_id", text="text", key="_key") -> DataFram
     """
     rows = docs.withColumn(key, F.col(doc_id).cast("long"))
     if rows.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count():
-        rows = running_start(docs, [doc_id, text]).withColumnRenamed("_start", key)
+        packed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.struct("*").alias("_row"))
+        rows = running_start(packed, ["_id", "_text"]).select(F.col("_start").alias(key), "_row.*")
     return rows

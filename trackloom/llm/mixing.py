@@ -131,13 +131,14 @@ def take(docs: DataFrame, doc_id="doc_id", text="text", source="source", n_chars
     The first pass holds the words of blocks that are taken at all, the second those taken twice. White space
     before a word stays with it. Documents of which nothing is taken are gone; ``n_chars`` follows the text.
     """
-    rows = common.keyed(docs, doc_id, text)
-    plan = mix(rows, "_key", text, source, with_pieces=True, **options).filter("taken > 0").select(F.col("doc_id").alias("_key"), "pieces")
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    rows = rows.join(plan.select("_key", "pieces", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("pieces", lambda p: p["times"])))).alias("_pass")), "_key")
-    pieces = F.filter("pieces", lambda p: p["times"] >= F.col("_pass"))
+    rows = common.keyed(docs, doc_id, text).select("_key", F.col(text).alias("_text"), F.col(source).alias("_source"), F.struct(*docs.columns).alias("_row"))
+    plan = mix(rows, "_key", "_text", "_source", with_pieces=True, **options).filter("taken > 0").select(F.col("doc_id").alias("_key"), F.col("pieces").alias("_pieces"))
+    words = F.regexp_extract_all(F.col("_text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    passes = F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("_pieces", lambda p: p["times"])))
+    rows = rows.join(plan.select("_key", "_pieces", F.explode(passes).alias("_pass")), "_key")
+    pieces = F.filter("_pieces", lambda p: p["times"] >= F.col("_pass"))
     cut = common.let(words, lambda w: F.flatten(F.transform(pieces, lambda p: F.slice(w, (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")))))
-    rows = rows.withColumn(text, F.ltrim(F.array_join(cut, "")))
-    if n_chars in docs.columns:
-        rows = rows.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
-    return rows.select(*docs.columns)
+    rows = rows.select("_row", F.ltrim(F.array_join(cut, "")).alias("_text"))
+    length = F.char_length("_text")
+    made = {text: F.col("_text")} | ({n_chars: length.cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
+    return rows.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
