@@ -9,7 +9,6 @@ and exit states come back down, and every part renders on its own, however long
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,32 +111,63 @@ def render(roles, texts, entry, last, closes):
 
 
 def _groups(batches, keys):
-    """Pandas frames of equal, consecutive ``keys`` from a sorted stream of batches."""
-    held = []
+    """Columns, as lists by name, of each stretch of equal ``keys`` in a sorted stream of batches."""
+    held, last = None, None
     for b in batches:
-        p = b.to_pandas()
-        if not len(p):
+        if not b.num_rows:
             continue
-        new = (p[keys] != p[keys].shift()).any(axis=1).to_numpy()
-        cuts = [*np.flatnonzero(new).tolist(), len(p)]
+        columns = dict(zip(b.schema.names, (c.to_pylist() for c in b.columns), strict=True))
+        key = list(zip(*(columns[k] for k in keys), strict=True))
+        cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
         for a, e in zip(cuts, cuts[1:], strict=False):
-            part = p.iloc[a:e]
-            if held and tuple(held[-1][keys].iloc[-1]) != tuple(part[keys].iloc[0]):
-                yield pd.concat(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held)
+            part = {n: c[a:e] for n, c in columns.items()}
+            if held is not None and key[a] == last:
+                held = {n: held[n] + part[n] for n in held}
+                continue
+            if held is not None:
+                yield held
+            held, last = part, key[a]
+    if held is not None:
+        yield held
+
+
+def _batch(rows, names, kinds):
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+def _sliced(found, names, kinds, size=1000):
+    """Rows as batches of bounded size."""
+    rows = []
+    for r in found:
+        rows.append(r)
+        if len(rows) >= size:
+            yield _batch(rows, names, kinds)
+            rows = []
+    if rows:
+        yield _batch(rows, names, kinds)
+
+
+_NODE = (["conv", "node", "matrix"], [pa.int64(), pa.int64(), pa.list_(pa.int64())])
+
+
+def _dealt(df: DataFrame, *by):
+    """Rows of a part together and in order.
+
+    The number of tasks is set, as small rows may mean much work. The hash keeps this exchange apart from
+    those of joins on the same keys: Spark would drop it as a repetition of theirs, and then let go of
+    their partitioning when it changes the join at run time.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(*by[:2])).sortWithinPartitions(*by)
 
 
 def _composed(nodes: DataFrame) -> DataFrame:
     """One level up: matrices of up to PART consecutive nodes composed."""
 
     def run(batches):
-        rows = [(int(g.conv.iloc[0]), int(g.up.iloc[0]), compose([np.array(m).reshape(4, 4) for m in g.matrix]).ravel().tolist()) for g in _groups(batches, ["conv", "up"])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["conv", "node", "matrix"])
+        yield from _sliced(((g["conv"][0], g["up"][0], compose([np.array(m).reshape(4, 4) for m in g["matrix"]]).ravel().tolist()) for g in _groups(batches, ["conv", "up"])), *_NODE)
 
-    up = nodes.withColumn("up", F.floor(F.col("node") / PART)).repartition("conv", "up").sortWithinPartitions("conv", "up", "node")
+    up = _dealt(nodes.withColumn("up", F.floor(F.col("node") / PART)), "conv", "up", "node")
     return up.mapInArrow(run, "conv long, node long, matrix array<long>")
 
 
@@ -145,12 +175,15 @@ def _spread(nodes: DataFrame, above: DataFrame) -> DataFrame:
     """One level down: entry and exit states of nodes from those of the nodes above."""
 
     def run(batches):
-        for g in _groups(batches, ["conv", "up"]):
-            way = states([np.array(m).reshape(4, 4) for m in g.matrix], int(g.entry.iloc[0]), int(g["exit"].iloc[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(g.conv, pa.int64()), pa.array(g.node, pa.int64()), pa.array(way[:-1], pa.int32()), pa.array(way[1:], pa.int32())], ["conv", "node", "entry", "exit"])
+        def found():
+            for g in _groups(batches, ["conv", "up"]):
+                way = states([np.array(m).reshape(4, 4) for m in g["matrix"]], g["entry"][0], g["exit"][0])
+                yield from zip(g["conv"], g["node"], way[:-1], way[1:], strict=True)
+
+        yield from _sliced(found(), ["conv", "node", "entry", "exit"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
     up = nodes.withColumn("up", F.floor(F.col("node") / PART)).join(above.withColumnRenamed("node", "up"), ["conv", "up"])
-    return up.repartition("conv", "up").sortWithinPartitions("conv", "up", "node").mapInArrow(run, "conv long, node long, entry int, exit int")
+    return _dealt(up, "conv", "up", "node").mapInArrow(run, "conv long, node long, entry int, exit int")
 
 
 def repair(turns: DataFrame, conv_id="conv_id", turn="turn", role="role", text="text") -> DataFrame:
@@ -164,13 +197,12 @@ def repair(turns: DataFrame, conv_id="conv_id", turn="turn", role="role", text="
     rows = common.running_start(rows, ["turn", "role", "text"], by="conv_id")
     rows = rows.withColumns({"node": F.floor(F.col("_start") / PART), "none": F.col("conv_id").isNull(), "conv": F.coalesce("conv_id", F.lit(0))})
     # A null conversation takes an id of its own below all parts' ids: its parts are numbered from a negative start.
-    rows = common.checkpoint(rows.withColumn("node", F.when(F.col("none"), F.col("node") - (1 << 50)).otherwise(F.col("node"))).repartition("conv", "node").sortWithinPartitions("conv", "node", "_start"))
+    rows = common.checkpoint(rows.withColumn("node", F.when(F.col("none"), F.col("node") - (1 << 50)).otherwise(F.col("node"))))
 
     def matrices(batches):
-        found = [(int(g.conv.iloc[0]), int(g.node.iloc[0]), compose(_turn_matrices(g.role)).ravel().tolist()) for g in _groups(batches, ["conv", "node"])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.list_(pa.int64()))], ["conv", "node", "matrix"])
+        yield from _sliced(((g["conv"][0], g["node"][0], compose(_turn_matrices(g["role"])).ravel().tolist()) for g in _groups(batches, ["conv", "node"])), *_NODE)
 
-    slim = rows.select("conv", "node", "role", "_start").repartition("conv", "node").sortWithinPartitions("conv", "node", "_start")
+    slim = _dealt(rows.select("conv", "node", "_start", "role"), "conv", "node", "_start")
     levels = [common.checkpoint(slim.mapInArrow(matrices, "conv long, node long, matrix array<long>"))]
     ends = levels[0].groupBy("conv", (F.col("node") < 0).alias("none")).agg(F.max("node").alias("last"))
     while levels[-1].groupBy("conv", F.col("node") < 0).count().filter("count > 1").limit(1).count():
@@ -184,15 +216,15 @@ def repair(turns: DataFrame, conv_id="conv_id", turn="turn", role="role", text="
         way = common.checkpoint(_spread(nodes, way))
 
     def rendered(batches):
-        for g in _groups(batches, ["conv", "node"]):
-            head = g.iloc[0]
-            said, done = render(g.role.tolist(), g.text.tolist(), int(head.entry), int(head["exit"]), bool(head.closes))
-            values = [head.conv, head.none, head.node, len(g), *done.values(), said]
-            kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 7, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["conv", "none", "node", "n_turns", *done, "rendered"])
+        def found():
+            for g in _groups(batches, ["conv", "node"]):
+                said, done = render(g["role"], g["text"], g["entry"][0], g["exit"][0], g["closes"][0])
+                yield (g["conv"][0], g["none"][0], g["node"][0], len(g["role"]), *done.values(), said)
+
+        yield from _sliced(found(), ["conv", "none", "node", "n_turns", "n_out", "n_merged", "n_relabelled", "n_inserted", "cost", "rendered"], [pa.int64(), pa.bool_(), *[pa.int64()] * 7, pa.string()])
 
     way = way.withColumn("none", F.col("node") < 0).join(ends, ["conv", "none"]).withColumn("closes", F.col("node") == F.col("last")).drop("none", "last")
-    out = rows.join(way, ["conv", "node"]).repartition("conv", "node").sortWithinPartitions("conv", "node", "_start")
+    out = _dealt(rows.join(way, ["conv", "node"]), "conv", "node", "_start")
     out = out.select("conv", "none", "node", "role", "text", "entry", "exit", "closes").mapInArrow(rendered, "conv long, none boolean, node long, n_turns long, n_out long, n_merged long, n_relabelled long, n_inserted long, cost long, rendered string")
     part = F.when(F.col("none"), F.col("node") + (1 << 50)).otherwise(F.col("node"))
     return out.select(F.when(~F.col("none"), F.col("conv")).alias("conv_id"), part.alias("part"), "n_turns", "n_out", "n_merged", "n_relabelled", "n_inserted", "cost", "rendered")
