@@ -61,9 +61,9 @@ def _(read):
     return prune.delete_by_class(read("animals"), 0.4).select("id")
 
 
-@query("f10_downsample_one", "F10", f"SELECT id, species FROM animals WHERE species<>'S1' UNION ALL (SELECT id, species FROM animals WHERE species='S1' ORDER BY {MD5}, id LIMIT 4)")
+@query("f10_downsample_one", "F10", f"SELECT id, species FROM animals WHERE species<>'S1' UNION ALL (SELECT id, species FROM animals WHERE species='S1' ORDER BY {MD5}, id LIMIT (SELECT CAST(round_even(0.5*count(*),0) AS BIGINT) FROM animals WHERE species='S1'))")
 def _(read):
-    return prune.downsample(read("animals"), "species", "S1", n=4).select("id", "species")
+    return prune.downsample(read("animals"), "species", "S1", share=0.5).select("id", "species")
 
 
 @query("f11_subset", "F11 D1", """WITH t AS (SELECT * FROM animals ORDER BY id LIMIT 100), k AS (SELECT *, count(*) OVER (PARTITION BY species) AS n FROM t)
