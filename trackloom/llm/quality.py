@@ -68,18 +68,15 @@ def features(docs: DataFrame, doc_id="doc_id", text="text", keep=()) -> DataFram
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], body.alias("_text"))
     lines = F.transform(F.filter(F.split("_text", "\n"), lambda l: F.btrim(l, F.lit(common.SPACES)) != ""), lambda l: F.xxhash64(l))
+    symbols = (F.char_length("_text") - F.char_length(F.regexp_replace("_text", r"[#*$%&|<>]", ""))).cast("long")
+    duplicates = common.let(lines, lambda l: (F.size(l) - F.size(F.array_distinct(l))).cast("long"))
     facts = common.let(
         common.words(F.col("_text")),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated_words(w).alias("n_repeat_words")),
     )
-    rows = rows.select(
-        "doc_id",
-        *keep,
-        facts.alias("_facts"),
-        (F.char_length("_text") - F.char_length(F.regexp_replace("_text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        common.let(lines, lambda l: (F.size(l) - F.size(F.array_distinct(l))).cast("long")).alias("n_dup_lines"),
-    )
-    rows = rows.select("doc_id", *keep, "_facts.n_words", "_facts.word_chars", "n_symbols", "n_dup_lines", "_facts.n_repeat_words")
+    # Exploding an array of one struct keeps later filters and projections from computing the features again.
+    every = common.let(facts, lambda f: F.struct(f["n_words"].alias("n_words"), f["word_chars"].alias("word_chars"), symbols.alias("n_symbols"), duplicates.alias("n_dup_lines"), f["n_repeat_words"].alias("n_repeat_words")))
+    rows = rows.select("doc_id", *keep, F.explode(F.array(every)).alias("_facts")).select("doc_id", *keep, "_facts.*")
     return rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
