@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Classes of the splitting pattern (contractions, letters, numbers, the rest, white space) for
 #: characters up to U+024F; texts with others are split by the library's own pre-tokenizer, whose
 #: Unicode tables decide. Fixed values of the byte-level vocabulary.
@@ -206,6 +208,7 @@ def _groups(texts):
 
 
 def _shared_tables(spark, path):
+    common.text_batches(spark)
     return spark.sparkContext.broadcast(load_tables(path))
 
 

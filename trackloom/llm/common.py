@@ -27,6 +27,17 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Rows in an Arrow batch of texts. Whole texts of any length travel in a batch, so its rows are kept few.
+TEXT_BATCH = 500
+
+
+def text_batches(spark):
+    """Bound the memory of Python workers that get whole texts: Spark's own batch size counts rows, not bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
+        spark.conf.set(key, str(TEXT_BATCH))
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``most`` rows; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

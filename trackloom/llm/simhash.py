@@ -44,6 +44,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a long) for every row; a null text has no words."""
+    common.text_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
