@@ -64,8 +64,8 @@ def read_matrix(spark, path):
 
 def melt_grid(wide, lat, columns):
     """Wide grid (a column for each longitude, named by it) to ``cell_lat, cell_lon, value``; masked cells are null."""
-    long = wide.unpivot([lat], list(columns), "lon", "value")
-    return long.select(F.floor(lat).cast("long").alias("cell_lat"), F.floor(F.col("lon").cast("double")).cast("long").alias("cell_lon"), times.sentinel_to_null("value").alias("value"))
+    long = wide.unpivot([lat], [f"`{c}`" for c in columns], "lon", "value")
+    return long.select(F.floor(lat).cast("long").alias("cell_lat"), F.floor(F.replace("lon", F.lit("`"), F.lit("")).cast("double")).cast("long").alias("cell_lon"), times.sentinel_to_null("value").alias("value"))
 
 
 def slice_time(df, year, month=None):
