@@ -1,0 +1,195 @@
+"""Near-duplicates by the exact Jaccard similarity (at least 4/5) of their sets of five-word shingles.
+
+Candidates come from prefix filtering, which loses no pair: under any order of all shingles, two sets that
+similar share one among the first n - ceil(4n/5) + 1 of each.  The order is by hash, but shingles that a sample
+shows to be frequent come last, which only saves time.  Every candidate is checked against a lower bound of its
+difference (parity sketches), then on the sets themselves.
+
+Of a shingle that more than ``PAIR_CAP`` prefixes hold, all members meet one pivot first; later only pairs that are
+not in one component yet are compared, and these all are.
+"""
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common, simhash
+
+SEED = 42
+SHINGLE = 5
+PAIR_CAP = 16
+#: Rounds in which each crowded bucket meets a pivot.
+PIVOTS = 2
+#: One text in so many is sampled for frequent shingles; one seen so often in the sample is frequent; so many are put last at most.
+SAMPLE = 16
+FREQUENT = 3
+MOST_FREQUENT = 200_000
+#: 64-bit words of a parity sketch.
+SKETCH = 8
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted distinct XXH64 of a text's shingles; a text of fewer words is one shingle, one without words none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(SHINGLE, len(words))
+    n = len(words) - k + 1
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def prefix(s: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles of a set that it shares with every similar one; those in ``last`` (sorted) come last, by rank."""
+    n = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
+    if not len(last):
+        return s[:n]
+    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+    late = last[at] == s
+    return np.concatenate((s[~late], s[late][np.argsort(rank[at[late]])]))[:n]
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of 64 * SKETCH cells: sketches differ in at most as many bits as the sets in members."""
+    cells = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _longs(lists):
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))).astype(np.int32)
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64), pa.int64()))
+
+
+def _texts(b):
+    return b.column(1).cast(pa.binary()).to_pylist()
+
+
+def sets(rows: DataFrame) -> DataFrame:
+    """``key, s``: the shingles of each row (``key, text``)."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _longs([shingles(t) for t in _texts(b)])], ["key", "s"])
+
+    return rows.mapInArrow(run, "key long, s array<long>")
+
+
+def frequent(rows: DataFrame):
+    """Frequent shingles of a sample, sorted, and their ranks by count."""
+    sample = sets(rows.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0)).select(F.explode("s").alias("s"))
+    found = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).collect()
+    last = np.array([r.s for r in found], np.int64).view(np.uint64)
+    order = np.argsort(last)
+    return last[order], -order  # the first found is the most frequent and comes last of all
+
+
+def signatures(rows: DataFrame, last, rank) -> DataFrame:
+    """``key, same, n, sketch, prefix`` of each row (``key, text``); ``same`` is a digest of the set."""
+    shared = rows.sparkSession.sparkContext.broadcast((last, rank))  # at most MOST_FREQUENT
+
+    def run(batches):
+        last, rank = shared.value
+        for b in batches:
+            found = [shingles(t) for t in _texts(b)]
+            same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(same, pa.binary()), pa.array([len(s) for s in found], pa.int64()), _longs([sketch(s) for s in found]), _longs([prefix(s, last, rank) for s in found])],
+                ["key", "same", "n", "sketch", "prefix"],
+            )
+
+    return rows.mapInArrow(run, "key long, same binary, n long, sketch array<long>, prefix array<long>")
+
+
+def _sizes_fit():
+    return (5 * F.col("n_a") >= 4 * F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
+
+
+def _sketches_fit():
+    bits = sum((F.bit_count(F.get("k_a", F.lit(i)).bitwiseXOR(F.get("k_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return 9 * bits <= F.col("n_a") + F.col("n_b")
+
+
+def _side(df, s, *columns):
+    return df.select(*columns, *[F.col(c).alias(f"{k}_{s}") for c, k in (("key", "key"), ("n", "n"), ("sketch", "k"), ("component", "c")) if c in df.columns])
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges ``a, b`` of the pairs (``key_a, key_b``; a checkpoint) whose sets of shingles are similar; ``rows``: ``key, text``."""
+    need = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+    held = common.checkpoint(sets(rows.join(common.small(need, simhash.BROADCAST_ROWS), "key", "left_semi")))
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(9 * both >= 4 * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(held.select(F.col("key").alias("key_a"), F.col("s").alias("x")), "key_a").join(held.select(F.col("key").alias("key_b"), F.col("s").alias("y")), "key_b")
+    return common.checkpoint(both.select("key_a", "key_b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def links(found: DataFrame, rows: DataFrame, pair_cap=PAIR_CAP) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all similar pairs among ``found`` (``key, n, sketch, prefix``), one row for each set."""
+    short = found.select("key", "n", "sketch")
+    members = found.select("key", "n", F.explode("prefix").alias("token"))
+    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = common.checkpoint(members.join(sizes, "token"))
+    checked = None
+
+    def sketched(pairs):
+        """Distinct pairs with fitting sketches, those of earlier rounds left out."""
+        if checked is not None:
+            pairs = pairs.join(checked, ["key_a", "key_b"], "left_anti")
+        pairs = pairs.join(_side(short, "a").drop("n_a"), "key_a").join(_side(short, "b").drop("n_b"), "key_b")
+        return common.checkpoint(pairs.filter(_sketches_fit()).select("key_a", "key_b"))
+
+    cold = members.filter(F.col("size") <= pair_cap)
+    pairs = _side(cold, "a", "token").join(_side(cold, "b", "token"), "token").filter((F.col("key_a") < F.col("key_b")) & _sizes_fit())
+    pairs = pairs.select("key_a", "key_b", "n_a", "n_b").distinct()
+    hot = common.checkpoint(members.filter(F.col("size") > pair_cap).select("token", "key", "n").join(short.select("key", "sketch"), "key"))
+    ordered = [F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "n_a", "n_b"]
+    for i in range(PIVOTS):
+        pivot = hot.groupBy("token").agg(F.min_by(F.struct("key", "n"), F.xxhash64("key", F.lit(i))).alias("p")).select("token", F.col("p.key").alias("key_a"), F.col("p.n").alias("n_a"))
+        star = hot.select("token", F.col("key").alias("key_b"), F.col("n").alias("n_b")).join(pivot, "token").filter((F.col("key_a") != F.col("key_b")) & _sizes_fit())
+        swap = F.col("key_a") > F.col("key_b")
+        star = star.select(*ordered[:2], F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"))
+        pairs = pairs.unionAll(star)
+    pairs = sketched(pairs.distinct())
+    edges, checked = verified(pairs, rows), pairs
+
+    # What is left of the crowded buckets: pairs across components.
+    label = simhash.components(edges).withColumnRenamed("node", "key")
+    hot = hot.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    several = hot.groupBy("token").agg((F.min("component") < F.max("component")).alias("_more")).filter("_more").select("token")
+    hot = common.checkpoint(hot.join(several, "token"))
+    across = (F.col("token") == F.col("token_b")) & (F.col("key_a") < F.col("key_b")) & (F.col("c_a") != F.col("c_b")) & _sizes_fit() & _sketches_fit()
+    rest = _side(hot, "a", "token").join(_side(hot.withColumnRenamed("token", "token_b"), "b", "token_b"), across).select("key_a", "key_b").distinct()
+    rest = common.checkpoint(rest.join(checked, ["key_a", "key_b"], "left_anti"))
+    return edges.unionAll(verified(rest, rows))
+
+
+def keep_first(docs: DataFrame, doc_id="doc_id", text="text", pair_cap=PAIR_CAP) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one of smallest doc_id, ties by text.
+
+    Groups are components of pairs with a Jaccard similarity of at least 4/5. Rows without words form one group.
+    """
+    common.text_batches(docs.sparkSession)
+    rows = common.keyed(docs, doc_id, text)
+    texts = rows.select(F.col("_key").alias("key"), F.col(text).alias("text"))
+    found = common.checkpoint(signatures(texts, *frequent(texts)))
+    first = common.checkpoint(found.groupBy("same").agg(F.min("key").alias("key")).select("key"))
+    edges = links(found.join(first, "key"), texts, pair_cap)
+    later = simhash.components(edges).filter("node <> component").select(F.col("node").alias("key"))
+    gone = common.checkpoint(found.select("key").join(first, "key", "left_anti").unionAll(later).withColumnRenamed("key", "_key"))
+    return rows.join(common.small(gone, simhash.BROADCAST_ROWS), "_key", "left_anti").drop("_key")
