@@ -1,0 +1,28 @@
+"""Queries over whole tables give the rows of the samples' SQL without its filters."""
+
+import pytest
+
+from tests.test_oracles import DATA, ORACLE, QUERIES, compare
+
+FILTERS = {
+    "j09_nearest_cell_l1": [" WHERE fix_id%10=0"],
+    "j18_distance_to_coast": [" WHERE fix_id%50=0", " WHERE lat > 40"],
+    "j20_close_pairs": ["fix_id%25=0 AND "],
+    "j21_distance_matrix": [" WHERE id%10=0"],
+    "j22_shapelet_distance": [" WHERE id<10", " WHERE id<60"],
+    "w14_resample": [" WHERE id%20=0"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_whole_tables(spark, name):
+    sql = ORACLE[name]
+    for f in FILTERS[name]:
+        assert sql.count(f) == 1
+        sql = sql.replace(f, "")
+    compare(QUERIES[name + "_whole"](spark, DATA), sql)
+
+
+def test_every_track_gets_polynomial_degrees(spark):
+    ids = [r.id for r in QUERIES["w16_polynomial_degree"](spark, DATA).select("id").distinct().collect()]
+    assert len(ids) == spark.read.parquet(f"{DATA}/events.parquet").select("user_id").distinct().count()

@@ -65,6 +65,14 @@ def _(read):
     return enrich.nearest_l1(read("fixes").filter("fix_id % 10 = 0"), sites(read)).select("fix_id", "value")
 
 
+# Queries named _whole take whole tables; those of the same name without it are samples of them that SQL can check.
+
+
+@query("j09_nearest_cell_l1_whole", "J9")
+def _(read):
+    return enrich.nearest_l1(read("fixes"), sites(read)).select("fix_id", "value")
+
+
 @query("j10_nearest_level", "J10", """WITH l AS (SELECT CAST(v AS DOUBLE) AS level FROM (VALUES (0),(10),(50),(200),(500)) t(v)), m AS (SELECT fix_id, level, row_number() OVER (PARTITION BY fix_id ORDER BY abs(level-env), level) AS k FROM fixes, l WHERE env IS NOT NULL)
     SELECT fix_id, level FROM m WHERE k=1""")
 def _(read):
@@ -110,6 +118,11 @@ def _(read):
     return enrich.nearest_site(read("fixes").filter("fix_id % 50 = 0"), sites(read).filter("lat > 40")).select("fix_id", r6("dist").alias("dist"))
 
 
+@query("j18_distance_to_coast_whole", "J18")
+def _(read):
+    return enrich.nearest_site(read("fixes"), sites(read)).select("fix_id", r6("dist").alias("dist"))
+
+
 @query("j19_impute_nearest", "J19 A20", """WITH f AS (SELECT *, CAST(ceil(latitude/2.0) AS BIGINT) AS ci, CAST(ceil(longitude/2.0) AS BIGINT) AS cj, CASE WHEN id%4=0 THEN NULL ELSE env END AS e FROM fixes),
     c AS (SELECT ci, cj, avg(e) AS m FROM f GROUP BY ci, cj), k AS (SELECT * FROM c WHERE m IS NOT NULL),
     n AS (SELECT c.ci, c.cj, k.m, row_number() OVER (PARTITION BY c.ci, c.cj ORDER BY abs(c.ci-k.ci)*2.0+abs(c.cj-k.cj)*2.0, k.ci, k.cj) AS r FROM c, k WHERE c.m IS NULL),
@@ -128,11 +141,21 @@ def _(read):
     return df.select("a", "b", r6("dist").alias("dist"), r6("ratio").alias("ratio"))
 
 
+@query("j20_close_pairs_whole", "J20")
+def _(read):
+    return enrich.close_pairs(labelled(read), 0.3, 0.1, 5.0).select("a", "b", r6("dist").alias("dist"), r6("ratio").alias("ratio"))
+
+
 @query("j21_distance_matrix", "J21", "WITH p AS (SELECT * FROM points WHERE id%10=0) SELECT a.id AS i, b.id AS j, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])),6)+0.0 AS d FROM p a JOIN p b ON a.id<b.id")
 def _(read):
     return enrich.distance_matrix(read("points").filter("id % 10 = 0")).select("i", "j", r6("d").alias("d"))
 
 
+@query("j21_distance_matrix_whole", "J21")
+def _(read):
+    return enrich.distance_matrix(read("points")).select("i", "j", r6("d").alias("d"))
+
+
 @query("j22_shapelet_distance", "J22", """WITH s AS (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM points), p AS (SELECT id AS pid, v[1:8] AS p FROM s WHERE id<10),
     d AS (SELECT pid, id, (SELECT min(sqrt(list_sum(list_transform(list_zip(p, v[k+1:k+8]), lambda z: (z[1]-z[2])*(z[1]-z[2]))))) FROM range(56) t(k)) AS m FROM p, s WHERE id<60)
     SELECT pid, id, round(m/sqrt(8),6)+0.0 AS d FROM d""")
@@ -142,6 +165,13 @@ def _(read):
     return p.crossJoin(s.filter("id < 60")).select("pid", "id", r6(enrich.shapelet_distance(F.col("p"), F.col("v"))).alias("d"))
 
 
+@query("j22_shapelet_distance_whole", "J22")
+def _(read):
+    s = read("points").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    p = s.select(F.col("id").alias("pid"), F.slice("v", 1, 8).alias("p"))
+    return p.crossJoin(s).select("pid", "id", r6(enrich.shapelet_distance(F.col("p"), F.col("v"))).alias("d"))
+
+
 @query("a14_feature_table", "A14 A6", f"""WITH {SPEED[5:]}, m AS (SELECT id, avg(speed) AS mean_speed, count(*) AS n_obs, avg(coalesce(env,0.0)) AS effort FROM speeds GROUP BY id),
     n AS (SELECT species, count(*) AS n_species FROM animals GROUP BY species)
     SELECT m.id, round(mean_speed,6)+0.0 AS mean_speed, n_obs, round(effort,9)+0.0 AS effort, n_species, CASE WHEN tag='GPS' THEN 1 ELSE 0 END AS tag_gps FROM m JOIN animals USING (id) JOIN n USING (species)""")
@@ -264,9 +294,14 @@ def _(read):
     return df.select("id", "year", "slot", r9("latitude").alias("latitude"), r9("longitude").alias("longitude"))
 
 
+@query("w14_resample_whole", "W14 W15")
+def _(read):
+    return resample.resample(read("long_fixes"), 2).select("id", "year", "slot", r9("latitude").alias("latitude"), r9("longitude").alias("longitude"))
+
+
 @query("w16_polynomial_degree", "W16")
 def _(read):
-    return resample.fit_polynomial(read("fixes").filter("id % 5 = 0")).select("id", "column", "degree")
+    return resample.fit_polynomial(read("fixes")).select("id", "column", "degree")
 
 
 @query("w17_pad_year", "W17", """WITH s AS (SELECT id, year(date_time) AS year, dayofyear(date_time)-1 AS slot, avg(env) AS env FROM fixes GROUP BY ALL), t AS (SELECT DISTINCT id, year FROM s)
