@@ -11,6 +11,9 @@ FILTERS = {
     "j21_distance_matrix": [" WHERE id%10=0"],
     "j22_shapelet_distance": [" WHERE id<10", " WHERE id<60"],
     "w14_resample": [" WHERE id%20=0"],
+    "t27_pooled_distances": [" WHERE id<120"],
+    "t28_knn_accuracy": [" WHERE id<120"],
+    "t29_stress": [" WHERE id<120"],
 }
 
 

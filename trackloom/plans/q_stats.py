@@ -199,6 +199,26 @@ def _(read):
     return rounded(S.stress(distances(read), enrich.distance_matrix(cut)), "stress")
 
 
+# The same over all points; those above are samples of them that SQL can check.
+
+
+@query("t27_pooled_distances_whole", "T27 X5")
+def _(read):
+    labels = read("points").select("id", F.concat(F.lit("c"), F.col("class").cast("string")).alias("species"))
+    return rounded(S.pooled_distances(enrich.distance_matrix(read("points")), labels), "d")
+
+
+@query("t28_knn_accuracy_whole", "T28")
+def _(read):
+    return rounded(S.knn_accuracy(enrich.distance_matrix(read("points")), read("points").select("id", "class")), "accuracy")
+
+
+@query("t29_stress_whole", "T29")
+def _(read):
+    cut = read("points").withColumn("embedding", F.slice("embedding", 1, 8))
+    return rounded(S.stress(enrich.distance_matrix(read("points")), enrich.distance_matrix(cut)), "stress")
+
+
 @query("t30_pca", "T30")
 def _(read):
     return S.pca(read("fixes").filter("env is not null"), ["latitude", "longitude", "env"], 2)[1]
