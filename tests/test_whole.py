@@ -14,6 +14,7 @@ FILTERS = {
     "t27_pooled_distances": [" WHERE id<120"],
     "t28_knn_accuracy": [" WHERE id<120"],
     "t29_stress": [" WHERE id<120"],
+    "f15_common_window": [" WHERE id % 3 = 0"],
 }
 
 

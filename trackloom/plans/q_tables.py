@@ -98,6 +98,12 @@ def _(read):
     return prune.common_window(read("fixes").filter("id % 3 = 0"), 5)
 
 
+@query("f15_common_window_whole", "F15")
+def _(read):
+    """Over all tracks; the query above is a sample of them that SQL can check."""
+    return prune.common_window(read("fixes"), 5)
+
+
 @query("f18_drop_padding", "F18 F17", "SELECT fix_id FROM (SELECT fix_id, CASE WHEN fix_id%7=0 THEN 0.0 ELSE latitude END AS a, CASE WHEN fix_id%7=0 THEN 0.0 ELSE longitude END AS b FROM fixes) WHERE abs(a)>=1e-8 OR abs(b)>=1e-8")
 def _(read):
     z = lambda c: F.when(F.col("fix_id") % 7 == 0, 0.0).otherwise(F.col(c))
