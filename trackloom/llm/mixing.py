@@ -77,10 +77,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS) -
     return ranked.select("source", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, block=BLOCK, seed=SEED, keep=(), with_pieces=False) -> DataFrame:
+def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, block=BLOCK, seed=SEED, keep=(), with_pieces=False, packed=False) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` (and the columns ``keep``) for every row.
 
-    ``with_pieces`` adds the stretches of words taken, as structs of start, stop and times.
+    ``with_pieces`` adds the stretches of words taken, as structs of start, stop and times. ``packed``
+    returns the blocks themselves (see :func:`pack`), from which ``taken`` is summed up.
 
     taken: words that the mix takes of the document, repeats counted; 0 to ``most`` times its size. A null
     text has no words; null sources form one source, the last. Rows that repeat a doc_id are
@@ -104,20 +105,30 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     drawn = lots.select("source", F.explode(F.sequence(F.col("lot") * DRAW, F.least(F.col("slots"), (F.col("lot") + 1) * DRAW) - 1)).alias("draw"))
     counts = drawn.select("source", F.pmod(F.xxhash64(F.lit(seed), "source", "draw"), F.lit(shards)).alias("shard")).groupBy("source", "shard").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    held = Window.partitionBy("shard")
+    ahead = held.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"first": F.coalesce(F.sum("n").over(before), F.lit(0)), "ahead": F.coalesce(F.sum("n").over(ahead), F.lit(0)), "held": F.sum("n").over(held)})
 
     # A shard's slots, in lots again, and the blocks that they take.
     named = plan.select(F.col("source").alias("_s"), "blocks", "length")
-    lots = counts.select("source", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DRAW))).alias("lot")).repartition(tasks, "source", "first", "lot")
-    slots = lots.select("source", F.explode(F.sequence(F.col("first") + F.col("lot") * DRAW, F.col("first") + F.least(F.col("n"), (F.col("lot") + 1) * DRAW) - 1)).alias("slot"))
+    lots = counts.select("source", "shard", "first", "ahead", "held", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DRAW))).alias("lot")).repartition(tasks, "source", "first", "lot")
+    slots = lots.select("source", "shard", "first", "ahead", "held", F.explode(F.sequence(F.col("first") + F.col("lot") * DRAW, F.col("first") + F.least(F.col("n"), (F.col("lot") + 1) * DRAW) - 1)).alias("slot"))
     slots = slots.join(named, F.col("source").eqNullSafe(F.col("_s")))
-    taken = slots.select("source", permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("source")).alias("hit")).groupBy(F.col("source").alias("_s"), "hit").agg(F.count(F.lit(1)).alias("times"))
+    # A shard's blocks of all sources are shuffled among its positions.
+    position = permuted(F.col("ahead") + F.col("slot") - F.col("first"), F.col("held"), F.lit(seed), F.col("shard"))
+    hits = slots.select("source", "shard", position.alias("position"), permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("source")).alias("hit"))
+    taken = hits.groupBy(F.col("source").alias("_s"), "hit").agg(F.count(F.lit(1)).alias("times"))
 
     # Documents by the blocks that they reach into.
     rows = rows.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_row", F.monotonically_increasing_id())
     rows = common.checkpoint(rows)
-    parts = rows.filter("size > 0").select("_row", "source", "_start", "size", "length", F.explode(F.sequence(F.floor(F.col("_start") / F.col("length")), F.floor((F.col("_start") + F.col("size") - 1) / F.col("length")))).alias("block"))
+    parts = rows.filter("size > 0").select("_row", "doc_id", "source", "_start", "size", "length", F.explode(F.sequence(F.floor(F.col("_start") / F.col("length")), F.floor((F.col("_start") + F.col("size") - 1) / F.col("length")))).alias("block"))
     start, stop = F.greatest(F.lit(0), F.col("block") * F.col("length") - F.col("_start")), F.least(F.col("size"), (F.col("block") + 1) * F.col("length") - F.col("_start"))
+    if packed:
+        whole = parts.groupBy(F.col("source").alias("_s"), "block").agg(F.sort_array(F.collect_list(F.struct("_start", "_row", "doc_id", start.alias("start"), stop.alias("stop")))).alias("pieces"))  # at most ``length`` a block
+        whole = whole.withColumn("pieces", F.transform("pieces", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["start"].alias("start"), x["stop"].alias("stop"))))
+        found = hits.join(whole, (F.col("block") == F.col("hit")) & F.col("source").eqNullSafe(F.col("_s")))
+        return found.select("shard", "position", "source", "block", "pieces")
     got = parts.join(taken, (F.col("block") == F.col("hit")) & F.col("source").eqNullSafe(F.col("_s")))
     pieces = [F.sort_array(F.collect_list(F.struct(start.alias("start"), stop.alias("stop"), "times"))).alias("pieces")] if with_pieces else []
     got = got.groupBy("_row").agg(F.sum((stop - start) * F.col("times")).alias("taken"), *pieces)
@@ -125,6 +136,15 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), *keep, *["pieces"] * with_pieces)
 
 
+def pack(docs: DataFrame, **options) -> DataFrame:
+    """``shard, position, source, block, pieces``: the mix as blocks, a row for each slot, in the shard that it drew.
+
+    Positions of a shard are 0 .. its slots - 1. ``pieces`` are the stretches of words (doc_id, start, stop) of a
+    block in order; all blocks of a source but its last hold equally many words. Options are those of :func:`mix`.
+    """
+    return mix(docs, packed=True, **options)
+
+
 def take(docs: DataFrame, doc_id="doc_id", text="text", source="source", n_chars="n_chars", **options) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: a row for each pass over a document, its text the words taken in that pass.
 
