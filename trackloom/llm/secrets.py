@@ -28,6 +28,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Candidates of the token test: runs of key characters, from this many on.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 RUN_LEAST = 20
+#: Parts of a run between separators, long enough to be candidates of their own: a readable prefix does not hide a key.
+PART = re.compile(r"(?<![A-Za-z0-9+])[A-Za-z0-9+]{20,}")
 #: Characters per token up to which a candidate counts as random.
 EFFICIENCY = 2.0
 #: Lengths in hex digits of known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
@@ -53,6 +55,9 @@ class Scanner:
 
     def is_random(self, run):
         """The token test of a candidate."""
+        if run.isalpha():
+            # Letters alone: only those of mixed case.
+            return not (run.islower() or run.isupper()) and len(run) <= self.efficiency * len(self.encode(run))
         if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
             return False
         if UUID.match(run) or ALL_HEX.match(run) and len(run) in DIGESTS or IDENTIFIER.match(run):
@@ -76,9 +81,12 @@ class Scanner:
             found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
             taken = [(a, b) for a, _, b in found]
             for m in RUN.finditer(text):
+                if self.is_random(m[0]):
+                    spans = [m.span()]
+                else:
+                    spans = [p.span() for p in PART.finditer(text, *m.span()) if p[0] != m[0] and self.is_random(p[0])]
                 # Text that a base pattern holds already is not reported again.
-                if self.is_random(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
-                    found.append((m.start(), 3, m.end()))
+                found += [(x, 3, y) for x, y in spans if not any(a < y and x < b for a, b in taken)]
         return sorted(found)
 
 
