@@ -1,9 +1,12 @@
 """Environment of fixes: lookups in grids, nearest sites, as-of matches, merges and imputation."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, times
+from ..store import checkpoint
 
 #: A grid of at most this many rows goes out by broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -107,19 +110,22 @@ def nearest_site(points, sites, chord=0.05):
     """``fix_id, dist, site_lat, site_lon``: the nearest site by great circle, whatever its distance; ties to the smaller (lat, lon).
 
     Points and sites meet in cubes of space, so poles and the antimeridian need no care. Points that
-    meet none within the cube's width try again with one four times as wide.
+    meet none within the cube's width try again with one four times as wide. Each round is a checkpoint, so
+    none is computed again by the next.
     """
     sites = sites.select(F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon")).distinct()
-    left, found = points.select("fix_id", "latitude", "longitude"), None
+    left, found = checkpoint(points.select("fix_id", "latitude", "longitude")), None
     d = geo.great_circle("latitude", "longitude", F.col("site_lat"), F.col("site_lon"))
     while True:
         met = _near(left, sites, chord).withColumn("dist", d)
         if chord < 2:
             met = met.filter(2 * F.sin(F.col("dist") / 2) <= chord)
-        best = met.groupBy("fix_id").agg(F.min(F.struct("dist", "site_lat", "site_lon")).alias("_b")).select("fix_id", "_b.*")
+        best = checkpoint(met.groupBy("fix_id").agg(F.min(F.struct("dist", "site_lat", "site_lon")).alias("_b")).select("fix_id", "_b.*"))
         found = best if found is None else found.unionAll(best)
-        left = left.join(best, "fix_id", "left_anti")
-        if chord >= 2 or not left.limit(1).count():
+        if chord >= 2:
+            return found
+        left = checkpoint(left.join(best, "fix_id", "left_anti"))
+        if left.isEmpty():
             return found
         chord = min(2.0, 4 * chord)
 
@@ -190,16 +196,16 @@ def cell_means(df, columns, width=0.25):
 
 def impute_nearest(df, column, width=0.25):
     """Nulls become their cell's mean, or the mean of the nearest cell (L1) that has one; ties to the smaller (lat, lon)."""
-    means = cell_means(df, [column], width)
+    means = checkpoint(cell_means(df, [column], width))
     known = means.filter(F.col(column).isNotNull()).select((F.col("cell_lat") * width).alias("lat"), (F.col("cell_lon") * width).alias("lon"), F.col(column).alias("value"))
     empty = means.filter(F.col(column).isNull()).select(F.struct("cell_lat", "cell_lon").alias("fix_id"), (F.col("cell_lat") * width).alias("latitude"), (F.col("cell_lon") * width).alias("longitude"))
     filled, radius = None, 4 * width
     while True:
-        got = nearest_l1(empty, known, radius, block=radius).select("fix_id", "value")
-        done = got.filter("value is not null")
+        got = checkpoint(nearest_l1(empty, known, radius, block=radius).select(*empty.columns, "value"))
+        done = got.filter("value is not null").select("fix_id", "value")
         filled = done if filled is None else filled.unionAll(done)
-        empty = empty.join(done, "fix_id", "left_anti")
-        if radius > 540 or not empty.limit(1).count():
+        empty = got.filter("value is null").drop("value")
+        if radius > 540 or empty.isEmpty():
             break
         radius *= 8
     cells = means.filter(F.col(column).isNotNull()).select("cell_lat", "cell_lon", F.col(column).alias("_fill")).unionAll(filled.select("fix_id.cell_lat", "fix_id.cell_lon", "value"))
@@ -250,17 +256,108 @@ def overlap_vs_accuracy(fixes, accuracy, width=1.0):
 
 # Distances between rows of vectors and between sequences.
 
+#: Vectors of a block; a pair of blocks is one row of work.
+BLOCK = 512
 
-def distance_matrix(df, key="id", vector="embedding"):
-    """Euclidean distances of all pairs i < j of a small table, by blocks of keys."""
-    a, b = df.select(F.col(key).alias("i"), F.col(vector).alias("_a")), df.select(F.col(key).alias("j"), F.col(vector).alias("_b"))
-    square = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.sqrt(square).alias("d"))
 
+def _blocks(df, key, vector):
+    """``_size, _b, _n, _rows``: vectors of one length in blocks of about BLOCK, dealt out by a hash of the key."""
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    sizes = rows.groupBy(F.size("v").alias("_size")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    rows = rows.withColumn("_size", F.size("v")).join(sized(sizes), "_size")
+    return rows.groupBy("_size", "_n", F.pmod(F.xxhash64("k"), F.col("_n")).cast("int").alias("_b")).agg(F.collect_list(F.struct("k", "v")).alias("_rows"))
+
+
+def _parts(rows):
+    rows = rows.values
+    keys = rows.field(0).to_numpy()
+    return keys, rows.field(1).flatten().to_numpy().reshape(len(keys), -1)
+
+
+def _block_pairs(left, right, on, fn, schema):
+    """``fn(keys, vectors, keys, vectors, same block)`` of every pair of blocks that meets by ``on``; it yields columns."""
+
+    def run(batches):
+        for b in batches:
+            for x, y, same in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+                for columns in fn(*_parts(x), *_parts(y), same):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in schema.split(", ")])
+
+    met = left.join(right, on)
+    spread = max(met.sparkSession.sparkContext.defaultParallelism, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return met.select("_left", "_right", "_same").repartition(spread).mapInArrow(run, schema)
 
-def shapelet_distance(pattern, series):
-    """Least Euclidean distance of a pattern over a series' alignments, the last left out, by the square root of its length; the plain distance if both are as long."""
-    n, m = F.size(pattern), F.size(series)
-    at = lambda s: F.sqrt(F.aggregate(F.zip_with(pattern, F.slice(series, s + 1, n), lambda x, y: (x - y) ** 2), F.lit(0.0), lambda a, x: a + x))
-    return F.when(n == m, at(F.lit(0))).when(n < m, F.array_min(F.transform(F.sequence(F.lit(0), m - n - 1), at)) / F.sqrt(n))
 
+def _triangle(df, key, vector, fn, schema):
+    """Every two blocks of equal vector length once: each block is sent to those not before it."""
+    blocks = checkpoint(_blocks(df, key, vector))
+    left = blocks.select("_size", F.col("_b").alias("_a"), F.col("_rows").alias("_left"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_b"))
+    right = blocks.select("_size", "_b", F.col("_rows").alias("_right"))
+    return _block_pairs(left.withColumn("_same", F.col("_a") == F.col("_b")), right, ["_size", "_b"], fn, schema)
+
+
+def _euclidean(x, y):
+    """Distances by differences, a stripe at a time, not by squares, which would lose digits."""
+    out = np.empty((len(x), len(y)))
+    step = max(1, (4 << 20) // max(1, y.size))
+    for i in range(0, len(x), step):
+        out[i : i + step] = np.sqrt(((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+    return out
+
+
+def distance_matrix(df, key="id", vector="embedding"):
+    """``i, j, d``: Euclidean distances of all pairs i < j of vectors of one length, a pair of blocks at a time.
+
+    All pairs are the result, so it grows with the square of the rows. Rows with a null in key or vector have no pairs.
+    """
+
+    def pairs(ki, x, kj, y, same):
+        d = _euclidean(x, y)
+        a, b = np.broadcast_arrays(ki[:, None], kj[None, :])
+        keep = a < b if same else np.ones(d.shape, bool)
+        a, b, d = a[keep], b[keep], d[keep]
+        yield np.minimum(a, b), np.maximum(a, b), d
+
+    return _triangle(df, key, vector, pairs, "i long, j long, d double")
+
+
+def nearest_rows(df, k, key="id", vector="embedding"):
+    """``id, other, d``: each row's k nearest other rows, ties to the smaller key; a pair of blocks passes on k of each row at most."""
+
+    def best(ids, others, d):
+        most = min(k, d.shape[1])
+        order = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :most]
+        got = np.take_along_axis(d, order, axis=1)
+        keep = np.isfinite(got)
+        return np.broadcast_to(ids[:, None], got.shape)[keep], others[order][keep], got[keep]
+
+    def pairs(ki, x, kj, y, same):
+        d = _euclidean(x, y)
+        if same:
+            d[ki[:, None] == kj[None, :]] = np.inf
+        yield best(ki, kj, d)
+        if not same:
+            yield best(kj, ki, d.T)
+
+    near = _triangle(df, key, vector, pairs, "id long, other long, d double")
+    w = Window.partitionBy("id").orderBy("d", "other")
+    return near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def shapelet_distances(patterns, series, key="id", vector="v"):
+    """``pid, id, d``: least Euclidean distance of each pattern over each series' alignments, the last left out, by the square root of
+    the pattern's length; the plain distance if both are as long, none if the pattern is longer."""
+    p, s = _blocks(patterns, key, vector), _blocks(series, key, vector)
+    blocks = checkpoint(s.select(F.col("_size").alias("_long"), F.col("_b").alias("_sb"), F.col("_rows").alias("_right")))
+    # Every block of patterns is sent to every block of series, by the blocks' names.
+    names = sized(blocks.select("_long", "_sb"))
+    left = p.select(F.col("_size").alias("_short"), F.col("_rows").alias("_left"), F.lit(False).alias("_same")).join(names, F.col("_short") <= F.col("_long"))
+
+    def pairs(kp, x, ks, y, _):
+        n, m = x.shape[1], y.shape[1]
+        windows = np.lib.stride_tricks.sliding_window_view(y, n, axis=1)[:, : max(1, m - n)]
+        for i in range(len(x)):
+            d = np.sqrt(((windows - x[i]) ** 2).sum(axis=2).min(axis=1))
+            yield np.full(len(ks), kp[i]), ks, d if n == m else d / np.sqrt(n)
+
+    return _block_pairs(left, blocks, ["_long", "_sb"], pairs, "pid long, id long, d double")

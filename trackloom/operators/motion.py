@@ -4,12 +4,14 @@ A track is the rows of one ``id`` in order of ``date_time``, ties by ``fix_id``.
 that partition and order, so Spark sorts a track once.
 """
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, times
+from ..store import checkpoint, running_start
 
 ORDER = ("date_time", "fix_id")
 DEFAULT_STEP = 0.11
@@ -124,13 +126,12 @@ def turning_angle(df: DataFrame) -> DataFrame:
 
 
 def average_rank(df: DataFrame, column, by=(), name="rank") -> DataFrame:
-    """Ranks from 1, ties sharing their mean. Without ``by`` equal values are counted first, so one task never holds all rows."""
+    """Ranks from 1, ties sharing their mean. Without ``by`` equal values are counted first, and the counts summed up over a range exchange."""
     if by:
         order, ties = Window.partitionBy(*by).orderBy(column), Window.partitionBy(*by, column)
         return df.withColumn(name, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2)
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    below = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(F.col(column).alias("_v"), (F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
+    counts = checkpoint(df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    ranks = running_start(counts, ["_v"], F.col("_n")).select("_v", (F.col("_start") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
 
 
@@ -216,13 +217,15 @@ def _fold(df, schema, fn):
     return df.groupBy("id").applyInPandas(lambda p: fn(p.sort_values(list(ORDER), ignore_index=True)), schema)
 
 
-def _np_exp(lat, lon, south, east):
-    la, lo = np.radians(lat), np.radians(lon)
-    p = np.array([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)])
-    v = south * np.array([np.sin(la) * np.cos(lo), np.sin(la) * np.sin(lo), -np.cos(la)]) + east * np.array([-np.sin(lo), np.cos(lo), 0.0])
-    n = np.hypot(south, east)
-    q = np.cos(n) * p + (np.sin(n) / n if n > 0 else 1.0) * v
-    return np.degrees(np.arctan2(q[2], np.hypot(q[0], q[1]))), np.degrees(np.arctan2(q[1], q[0]))
+def _moved(lat, lon, south, east):
+    """End of a step from (lat, lon), in radians, by its local components."""
+    n = math.hypot(south, east)
+    k = math.sin(n) / n if n > 0 else 1.0
+    up = math.cos(n) * math.cos(lat) + k * south * math.sin(lat)  # along the meridian's direction in the equator's plane
+    x = up * math.cos(lon) - k * east * math.sin(lon)
+    y = up * math.sin(lon) + k * east * math.cos(lon)
+    z = math.cos(n) * math.sin(lat) - k * south * math.cos(lat)
+    return math.atan2(z, math.hypot(x, y)), math.atan2(y, x)
 
 
 def dead_reckon(df: DataFrame, start=None) -> DataFrame:
@@ -233,12 +236,12 @@ def dead_reckon(df: DataFrame, start=None) -> DataFrame:
     """
 
     def run(p):
-        lat, lon = (p.latitude[0], p.longitude[0]) if start is None else start
+        at = tuple(map(math.radians, (p.latitude[0], p.longitude[0]) if start is None else start))
         out = []
-        for s, e in zip(p.south, p.east, strict=True):
-            out.append((lat, lon))
+        for s, e in zip(p.south.tolist(), p.east.tolist(), strict=True):
+            out.append((math.degrees(at[0]), math.degrees(at[1])))
             if s == s and e == e:
-                lat, lon = _np_exp(lat, lon, s, e)
+                at = _moved(*at, s, e)
         return pd.DataFrame({"id": p.id, "fix_id": p.fix_id, "date_time": p.date_time, "latitude": [a for a, _ in out], "longitude": [b for _, b in out]})
 
     return _fold(df.select("id", *reversed(ORDER), "latitude", "longitude", "south", "east"), "id long, fix_id long, date_time timestamp, latitude double, longitude double", run)

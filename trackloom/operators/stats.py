@@ -8,9 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import checkpoint
 from .motion import average_rank
 
 
+def _corr(x, y):
+    """Correlation, null where a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)), F.lit(0.0)))
+
+
 def correlations(df: DataFrame, columns, method="pearson", by=()) -> DataFrame:
     """``a, b, r, n`` for all pairs of columns over rows where both are known, in one aggregate; ``spearman`` ranks first."""
     if method == "spearman":
@@ -18,7 +24,7 @@ def correlations(df: DataFrame, columns, method="pearson", by=()) -> DataFrame:
             df = average_rank(df, c, by, f"_r_{c}").withColumn(c, F.when(F.col(c).isNotNull(), F.col(f"_r_{c}"))).drop(f"_r_{c}")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias("r"), F.count(F.when(both(a, b), 1)).alias("n")) for a, b in pairs]
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias("r"), F.count(F.when(both(a, b), 1)).alias("n")) for a, b in pairs]
     return df.groupBy(*by).agg(F.array(*cells).alias("_c")).select(*by, F.explode("_c").alias("c")).select(*by, "c.*")
 
 
@@ -310,13 +316,14 @@ def single_linkage(distances, height, nodes=None):
     Smallest names spread along the pairs, then from a name to its own name, until none changes.
     """
     e = distances.filter(F.col("d") <= height).select(F.col("real").alias("a"), F.col("pred").alias("b"))
-    both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = checkpoint(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("cluster")).withColumnRenamed("a", "node")
     while True:
         near = both.join(label, both.b == label.node).groupBy(F.col("a").alias("n")).agg(F.min("cluster").alias("c"))
         moved = label.join(near, F.col("node") == F.col("n")).select("node", F.col("cluster").alias("old"), F.least("cluster", "c").alias("cluster"))
         up = label.select(F.col("node").alias("u"), F.col("cluster").alias("c"))
-        moved = moved.join(up, F.col("cluster") == F.col("u")).select("node", "old", F.least("cluster", "c").alias("cluster")).cache()
+        moved = moved.join(up, F.col("cluster") == F.col("u")).select("node", "old", F.least("cluster", "c").alias("cluster"))
+        moved = checkpoint(moved)
         if not moved.filter("old <> cluster").limit(1).count():
             return moved.select("node", "cluster")
         label = moved.select("node", "cluster")
@@ -332,10 +339,9 @@ def pooled_distances(distances, labels, reduce=lambda d: F.percentile(d, 0.5)):
     return df.select(F.least("sp_i", "sp_j").alias("sp_i"), F.greatest("sp_i", "sp_j").alias("sp_j"), "d").groupBy("sp_i", "sp_j").agg(reduce("d").alias("d"))
 
 
-def knn_accuracy(distances, labels, most=5, by=()):
-    """Accuracy of the vote of the k nearest others for k = 1 .. most; ties to the smaller label."""
-    both = distances.select(*by, F.col("i").alias("id"), F.col("j").alias("other"), "d").unionAll(distances.select(*by, F.col("j").alias("id"), F.col("i").alias("other"), "d"))
-    near = both.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "id").orderBy("d", "other"))).filter(F.col("_r") <= most)
+def knn_accuracy(near, labels, most=5, by=()):
+    """Accuracy of the vote of the k nearest others (``id, other, d``) for k = 1 .. most; ties to the smaller label."""
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "id").orderBy("d", "other"))).filter(F.col("_r") <= most)
     near = near.join(labels.select(F.col("id").alias("other"), F.col("class").alias("vote")), "other")
     votes = near.select(*by, "id", "vote", F.explode(F.sequence(F.col("_r"), F.lit(most))).alias("k")).groupBy(*by, "id", "k", "vote").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy(*by, "id", "k").agg(F.max_by("vote", F.struct("n", -F.col("vote"))).alias("vote"))

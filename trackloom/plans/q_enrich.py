@@ -57,18 +57,10 @@ def sites(read):
     return read("grid1").filter("cell_lat between -20 and 20 and cell_lon between -90 and 89").select((F.col("cell_lat") * 3.0).alias("lat"), (F.col("cell_lon") * 2.0 + (F.col("cell_lat") % 2) * 0.5).alias("lon"), "value")
 
 
-@query("j09_nearest_cell_l1", "J9", f"""WITH {SITES}, p AS (SELECT * FROM fixes WHERE fix_id%10=0),
+@query("j09_nearest_cell_l1", "J9", f"""WITH {SITES}, p AS (SELECT * FROM fixes),
     m AS (SELECT fix_id, abs(latitude-lat)+abs(longitude-lon) AS gap, lat, lon, value FROM p JOIN sites ON value IS NOT NULL AND abs(latitude-lat)+abs(longitude-lon) < 1.5),
     b AS (SELECT *, row_number() OVER (PARTITION BY fix_id ORDER BY gap, lat, lon) AS k FROM m)
     SELECT p.fix_id, b.value FROM p LEFT JOIN b ON p.fix_id=b.fix_id AND k=1""")
-def _(read):
-    return enrich.nearest_l1(read("fixes").filter("fix_id % 10 = 0"), sites(read)).select("fix_id", "value")
-
-
-# Queries named _whole take whole tables; those of the same name without it are samples of them that SQL can check.
-
-
-@query("j09_nearest_cell_l1_whole", "J9")
 def _(read):
     return enrich.nearest_l1(read("fixes"), sites(read)).select("fix_id", "value")
 
@@ -112,13 +104,8 @@ def _(read):
     return enrich.match_occurrences(f, right, rounded=True).select("fix_id", "row_id")
 
 
-@query("j18_distance_to_coast", "J18", f"""WITH {SITES}, p AS (SELECT * FROM fixes WHERE fix_id%50=0),
-    m AS (SELECT fix_id, min({hav('latitude', 'longitude', 'lat', 'lon')}) AS d FROM p, sites WHERE lat > 40 GROUP BY fix_id) SELECT fix_id, round(d,6)+0.0 AS dist FROM m""")
-def _(read):
-    return enrich.nearest_site(read("fixes").filter("fix_id % 50 = 0"), sites(read).filter("lat > 40")).select("fix_id", r6("dist").alias("dist"))
-
-
-@query("j18_distance_to_coast_whole", "J18")
+@query("j18_distance_to_coast", "J18", f"""WITH {SITES}, p AS (SELECT * FROM fixes),
+    m AS (SELECT fix_id, min({hav('latitude', 'longitude', 'lat', 'lon')}) AS d FROM p, sites GROUP BY fix_id) SELECT fix_id, round(d,6)+0.0 AS dist FROM m""")
 def _(read):
     return enrich.nearest_site(read("fixes"), sites(read)).select("fix_id", r6("dist").alias("dist"))
 
@@ -133,43 +120,26 @@ def _(read):
     return enrich.impute_nearest(f, "env", 2.0).select("fix_id", r9("env").alias("env"))
 
 
-@query("j20_close_pairs", "J20", f"""WITH p AS (SELECT fix_id, species, latitude, longitude, env FROM fixes JOIN animals USING (id) WHERE fix_id%25=0 AND env>5)
+@query("j20_close_pairs", "J20", f"""WITH p AS (SELECT fix_id, species, latitude, longitude, env FROM fixes JOIN animals USING (id) WHERE env>5)
     SELECT a.fix_id AS a, b.fix_id AS b, round({hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')},6)+0.0 AS dist, round(least(a.env,b.env)/greatest(a.env,b.env),6)+0.0 AS ratio FROM p a JOIN p b ON a.species<b.species
     WHERE {hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} < 0.3 AND least(a.env,b.env)/greatest(a.env,b.env) > 0.1""")
 def _(read):
-    df = enrich.close_pairs(labelled(read).filter("fix_id % 25 = 0"), 0.3, 0.1, 5.0)
+    df = enrich.close_pairs(labelled(read), 0.3, 0.1, 5.0)
     return df.select("a", "b", r6("dist").alias("dist"), r6("ratio").alias("ratio"))
 
 
-@query("j20_close_pairs_whole", "J20")
-def _(read):
-    return enrich.close_pairs(labelled(read), 0.3, 0.1, 5.0).select("a", "b", r6("dist").alias("dist"), r6("ratio").alias("ratio"))
-
-
-@query("j21_distance_matrix", "J21", "WITH p AS (SELECT * FROM points WHERE id%10=0) SELECT a.id AS i, b.id AS j, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])),6)+0.0 AS d FROM p a JOIN p b ON a.id<b.id")
-def _(read):
-    return enrich.distance_matrix(read("points").filter("id % 10 = 0")).select("i", "j", r6("d").alias("d"))
-
-
-@query("j21_distance_matrix_whole", "J21")
+@query("j21_distance_matrix", "J21", "WITH p AS (SELECT * FROM points) SELECT a.id AS i, b.id AS j, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])),6)+0.0 AS d FROM p a JOIN p b ON a.id<b.id")
 def _(read):
     return enrich.distance_matrix(read("points")).select("i", "j", r6("d").alias("d"))
 
 
-@query("j22_shapelet_distance", "J22", """WITH s AS (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM points), p AS (SELECT id AS pid, v[1:8] AS p FROM s WHERE id<10),
-    d AS (SELECT pid, id, (SELECT min(sqrt(list_sum(list_transform(list_zip(p, v[k+1:k+8]), lambda z: (z[1]-z[2])*(z[1]-z[2]))))) FROM range(56) t(k)) AS m FROM p, s WHERE id<60)
+@query("j22_shapelet_distance", "J22", """WITH s AS (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM points), p AS (SELECT id AS pid, v[1:8] AS p FROM s),
+    d AS (SELECT pid, id, (SELECT min(sqrt(list_sum(list_transform(list_zip(p, v[k+1:k+8]), lambda z: (z[1]-z[2])*(z[1]-z[2]))))) FROM range(56) t(k)) AS m FROM p, s)
     SELECT pid, id, round(m/sqrt(8),6)+0.0 AS d FROM d""")
 def _(read):
     s = read("points").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    p = s.filter("id < 10").select(F.col("id").alias("pid"), F.slice("v", 1, 8).alias("p"))
-    return p.crossJoin(s.filter("id < 60")).select("pid", "id", r6(enrich.shapelet_distance(F.col("p"), F.col("v"))).alias("d"))
-
-
-@query("j22_shapelet_distance_whole", "J22")
-def _(read):
-    s = read("points").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    p = s.select(F.col("id").alias("pid"), F.slice("v", 1, 8).alias("p"))
-    return p.crossJoin(s).select("pid", "id", r6(enrich.shapelet_distance(F.col("p"), F.col("v"))).alias("d"))
+    d = enrich.shapelet_distances(s.withColumn("v", F.slice("v", 1, 8)), s)
+    return d.withColumn("d", r6("d"))
 
 
 @query("a14_feature_table", "A14 A6", f"""WITH {SPEED[5:]}, m AS (SELECT id, avg(speed) AS mean_speed, count(*) AS n_obs, avg(coalesce(env,0.0)) AS effort FROM speeds GROUP BY id),
@@ -282,7 +252,7 @@ def _(read):
     return gridstats.class_weights(read("animals"), "species").select("species", r6("weight").alias("weight"))
 
 
-RESAMPLE = """y AS (SELECT *, year(date_time) AS year, epoch_us(date_time)/86400000000.0*2 AS x FROM long_fixes WHERE id%20=0), d AS (SELECT *, row_number() OVER (PARTITION BY id, x ORDER BY fix_id) AS k FROM y),
+RESAMPLE = """y AS (SELECT *, year(date_time) AS year, epoch_us(date_time)/86400000000.0*2 AS x FROM long_fixes), d AS (SELECT *, row_number() OVER (PARTITION BY id, x ORDER BY fix_id) AS k FROM y),
     e AS (SELECT id, year, x, latitude, longitude, lead(x) OVER w AS x2, lead(latitude) OVER w AS la2, lead(longitude) OVER w AS lo2 FROM d WHERE k=1 WINDOW w AS (PARTITION BY id, year ORDER BY x)),
     s AS (SELECT *, unnest(generate_series(CAST(ceil(x) AS BIGINT), CAST(coalesce(ceil(x2)-1, floor(x)) AS BIGINT))) AS slot FROM e),
     v AS (SELECT id, year, slot, CASE WHEN x2 IS NULL OR x2=x THEN 0.0 ELSE (slot-x)/(x2-x) END AS r, latitude, la2, longitude, (((lo2-longitude+180)%360+360)%360-180) AS dl FROM s)"""
@@ -290,15 +260,10 @@ RESAMPLE = """y AS (SELECT *, year(date_time) AS year, epoch_us(date_time)/86400
 
 @query("w14_resample", "W14 W15", f"WITH {RESAMPLE} SELECT id, CAST(year AS INTEGER) AS year, slot, round(coalesce(latitude+r*(la2-latitude), latitude),9)+0.0 AS latitude, round(((coalesce(longitude+r*dl, longitude)+180)%360+360)%360-180,9)+0.0 AS longitude FROM v")
 def _(read):
-    df = resample.resample(read("long_fixes").filter("id % 20 = 0"), 2)
+    df = resample.resample(read("long_fixes"), 2)
     return df.select("id", "year", "slot", r9("latitude").alias("latitude"), r9("longitude").alias("longitude"))
 
 
-@query("w14_resample_whole", "W14 W15")
-def _(read):
-    return resample.resample(read("long_fixes"), 2).select("id", "year", "slot", r9("latitude").alias("latitude"), r9("longitude").alias("longitude"))
-
-
 @query("w16_polynomial_degree", "W16")
 def _(read):
     return resample.fit_polynomial(read("fixes")).select("id", "column", "degree")

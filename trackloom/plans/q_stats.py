@@ -93,14 +93,14 @@ def curve(read):
     return read("animals").groupBy("species", n.alias("n")).agg(F.avg(y).alias("accuracy"))
 
 
-@query("t14_learning_curve", "T14 T15 T16", f"WITH {CURVE}, f AS (SELECT species, exp(regr_intercept(ln(1-accuracy),n)) AS a, regr_slope(ln(1-accuracy),n) AS b, regr_slope(accuracy,n) AS slope FROM curve GROUP BY species) SELECT species, round(a,6)+0.0 AS a, round(b,6)+0.0 AS b, round(slope,6)+0.0 AS slope, round(CASE WHEN b<0 THEN greatest(1.0, ln((1-0.9)/a)/b) END,4)+0.0 AS n_required FROM f")
+@query("t14_learning_curve", "T14 T15 T16", f"WITH {CURVE}, f AS (SELECT species, exp(nullif(regr_intercept(ln(1-accuracy),n), CAST('nan' AS DOUBLE))) AS a, nullif(regr_slope(ln(1-accuracy),n), CAST('nan' AS DOUBLE)) AS b, nullif(regr_slope(accuracy,n), CAST('nan' AS DOUBLE)) AS slope FROM curve GROUP BY species) SELECT species, round(a,6)+0.0 AS a, round(b,6)+0.0 AS b, round(slope,6)+0.0 AS slope, round(CASE WHEN b<0 THEN greatest(1.0, ln((1-0.9)/a)/b) END,4)+0.0 AS n_required FROM f")
 def _(read):
     c = curve(read)
     df = S.required_samples(S.exponential_fit(c, "species"), 0.9).join(S.linear_fit(c, "species"), "species")
     return df.select("species", r6("a").alias("a"), r6("b").alias("b"), r6("slope").alias("slope"), (F.round("n_required", 4) + 0.0).alias("n_required"))
 
 
-@query("t17_sample_size_by_group", "T17", f"WITH {CURVE}, f AS (SELECT species, exp(regr_intercept(ln(1-accuracy),n)) AS a, regr_slope(ln(1-accuracy),n) AS b, regr_slope(accuracy,n) AS s, regr_intercept(accuracy,n) AS i FROM curve GROUP BY species) SELECT species, round(CASE WHEN b<0 THEN greatest(1.0, ln((1-0.9)/a)/b) ELSE greatest(1.0,(0.9-i)/s) END,4)+0.0 AS n_required FROM f")
+@query("t17_sample_size_by_group", "T17", f"WITH {CURVE}, f AS (SELECT species, exp(nullif(regr_intercept(ln(1-accuracy),n), CAST('nan' AS DOUBLE))) AS a, nullif(regr_slope(ln(1-accuracy),n), CAST('nan' AS DOUBLE)) AS b, nullif(regr_slope(accuracy,n), CAST('nan' AS DOUBLE)) AS s, nullif(regr_intercept(accuracy,n), CAST('nan' AS DOUBLE)) AS i FROM curve GROUP BY species) SELECT species, round(CASE WHEN b<0 THEN greatest(1.0, ln((1-0.9)/a)/b) ELSE greatest(1.0,(0.9-i)/s) END,4)+0.0 AS n_required FROM f")
 def _(read):
     return S.sample_size_by_group(curve(read), "species", 0.9).select("species", (F.round("n_required", 4) + 0.0).alias("n_required"))
 
@@ -173,11 +173,11 @@ def _(read):
     return S.single_linkage(S.symmetric_distance(graph(read)[0]), 0.975)
 
 
-PD = "p AS (SELECT id, class, CAST(embedding AS DOUBLE[]) AS v FROM points WHERE id<120), d AS (SELECT a.id AS i, b.id AS j, list_distance(a.v,b.v) AS d FROM p a JOIN p b ON a.id<b.id)"
+PD = "p AS (SELECT id, class, CAST(embedding AS DOUBLE[]) AS v FROM points), d AS (SELECT a.id AS i, b.id AS j, list_distance(a.v,b.v) AS d FROM p a JOIN p b ON a.id<b.id)"
 
 
 def distances(read):
-    return enrich.distance_matrix(read("points").filter("id < 120"))
+    return enrich.distance_matrix(read("points"))
 
 
 @query("t27_pooled_distances", "T27 X5", f"WITH {PD} SELECT concat('c',CAST(least(x.class,y.class) AS STRING)) AS sp_i, concat('c',CAST(greatest(x.class,y.class) AS STRING)) AS sp_j, round(quantile_cont(d,0.5),6)+0.0 AS d FROM d JOIN p x ON x.id=i JOIN p y ON y.id=j GROUP BY 1, 2")
@@ -190,33 +190,13 @@ def _(read):
     v AS (SELECT n.id, k, p.class AS vote, count(*) AS c FROM n JOIN p ON p.id=o, range(1,6) t(k) WHERE r<=k GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY c DESC, vote) AS q FROM v)
     SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN vote=class THEN 1.0 ELSE 0.0 END),6)+0.0 AS accuracy FROM w JOIN p ON p.id=w.id WHERE q=1 GROUP BY k""")
 def _(read):
-    return rounded(S.knn_accuracy(distances(read), read("points").select("id", "class")), "accuracy")
+    return rounded(S.knn_accuracy(enrich.nearest_rows(read("points"), 5), read("points").select("id", "class")), "accuracy")
 
 
 @query("t29_stress", "T29", f"WITH {PD}, e AS (SELECT a.id AS i, b.id AS j, list_distance(a.v[1:8],b.v[1:8]) AS e FROM p a JOIN p b ON a.id<b.id) SELECT round(sum((e-d)*(e-d))/sum(d*d),6)+0.0 AS stress FROM d JOIN e USING (i, j)")
-def _(read):
-    cut = read("points").filter("id < 120").withColumn("embedding", F.slice("embedding", 1, 8))
-    return rounded(S.stress(distances(read), enrich.distance_matrix(cut)), "stress")
-
-
-# The same over all points; those above are samples of them that SQL can check.
-
-
-@query("t27_pooled_distances_whole", "T27 X5")
-def _(read):
-    labels = read("points").select("id", F.concat(F.lit("c"), F.col("class").cast("string")).alias("species"))
-    return rounded(S.pooled_distances(enrich.distance_matrix(read("points")), labels), "d")
-
-
-@query("t28_knn_accuracy_whole", "T28")
-def _(read):
-    return rounded(S.knn_accuracy(enrich.distance_matrix(read("points")), read("points").select("id", "class")), "accuracy")
-
-
-@query("t29_stress_whole", "T29")
 def _(read):
     cut = read("points").withColumn("embedding", F.slice("embedding", 1, 8))
-    return rounded(S.stress(enrich.distance_matrix(read("points")), enrich.distance_matrix(cut)), "stress")
+    return rounded(S.stress(distances(read), enrich.distance_matrix(cut)), "stress")
 
 
 @query("t30_pca", "T30")
@@ -224,9 +204,9 @@ def _(read):
     return S.pca(read("fixes").filter("env is not null"), ["latitude", "longitude", "env"], 2)[1]
 
 
-@query("t31_device_effect", "T31", f"WITH {OK}, s AS (SELECT species, avg(CASE WHEN sex='M' THEN 1.0 ELSE 0.0 END) AS share, avg(ok) AS accuracy FROM ok WHERE id%3<2 OR species<>'S0' GROUP BY species) SELECT 'share' AS a, 'accuracy' AS b, round(corr(share,accuracy),6)+0.0 AS r, count(*) AS n FROM s WHERE share>0 AND share<1")
+@query("t31_device_effect", "T31", f"WITH {OK}, s AS (SELECT species, avg(CASE WHEN id%5<2 THEN 1.0 ELSE 0.0 END) AS share, avg(ok) AS accuracy FROM ok WHERE random_state=1 GROUP BY species) SELECT 'share' AS a, 'accuracy' AS b, round(corr(share,accuracy),6)+0.0 AS r, count(*) AS n FROM s WHERE share>0 AND share<1")
 def _(read):
-    df = rep(read).filter("id % 3 < 2 or species <> 'S0'").drop("tag").withColumnRenamed("sex", "tag")
+    df = rep(read).filter("random_state = 1").withColumn("tag", F.when(F.col("id") % 5 < 2, "M").otherwise("F"))
     return rounded(S.device_effect(df, "M", "ok").withColumn("b", F.lit("accuracy")), "r")
 
 

@@ -12,6 +12,7 @@ def get_session(app="trackloom", master=None, **conf):
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
