@@ -73,7 +73,7 @@ def test_simhash_links_of_crowded_buckets(spark, cap):
         fps |= {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(25)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    comp = {r.node: r.component for r in simhash.components(simhash.links(df, pair_cap=cap)).collect()}
+    comp = {r.node: r.component for r in common.components(simhash.links(df, pair_cap=cap)).collect()}
     near = {f: {g for g in signed if bin((f ^ g) & (2**64 - 1)).count("1") <= 2} for f in signed}
     for f in signed:
         seen, todo = {f}, [f]
@@ -84,7 +84,7 @@ def test_simhash_links_of_crowded_buckets(spark, cap):
 
 
 def test_keep_first_leaves_one_of_each_group(docs):
-    kept = texts(simhash.keep_first(docs))
+    kept = texts(simhash.keep_first(docs, distance=2))
     assert kept[1006, EDGES[6]] == 1 and not any(i is not None and i >= 2000 for i, _ in kept)
     assert sum(v for (i, _), v in kept.items() if i == 1003) == 1
 

@@ -208,7 +208,6 @@ def _groups(texts):
 
 
 def _shared_tables(spark, path):
-    common.text_batches(spark)
     return spark.sparkContext.broadcast(load_tables(path))
 
 

@@ -1,44 +1,18 @@
-"""What several operators need: checkpoints, size-checked broadcasts, distributed ranks."""
+"""What several operators need: checkpoints, size-checked broadcasts, distributed ranks, components."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import checkpoint, running_start  # noqa: F401
+
 #: Characters that separate words in most operators, for trimming, and the same as a pattern.
 SPACES = " \t\n\x0b\f\r"
 SPACES_RE = r"[\x20\x09-\x0D]+"
+#: Rows that leave by a broadcast at most; more are matched by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
-def ensure_checkpoint_dir(spark):
-    """Use the shared folder the cluster names; set one beside the warehouse only where none is named."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and cut its lineage; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size; used for partition counts only, never for results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-#: Rows in an Arrow batch of texts. Whole texts of any length travel in a batch, so its rows are kept few.
-TEXT_BATCH = 500
-
-
-def text_batches(spark):
-    """Bound the memory of Python workers that get whole texts: Spark's own batch size counts rows, not bytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
-        spark.conf.set(key, str(TEXT_BATCH))
-
-
-def small(df: DataFrame, most: int) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``most`` rows; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
@@ -54,35 +28,16 @@ def words(text):
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACES_RE))
 
 
-def running_start(df: DataFrame, order, amount=None, by=None) -> DataFrame:
-    """Add ``_start``: the sum of ``amount`` (default 1 a row) over all earlier rows of the same ``by`` column.
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Rows are ordered by ``by``, then ``order``, then their place in the input, so equal rows get
-    places of their own.  One range exchange deals the rows out, whatever key is hot; a small table
-    with one row for each partition and group carries the sums across partitions.  Nulls in ``by``
-    form one group.  The result is a checkpoint, hence fixed even if the input is not.
-    """
-    keys = [F.col(by).asc_nulls_last()] if by else []
-    group = F.col(by) if by else F.lit(0)
-    laid = (
-        df.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(*keys, *[F.col(c).asc_nulls_first() for c in order], F.col("_tie"))
-        .sortWithinPartitions(*keys, *[F.col(c).asc_nulls_first() for c in order], F.col("_tie"))
-        .withColumns({"_pid": F.spark_partition_id(), "_pos": F.monotonically_increasing_id(), "_amount": (amount if amount is not None else F.lit(1)).cast("long"), "_group": group})
-    )
-    laid = checkpoint(laid)
-    parts = laid.groupBy("_pid", "_group").agg(F.sum("_amount").alias("_sum"))
-    before = Window.partitionBy("_group").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy("_pid", "_group").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    out = laid.withColumn("_in", F.coalesce(F.sum("_amount").over(inside), F.lit(0))).alias("l").join(
-        parts.alias("p"), (F.col("l._pid") == F.col("p._pid")) & F.col("l._group").eqNullSafe(F.col("p._group"))
-    )
-    return out.select("l.*", (F.col("_in") + F.col("_before")).alias("_start")).drop("_tie", "_pid", "_pos", "_amount", "_group", "_in")
-
-
-def keyed(docs: DataFrame, doc_id="doc_id", text="text", key="_key") -> DataFrame:
-    """``docs`` with a long ``key`` that no two rows share and that orders rows as their doc_id does.
+
+def keyed(docs: DataFrame, key, doc_id="doc_id", text="text") -> DataFrame:
+    """``docs`` with a long column ``key`` (a :func:`fresh` name) that no two rows share and that orders rows as their doc_id does.
 
     It is the doc_id itself where that is unique and not null; else rows are numbered by doc_id (null
     first), then text.
@@ -92,3 +47,23 @@ def keyed(docs: DataFrame, doc_id="doc_id", text="text", key="_key") -> DataFram
         packed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.struct("*").alias("_row"))
         rows = running_start(packed, ["_id", "_text"]).select(F.col("_start").alias(key), "_row.*")
     return rows
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component`` (the smallest reachable node) for every node of ``edges`` (``a, b``).
+
+    Labels spread along the edges and then jump to their own label's label, so the number of
+    rounds follows the logarithm of a chain's length in practice.  Each round is checkpointed.
+    """
+    both = checkpoint(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
+    label = checkpoint(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("component")).withColumnRenamed("src", "node"))
+    while True:
+        # Broadcast while they are few, labels spare the hub of a giant component from being one task's key.
+        known = small(label)
+        around = both.join(known, both.dst == known.node).groupBy("src").agg(F.min("component").alias("near"))
+        spread = label.join(around, label.node == around.src).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        parent = small(label.select(F.col("node").alias("p"), F.col("component").alias("up")))
+        new = checkpoint(spread.join(parent, F.col("component") == F.col("p")).select("node", "old", F.least("component", "up").alias("component")))
+        label = new.select("node", "component")
+        if not new.filter("component <> old").limit(1).count():
+            return label

@@ -100,7 +100,6 @@ def find(docs: DataFrame, ranks_path, doc_id="doc_id", text="text", efficiency=E
     Spans are ``kind:start:end`` by start, then kind, in code points with an exclusive end. A null or
     empty text has none (the digest is that of nothing). Every row, repeated or not, is scanned whole.
     """
-    common.text_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # bounded by the vocabulary
 
@@ -123,7 +122,6 @@ def find(docs: DataFrame, ranks_path, doc_id="doc_id", text="text", efficiency=E
 
 def mask(docs: DataFrame, ranks_path, text="text", n_chars="n_chars", efficiency=EFFICIENCY) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``[secret]`` (overlapping spans by one); null stays null, ``n_chars`` follows."""
-    common.text_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -6,24 +6,33 @@ differences of the first ``l`` segments sum to at most ``l * t / SEGMENTS`` for
 that budget is under 1 the segments must agree, so they form the join key (with 5 segments and t = 2:
 two consecutive ones, 25 or 26 bits); the longer budgets prune pairs before the full check.
 
-A bucket of more than ``PAIR_CAP`` fingerprints is never expanded to pairs.  There each member sends
-its one-bit variants outside the key instead: those that share a variant differ in at most 2 bits, and
-any two that do share one, so tying each variant's members to the smallest keeps every component.
+A bucket of more than ``PAIR_CAP`` fingerprints is never expanded to pairs.  There each member sends its
+variants outside the key instead, near ones of up to t // 2 flipped bits and far ones of up to the rest.  A
+near and a far variant that agree are at most t bits apart, and any two members within t share such a
+one, so tying each variant's members to a near one keeps every component.
+
+Texts that are alike but not nearly equal (a similarity of 0.8, say) have fingerprints so far apart that no radius
+both catches them and prunes. :func:`keep_first` therefore runs the same filter on the shingle sets themselves
+(:mod:`ringsets`) unless a distance is asked for.
 """
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, ringsets
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 2
 SEGMENTS = 5
 PAIR_CAP = 32
+#: Beyond this distance variants would be too many, and all buckets are expanded to pairs.
+MOST_VARIED = 4
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -44,7 +53,6 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a long) for every row; a null text has no words."""
-    common.text_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -67,14 +75,14 @@ def chain_key_length(distance, segments):
     return max(1, -(-segments // distance) - 1) if distance else segments
 
 
-def links(fps: DataFrame, distance=DISTANCE, segments=SEGMENTS, pair_cap=PAIR_CAP) -> DataFrame:
-    """Edges ``a, b`` between distinct values of ``fp`` whose components are those of all links.
+def links(fps: DataFrame, distance=DISTANCE, segments=None, pair_cap=PAIR_CAP) -> DataFrame:
+    """Edges ``a, b`` between distinct values of ``fp`` whose components are those of all links within ``distance``.
 
-    Pairs from small buckets are links themselves; from large ones come ties to a bucket's
-    smallest member, each again at most ``distance`` (here 2) bits apart.
+    Pairs from small buckets are links themselves; from large ones come ties, each again within
+    ``distance``. With ``pair_cap`` None, or a distance beyond MOST_VARIED, all buckets give pairs.
     """
-    if distance != 2 and pair_cap is not None:
-        raise ValueError("large buckets are resolved for a distance of 2")
+    segments = segments or max(SEGMENTS, distance + 1)
+    pair_cap = None if distance > MOST_VARIED else pair_cap
     masks = segment_masks(segments)
     length = chain_key_length(distance, segments)
     key_masks = []
@@ -84,10 +92,14 @@ def links(fps: DataFrame, distance=DISTANCE, segments=SEGMENTS, pair_cap=PAIR_CA
             m |= masks[(i + j) % segments]
         key_masks.append(m)
     rows = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("start"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(key_masks)])).alias("c")).select("fp", "c.start", "c.key")
-    sizes = rows.groupBy("start", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = common.checkpoint(rows.join(sizes, ["start", "key"]))
+    sizes = common.checkpoint(rows.groupBy("start", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    cold, hot = rows, None
+    if pair_cap is not None:
+        crowded = common.small(sizes.filter(F.col("size") > pair_cap).drop("size"))
+        cold, hot = rows.join(crowded, ["start", "key"], "left_anti"), rows.join(crowded, ["start", "key"])
+        sizes = sizes.filter(F.col("size") <= pair_cap)
+    cold = common.checkpoint(cold.join(common.small(sizes.drop("size")), ["start", "key"], "left_semi"))
 
-    cold = members.filter(F.col("size") <= pair_cap)
     a, b = cold.select("start", "key", F.col("fp").alias("a")), cold.select("start", "key", F.col("fp").alias("b"))
     pairs = a.join(b, ["start", "key"]).filter("a < b")
     x = F.col("a").bitwiseXOR(F.col("b"))
@@ -101,67 +113,62 @@ def links(fps: DataFrame, distance=DISTANCE, segments=SEGMENTS, pair_cap=PAIR_CA
                 chain = chain & (spent <= l * distance // segments)
         viable = viable | chain
     pairs = pairs.filter(viable).filter(F.bit_count(x) <= distance).select("a", "b")
-
-    hot = members.filter(F.col("size") > pair_cap)
-    # The row's own value, and it with each single bit outside the key flipped.
-    single = [(1 << i) - (1 << 64 if i == 63 else 0) for i in range(64)]
-    flips = F.lit(None)
-    for i, m in enumerate(key_masks):
-        free = [0, *[s for s in single if not m & s]]
-        flips = F.when(F.col("start") == i, F.array(*[F.lit(s).cast("long") for s in free])).otherwise(flips)
-    near = hot.withColumn("flip", F.explode(flips)).select("start", F.col("fp").bitwiseXOR(F.col("flip")).alias("v"), "fp")
-    ties = near.groupBy("start", "v").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    ties = ties.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b")
+    if hot is None or not distance:
+        return pairs.distinct()
+
+    def variants(mask):
+        """``flip, near``: values to flip outside ``mask``; near ones have at most distance // 2 bits."""
+        free = [(1 << i) - (1 << 64 if i == 63 else 0) for i in range(64) if not mask >> i & 1]
+        for k in range(distance - distance // 2 + 1):
+            for some in combinations(free, k):
+                yield (sum(some), k <= distance // 2)
+
+    kind = "start int, flip long, near boolean"
+    table = fps.sparkSession.createDataFrame([(i, *v) for i, m in enumerate(key_masks) for v in variants(m)], kind)  # as large as the masks
+    near = hot.join(F.broadcast(table), "start").select("start", F.col("fp").bitwiseXOR(F.col("flip")).alias("v"), "near", "fp")
+    ties = near.groupBy("start", "v").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.min("fp").alias("_least"), F.max("fp").alias("_most")).filter("a is not null and _least < _most")
+    ties = near.join(ties, ["start", "v"]).filter("a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
     return pairs.unionByName(ties).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (the smallest reachable node) for every node of ``edges`` (``a, b``).
-
-    Labels spread along the edges and then jump to their own label's label, so the number of
-    rounds follows the logarithm of a chain's length in practice.  Each round is checkpointed.
-    """
-    both = common.checkpoint(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
-    label = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("component")).withColumnRenamed("src", "node")
-    label = common.checkpoint(label)
-    while True:
-        around = both.join(label, both.dst == label.node).groupBy("src").agg(F.min("component").alias("near"))
-        spread = label.join(around, label.node == around.src).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        parent = label.select(F.col("node").alias("p"), F.col("component").alias("up"))
-        new = spread.join(parent, F.col("component") == F.col("p")).select("node", "old", F.least("component", "up").alias("component"))
-        new = common.checkpoint(new)
-        label = new.select("node", "component")
-        if not new.filter("component <> old").limit(1).count():
-            return label
+#: Documents of one fingerprint from which its class counts as hot.
+HOT = 100_000
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", distance=DISTANCE) -> DataFrame:
-    """``doc_id, fingerprint, component_id, n_links`` for every row of ``docs``.
+    """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
-    ``component_id`` is the smallest doc_id reachable over links, itself included; ``n_links``
-    counts edges kept at the row's fingerprint class.  Rows with null or empty text have fingerprint
-    zero and link like any other.  Repeated rows each get a row.  A null doc_id never becomes a
+    ``component_id`` is the smallest doc_id reachable over links, itself included. Rows with null or empty
+    text have fingerprint zero and link like any other.  Repeated rows each get a row.  A null doc_id never becomes a
     component's id unless all ids of it are null.
     """
     fps = common.checkpoint(fingerprints(docs, doc_id, text))
-    classes = common.checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    edges = common.checkpoint(links(classes, distance))
-    label = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    joined = classes.join(label, classes.fp == label.node).select("fp", "rep", "component")
+    classes = common.checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    label = common.components(links(classes.select("fp"), distance))
+    joined = common.checkpoint(classes.join(common.small(label), classes.fp == label.node).select("fp", "rep", "n", "component"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = joined.join(least, "component").join(degree, F.col("fp") == F.col("node")).select("fp", "component_id", "n_links")
-    found = classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
-
+    linked = joined.join(common.small(least), "component").select("fp", "n", "component_id")
+    alone = classes.filter("n > 1").join(common.small(linked.select("fp")), "fp", "left_anti").select("fp", "n", F.col("rep").alias("component_id"))
+    # Fingerprints of one document and without links name that document; only the others are looked up.
+    found = common.checkpoint(linked.unionAll(alone))
+    hot, cold = common.small(found.filter(F.col("n") > HOT).drop("n")), common.small(found.filter(F.col("n") <= HOT).drop("n"))
+    rows = fps.join(hot, "fp").unionByName(fps.join(hot, "fp", "left_anti").join(cold, "fp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-#: Rows that leave by a broadcast at most; more are matched by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
+def keep_first(docs: DataFrame, doc_id="doc_id", text="text", distance=None) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one of smallest doc_id, ties by text; all columns as they are.
 
-def keep_first(docs: DataFrame, doc_id="doc_id", text="text", distance=DISTANCE) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one of smallest doc_id, ties by text."""
-    rows = common.keyed(docs, doc_id, text)
-    found = near_duplicates(rows.select("_key", F.col(text).alias("text")), "_key", "text", distance)
-    gone = common.checkpoint(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_key")))
-    return rows.join(common.small(gone, BROADCAST_ROWS), "_key", "left_anti").drop("_key")
+    Groups are components of pairs whose sets of five-word shingles have a Jaccard similarity of at least 0.8, or
+    with ``distance`` those of :func:`near_duplicates`. Rows without words, null texts too, form one group. Of
+    repeated rows one stays; a null doc_id comes first. An empty table stays empty.
+    """
+    key = common.fresh(docs, "_key")
+    rows = common.keyed(docs, key, doc_id, text)
+    texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    if distance is None:
+        gone = ringsets.later_copies(texts)
+    else:
+        gone = near_duplicates(texts, "key", "text", distance).filter("doc_id <> component_id").select(F.col("doc_id").alias("key"))
+    gone = common.checkpoint(gone.withColumnRenamed("key", key))
+    return rows.join(common.small(gone), key, "left_anti").drop(key)

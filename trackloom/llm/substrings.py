@@ -349,7 +349,6 @@ def deduplicate(docs: DataFrame, doc_id="doc_id", text="text", window=WINDOW, gr
     all. Rows that share a doc_id, or have none, count as documents of their own, a null id first and
     ties in the order of their texts.
     """
-    common.text_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     clash = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if clash:
