@@ -7,11 +7,11 @@ import pytest
 mixing = pytest.importorskip("trackloom.llm.mixing")
 
 
-def test_blocks_carry_the_shards_that_their_slots_drew(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_SLOTS", 400)
+def test_blocks_carry_the_shards_that_their_slots_drew(spark):
+    options = {"shard_slots": 8, "block": 16}
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * 7 % 90)), ("a", "b", None)[i % 3]) for i in range(120)], "doc_id long, text string, source string").repartition(4)
-    size = {r.doc_id: r.size for r in mixing.mix(docs).collect()}
-    found = {s: mixing.pack(docs, seed=s).collect() for s in (1, 2)}
+    size = {r.doc_id: r.size for r in mixing.mix(docs, **options).collect()}
+    found = {s: mixing.pack(docs, seed=s, **options).collect() for s in (1, 2)}
     for seed, rows in found.items():
         held = collections.defaultdict(list)
         taken = collections.Counter()
@@ -21,6 +21,18 @@ def test_blocks_carry_the_shards_that_their_slots_drew(spark, monkeypatch):
                 assert 0 <= p.start < p.stop <= size[p.doc_id]
                 taken[p.doc_id] += p.stop - p.start
         assert len(held) > 1 and all(sorted(v) == list(range(len(v))) for v in held.values())
-        assert taken == collections.Counter({r.doc_id: r.taken for r in mixing.mix(docs, seed=seed).collect() if r.taken})
+        assert taken == collections.Counter({r.doc_id: r.taken for r in mixing.mix(docs, seed=seed, **options).collect() if r.taken})
+        # The query's shards are those of the blocks; taken words follow from them, document by document.
+        by_shard = collections.Counter()
+        for r in rows:
+            for p in r.pieces:
+                by_shard[p.doc_id, r.shard] += p.stop - p.start
+        mixed = mixing.mix(docs, seed=seed, **options).collect()
+        assert by_shard == collections.Counter({(r.doc_id, x.shard): x.words for r in mixed for x in r.shards})
+        assert all(r.taken == sum(x.words for x in r.shards) for r in mixed)
+    other = mixing.mix(docs, **options | {"shard_slots": 20}).collect()
+    first = mixing.mix(docs, **options).collect()
+    assert {r.doc_id: r.target for r in other} == {r.doc_id: r.target for r in first}
+    assert {r.doc_id: r.shards for r in other} != {r.doc_id: r.shards for r in first}
     draw = {s: collections.Counter((r.shard, r.source) for r in rows) for s, rows in found.items()}
     assert draw[1] != draw[2]

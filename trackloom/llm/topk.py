@@ -1,13 +1,17 @@
 """Exact top-k search by inner product in three phases with a uniform threshold.
 
 A score is the sum of partial scores over ``PARTS`` groups of components, so each group holds a list of
-its own.  Rows are laid in blocks and every block of queries meets every block of rows:
+its own.  Rows are laid in blocks, long vectors first, and queries go out to them:
 
-1. Each block takes the best rows of each of its local lists and scores these in full; the k-th best
-   score gathered for a query, over all blocks, is reached by k rows and so a safe cutoff.
-2. The cutoff goes to all blocks.  With partial scores shifted to be at least 0, a row whose every partial
-   score is below cutoff / PARTS cannot reach it; the others are collected.
+1. The first block of each task takes the best rows of each of its local lists and scores these in full; the
+   k-th best score gathered for a query is reached by k rows and so a safe cutoff.
+2. The cutoff goes to all blocks.  A score at the cutoff has a partial score of cutoff / PARTS at least, so the
+   others are not collected.  By the lengths of a block's vectors (Cauchy and Schwarz) a block is left
+   out for the queries that it cannot serve, and a list that cannot hold such a partial score is not looked through.
 3. Collected rows are resolved exactly; those that reach the cutoff are ranked.
+
+The cutoff bounds what is sent and ranked. How much arithmetic it saves rests on the lengths of the vectors: none
+where all are as long.
 """
 
 import numpy as np
@@ -20,41 +24,33 @@ from . import common
 K = 5
 PARTS = 4
 SCALE = 256
-#: Rows in a block of candidates and of queries: a pair's scores take 8 bytes each.
-ROW_BLOCK = 4096
-QUERY_BLOCK = 512
-#: Blocks of queries in one broadcast (0.25 MB each at 64 components), and blocks whose best a task holds.
+#: Bytes in a block of candidates and of queries, and rows at most: a pair's scores take 8 bytes each.
+ROW_BYTES, ROW_BLOCK = 2 << 20, 4096
+QUERY_BYTES, QUERY_BLOCK = 256 << 10, 512
+#: Blocks of queries in one broadcast (at most CHUNK_BLOCKS * QUERY_BYTES), and blocks whose best a task holds.
 CHUNK_BLOCKS = 128
 HELD_BLOCKS = 64
-#: Components beyond this (after scaling) would not leave exact scores in a long; their vectors take no part.
-MOST = 1 << 26
 
-_BLOCK = "dim int, block long, ids binary, values binary"
+_BLOCK = "dim int, block long, nth int, ids binary, values binary"
 
 
 def integers(vectors: DataFrame, vec_id="vec_id", embedding="embedding", scale=SCALE) -> DataFrame:
     """``vec_id, v`` with v = floor(scale * x) as doubles; vectors with null or non-finite components are left out."""
-    x = F.transform(F.col(embedding), lambda e: F.floor(e.cast("double") * scale).cast("double"))
-    sound = F.forall(F.col(embedding), lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) * scale <= MOST))
-    return vectors.filter(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).filter(sound & (F.size(embedding) > 0)).select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("v"))
+    x = F.transform(F.col(embedding), lambda e: common.let(e.cast("double") * scale, lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)))
+    sound = F.forall(F.col(embedding), lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+    return vectors.filter(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).filter(sound).select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most ``size`` vectors of one length, as bytes."""
+def _blocks(rows: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """Blocks of vectors of one length, as bytes; ``nth`` counts a task's blocks of that length."""
 
     def run(batches):
-        held = {}
+        held, count = {}, {}
 
         def out(dim):
-            ids, vectors = held.pop(dim)
-            yield dim, np.concatenate(ids), np.concatenate(vectors)
-
-        made = []
-
-        def batch():
-            b = pa.RecordBatch.from_arrays([pa.array([d for d, *_ in made], pa.int32()), pa.array([int(i[0]) for _, i, _ in made], pa.int64()), pa.array([i.tobytes() for _, i, _ in made], pa.binary()), pa.array([v.tobytes() for *_, v in made], pa.binary())], ["dim", "block", "ids", "values"])
-            made.clear()
-            return b
+            ids, vectors = map(np.concatenate, held.pop(dim))
+            count[dim] = count.get(dim, -1) + 1
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([int(ids[0])], pa.int64()), pa.array([count[dim]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], ["dim", "block", "nth", "ids", "values"])
 
         for b in batches:
             ids, lists = b.column(0).to_numpy(), b.column(1)
@@ -62,17 +58,15 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
             start = np.cumsum(lengths) - lengths
             for dim in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dim)
-                v = flat[start[at][:, None] + np.arange(dim)]
+                size = max(1, min(most, most_bytes // (8 * dim + 8)))
                 for i in range(0, len(at), size):
+                    some = at[i : i + size]
                     group = held.setdefault(dim, ([], []))
-                    group[0].append(ids[at[i : i + size]]), group[1].append(v[i : i + size])
+                    group[0].append(ids[some]), group[1].append(flat[start[some][:, None] + np.arange(dim)])
                     if sum(map(len, group[0])) >= size:
-                        made.extend(out(dim))
-                        yield batch()
+                        yield out(dim)
         for dim in list(held):
-            made.extend(out(dim))
-        if made:
-            yield batch()
+            yield out(dim)
 
     return rows.mapInArrow(run, _BLOCK)
 
@@ -83,14 +77,19 @@ def _arrays(ids, values, dim):
 
 
 def _cuts(dim, parts):
-    return [(dim * p // parts, dim * (p + 1) // parts) for p in range(parts) if dim * p // parts < dim * (p + 1) // parts]
+    return [(dim * p // parts, dim * (p + 1) // parts) for p in range(parts) if dim * p // parts < dim * (p + 1) // parts] or [(0, 0)]
 
 
-def _exact(q, v):
-    """Inner products; beyond the doubles' exact integers they are summed as 64-bit integers."""
-    if not q.size or not v.size or np.abs(q).max() * np.abs(v).max() * q.shape[-1] < 2**53:
-        return q @ v.T
-    return q.astype(np.int64) @ v.astype(np.int64).T
+def _typed(q, v):
+    """Both sides in numbers that hold every inner product exactly: doubles, 64-bit integers or integers of any size."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, q.shape[-1])
+    if most < 2.0**53:
+        return q, v
+    if most < 2.0**62:
+        return q.astype(np.int64), v.astype(np.int64)
+    if not (np.isfinite(q).all() and np.isfinite(v).all()):
+        raise OverflowError("a scaled component is beyond a double")
+    return (np.array([[int(x) for x in row] for row in a.tolist()], object).reshape(a.shape) for a in (q, v))
 
 
 def _pairs(batches):
@@ -102,34 +101,38 @@ def _pairs(batches):
 
 
 def _scored(query, vec, score):
+    """A batch of scores; one that does not fit a long raises."""
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(query, np.int64)), pa.array(np.asarray(vec, np.int64)), pa.array(np.asarray(score).astype(np.int64))], ["query_id", "vec_id", "score"])
 
 
 def _best(k, query, vec, score):
     """The k best of each query among scored pairs, ties to the smaller vec_id."""
-    order = np.lexsort((vec, -score, query))
+    down = np.unique(-score, return_inverse=True)[1] if score.dtype == object else -score
+    order = np.lexsort((vec, down, query))
     query, vec, score = query[order], vec[order], score[order]
     rank = np.arange(len(order)) - np.searchsorted(query, query)
     return query[rank < k], vec[rank < k], score[rank < k]
 
 
-def _rows(q, v, row, col):
-    return np.einsum("ij,ij->i", q[row].astype(np.int64), v[col].astype(np.int64))
-
-
 def _gather(k, parts):
     """Phase 1: full scores of the rows that lead a local list; a task keeps the k best of each query."""
 
     def run(batches):
         held = {}
         for block, q_ids, q, _, ids, v in _pairs(batches):
+            q, v = _typed(q, v)
             most = min(k + 1, len(ids))
-            lead = np.concatenate([np.argpartition(-_exact(q[:, s:e], v[:, s:e]), most - 1, axis=1)[:, :most] for s, e in _cuts(q.shape[1], parts)], axis=1)
+            first = (lambda p: np.argsort(-p, axis=1, kind="stable")) if q.dtype == object else (lambda p: np.argpartition(-p, most - 1, axis=1))
+            lead = np.concatenate([first(q[:, s:e] @ v[:, s:e].T)[:, :most] for s, e in _cuts(q.shape[1], parts)], axis=1)
             key = np.unique(np.repeat(np.arange(len(q)), lead.shape[1]) * len(ids) + lead.ravel())
             row, col = key // len(ids), key % len(ids)
             other = q_ids[row] != ids[col]
             row, col = row[other], col[other]
-            got = q_ids[row], ids[col], _rows(q, v, row, col)
+            score = (q[row] * v[col]).sum(axis=1)
+            if score.dtype == object:  # only a cutoff comes of these: too small ones may go, too large ones may be lowered
+                fits = score >= -(1 << 63)
+                row, col, score = row[fits], col[fits], np.minimum(score[fits], (1 << 63) - 1)
+            got = q_ids[row], ids[col], score.astype(np.int64)
             if block in held:
                 got = tuple(map(np.concatenate, zip(held[block], got, strict=True)))
             held[block] = _best(k, *got)
@@ -146,16 +149,26 @@ def _collect(k, parts):
 
     def run(batches):
         for _, q_ids, q, cutoff, ids, v in _pairs(batches):
-            partial = [_exact(q[:, s:e], v[:, s:e]) for s, e in _cuts(q.shape[1], parts)]
-            # Shifted by the block's least, each partial score is at least 0; so is the cutoff shifted by all.
-            least = [p.min(axis=1) for p in partial]
-            limit = (cutoff - sum(least)) / len(partial)
-            hit = np.zeros((len(q), len(ids)), bool)
-            for p, low in zip(partial, least, strict=True):
-                hit |= p - low[:, None] >= limit[:, None] - 1e-6 * np.abs(limit[:, None])
+            cuts = _cuts(q.shape[1], parts)
+            length = lambda a: np.stack([np.linalg.norm(a[:, s:e], axis=1) for s, e in cuts])
+            slack = 1 + 1e-9  # lengths are rounded
+            with np.errstate(over="ignore"):
+                reach = length(q) * length(v).max(axis=1, keepdims=True) * slack  # of each list, for each query
+            live = np.flatnonzero(~(reach.sum(axis=0) < cutoff))
+            if not len(live):
+                continue
+            reach, cutoff, q_ids = reach[:, live], cutoff[live], q_ids[live]
+            limit = cutoff / len(cuts)
+            limit = limit - 1e-6 * np.abs(np.where(np.isfinite(limit), limit, 0))
+            q, v = _typed(q[live], v)
+            partial = [q[:, s:e] @ v[:, s:e].T for s, e in cuts]
+            hit = np.zeros((len(live), len(ids)), bool)
+            for p, far in zip(partial, reach, strict=True):
+                may = np.flatnonzero(~(far < limit))
+                hit[may] |= (p[may] >= limit[may, None]).astype(bool)
             row, col = np.nonzero(hit & (q_ids[:, None] != ids))
             score = sum(p[row, col] for p in partial)  # all parts of a collected row: its whole score
-            top = score >= cutoff[row]
+            top = (score >= cutoff[row]).astype(bool)
             yield _scored(*_best(k, q_ids[row[top]], ids[col[top]], score[top]))
 
     return run
@@ -176,23 +189,28 @@ def _meet(candidates, queries, fn):
 def search(vectors: DataFrame, is_query, k=K, vec_id="vec_id", embedding="embedding", scale=SCALE, parts=PARTS) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k best other rows, ties to the smaller vec_id.
 
-    ``is_query`` is a condition on the column vec_id. Vectors that are null or empty, or hold a null,
-    non-finite or out-of-range (MOST) component take no part; vectors meet only those of their length. Of rows
-    that share a query's vec_id and length the smallest vector asks; as candidates all count.
+    ``is_query`` is a condition on the column vec_id. Vectors that are null, or hold a null or non-finite component
+    take no part, nor do rows without a vec_id; vectors meet only those of their length, empty ones too (score 0). Of rows
+    that share a query's vec_id and length the smallest vector asks; as candidates all count. Scores are exact
+    whatever the size of the components; one of the k best that does not fit a long raises.
     """
     rows = integers(vectors, vec_id, embedding, scale)
-    candidates = common.checkpoint(_blocks(rows, ROW_BLOCK))
+    # Long vectors come first in their task, so that the first blocks give high cutoffs and the last ones may be left out.
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    candidates = common.checkpoint(_blocks(rows.withColumn("_l", length).sortWithinPartitions(F.desc("_l")).drop("_l"), ROW_BLOCK, ROW_BYTES))
     asked = rows.filter(is_query).groupBy("vec_id", F.size("v").alias("_dim")).agg(F.min("v").alias("v"))
     asked = common.checkpoint(asked)
 
     def blocks(cutoff):
-        return common.checkpoint(_blocks(asked.join(cutoff, "vec_id", "left").select("vec_id", F.concat("v", F.array(F.coalesce("cutoff", F.lit(float("-inf"))))).alias("v")), QUERY_BLOCK))
+        cut = asked.join(cutoff, ["vec_id", "_dim"], "left")
+        return common.checkpoint(_blocks(cut.select("vec_id", F.concat("v", F.array(F.coalesce("cutoff", F.lit(float("-inf"))))).alias("v")), QUERY_BLOCK, QUERY_BYTES))
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    none = asked.limit(0).select("vec_id", F.lit(0.0).alias("cutoff"))
-    lists = _meet(candidates, blocks(none), _gather(k, parts))
+    none = asked.limit(0).select("vec_id", "_dim", F.lit(0.0).alias("cutoff"))
+    lists = _meet(candidates.filter("nth = 0"), blocks(none), _gather(k, parts))
     kth = lists.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k)
     # As a double the cutoff may round up; it is lowered by more than that.
     kth = kth.select(F.col("query_id").alias("vec_id"), (F.col("score").cast("double") - F.abs(F.col("score").cast("double")) * 2.0**-50).alias("cutoff"))
-    lists = _meet(candidates, blocks(kth), _collect(k, parts))
+    # A vec_id with vectors of several lengths asks for each, but ranks them together: its cutoff holds for all.
+    lists = _meet(candidates, blocks(asked.select("vec_id", "_dim").join(kth, "vec_id")), _collect(k, parts))
     return lists.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
