@@ -62,4 +62,4 @@ def shard(docs: DataFrame, shards=SHARDS, doc_id="doc_id", text="text") -> DataF
         jump_hash(F.col(doc_id), shards).alias("shard"),
         jump_hash(F.col(doc_id), shards + 1).alias("grown_shard"),
     )
-    return common.running_start(rows, ["doc_id"], by="shard").select("doc_id", "size", "text_crc32", "law", "shard", F.col("_start").alias("slot"), "grown_shard")
+    return common.running_start(common.checkpoint(rows), ["doc_id"], by="shard").select("doc_id", "size", "text_crc32", "law", "shard", F.col("_start").alias("slot"), "grown_shard")
