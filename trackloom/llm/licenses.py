@@ -2,9 +2,9 @@
 
 The hashes of all rolling word k-grams of all documents are joined to the positions of the same k-grams in
 license templates.  A match votes for its diagonal, document position minus template
-position; the votes of a template are summed by diagonal, neighbouring diagonals (a few inserted
-or dropped words apart) are merged, and a merged span is verified by the share of the template's
-k-grams that it holds within the template's length.
+position; the votes of a template are summed by diagonal and its neighbours (a few inserted
+or dropped words apart), so a span is never much longer than its template, and a span is verified by the
+share of the template's k-grams that it holds.  Of overlapping spans the best names the license.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -14,25 +14,39 @@ from . import common
 
 #: Fixed base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Templates: notices by which texts name their license (fixed public texts), with their labels.
+#: Templates: public license texts and the notices by which texts name their license, with their labels (fixed texts).
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit", "Licensed under the MIT License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("gpl-2.0", "licensed under the GNU General Public License, version 2"),
+    ("gpl-3.0", "licensed under the GNU General Public License, version 3"),
+    ("gpl-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("lgpl-3.0", "licensed under the GNU Lesser General Public License, version 3"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("cc-by-4.0", "Licensed under CC BY 4.0"),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 )
 GRAM = 3
-#: Diagonals at most this far apart are one span; the span's share of the template's k-grams from which it counts.
+#: Diagonals at most this far apart vote together; the share of a template's k-grams from which a span counts.
 NEAR = 3
 LEAST = 0.8
+#: Cells of the table that tells in a scan which k-grams no template holds.
+CELLS = 1 << 15
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -70,35 +84,52 @@ def _phrase(flat, phrase):
     return F.when(F.contains(flat, F.lit(mark)), F.struct(places.alias("n"), count(F.substring_index(flat, mark, 1)).alias("first"), last.alias("last")))
 
 
-def votes(docs: DataFrame, doc_id="doc_id", text="text", templates=TEMPLATES, k=GRAM) -> DataFrame:
-    """``doc_id, label, template, start, stop, share``: verified spans of templates, in words."""
-    table = F.broadcast(template_grams(docs.sparkSession, templates, k))  # as large as the templates
-    rolling = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(common.let(words(F.col(text)), lambda w: grams(w, k))).alias("at", "gram"))
-    hits = rolling.join(table, "gram").groupBy("doc_id", "template", "label", "size", (F.col("at") - F.col("place")).alias("diagonal"))
-    hits = hits.agg(F.collect_set("place").alias("places"), F.min("at").alias("start"), F.max("at").alias("stop"))
-    line = Window.partitionBy("doc_id", "template").orderBy("diagonal")
-    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > NEAR, F.lit(True))
-    hits = hits.withColumn("_fresh", fresh.cast("int")).withColumn("span", F.sum("_fresh").over(line))
-    spans = hits.groupBy("doc_id", "template", "label", "size", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.min("start").alias("start"), (F.max("stop") + k).alias("stop"))
-    # A place of its own cannot vote twice for a template; a span much longer than the template is chance.
-    spans = spans.withColumn("share", F.col("held") / F.col("size")).filter((F.col("share") >= LEAST) & (F.col("stop") - F.col("start") <= 2 * (F.col("size") + k)))
-    return spans.select("doc_id", "label", "template", "start", "stop", "share")
+def votes(hits: DataFrame, table: DataFrame, k=GRAM) -> DataFrame:
+    """``row, label, template, start, stop, share, best``: what the diagonals of ``hits`` (``row, at, gram``) say, in words.
 
-
-def scan(docs: DataFrame, doc_id="doc_id", text="text", templates=TEMPLATES) -> DataFrame:
+    A diagonal's votes are those of its neighbours too; share is the part of the template's k-grams among
+    them. A span is its document's ``best`` at its place if its share is at least LEAST and no overlapping span has a larger
+    one (or as large a one of a longer template).
+    """
+    line = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-NEAR, NEAR)
+    met = hits.join(table, "gram").groupBy("row", "template", "label", "size", (F.col("at") - F.col("place")).cast("long").alias("diagonal"))
+    met = met.agg(F.collect_set("place").alias("places"), F.min("at").alias("_start"), F.max("at").alias("_stop"))
+    held = F.size(F.array_distinct(F.flatten(F.collect_list("places").over(line))))
+    spans = met.select("row", "label", "template", "size", F.min("_start").over(line).alias("start"), (F.max("_stop").over(line) + k).alias("stop"), (held / F.col("size")).alias("share")).distinct()
+    longest = table.agg(F.max("size")).first()[0] or 0
+    around = Window.partitionBy("row").orderBy(F.col("start").cast("long")).rangeBetween(-(longest + k + 2 * NEAR), longest + k + 2 * NEAR)
+    order = lambda x: F.struct(x["share"], x["size"], -x["start"], -x["stop"], -x["template"])
+    own = F.struct("start", "stop", "share", "size", "template")
+    beaten = lambda near: F.exists(near, lambda x: (x["start"] < F.col("stop")) & (x["stop"] > F.col("start")) & (order(x) > order(F.col("_own"))))
+    spans = spans.withColumn("_own", own).withColumn("_near", F.collect_list(F.when(F.col("share") >= LEAST, F.col("_own"))).over(around))
+    return spans.select("row", "label", "template", "start", "stop", "share", ((F.col("share") >= LEAST) & ~beaten(F.col("_near"))).alias("best"))
+
+
+def scan(docs: DataFrame, doc_id="doc_id", text="text", templates=TEMPLATES, k=GRAM) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row.
 
-    score: the largest verified share of a template, or 1 where a base phrase stands; 0 without either.
-    A null text has no words. Rows with equal doc_id (nulls too) pool their templates' labels, not their base ones.
+    labels: those of base phrases, and of each span's best template. score: the largest share of a template's k-grams
+    that neighbouring diagonals of the text hold, whether it is enough for a label or not, so a base phrase outside of
+    any notice scores low. A null text has no words. Rows are scanned each by itself, whatever ids they share. Texts are
+    read once; what goes on are the facts of a row and its places of k-grams that templates may hold.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), common.let(words(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" ")).alias("flat"))).alias("_w"))
-    rows = rows.select("doc_id", "_w.n_words", *[common.let(F.col("_w.flat"), _finder(p)).alias(f"_p{i}") for i, (p, _) in enumerate(PHRASES)])
+    spark = docs.sparkSession
+    table = common.checkpoint(template_grams(spark, templates, k))
+    cells = bytearray(CELLS)
+    for r in table.select(F.pmod("gram", F.lit(CELLS)).alias("cell")).distinct().collect():  # as many as the table has cells, at most
+        cells[r.cell] = 1
+    held = lambda gram: F.substring(F.lit(cells), F.pmod(gram, F.lit(CELLS)).cast("int") + 1, 1) == F.lit(bytearray([1]))
+    places = lambda g: F.transform(F.filter(F.transform(g, lambda x, i: F.when(held(x), F.struct(i.alias("at"), x.alias("gram")))), lambda x: x.isNotNull()), lambda x: x)
+    facts = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" ")).alias("flat"), common.let(grams(w, k), places).alias("hits"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(common.let(words(F.col(text)), facts))).alias("_w"))
+    rows = rows.select("doc_id", "_w.n_words", "_w.hits", *[common.let(F.col("_w.flat"), _finder(p)).alias(f"_p{i}") for i, (p, _) in enumerate(PHRASES)])
     found = [F.col(f"_p{i}") for i in range(len(PHRASES))]
     total = sum((F.coalesce(p["n"], F.lit(0).cast("long")) for p in found), F.lit(0).cast("long"))
     base = F.array_sort(F.array_compact(F.array(*[F.when(p.isNotNull(), label) for p, (_, label) in zip(found, PHRASES, strict=True)])))
-    rows = rows.select("doc_id", "n_words", total.alias("n_base"), F.array_min(F.array(*[p["first"] for p in found])).alias("first_word"), F.array_max(F.array(*[p["last"] for p in found])).alias("last_word"), base.alias("_base"))
-    voted = votes(docs, doc_id, text, templates).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("label").alias("_more"), F.max("share").alias("_share"))
-    rows = rows.join(voted, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "hits", total.alias("n_base"), F.array_min(F.array(*[p["first"] for p in found])).alias("first_word"), F.array_max(F.array(*[p["last"] for p in found])).alias("last_word"), base.alias("_base"))
+    rows = common.checkpoint(rows)
+    voted = votes(rows.select("row", F.explode("hits").alias("h")).select("row", "h.at", "h.gram"), common.small(table), k)
+    voted = voted.groupBy("row").agg(F.collect_set(F.when(F.col("best"), F.col("label"))).alias("_more"), F.max("share").alias("_share"))
+    rows = rows.drop("hits").join(voted, "row", "left")
     every = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("_more", F.array().cast("array<string>")))))
-    score = F.when(F.size("_base") > 0, 1.0).otherwise(F.coalesce("_share", F.lit(0.0)))
-    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), F.coalesce("_share", F.lit(0.0)).alias("score"))
