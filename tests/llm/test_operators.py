@@ -285,7 +285,7 @@ def test_topk(spark):
 def test_topk_of_large_components_and_short_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8) * 10.0 ** rng.integers(-2, 4)]) for i in range(300)]
-    rows += [(1000 + i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.choice((4, 6))]) for i in range(60)]
+    rows += [(1000 + i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.choice((5.5, 6))]) for i in range(60)]
     rows += [(2000 + i, []) for i in range(0, 120, 20)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     use = {i: [int(math.floor(256 * x)) for x in e] for i, e in rows}
