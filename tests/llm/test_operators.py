@@ -295,8 +295,8 @@ def test_topk_of_large_components_and_short_vectors(spark):
         want |= {(q, k + 1, i, -x) for k, (x, i) in enumerate(best)}
     assert any(abs(x) > 2**53 for *_, x in want)
     assert set(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0).collect())) == want
-    large = spark.createDataFrame([(50, [1e6, 2e6]), (51, [3e6, -1.0]), (52, [1e9, 1e3]), (53, [300000.0, 1.0])], "vec_id long, embedding array<double>")
-    assert [(r.vec_id, r.score) for r in topk.search(large, F.col("vec_id") == 50).orderBy("rank").collect()] == [(52, 65536 * (10**15 + 2 * 10**9)), (51, 65536 * (3 * 10**12 - 2 * 10**6)), (53, 65536 * (3 * 10**11 + 2 * 10**6))]
+    large = spark.createDataFrame([(50, [1e6, 2e6]), (51, [3e6, -1.0]), (52, [1e8, 1e3]), (53, [300000.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.search(large, F.col("vec_id") == 50).orderBy("rank").collect()] == [(52, 65536 * (10**14 + 2 * 10**9)), (51, 65536 * (3 * 10**12 - 2 * 10**6)), (53, 65536 * (3 * 10**11 + 2 * 10**6))]
 
 
 def test_licenses(docs, empty, spark):
