@@ -9,7 +9,7 @@ from ..store import checkpoint, running_start  # noqa: F401
 SPACES = " \t\n\x0b\f\r"
 SPACES_RE = r"[\x20\x09-\x0D]+"
 #: Rows that leave by a broadcast at most; more are matched by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
