@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
 Features of every text come from one pass.  Cutoffs are learned from labelled documents, a stratum
-at a time: one half of a stratum's labelled documents proposes cutoffs (high quantiles of its good
-documents), the other half, the holdout, tests each.  A cutoff is certified if the exact binomial
+at a time: a third of a stratum's labelled documents proposes levels, each with a cutoff for every rule (the same
+high quantile of its good documents); the others, the holdout, test them.  A document falls at a level if any rule
+rejects it there, so the levels are nested, and what is tested is this joint verdict: a level is certified if the exact binomial
 probability of so few false rejections among the holdout's good documents, were the true rate
-``risk``, is at most ``delta`` divided by all tests of all strata (Bonferroni).  So with probability
-1 - delta every certified cutoff rejects at most a share ``risk`` of its stratum's good documents.
-Of a rule's certified cutoffs the strictest holds; a rule without one rejects nothing.
+``risk``, is at most ``delta`` divided by the number of strata (Bonferroni).  Within a stratum levels are tested in fixed
+sequence, the loosest first and until one fails, which needs no further correction.  So with probability
+1 - delta all strata reject at most a share ``risk`` of their good documents.
 """
 
 from pyspark.sql import DataFrame
@@ -15,11 +16,11 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 8
-#: Limit of the false-rejection rate for each rule and stratum, and of the chance that any is exceeded.
-RISK = 0.01
+#: Limit of a stratum's false-rejection rate, and of the chance that any stratum exceeds it.
+RISK = 0.02
 DELTA = 0.05
-#: Shares of the proposing half's good documents that a proposed cutoff keeps.
-KEEPS = (0.99, 0.995, 0.998, 0.999, 1.0)
+#: Levels, in the order of the tests: shares of the proposing good documents that each rule's cutoff keeps.
+KEEPS = (1.0, 0.999, 0.998, 0.996, 0.993, 0.99, 0.985, 0.98)
 #: Rules: a value above the cutoff is rejected.
 RULES = {
     "symbols": "try_divide(n_symbols, word_chars)",
@@ -94,22 +95,25 @@ def log_binomial_cdf(x, n, p):
 
 def certify(labelled: DataFrame, stratum: str, risk=RISK, delta=DELTA) -> DataFrame:
     """``stratum, rule, cutoff`` from labelled rows (features, ``good``, ``holdout``); one row for each rule and stratum at most."""
-    long = labelled.select(stratum, "good", "holdout", F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*[F.expr(e) for e in RULES.values()]))).alias("rule", "value")).filter("value is not null and good = 1")
-    proposed = long.filter("not holdout").groupBy(stratum, "rule").agg(F.percentile("value", list(KEEPS)).alias("at")).select(stratum, "rule", F.explode(F.array_distinct("at")).alias("cutoff"))
-    proposed = common.checkpoint(proposed)
-    tests = proposed.count()
-    held = long.filter("holdout").alias("h").join(common.small(proposed, BROADCAST_STRATA).alias("p"), F.col(f"h.{stratum}").eqNullSafe(F.col(f"p.{stratum}")) & (F.col("h.rule") == F.col("p.rule")))
-    seen = held.groupBy(F.col(f"h.{stratum}").alias(stratum), F.col("h.rule").alias("rule"), "cutoff").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("value") > F.col("cutoff"), 1)).alias("x"))
+    good = labelled.filter("good = 1").select(stratum, "holdout", F.array(*[F.expr(e) for e in RULES.values()]).alias("values"))
+    quantiles = [F.percentile_approx(F.get("values", F.lit(i)), list(KEEPS), 10_000) for i in range(len(RULES))]
+    proposed = common.checkpoint(good.filter("not holdout").groupBy(F.col(stratum).alias("_p")).agg(F.array(*quantiles).alias("cuts")))
+    strata = max(proposed.count(), 1)
+    held = good.filter("holdout").join(common.small(proposed, BROADCAST_STRATA), F.col(stratum).eqNullSafe(F.col("_p")))
+    falls = [F.exists(F.zip_with("values", "cuts", lambda v, c, i=i: F.coalesce(v > F.get(c, F.lit(i)), F.lit(False))), lambda x: x) for i in range(len(KEEPS))]
+    seen = held.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(f) for f in falls]).alias("fallen"))
     # Beyond x = n risk the probability is about a half or more, never within delta.
-    passed = seen.filter(F.col("x") <= F.col("n") * risk).filter(log_binomial_cdf(F.col("x"), F.col("n"), risk) <= F.log(F.lit(delta / max(tests, 1))))
-    return passed.groupBy(stratum, "rule").agg(F.min("cutoff").alias("cutoff"))
+    passes = F.transform("fallen", lambda x: F.when(x <= F.col("n") * risk, log_binomial_cdf(F.least(x, F.floor(F.col("n") * risk)), F.col("n"), risk) <= F.log(F.lit(delta / strata))).otherwise(False))
+    seen = seen.select("_p", F.array_position(F.concat(passes, F.array(F.lit(False))), F.lit(False)).cast("int").alias("_stop")).filter("_stop > 1")
+    chosen = proposed.alias("a").join(seen.alias("b"), F.col("a._p").eqNullSafe(F.col("b._p"))).select(F.col("a._p").alias(stratum), F.explode(F.arrays_zip(F.array(*map(F.lit, RULES)).alias("rule"), F.transform("cuts", lambda c: F.get(c, F.col("_stop") - 2)).alias("cutoff"))).alias("r"))
+    return chosen.select(stratum, F.col("r.rule").alias("rule"), F.col("r.cutoff").alias("cutoff")).filter("cutoff is not null")
 
 
 def assess(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", stratum="lang", risk=RISK, delta=DELTA) -> DataFrame:
     """Features of every row, ``base_failed`` and ``kept``.
 
     A row is kept unless the base rules fail it or one of its values lies above its stratum's
-    certified cutoff. Null texts are empty (and fail, having no words); null strata form one stratum;
+    certified cutoffs. Null texts are empty (and fail, having no words); null strata form one stratum;
     values without a denominator pass. Of several labels for a doc_id the worst counts; rows
     that repeat a doc_id are judged alike but each by its own text. Without labels only the base rules hold.
     """
@@ -120,7 +124,7 @@ def assess(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", str
 def learn(rows: DataFrame, labels: DataFrame, risk=RISK, delta=DELTA) -> DataFrame:
     """``_s, _cut``: each stratum's certified cutoffs as a map by rule, from features (with ``_stratum``) and labels."""
     marks = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    labelled = rows.join(marks, "doc_id").withColumn("holdout", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
+    labelled = rows.join(marks, "doc_id").withColumn("holdout", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 3 > 0)
     cutoffs = common.checkpoint(certify(labelled, "_stratum", risk, delta).groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut")))
     return common.small(cutoffs.withColumnRenamed("_stratum", "_s"), BROADCAST_STRATA)
 
@@ -135,8 +139,13 @@ def judge(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", stratum="lang", risk=RISK, delta=DELTA) -> DataFrame:
-    """``docs`` without the rows that :func:`assess` rejects, all columns as they are; texts are not exchanged."""
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(stratum).alias("_stratum"), F.struct("*").alias("_row"))
-    # What learning needs is kept without the texts; judging reads them again rather than shuffle them.
-    learned = learn(common.checkpoint(features(plain.drop("_row"), keep=["_stratum"])), labels, risk, delta)
-    return judge(features(plain, keep=["_stratum", "_row"]), learned).filter("kept").select("_row.*")
+    """``docs`` without the rows that :func:`assess` rejects, all columns as they are.
+
+    Features are computed once; texts stay where they are while the rejected rows are few enough for a broadcast. Nulls, ties,
+    repeated rows and an empty table are taken as in :func:`assess`.
+    """
+    key = common.fresh(docs, "_key")
+    rows = common.keyed(docs, key, doc_id, text)
+    facts = common.checkpoint(features(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(stratum).alias("_stratum"), F.col(key).alias("_key")), keep=["_stratum", "_key"]))
+    gone = common.checkpoint(judge(facts, learn(facts, labels, risk, delta)).filter("not kept").select(F.col("_key").alias(key)))
+    return rows.join(common.small(gone), key, "left_anti").drop(key)
