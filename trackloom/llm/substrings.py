@@ -1,19 +1,21 @@
 """Exact substring deduplication: bytes of windows that also start earlier are removed.
 
-A radix sort of all suffixes, cut off at the window length, whose equal groups are the repeated
-windows.  It runs from the most significant digit on, and only what still shares a group goes on:
-
-1. Sampled suffixes, first digit.  In each window the k-gram with the smallest hash is its anchor.
-   Equal windows have equal anchors at equal offsets, so windows can only meet under their anchor's
-   k-gram.  Consecutive windows with one anchor form a run; the exchange by k-gram hash holds one row
-   for each run, about 3 % of the bytes.  Runs whose k-gram occurs once end here.
-2. Second digit: the whole bytes of a run.  Of equal runs all but the first repeat in full.  If a
-   k-gram has only equal runs, the first one repeats nothing.
-3. Last digit: k-grams with different runs go on window by window, by the windows' own hashes.
+A radix sort of suffixes from the most significant digit on, cut off at the window length, whose equal
+groups are the repeated windows. Suffixes that cannot share a group are thinned out before:
+
+1. In each window the k-gram with the smallest hash is its anchor.  Equal windows have equal anchors at equal
+   offsets, so windows can only meet under their anchor's k-gram.  Consecutive windows with one anchor
+   form a run; the exchange by k-gram holds one row for each run, about 3 % of the bytes.  Runs
+   whose k-gram occurs once end here; of runs with equal bytes all but the first repeat in full, and if
+   a k-gram has only equal runs, the first one repeats nothing.
+2. The other runs send their bytes. Their windows are sorted by digits of eight bytes, from the front and through
+   byte ``window``: after each digit only windows that still share a group go on to the next (:func:`repeats`).
+3. Of k-grams with more than ``TOGETHER`` different runs windows are dealt out first, by a hash of the window in place
+   of its digits, so that no task gets all windows of a common k-gram.
 
 Each task first resolves what repeats inside its own rows and sends at most ``SENT`` runs for a k-gram and
 one row for a window hash, so a passage that a third of all documents share gives a group no larger
-than the number of tasks.  Groups are told apart by two 64-bit hashes.
+than the number of tasks.  k-grams, equal runs and dealt-out windows are told apart by two 64-bit hashes.
 """
 
 import hashlib
@@ -111,13 +113,13 @@ _FOUND = pa.schema([("id", pa.int64()), ("pack", pa.int64())])
 
 
 def _pack(at, n, kind):
-    """First start, number of windows and kind in one long; texts are under 2 GB, so each fits."""
+    """First start, number of windows and kind in one long, to be read as unsigned; texts are under 2 GB, so each fits in 31 bits."""
     return (np.asarray(at, np.int64) << 33) | (np.asarray(n, np.int64) << 2) | kind
 
 
 def _unpack(pack):
-    pack = np.asarray(pack, np.int64)
-    return pack >> 33, (pack >> 2) & 0x7FFFFFFF, pack & 3
+    pack = np.asarray(pack, np.int64).view(_U)
+    return (pack >> _U(33)).astype(np.int64), ((pack >> _U(2)) & _U(0x7FFFFFFF)).astype(np.int64), (pack & _U(3)).astype(np.int64)
 
 
 def _new(*columns):
@@ -244,25 +246,52 @@ def ragged_count(counts):
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+#: Bytes of a digit.
+DIGIT = 8
+
+
+def repeats(data, start, group, window):
+    """Which suffixes (places ``start`` in ``data``, in the order that counts as earlier) have their first ``window`` bytes, within
+    their ``group``, from an earlier one: a radix sort by digits from the front.
+
+    After each digit the suffixes of one group lie together, ordered by the bytes so far; groups of one are done.
+    """
+    again = np.zeros(len(start), bool)
+    # Every place's next eight bytes as a number that orders as they do; a last digit is cut to the window.
+    padded = np.concatenate((data, np.zeros(DIGIT, np.uint8)))
+    live = np.lexsort((np.arange(len(start)), group))
+    at, label = start[live], group[live]
+    for depth in range(0, window, DIGIT):
+        wide = min(DIGIT, window - depth)
+        digit = np.zeros(len(at), _U)
+        for i in range(wide):
+            digit = (digit << _U(8)) | padded[at + depth + i]
+        order = np.lexsort((digit, label))  # stable: earlier ones stay first
+        live, at, label, digit = live[order], at[order], label[order], digit[order]
+        new = _new(label, digit)
+        label = np.cumsum(new)
+        several = np.bincount(label)[label] > 1
+        live, at, label = live[several], at[several], label[several]
+        if not len(live):
+            return again
+    again[live] = ~_new(label)
+    return again
+
+
 def _last_pass(window):
     """Windows that an earlier row of the sorted partition holds too, as ``id, pack``."""
 
-    def few(ids, at, n, key, part, hasher):
+    def few(ids, at, n, key, part):
         data = np.frombuffer(b"".join(part), np.uint8)
-        hasher.load(data)
         size = np.array([len(p) for p in part], np.int64)
         row, j = np.repeat(np.arange(len(part)), n), ragged_count(n)
         start = (np.cumsum(size) - size)[row] + j
-        h, k = _mix(hasher.stretch(start, start + window)), key[row]
-        order = np.lexsort((np.arange(len(row)), h, k))  # rows come in the order of documents and places
-        again = np.zeros(len(row), bool)
-        again[order] = ~_new(k[order], h[order])
-        m = np.flatnonzero(again)
+        m = np.flatnonzero(repeats(data, start, key[row], window))  # rows come in the order of documents and places
         m = m[np.lexsort((at[row[m]] + j[m], ids[row[m]]))]
         return _joined(ids[row[m]], at[row[m]] + j[m], np.ones(len(m), np.int64))
 
     def run(batches):
-        hasher, held, seen = Hasher(), None, (None, None)
+        held, seen = None, (None, None)
         for table in _with_end(batches):
             if table is None:
                 blocks = [held] if held is not None and held.num_rows else []
@@ -288,7 +317,7 @@ def _last_pass(window):
                     cut = int(np.searchsorted(held["key"].to_numpy(), last))
                     blocks, held = ([held.slice(0, cut)] if cut else []), held.slice(cut)
             for b in blocks:
-                got = few(*(b[c].to_numpy() for c in ("id", "at", "n")), b["key"].to_numpy(), b["bytes"].to_pylist(), hasher)
+                got = few(*(b[c].to_numpy() for c in ("id", "at", "n")), b["key"].to_numpy(), b["bytes"].to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(_pack(got[1], got[2], DONE))], schema=_FOUND)
 
     return run
@@ -330,7 +359,7 @@ def repeated_windows(docs: DataFrame, window=WINDOW, gram=GRAM) -> DataFrame:
     rows = docs.mapInArrow(_first_pass(window, gram), "key long, span long, id long, pack long")
     flag, live = F.col("pack").bitwiseAND(F.lit(3)), F.col("pack").bitwiseAND(F.lit(3)) < DONE
     by_key = Window.partitionBy("key")
-    order = Window.partitionBy("key", "span").orderBy((~live).cast("int"), "id", "pack")
+    order = Window.partitionBy("key", "span").orderBy((~live).cast("int"), "id", F.shiftrightunsigned("pack", 2))
     rows = rows.withColumns({
         "_hot": (F.max(F.when(live, flag)).over(by_key) == HOT) | (F.count(F.when(live, 1)).over(by_key) > TOGETHER),
         "_many": F.min(F.when(live, F.col("span"))).over(by_key) < F.max(F.when(live, F.col("span"))).over(by_key),
