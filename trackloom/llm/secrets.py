@@ -8,7 +8,9 @@ secret, after known digests and identifiers are excluded.
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +34,8 @@ RUN_LEAST = 20
 PART = re.compile(r"(?<![A-Za-z0-9+])[A-Za-z0-9+]{20,}")
 #: Characters per token up to which a candidate counts as random.
 EFFICIENCY = 2.0
+#: Characters that are encoded at once: the time of a merge grows faster than a run's length.
+PIECE = 4096
 #: Lengths in hex digits of known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGESTS = (32, 40, 56, 64, 96, 128)
 ALL_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
@@ -53,16 +57,19 @@ class Scanner:
         self.encode = tiktoken.Encoding("scan", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.efficiency = efficiency
 
+    def tokens(self, run):
+        return sum(len(self.encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+
     def is_random(self, run):
         """The token test of a candidate."""
         if run.isalpha():
             # Letters alone: only those of mixed case.
-            return not (run.islower() or run.isupper()) and len(run) <= self.efficiency * len(self.encode(run))
+            return not (run.islower() or run.isupper()) and len(run) <= self.efficiency * self.tokens(run)
         if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
             return False
         if UUID.match(run) or ALL_HEX.match(run) and len(run) in DIGESTS or IDENTIFIER.match(run):
             return False
-        return len(run) <= self.efficiency * len(self.encode(run))
+        return len(run) <= self.efficiency * self.tokens(run)
 
     def base(self, text):
         """(start, kind index, end) of the base patterns, in code points."""
@@ -79,14 +86,17 @@ class Scanner:
         found = self.base(text)
         if any(len(w) >= RUN_LEAST for w in text.split()):
             found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-            taken = [(a, b) for a, _, b in found]
+            taken = sorted((a, b) for a, _, b in found)
+            ends = list(accumulate((b for _, b in taken), max))
+            # A base span meets (x, y) if the furthest end of those that start before y lies beyond x.
+            free = lambda x, y: not ((i := bisect_left(taken, (y,))) and ends[i - 1] > x)
             for m in RUN.finditer(text):
                 if self.is_random(m[0]):
                     spans = [m.span()]
                 else:
                     spans = [p.span() for p in PART.finditer(text, *m.span()) if p[0] != m[0] and self.is_random(p[0])]
                 # Text that a base pattern holds already is not reported again.
-                found += [(x, 3, y) for x, y in spans if not any(a < y and x < b for a, b in taken)]
+                found += [(x, 3, y) for x, y in spans if free(x, y)]
         return sorted(found)
 
 
@@ -121,7 +131,10 @@ def find(docs: DataFrame, ranks_path, doc_id="doc_id", text="text", efficiency=E
 
 
 def mask(docs: DataFrame, ranks_path, text="text", n_chars="n_chars", efficiency=EFFICIENCY) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by ``[secret]`` (overlapping spans by one); null stays null, ``n_chars`` follows."""
+    """``docs`` with every span of ``text`` replaced by ``[secret]`` (overlapping spans by one).
+
+    Null stays null, an empty text empty; ``n_chars`` follows. Every row, repeated or not, stays and is masked by itself.
+    """
     with open(ranks_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
