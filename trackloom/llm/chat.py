@@ -8,6 +8,8 @@ parts of ``PART`` turns: parts become matrices, matrices are composed level by l
 and exit states come back down, and every part renders on its own, however long the conversation is.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,13 @@ _INSERTED = {(START, ASSISTANT): USER, (SYSTEM, ASSISTANT): USER, (USER, USER):
 #: Empty turns that end a conversation legally from each state.
 _CLOSING = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
 _NAMES = ("", *ROLES)
+#: What could be read as a marker inside a text; it gets a backslash more, which a reader takes off again.
+_MARKER = re.compile(r"<(\\*)\|(end|system|user|assistant)\|>")
+
+
+def escaped(text):
+    """A text without markers: ``<|end|>`` becomes ``<\\|end|>``, and one that has backslashes there gets one more."""
+    return _MARKER.sub(r"<\\\1|\2|>", text)
 
 
 def role_state(role):
@@ -98,7 +107,7 @@ def render(roles, texts, entry, last, closes):
             out.append("\n")
         else:
             opens(label, before)
-        out.append(text or "")
+        out.append(escaped(text or ""))
     if closes:
         before = way[-1]
         for state in _CLOSING[before]:
@@ -191,7 +200,8 @@ def repair(turns: DataFrame, conv_id="conv_id", turn="turn", role="role", text="
 
     Turns are in order of ``turn``, then role and text; a conversation's text is its parts' in order. Null texts
     are empty turns, unknown or null roles are relabelled, repeated rows are turns of their own, and rows with
-    null conv_id form one conversation.
+    null conv_id form one conversation. Markers inside a text are escaped (:func:`escaped`), so the result reads back
+    as the legal turns it was built of. :func:`joined` puts long conversations together.
     """
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = common.running_start(rows, ["turn", "role", "text"], by="conv_id")
@@ -228,3 +238,13 @@ def repair(turns: DataFrame, conv_id="conv_id", turn="turn", role="role", text="
     out = out.select("conv", "none", "node", "role", "text", "entry", "exit", "closes").mapInArrow(rendered, "conv long, none boolean, node long, n_turns long, n_out long, n_merged long, n_relabelled long, n_inserted long, cost long, rendered string")
     part = F.when(F.col("none"), F.col("node") + (1 << 50)).otherwise(F.col("node"))
     return out.select(F.when(~F.col("none"), F.col("conv")).alias("conv_id"), part.alias("part"), "n_turns", "n_out", "n_merged", "n_relabelled", "n_inserted", "cost", "rendered")
+
+
+def joined(repaired: DataFrame) -> DataFrame:
+    """``conv_id, n_turns, n_out, n_merged, n_relabelled, n_inserted, cost, rendered``: one row for each conversation of :func:`repair`.
+
+    A whole conversation has to fit in one row; parts have no such bound.
+    """
+    counts = ("n_turns", "n_out", "n_merged", "n_relabelled", "n_inserted", "cost")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "rendered"))), lambda p: p["rendered"]), "")
+    return repaired.groupBy("conv_id").agg(*[F.sum(c).alias(c) for c in counts], text.alias("rendered"))
