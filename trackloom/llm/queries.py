@@ -1,13 +1,19 @@
 """Queries of the training-data operators over the given tables."""
 
 import os
+import re
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import bpe, chat, licenses, mixing, quality, secrets, sharding, simhash, substrings, topk
 
-#: Folder of the public tokenizer files; a parameter, the files are never copied.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+def tokenizer(name):
+    """Path of a public tokenizer file: in the folder TOKENIZER_DIR if it is set, else where its package keeps it. Files are never copied."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+
 
 
 def _read(spark, sf_dir, table):
@@ -31,7 +37,7 @@ def op4_chat_repair(spark, sf_dir):
 
 
 def op5_bpe(spark, sf_dir):
-    return bpe.round_trip(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op6_quality(spark, sf_dir):
@@ -39,7 +45,7 @@ def op6_quality(spark, sf_dir):
 
 
 def op7_secrets(spark, sf_dir):
-    return secrets.find(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return secrets.find(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op8_topk(spark, sf_dir):
@@ -58,8 +64,77 @@ def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+def _license_sql():
+    """Diagonal voting by strings and self-joins, over the same fixed templates."""
+    words = [(label, re.findall("[a-z0-9]+", text.lower())) for label, text in licenses.TEMPLATES]
+    k = licenses.GRAM
+    table = ", ".join(f"({t}, '{label}', {len(w) - k + 1}, {i}, '{' '.join(w[i : i + k])}')" for t, (label, w) in enumerate(words) for i in range(len(w) - k + 1))
+    phrase = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS pos, '{label}' AS label FROM x WHERE {' AND '.join(f'w{j} = {chr(39)}{v}{chr(39)}' for j, v in enumerate(text.split()))}" for text, label in licenses.PHRASES)
+    order = lambda s: f"({s}.share, {s}.size, -{s}.start, -{s}.stop, -{s}.template)"
+    return f"""
+        WITH t(template, label, size, place, g) AS (VALUES {table}),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        x AS (SELECT doc_id, i, w[i] AS w0, w[i+1] AS w1, w[i+2] AS w2, w[i+3] AS w3 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS base FROM ({phrase}) GROUP BY doc_id),
+        h AS (SELECT doc_id, template, label, size, place, i - 1 AS pos, i - 1 - place AS diagonal FROM x JOIN t ON concat_ws(' ', w0, w1, w2) = g AND w2 IS NOT NULL),
+        c AS (SELECT DISTINCT doc_id, template, diagonal FROM h),
+        s AS (SELECT DISTINCT doc_id, template, label, size, share, start, stop FROM (SELECT c.doc_id, c.template, c.diagonal, label, size, count(DISTINCT place) / size AS share, min(pos) AS start, max(pos) + {k} AS stop
+              FROM c JOIN h ON h.doc_id = c.doc_id AND h.template = c.template AND h.diagonal BETWEEN c.diagonal - {licenses.NEAR} AND c.diagonal + {licenses.NEAR} GROUP BY c.doc_id, c.template, c.diagonal, label, size)),
+        v AS (SELECT doc_id, list(DISTINCT label) AS more FROM s WHERE share >= {licenses.LEAST} AND NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.share >= {licenses.LEAST} AND o.start < s.stop AND o.stop > s.start AND {order("o")} > {order("s")}) GROUP BY doc_id),
+        m AS (SELECT doc_id, max(share) AS score FROM s GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') AS labels, coalesce(score, 0.0) AS score
+        FROM d LEFT JOIN b USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+def _quality_sql():
+    """Features, levels and exact binomial tests; the cutoffs of a level are the values at its rank among the proposing good documents."""
+    keeps, rules = ", ".join(map(str, quality.KEEPS)), len(quality.RULES)
+    word = "[^\\x20\\x09-\\x0D]"
+    ratio = lambda a, b: f"CASE WHEN {b} <> 0 THEN {a} / {b} END"
+    values = ", ".join(ratio(*e.removeprefix("try_divide(").removesuffix(")").split(", ")) for e in quality.RULES.values())
+    return f"""
+        WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+        y AS (SELECT doc_id, unnest(w) AS y, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) >= {quality.WINDOW}),
+        i AS (SELECT doc_id, i, concat_ws(' ', {", ".join(f"lead(y, {j}) OVER u" for j in range(quality.WINDOW))}) AS y, lead(i, {quality.WINDOW - 1}) OVER u AS stop FROM y WINDOW u AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, y) AS n FROM i WHERE stop IS NOT NULL) WHERE n > 1),
+        c AS (SELECT doc_id, sum(gap) AS n FROM (SELECT doc_id, least({quality.WINDOW}, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), {quality.WINDOW})) AS gap FROM r) GROUP BY doc_id),
+        l AS (SELECT doc_id, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '{word}')) AS l FROM d),
+        f AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+              CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+        v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, [{values}] AS v FROM f),
+        q AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+        g AS (SELECT lang, v, CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 3 > 0 AS holdout FROM v JOIN q USING (doc_id) WHERE good = 1),
+        o AS (SELECT lang, k, list_sort(list(v[k])) AS o FROM g, range(1, {rules + 1}) t(k) WHERE NOT holdout AND v[k] IS NOT NULL GROUP BY lang, k),
+        p AS (SELECT lang, k, level, o[CAST(greatest(1, ceil(keep * len(o))) AS BIGINT)] AS cut FROM o, (SELECT unnest([{keeps}]) AS keep, unnest(range(1, {len(quality.KEEPS) + 1})) AS level)),
+        h AS (SELECT row_number() OVER () AS id, lang, v FROM g WHERE holdout),
+        s AS (SELECT id, h.lang, level, max(CASE WHEN v[k] > cut THEN 1 ELSE 0 END) AS falls FROM h JOIN p ON h.lang IS NOT DISTINCT FROM p.lang GROUP BY ALL),
+        n AS (SELECT lang, level, count(*) AS n, sum(falls) AS x FROM s GROUP BY ALL),
+        b AS (SELECT lang, level, x <= n * {quality.RISK} AND ln((SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({quality.RISK}) + (n - k) * ln(1 - {quality.RISK}))) FROM range(0, CAST(x + 1 AS BIGINT)) t(k)))
+              <= ln({quality.DELTA} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM g WHERE NOT holdout))) AS passed FROM n),
+        a AS (SELECT lang, max(level) AS level FROM (SELECT lang, level, bool_and(passed) OVER (PARTITION BY lang ORDER BY level) AS passed FROM b) WHERE passed GROUP BY lang),
+        z AS (SELECT a.lang, list(cut ORDER BY k) AS cuts, list(k ORDER BY k) AS ks FROM a JOIN p ON a.lang IS NOT DISTINCT FROM p.lang AND a.level = p.level GROUP BY a.lang)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT coalesce(list_bool_or(list_transform(ks, lambda k, j: coalesce(v[k] > cuts[j], false))), false) AS kept
+        FROM v LEFT JOIN z ON v.lang IS NOT DISTINCT FROM z.lang"""
+
+
 def oracle_sql():
     return {
+        "op3_substring_dedup": """
+            WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+            w AS (SELECT doc_id, substr(h, CAST(2 * i + 1 AS BIGINT), 200) AS s, i FROM (SELECT doc_id, h, unnest(range(greatest(len(h) // 2 - 99, 0))) AS i FROM d)),
+            r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+            n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
+            g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM n),
+            p AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, span),
+            q AS (SELECT p.doc_id, a, b, substr(h, CAST(2 * coalesce(lag(b) OVER (PARTITION BY p.doc_id ORDER BY a), 0) + 1 AS BIGINT), CAST(2 * (a - coalesce(lag(b) OVER (PARTITION BY p.doc_id ORDER BY a), 0)) AS BIGINT)) AS kept FROM p JOIN d USING (doc_id)),
+            k AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS tail, string_agg(kept, '' ORDER BY a) AS kept FROM q GROUP BY doc_id)
+            SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+                   sha256(unhex(concat(coalesce(kept, ''), substr(h, CAST(2 * coalesce(tail, 0) + 1 AS BIGINT))))) AS kept_sha256
+            FROM d LEFT JOIN k USING (doc_id)""",
+        "op6_quality": _quality_sql(),
+        "op9_licenses": _license_sql(),
         "op8_topk": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
                        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
