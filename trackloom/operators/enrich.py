@@ -248,6 +248,12 @@ def overlap(fixes, width=1.0, reduce=F.avg):
     return own.join(counts, ["i", "j", "species"]).groupBy("id").agg(*[reduce(c).alias(c) for c in ("same", "other", "taxa_other")])
 
 
+def species_overlap(tracks, reduce=F.avg):
+    """Tracks' overlaps (of :func:`overlap`, with ``species``) reduced by species, and the ratios of the species' figures."""
+    s = tracks.groupBy("species").agg(*[reduce(c).alias(c) for c in ("same", "other", "taxa_other")])
+    return s.withColumns({"ratio": F.try_divide("same", "other"), "taxa_ratio": F.try_divide("same", "taxa_other")})
+
+
 def overlap_vs_accuracy(fixes, accuracy, width=1.0):
     """Overlap ratio same / other, mean over a track, with its accuracy; a ratio without others is null and flagged."""
     o = overlap(fixes, width).withColumn("ratio", F.try_divide("same", "other")).withColumn("is_inf", (F.col("other") == 0) & (F.col("same") > 0))

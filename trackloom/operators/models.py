@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, times
+from ..store import checkpoint
 from . import motion, prune, report
 
 CLASSIFIERS = {
@@ -112,7 +113,7 @@ def log_loss(rows, label="code", by="fold"):
 def cross_validate(points, columns, label="code", k=5, kind="tree", **options):
     """``id, fold, predicted, confidence``: stratified folds over tracks, one fit for each fold, votes of the points."""
     folds = prune.folds(points.select("id", label).distinct(), k, label).select("id", "fold")
-    df, out = points.join(folds, "id").persist(), None  # read by every fit
+    df, out = checkpoint(points.join(folds, "id")), None  # read by every fit
     for f in range(k):
         model = fit(df.filter(F.col("fold") != f), columns, label, kind, **options)
         voted = majority_vote(predict(model, df.filter(F.col("fold") == f))).select("id", F.lit(f).alias("fold"), F.col("pred").alias("predicted"), "confidence")
@@ -128,7 +129,7 @@ def classification_report(tracks, predictions, label="code", classifier="tree"):
 def cross_validated_regression(df, columns, target, k=5, kind="forest", **options):
     """``id, fold, y, pred``: out-of-fold predictions; folds are stratified over bins of the target."""
     bins = df.withColumn("_b", F.floor(F.col(target) * 10))
-    df, out = prune.folds(bins, k, "_b").drop("_b"), None
+    df, out = checkpoint(prune.folds(bins, k, "_b").drop("_b")), None
     assemble = VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="skip")
     for f in range(k):
         model = Pipeline(stages=[assemble, REGRESSORS[kind](featuresCol="_features", labelCol=target, **options)]).fit(df.filter(F.col("fold") != f))

@@ -120,10 +120,21 @@ def transfer_statistics(sized, by=("species_downsampled", "species_eval")):
 
 def maintained_accuracy(report_a, report_b, keys=("id", "kfold", "random_state")):
     """P(B right | A right), P(B right), their effect size, and the chi-square probability of independence (one degree of freedom)."""
-    df = report_a.select(*keys, F.col("ok").alias("a")).join(report_b.select(*keys, F.col("ok").alias("b")), list(keys))
-    t = df.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum(F.col("a") * F.col("b")).alias("ab"))
-    chi = F.col("n") * (F.col("n") * F.col("ab") - F.col("na") * F.col("nb")) ** 2 / (F.col("na") * F.col("nb") * (F.col("n") - F.col("na")) * (F.col("n") - F.col("nb")))
-    p = t.select((F.col("ab") / F.col("na")).alias("p_b_given_a"), (F.col("nb") / F.col("n")).alias("p_b"), chi.alias("chi2"))
+    return _maintained(report_a.select(*keys, F.col("ok").alias("a")).join(report_b.select(*keys, F.col("ok").alias("b")), list(keys)))
+
+
+def maintained_summary(report, setting="setting", seed="random_state", keys=("id",)):
+    """:func:`maintained_accuracy` of every ordered pair of settings, averaged over the seeds in which it is defined."""
+    a = report.select(*keys, seed, F.col(setting).alias("setting_a"), F.col("ok").alias("a"))
+    b = report.select(*keys, seed, F.col(setting).alias("setting_b"), F.col("ok").alias("b"))
+    per_seed = _maintained(a.join(b, [*keys, seed]).filter("setting_a <> setting_b"), ("setting_a", "setting_b", seed))
+    return per_seed.groupBy("setting_a", "setting_b").agg(*[F.avg(c).alias(c) for c in ("p_b_given_a", "p_b", "chi2", "h", "p_value")], F.count("chi2").alias("n_seeds"))
+
+
+def _maintained(df, by=()):
+    t = df.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum(F.col("a") * F.col("b")).alias("ab"))
+    chi = F.try_divide(F.col("n") * (F.col("n") * F.col("ab") - F.col("na") * F.col("nb")) ** 2, F.col("na") * F.col("nb") * (F.col("n") - F.col("na")) * (F.col("n") - F.col("nb")))
+    p = t.select(*by, F.try_divide("ab", "na").alias("p_b_given_a"), (F.col("nb") / F.col("n")).alias("p_b"), chi.alias("chi2"))
     return p.withColumns({"h": times.cohens_h("p_b_given_a", "p_b"), "p_value": chi_square_tail(F.col("chi2"))})
 
 
@@ -150,6 +161,17 @@ def transfer_matrix(transfer, baseline):
     return df.select("species_train", "species_test", "label_mode", (F.col("acc") - F.col("base_acc")).alias("gain"), "std")
 
 
+def multi_transfer(transfer, baseline, stages):
+    """Accuracy of each train and test species over folds, its deviation, the baseline and the number of the test species' categories.
+
+    ``stages``: ``species, stage``; a species without stages has none.
+    """
+    m = transfer.groupBy("species_train", "species_test").agg(F.avg("acc").alias("acc"), F.stddev_pop("acc").alias("std"))
+    kinds = stages.groupBy(F.col("species").alias("species_test")).agg(F.count_distinct("stage").alias("n_categories"))
+    df = m.join(baseline.select(F.col("species").alias("species_test"), "base_acc"), "species_test", "left").join(kinds, "species_test", "left")
+    return df.fillna(0, ["n_categories"])
+
+
 def clean_transfer(matrix, least=0.01):
     """Transfer gains that count: own species, losses and tiny ones go, switched ones turn negative; long form without empty rows."""
     g = F.when(F.col("label_mode") != "real", -F.col("gain")).otherwise(F.col("gain"))
@@ -188,11 +210,9 @@ def lift(events):
     return t.withColumn("p_value", chi_square_tail(F.col("chi2")))
 
 
-def rmse_vs_constant(predictions):
-    """Root mean square error of predictions and of the constant mean, and the skill."""
-    m = predictions.agg(F.avg("y").alias("_m"))
-    df = predictions.crossJoin(F.broadcast(m))  # one row
-    e = df.agg(F.sqrt(F.avg((F.col("y") - F.col("pred")) ** 2)).alias("rmse"), F.sqrt(F.avg((F.col("y") - F.col("_m")) ** 2)).alias("base"))
+def rmse_vs_constant(predictions, by=()):
+    """Root mean square error of predictions and of the constant mean, and the skill; for each setting in ``by``."""
+    e = predictions.groupBy(*by).agg(F.sqrt(F.avg((F.col("y") - F.col("pred")) ** 2)).alias("rmse"), F.stddev_pop("y").alias("base"))
     return e.withColumn("skill", 1 - F.try_divide("rmse", "base"))
 
 
@@ -201,6 +221,15 @@ def confidence(report, column="confidence"):
     return report.groupBy("prediction").agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
 
 
+def taxa_accuracy_intervals(report, setting, **options):
+    """:func:`taxa_accuracy` of each setting with a corrected bootstrap interval over the taxa's species; ``options`` as in ``stats.bca_interval``."""
+    from . import stats
+
+    per = report.groupBy(setting, "taxa", "species").agg(F.avg("ok").alias("a")).withColumn("_k", F.concat_ws("|", F.col(setting).cast("string"), "taxa"))
+    mean = per.groupBy("_k", setting, "taxa").agg(F.avg("a").alias("accuracy"), F.count(F.lit(1)).alias("n_species"))
+    return mean.join(stats.bca_interval(per, "_k", "a", order="species", **options), "_k", "left").drop("_k")
+
+
 def taxa_accuracy(report):
     """Mean over species of species accuracy for each taxa."""
     return report.groupBy("taxa", "species").agg(F.avg("ok").alias("a")).groupBy("taxa").agg(F.avg("a").alias("accuracy"), F.count(F.lit(1)).alias("n_species"))

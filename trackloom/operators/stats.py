@@ -178,19 +178,19 @@ def resampled_means(df, by, value, replicates=200, order="id"):
     return picks.join(rows.select(by, "_i", F.col(value).alias("_v")), [by, "_i"]).groupBy(by, "rep").agg(F.avg("_v").alias("mean"))
 
 
-def percentile_interval(df, by, value, replicates=200, alpha=0.05):
+def percentile_interval(df, by, value, replicates=200, alpha=0.05, order="id"):
     """``by, low, high``: percentile bootstrap interval of the mean."""
-    m = resampled_means(df, by, value, replicates)
+    m = resampled_means(df, by, value, replicates, order)
     return m.groupBy(by).agg(F.percentile("mean", alpha / 2).alias("low"), F.percentile("mean", 1 - alpha / 2).alias("high"))
 
 
-def bca_interval(df, by, value, replicates=200, alpha=0.05):
+def bca_interval(df, by, value, replicates=200, alpha=0.05, order="id"):
     """``by, low, high``: bootstrap interval of the mean corrected for bias and acceleration (jackknife)."""
     w = Window.partitionBy(by)
     loo = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_s": F.sum(value).over(w)}).filter("_n > 1").withColumn("_j", (F.col("_s") - F.col(value)) / (F.col("_n") - 1))
     loo = loo.withColumn("_d", F.avg("_j").over(w) - F.col("_j"))
     acc = loo.groupBy(by).agg(F.coalesce(F.try_divide(F.sum(F.col("_d") ** 3), 6 * F.sum(F.col("_d") ** 2) ** 1.5), F.lit(0.0)).alias("a"))
-    m = resampled_means(df, by, value, replicates).join(df.groupBy(by).agg(F.avg(value).alias("_m")), by)
+    m = resampled_means(df, by, value, replicates, order).join(df.groupBy(by).agg(F.avg(value).alias("_m")), by)
     bias = m.groupBy(by).agg(F.avg((F.col("mean") < F.col("_m")).cast("double") + (F.col("mean") == F.col("_m")).cast("double") / 2).alias("share")).join(acc, by)
 
     @F.pandas_udf("array<double>")
@@ -261,6 +261,14 @@ def sample_size_by_group(df, by, accuracy, jump=0.2, enough=0.98):
     return fit.select(by, F.coalesce("n_required", line).alias("n_required"), "scale")
 
 
+def sample_size_intervals(df, by, accuracy, seed="random_state", replicates=200, alpha=0.05):
+    """Required samples of each group as mean over seeds with a bootstrap interval: :func:`sample_size_by_group` of every seed first."""
+    keyed = df.withColumn("_k", F.struct(by, seed))
+    per = sample_size_by_group(keyed, "_k", accuracy).select(F.col(f"_k.{by}").alias(by), F.col(f"_k.{seed}").alias(seed), "n_required").filter("n_required is not null")
+    mean = per.groupBy(by).agg(F.avg("n_required").alias("n_required"), F.count(F.lit(1)).alias("n_seeds"))
+    return mean.join(percentile_interval(per, by, "n_required", replicates, alpha, seed), by)
+
+
 # Graph of confusions and its communities.
 
 

@@ -12,7 +12,7 @@ def labelled(read):
     return read("fixes").join(read("animals"), "id")
 
 
-@query("j01_fixes_with_metadata", "J1 J2 J3 S4", "SELECT fix_id, species, taxa, sex FROM fixes JOIN animals USING (id)")
+@query("j01_fixes_with_metadata", "J1 J2 J3", "SELECT fix_id, species, taxa, sex FROM fixes JOIN animals USING (id)")
 def _(read):
     a = read("animals")
     df = enrich.with_metadata(read("fixes"), a.select("id", "species"))
@@ -41,7 +41,7 @@ def _(read):
     return enrich.complete_grid(read("grid1").filter("(cell_lat * 7 + cell_lon) % 3 <> 0")).select("cell_lat", "cell_lon", F.when(F.abs("cell_lon") == 180, r6("value")).otherwise(F.col("value")).alias("value"))
 
 
-@query("j07_bathymetry", "J7 J8 S7", """WITH e AS (SELECT 89-cell_lat AS i, cell_lon+180 AS j, value-50 AS elevation FROM grid1 WHERE cell_lat<90 AND cell_lon<180)
+@query("j07_bathymetry", "J7 J8", """WITH e AS (SELECT 89-cell_lat AS i, cell_lon+180 AS j, value-50 AS elevation FROM grid1 WHERE cell_lat<90 AND cell_lon<180)
     SELECT fix_id, CASE WHEN elevation>0 THEN 0.0 ELSE round(elevation,6)+0.0 END AS depth, CASE WHEN elevation>0 THEN -1.0 ELSE round(log10(1-elevation),6)+0.0 END AS log_depth
     FROM fixes f LEFT JOIN e ON CAST(greatest(ceil(90.0-f.latitude)-1,0) AS BIGINT)=e.i AND CAST(greatest(ceil(f.longitude+180.0)-1,0) AS BIGINT)=e.j""")
 def _(read):
@@ -73,7 +73,7 @@ def _(read):
     return enrich.nearest_level(f, levels, "env").select("fix_id", "level")
 
 
-@query("j11_depth_columns", "J11 J17", "SELECT id, max(CASE WHEN sex='M' THEN kfold END) AS \"M\", max(CASE WHEN sex='F' THEN kfold END) AS \"F\" FROM reports WHERE random_state=1 GROUP BY id")
+@query("j11_depth_columns", "J11", "SELECT id, max(CASE WHEN sex='M' THEN kfold END) AS \"M\", max(CASE WHEN sex='F' THEN kfold END) AS \"F\" FROM reports WHERE random_state=1 GROUP BY id")
 def _(read):
     return enrich.depth_columns(read("reports").filter("random_state = 1"), ["id"], "sex", "kfold", ["M", "F"])
 
@@ -95,7 +95,7 @@ def _(read):
     return enrich.valid_time(read("fixes").withColumn("step", (F.col("fix_id") % 18).cast("int")), "date_time").select("fix_id", F.col("valid_time").cast("timestamp_ntz").alias("valid_time"))
 
 
-@query("j14_match_occurrences", "J14 J15 J16", """WITH k AS (SELECT fix_id, date_trunc('day', date_time) AS d, row_number() OVER (PARTITION BY date_trunc('day', date_time), floor(latitude), floor(longitude) ORDER BY fix_id) AS n, floor(latitude) AS la, floor(longitude) AS lo FROM fixes),
+@query("j14_match_occurrences", "J14 J15", """WITH k AS (SELECT fix_id, date_trunc('day', date_time) AS d, row_number() OVER (PARTITION BY date_trunc('day', date_time), floor(latitude), floor(longitude) ORDER BY fix_id) AS n, floor(latitude) AS la, floor(longitude) AS lo FROM fixes),
     r AS (SELECT fix_id AS row_id, date_trunc('day', date_time) AS d, row_number() OVER (PARTITION BY date_trunc('day', date_time), floor(latitude), floor(longitude) ORDER BY fix_id) AS n, floor(latitude) AS la, floor(longitude) AS lo FROM fixes WHERE fix_id%2=0)
     SELECT fix_id, row_id FROM k JOIN r USING (d, la, lo, n)""")
 def _(read):
@@ -258,17 +258,12 @@ RESAMPLE = """y AS (SELECT *, year(date_time) AS year, epoch_us(date_time)/86400
     v AS (SELECT id, year, slot, CASE WHEN x2 IS NULL OR x2=x THEN 0.0 ELSE (slot-x)/(x2-x) END AS r, latitude, la2, longitude, (((lo2-longitude+180)%360+360)%360-180) AS dl FROM s)"""
 
 
-@query("w14_resample", "W14 W15", f"WITH {RESAMPLE} SELECT id, CAST(year AS INTEGER) AS year, slot, round(coalesce(latitude+r*(la2-latitude), latitude),9)+0.0 AS latitude, round(((coalesce(longitude+r*dl, longitude)+180)%360+360)%360-180,9)+0.0 AS longitude FROM v")
+@query("w14_resample", "W14", f"WITH {RESAMPLE} SELECT id, CAST(year AS INTEGER) AS year, slot, round(coalesce(latitude+r*(la2-latitude), latitude),9)+0.0 AS latitude, round(((coalesce(longitude+r*dl, longitude)+180)%360+360)%360-180,9)+0.0 AS longitude FROM v")
 def _(read):
     df = resample.resample(read("long_fixes"), 2)
     return df.select("id", "year", "slot", r9("latitude").alias("latitude"), r9("longitude").alias("longitude"))
 
 
-@query("w16_polynomial_degree", "W16")
-def _(read):
-    return resample.fit_polynomial(read("fixes")).select("id", "column", "degree")
-
-
 @query("w17_pad_year", "W17", """WITH s AS (SELECT id, year(date_time) AS year, dayofyear(date_time)-1 AS slot, avg(env) AS env FROM fixes GROUP BY ALL), t AS (SELECT DISTINCT id, year FROM s)
     SELECT t.id, CAST(t.year AS INTEGER) AS year, g.slot, round(coalesce(env,0.0),9)+0.0 AS env FROM t CROSS JOIN range(365) g(slot) LEFT JOIN s ON t.id=s.id AND t.year=s.year AND g.slot=s.slot""")
 def _(read):

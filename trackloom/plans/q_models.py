@@ -115,7 +115,7 @@ def _(read):
     return M.sweep(p, settings, ["x", "y", "z"])
 
 
-@query("s06_clean_grid", "S6 S8", "SELECT cell_lat, cell_lon, CASE WHEN CAST(floor(value) AS BIGINT)%10=0 THEN NULL ELSE value END AS effort FROM grid1")
+@query("s06_clean_grid", "S6", "SELECT cell_lat, cell_lon, CASE WHEN CAST(floor(value) AS BIGINT)%10=0 THEN NULL ELSE value END AS effort FROM grid1")
 def _(read):
     raw = read("grid1").select((F.col("cell_lat") + 0.0).alias("lat"), (F.col("cell_lon") + 0.0).alias("lon"), F.when(F.floor("value") % 10 == 0, 0.0).otherwise(F.col("value")).alias("effort"))
     return io.clean_effort(raw)

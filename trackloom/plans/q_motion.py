@@ -36,7 +36,7 @@ def steps_sql(view="fixes"):
 SPEED = f"WITH {steps_sql()}, speeds AS (SELECT *, dist/dt AS speed FROM steps)"
 
 
-@query("species_speed", "W1 W2 W4 A4 A9 J1 A18", SPEED + """, per AS (SELECT id, avg(speed) AS m, quantile_cont(speed, 0.5) AS md, stddev_pop(speed) AS sd, max(speed) AS mx, count(speed) AS n,
+@query("species_speed", "W1 W2 W4 A4 A9 J1", SPEED + """, per AS (SELECT id, avg(speed) AS m, quantile_cont(speed, 0.5) AS md, stddev_pop(speed) AS sd, max(speed) AS mx, count(speed) AS n,
       quantile_cont(latitude, 0.5) AS lat FROM speeds GROUP BY id)
     SELECT species, count(*) AS n_animals, CAST(sum(n) AS BIGINT) AS n_steps, round(avg(m),6)+0.0 AS mean_speed, round(avg(md),6)+0.0 AS median_speed, round(avg(sd),6)+0.0 AS std_speed,
       round(max(mx),6)+0.0 AS max_speed, round(avg(lat),6)+0.0 AS mean_median_lat FROM per JOIN animals USING (id) GROUP BY species""")

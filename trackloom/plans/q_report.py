@@ -18,7 +18,7 @@ def rounded(df, *names):
     return df.withColumns({c: r6(c) for c in names})
 
 
-@query("c01_accuracy_by_animal", "C1 M13 S14", f"WITH {OK} SELECT id, round(avg(ok),6)+0.0 AS accuracy FROM ok GROUP BY id")
+@query("c01_accuracy_by_animal", "C1 M13", f"WITH {OK} SELECT id, round(avg(ok),6)+0.0 AS accuracy FROM ok GROUP BY id")
 def _(read):
     return rounded(R.accuracy_by_animal(rep(read)), "accuracy")
 
@@ -137,7 +137,7 @@ def transfer(read):
     return R.transfer_matrix(t, baseline(read))
 
 
-@query("c16_transfer_matrix", "C16 C17", f"WITH {BASE}, {TRANSFER} SELECT species_train, species_test, label_mode, round(gain,9)+0.0 AS gain FROM x")
+@query("c16_transfer_matrix", "C16", f"WITH {BASE}, {TRANSFER} SELECT species_train, species_test, label_mode, round(gain,9)+0.0 AS gain FROM x")
 def _(read):
     return transfer(read).withColumn("gain", r9("gain")).drop("std")
 
@@ -179,7 +179,7 @@ def _(read):
     return rounded(R.lift(events), "lift", "chi2").drop("p_value")
 
 
-@query("c24_rmse_vs_constant", "C24 C28", "WITH p AS (SELECT env AS y, env*0.5+10 AS pred FROM fixes WHERE env IS NOT NULL), m AS (SELECT avg(y) AS m FROM p) SELECT round(sqrt(avg(pow(y-pred,2))),6)+0.0 AS rmse, round(sqrt(avg(pow(y-m,2))),6)+0.0 AS base, round(1-sqrt(avg(pow(y-pred,2)))/sqrt(avg(pow(y-m,2))),6)+0.0 AS skill FROM p, m")
+@query("c24_rmse_vs_constant", "C24", "WITH p AS (SELECT env AS y, env*0.5+10 AS pred FROM fixes WHERE env IS NOT NULL), m AS (SELECT avg(y) AS m FROM p) SELECT round(sqrt(avg(pow(y-pred,2))),6)+0.0 AS rmse, round(sqrt(avg(pow(y-m,2))),6)+0.0 AS base, round(1-sqrt(avg(pow(y-pred,2)))/sqrt(avg(pow(y-m,2))),6)+0.0 AS skill FROM p, m")
 def _(read):
     return rounded(R.rmse_vs_constant(read("fixes").filter("env is not null").select(F.col("env").alias("y"), (F.col("env") * 0.5 + 10).alias("pred"))), "rmse", "base", "skill")
 
@@ -189,7 +189,7 @@ def _(read):
     return rounded(R.confidence(rep(read).withColumn("confidence", (F.col("id") % 50) / 50)), "mean", "std")
 
 
-@query("c27_taxa_accuracy", "C27 S13", f"WITH {OK}, s AS (SELECT taxa, species, avg(ok) AS a FROM ok GROUP BY ALL) SELECT taxa, round(avg(a),6)+0.0 AS accuracy, count(*) AS n_species FROM s GROUP BY taxa")
+@query("c27_taxa_accuracy", "C27", f"WITH {OK}, s AS (SELECT taxa, species, avg(ok) AS a FROM ok GROUP BY ALL) SELECT taxa, round(avg(a),6)+0.0 AS accuracy, count(*) AS n_species FROM s GROUP BY taxa")
 def _(read):
     return rounded(R.taxa_accuracy(rep(read)), "accuracy")
 

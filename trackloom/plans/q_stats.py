@@ -24,7 +24,7 @@ def _(read):
     return S.significant(S.correlations(read("fixes"), ["latitude", "longitude", "env"]))
 
 
-@query("t03_mean_correlation", "T3 T4", "WITH c AS (SELECT species, corr(env,latitude) AS la, corr(env,longitude) AS lo FROM fixes JOIN animals USING (id) GROUP BY species) SELECT 'latitude' AS feature, round(avg(la),6)+0.0 AS r, count(la) AS n_groups FROM c UNION ALL SELECT 'longitude', round(avg(lo),6)+0.0, count(lo) FROM c")
+@query("t03_mean_correlation", "T3", "WITH c AS (SELECT species, corr(env,latitude) AS la, corr(env,longitude) AS lo FROM fixes JOIN animals USING (id) GROUP BY species) SELECT 'latitude' AS feature, round(avg(la),6)+0.0 AS r, count(la) AS n_groups FROM c UNION ALL SELECT 'longitude', round(avg(lo),6)+0.0, count(lo) FROM c")
 def _(read):
     return rounded(S.mean_correlation(read("fixes").join(read("animals"), "id").filter("env is not null"), "env", ["latitude", "longitude"]), "r")
 
@@ -79,7 +79,16 @@ def _(read):
     return rounded(S.bca_interval(rep(read).filter("random_state = 1"), "species", "ok"), "low", "high")
 
 
-@query("t13_mean_of_medians", "T13")
+PICK = "CAST(concat('0x', substr(md5(concat({0})),1,12)) AS BIGINT)"
+MEDIANS = f"""v AS (SELECT f.id, species, avg(env) AS v FROM fixes f JOIN animals USING (id) WHERE env IS NOT NULL GROUP BY f.id, species),
+    g AS (SELECT species, row_number() OVER (ORDER BY species)-1 AS g FROM (SELECT DISTINCT species FROM v)),
+    r AS (SELECT species, row_number() OVER (PARTITION BY species ORDER BY id)-1 AS i, count(*) OVER (PARTITION BY species) AS n, v FROM v),
+    s AS (SELECT rep, g.g AS slot, {PICK.format("'g-', rep, '-', g.g")} % (SELECT count(*) FROM g) AS drawn FROM g, range(100) t(rep)),
+    p AS (SELECT rep, slot, r.species, {PICK.format("rep, '-', slot, '-', i")} % n AS pick FROM s JOIN g ON g.g=drawn JOIN r ON r.species=g.species),
+    m AS (SELECT rep, slot, quantile_cont(v,0.5) AS m FROM p JOIN r ON p.species=r.species AND pick=r.i GROUP BY rep, slot), a AS (SELECT rep, avg(m) AS m FROM m GROUP BY rep)"""
+
+
+@query("t13_mean_of_medians", "T13", f"WITH {MEDIANS} SELECT round(quantile_cont(m,0.025),6)+0.0 AS low, round(quantile_cont(m,0.975),6)+0.0 AS high FROM a")
 def _(read):
     return rounded(S.mean_of_medians_interval(read("fixes").filter("env is not null").groupBy("id").agg(F.avg("env").alias("v")).join(read("animals"), "id"), "species", "v"), "low", "high")
 

@@ -15,7 +15,7 @@ def tracks(read):
     return prune.track_table(read("fixes")).join(read("animals"), "id")
 
 
-@query("f01_main_pruner", "F1 F16 X1 X2 X6", f"""WITH {TRACKS}, t AS (SELECT *, sum(CASE WHEN length>62 THEN 1 ELSE 0 END) OVER (PARTITION BY species) AS n FROM tracks WHERE taxa IN ('X0','X1','X2'))
+@query("f01_main_pruner", "F1 X1 X2 X6", f"""WITH {TRACKS}, t AS (SELECT *, sum(CASE WHEN length>62 THEN 1 ELSE 0 END) OVER (PARTITION BY species) AS n FROM tracks WHERE taxa IN ('X0','X1','X2'))
     SELECT id, species FROM t WHERE n >= 8 AND days > 29.0""")
 def _(read):
     return prune.keep_tracks(tracks(read), "taxa", ["X0", "X1", "X2"], min_animals=8, min_length=62, min_days=29.0, fn=lambda d: d, mapping=lambda c: c).select("id", "species")
@@ -81,7 +81,7 @@ def _(read):
     return read("fixes").select("fix_id", geo.in_polygon("latitude", "longitude", SQUARE).alias("inside"))
 
 
-@query("f13_longest_run_inside", "F13 F14", f"""WITH p AS (SELECT *, latitude > (-60.0 + (id % 25) * 5.0 + 0.7) AS inside, row_number() OVER (PARTITION BY id ORDER BY date_time, fix_id) AS rn FROM fixes),
+@query("f13_longest_run_inside", "F13", f"""WITH p AS (SELECT *, latitude > (-60.0 + (id % 25) * 5.0 + 0.7) AS inside, row_number() OVER (PARTITION BY id ORDER BY date_time, fix_id) AS rn FROM fixes),
     g AS (SELECT *, rn - row_number() OVER (PARTITION BY id ORDER BY date_time, fix_id) AS g FROM p WHERE latitude BETWEEN -29.0 AND 61.0 AND longitude BETWEEN -180.0 AND 180.0 AND NOT (latitude BETWEEN 10.2 AND 11.3)),
     r AS (SELECT id, g, min(rn) AS start, count(*) AS n FROM g GROUP BY id, g), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, start) AS k FROM r)
     SELECT id, start, n FROM b WHERE k=1""")
@@ -164,7 +164,7 @@ def _(read):
     return count(both, "both").unionAll(count(prune.missing_ids(a, r), "only")).unionAll(count(prune.present_ids(a, r), "semi"))
 
 
-@query("d02_relabel_stages", "D2 D4 V11 V16", """SELECT fix_id, CASE WHEN stage='unknown' THEN NULL WHEN stage='breeding: incubation' THEN 'breeding: brood' ELSE stage END AS stage,
+@query("d02_relabel_stages", "D2 D4 V11", """SELECT fix_id, CASE WHEN stage='unknown' THEN NULL WHEN stage='breeding: incubation' THEN 'breeding: brood' ELSE stage END AS stage,
     concat(upper(substr(split_part(stage,':',1),1,1)), substr(split_part(stage,':',1),2)) AS stage_type, nullif(split_part(stage,': ',2),'') AS sub FROM fixes""")
 def _(read):
     df = read("fixes").join(read("animals").select("id", "species"), "id").withColumns({"stage_type": times.stage_type("stage"), "sub": times.sub_stage("stage")})
@@ -187,7 +187,7 @@ def _(read):
     return prune.switch_binary(df, "stage", ["S2"], "breeding", "non-breeding").select("fix_id", "stage")
 
 
-@query("v01_unit_vector", "V1 V7 V8 V9 V15", """WITH v AS (SELECT fix_id, date_time, env, cos(radians(latitude))*cos(radians(longitude)) AS x, cos(radians(latitude))*sin(radians(longitude)) AS y, sin(radians(latitude)) AS z, latitude, longitude,
+@query("v01_unit_vector", "V1 V7 V8 V15", """WITH v AS (SELECT fix_id, date_time, env, cos(radians(latitude))*cos(radians(longitude)) AS x, cos(radians(latitude))*sin(radians(longitude)) AS y, sin(radians(latitude)) AS z, latitude, longitude,
       dayofyear(date_time)-1+hour(date_time)/24+minute(date_time)/1440+CAST(floor(second(date_time)) AS DOUBLE)/86400 AS day FROM long_fixes)
     SELECT fix_id, round(x,6)+0.0 AS x, round(y,6)+0.0 AS y, round(z,6)+0.0 AS z, round(latitude,6)+0.0 AS lat, round(sin(2*pi()*day/CASE WHEN year(date_time)%4=0 THEN 366.0 ELSE 365.0 END),6)+0.0 AS s, round(cos(radians(env)),6)+0.0 AS c FROM v""")
 def _(read):

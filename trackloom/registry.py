@@ -1,6 +1,6 @@
 """Queries over the given tables and the SQL each one is checked against."""
 
-from .plans import base, q_enrich, q_models, q_motion, q_report, q_stats, q_tables  # noqa: F401
+from .plans import base, q_enrich, q_models, q_motion, q_report, q_sources, q_stats, q_tables  # noqa: F401
 
 
 def queries():

@@ -1,5 +1,7 @@
 """Checkpoints that survive lost executors, and running sums over the whole of a distributed table."""
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def folder(spark, name):
+    """Path of a new folder beside the checkpoints, which the driver and all executors reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def running_start(df: DataFrame, order, amount=None, by=None) -> DataFrame:
     """Add ``_start``: the sum of ``amount`` (default 1 a row) over all earlier rows of the same ``by`` column.
 
