@@ -16,19 +16,19 @@ from .q_motion import r6, r9
 from .q_report import BASE, OK, baseline, rep, rounded
 from .q_stats import CURVE
 
-DAY = "dayofyear(date_time)-1+hour(date_time)/24.0+minute(date_time)/1440.0+CAST(floor(second(date_time)) AS DOUBLE)/86400.0"
+DAY = "dayofyear(date_time)-1+hour(date_time)/24+minute(date_time)/1440+CAST(floor(second(date_time)) AS DOUBLE)/86400"
 
 
 def ntz(column):
     return F.col(column).cast("timestamp_ntz").alias(column)
 
 
-@query("s01_fixes_csv", "S1", f'SELECT CAST(id AS VARCHAR) AS "ID", round(latitude,6)+0.0 AS "LATITUDE", round({DAY},6)+0.0 AS day, CAST(year(date_time) AS INTEGER) AS year FROM fixes')
+@query("s01_fixes_csv", "S1", f'SELECT CAST(id AS VARCHAR) AS "ID", round(latitude,6)+0.0 AS "LATITUDE", round({DAY},9)+0.0 AS day, CAST(year(date_time) AS INTEGER) AS year FROM fixes')
 def _(read):
     f = read("fixes")
     path = folder(f.sparkSession, "fixes")
     f.select(F.col("latitude").alias("LATITUDE"), F.col("longitude").alias("LONGITUDE"), F.date_format("date_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("DATE_TIME"), F.concat(F.lit(" "), F.col("id").cast("string")).alias("ID"), F.col("stage").alias("Stage")).write.csv(path, header=True, ignoreLeadingWhiteSpace=False)
-    return io.read_fixes(f.sparkSession, path).select("ID", r6("LATITUDE").alias("LATITUDE"), r6("day").alias("day"), "year")
+    return io.read_fixes(f.sparkSession, path).select("ID", r6("LATITUDE").alias("LATITUDE"), r9("day").alias("day"), "year")
 
 
 @query("s02_metadata_csv", "S2", 'SELECT CAST(id AS VARCHAR) AS "ID", species AS "COMMON_NAME", taxa AS "Taxa", sex AS "SEX" FROM animals')
@@ -150,12 +150,12 @@ def _(read):
     return rounded(S.representatives(corr, groups, 0.00001), "r")
 
 
-@query("v09_day_from_periodic", "V9", f"SELECT fix_id, round({DAY},4)+0.0 AS day FROM fixes")
+@query("v09_day_from_periodic", "V9", f"SELECT fix_id, round({DAY},7)+0.0 AS day FROM fixes")
 def _(read):
     f = read("fixes")
     sine, cosine = times.periodic_time(times.day_of_year("date_time"), F.year("date_time"))
     day = times.day_from_periodic(sine, cosine, times.year_days(F.year("date_time")))
-    return f.select("fix_id", (F.round(day, 4) + 0.0).alias("day"))
+    return f.select("fix_id", (F.round(day, 7) + 0.0).alias("day"))
 
 
 @query("v16_sentinels", "V16", "SELECT fix_id, CASE WHEN fix_id%7<>0 THEN latitude END AS value, CASE WHEN stage<>'unknown' THEN stage END AS word FROM fixes")
