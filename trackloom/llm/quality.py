@@ -19,8 +19,9 @@ WINDOW = 8
 #: Limit of a stratum's false-rejection rate, and of the chance that any stratum exceeds it.
 RISK = 0.02
 DELTA = 0.05
-#: Levels, in the order of the tests: shares of the proposing good documents that each rule's cutoff keeps.
-KEEPS = (1.0, 0.999, 0.998, 0.996, 0.993, 0.99, 0.985, 0.98)
+#: Levels, in the order of the tests: the share of the proposing good documents that each rule's cutoff keeps, and a factor on the
+#: cutoff. The largest of few values is easily exceeded by the next ones, so the first levels lie beyond it.
+LEVELS = ((1.0, 2.0), (1.0, 1.5), (1.0, 1.2), (1.0, 1.0), (0.999, 1.0), (0.998, 1.0), (0.996, 1.0), (0.993, 1.0), (0.99, 1.0), (0.985, 1.0), (0.98, 1.0))
 #: Rules: a value above the cutoff is rejected.
 RULES = {
     "symbols": "try_divide(n_symbols, word_chars)",
@@ -96,12 +97,18 @@ def log_binomial_cdf(x, n, p):
 def certify(labelled: DataFrame, stratum: str, risk=RISK, delta=DELTA) -> DataFrame:
     """``stratum, rule, cutoff`` from labelled rows (features, ``good``, ``holdout``); one row for each rule and stratum at most."""
     good = labelled.filter("good = 1").select(stratum, "holdout", F.array(*[F.expr(e) for e in RULES.values()]).alias("values"))
-    quantiles = [F.percentile_approx(F.get("values", F.lit(i)), list(KEEPS), 10_000) for i in range(len(RULES))]
-    proposed = common.checkpoint(good.filter("not holdout").groupBy(F.col(stratum).alias("_p")).agg(F.array(*quantiles).alias("cuts")))
+    quantiles = [F.percentile_approx(F.get("values", F.lit(i)), [share for share, _ in LEVELS], 10_000) for i in range(len(RULES))]
+    proposed = good.filter("not holdout").groupBy(F.col(stratum).alias("_p")).agg(F.array(*quantiles).alias("cuts"))
+    factors = F.array(*[F.lit(factor) for _, factor in LEVELS])
+    proposed = common.checkpoint(proposed.withColumn("cuts", F.transform("cuts", lambda c: F.zip_with(c, factors, lambda x, f: x * f))))
     strata = max(proposed.count(), 1)
     held = good.filter("holdout").join(common.small(proposed, BROADCAST_STRATA), F.col(stratum).eqNullSafe(F.col("_p")))
-    falls = [F.exists(F.zip_with("values", "cuts", lambda v, c, i=i: F.coalesce(v > F.get(c, F.lit(i)), F.lit(False))), lambda x: x) for i in range(len(KEEPS))]
-    seen = held.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(f) for f in falls]).alias("fallen"))
+
+    def falls(level):
+        above = F.zip_with("values", "cuts", lambda v, c: F.coalesce(v > F.get(c, F.lit(level)), F.lit(False)))
+        return F.exists(above, lambda x: x)
+
+    seen = held.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(falls(i)) for i in range(len(LEVELS))]).alias("fallen"))
     # Beyond x = n risk the probability is about a half or more, never within delta.
     passes = F.transform("fallen", lambda x: F.when(x <= F.col("n") * risk, log_binomial_cdf(F.least(x, F.floor(F.col("n") * risk)), F.col("n"), risk) <= F.log(F.lit(delta / strata))).otherwise(False))
     seen = seen.select("_p", F.array_position(F.concat(passes, F.array(F.lit(False))), F.lit(False)).cast("int").alias("_stop")).filter("_stop > 1")

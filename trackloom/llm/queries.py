@@ -89,7 +89,7 @@ def _license_sql():
 
 def _quality_sql():
     """Features, levels and exact binomial tests; the cutoffs of a level are the values at its rank among the proposing good documents."""
-    keeps, rules = ", ".join(map(str, quality.KEEPS)), len(quality.RULES)
+    (keeps, factors), rules = (", ".join(map(str, x)) for x in zip(*quality.LEVELS, strict=True)), len(quality.RULES)
     word = "[^\\x20\\x09-\\x0D]"
     ratio = lambda a, b: f"CASE WHEN {b} <> 0 THEN {a} / {b} END"
     values = ", ".join(ratio(*e.removeprefix("try_divide(").removesuffix(")").split(", ")) for e in quality.RULES.values())
@@ -106,7 +106,7 @@ def _quality_sql():
         q AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
         g AS (SELECT lang, v, CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 3 > 0 AS holdout FROM v JOIN q USING (doc_id) WHERE good = 1),
         o AS (SELECT lang, k, list_sort(list(v[k])) AS o FROM g, range(1, {rules + 1}) t(k) WHERE NOT holdout AND v[k] IS NOT NULL GROUP BY lang, k),
-        p AS (SELECT lang, k, level, o[CAST(greatest(1, ceil(keep * len(o))) AS BIGINT)] AS cut FROM o, (SELECT unnest([{keeps}]) AS keep, unnest(range(1, {len(quality.KEEPS) + 1})) AS level)),
+        p AS (SELECT lang, k, level, o[CAST(greatest(1, ceil(keep * len(o))) AS BIGINT)] * factor AS cut FROM o, (SELECT unnest([{keeps}]) AS keep, unnest([{factors}]) AS factor, unnest(range(1, {len(quality.LEVELS) + 1})) AS level)),
         h AS (SELECT row_number() OVER () AS id, lang, v FROM g WHERE holdout),
         s AS (SELECT id, h.lang, level, max(CASE WHEN v[k] > cut THEN 1 ELSE 0 END) AS falls FROM h JOIN p ON h.lang IS NOT DISTINCT FROM p.lang GROUP BY ALL),
         n AS (SELECT lang, level, count(*) AS n, sum(falls) AS x FROM s GROUP BY ALL),
