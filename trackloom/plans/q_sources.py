@@ -220,6 +220,20 @@ def _(read):
     return rounded(R.rmse_vs_constant(p, ["height"]).select("height", "rmse", "skill"), "rmse", "skill")
 
 
+@query("j02_species_of", "J2", "SELECT fix_id, species FROM fixes LEFT JOIN animals USING (id)")
+def _(read):
+    return enrich.species_of(read("fixes").select("fix_id", "id"), read("animals")).select("fix_id", "species")
+
+
+SPECIES = [f"S{i}" for i in range(12)]
+WIDE = ", ".join(f"round(max(CASE WHEN predicted='{s}' THEN share ELSE 0.0 END),6)+0.0 AS \"{s}\"" for s in SPECIES)
+
+
+@query("c03_confusion_matrix", "C3", f"WITH c AS (SELECT species, predicted, count(*)/(SELECT count(*) FROM reports x WHERE x.species=r.species) AS share FROM reports r GROUP BY species, predicted) SELECT species AS real, {WIDE} FROM c GROUP BY species")
+def _(read):
+    return rounded(R.confusion_matrix(R.confusion(rep(read)), SPECIES), *SPECIES)
+
+
 def curves(read):
     """Learning curves of each species under five seeds."""
     n = 10 * (1 + F.col("id") % 5)
