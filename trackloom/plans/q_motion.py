@@ -126,9 +126,19 @@ def _(read):
     return M.average_rank(read("fixes").filter("env is not null").select("fix_id", F.round("env").alias("x")), "x").select("fix_id", "rank")
 
 
-@query("w20_translate_to_origin", "W20 V4 V6")
+#: Each track from (0, 0) on, a step a round: n is a step's length, k is sin(n) / n.
+MOVED = f"""WITH RECURSIVE {steps_sql()}, nth AS (SELECT id, fix_id, row_number() OVER (PARTITION BY id ORDER BY date_time, fix_id) AS rn, south, east, sqrt(south*south+east*east) AS n FROM steps),
+    st AS (SELECT id, fix_id, rn, south, east, cos(n) AS c, CASE WHEN n > 0 THEN sin(n)/n ELSE 1.0 END AS k FROM nth),
+    pos AS (SELECT id, CAST(1 AS BIGINT) AS rn, CAST(0.0 AS DOUBLE) AS la, CAST(0.0 AS DOUBLE) AS lo FROM st WHERE rn = 1
+      UNION ALL SELECT id, rn + 1, atan2(z, sqrt(x*x+y*y)), atan2(y, x) FROM (SELECT pos.id, pos.rn, (c*cos(la)+k*south*sin(la))*cos(lo)-k*east*sin(lo) AS x, (c*cos(la)+k*south*sin(la))*sin(lo)+k*east*cos(lo) AS y, c*sin(la)-k*south*cos(la) AS z
+        FROM pos JOIN st ON st.id = pos.id AND st.rn = pos.rn AND st.south IS NOT NULL))
+    SELECT fix_id, round(degrees(la),5)+0.0 AS latitude, round(degrees(lo),5)+0.0 AS longitude FROM pos JOIN st USING (id, rn)"""
+
+
+@query("w20_translate_to_origin", "W20 V4 V6", MOVED)
 def _(read):
-    return M.translate_to_origin(read("fixes")).select("fix_id", r6("latitude").alias("latitude"), r6("longitude").alias("longitude"))
+    five = lambda c: (F.round(c, 5) + 0.0).alias(c)
+    return M.translate_to_origin(read("fixes")).select("fix_id", five("latitude"), five("longitude"))
 
 
 @query("w21_dead_reckoning", "W21 V4", "SELECT fix_id, round(latitude,5)+0.0 AS latitude, round(longitude,5)+0.0 AS longitude FROM fixes")
