@@ -213,7 +213,7 @@ def _(read):
     return S.pca(read("fixes").filter("env is not null"), ["latitude", "longitude", "env"], 2)[1]
 
 
-@query("t31_device_effect", "T31", f"WITH {OK}, s AS (SELECT species, avg(CASE WHEN id%5<2 THEN 1.0 ELSE 0.0 END) AS share, avg(ok) AS accuracy FROM ok WHERE random_state=1 GROUP BY species) SELECT 'share' AS a, 'accuracy' AS b, round(corr(share,accuracy),6)+0.0 AS r, count(*) AS n FROM s WHERE share>0 AND share<1")
+@query("t31_device_effect", "T31", f"WITH {OK}, s AS (SELECT species, avg(CASE WHEN id%5<2 THEN 1.0 ELSE 0.0 END) AS share, avg(ok) AS accuracy FROM ok WHERE random_state=1 GROUP BY species) SELECT 'share' AS a, 'accuracy' AS b, round(nullif(corr(share,accuracy), CAST('nan' AS DOUBLE)),6)+0.0 AS r, count(*) AS n FROM s WHERE share>0 AND share<1")
 def _(read):
     df = rep(read).filter("random_state = 1").withColumn("tag", F.when(F.col("id") % 5 < 2, "M").otherwise("F"))
     return rounded(S.device_effect(df, "M", "ok").withColumn("b", F.lit("accuracy")), "r")
