@@ -6,7 +6,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, quality, secrets, sharding, simhash, substrings, topk
+from . import bpe, chat, licenses, mixing, periodic, quality, secrets, sharding, simhash, substrings, topk
 
 
 def tokenizer(name):
@@ -60,6 +60,11 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic.find(periodic.planted(_read(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
