@@ -6,7 +6,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, periodic, quality, secrets, sharding, simhash, substrings, topk
+from . import bpe, chat, licenses, mixing, periodic, quality, secrets, sharding, simhash, substrings, topk, vectors
 
 
 def tokenizer(name):
@@ -65,6 +65,10 @@ def op11_periodic_runs(spark, sf_dir):
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
 
 
+def op12_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -140,6 +144,16 @@ def oracle_sql():
             FROM d LEFT JOIN k USING (doc_id)""",
         "op6_quality": _quality_sql(),
         "op9_licenses": _license_sql(),
+        "op12_embedding_near_dedup": """
+            WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL
+                       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM v),
+            p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+            r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+            c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+            k AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+            SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+            FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id""",
         "op8_topk": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
                        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
