@@ -6,7 +6,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, periodic, quality, secrets, sharding, simhash, substrings, topk, vectors
+from . import bpe, chat, licenses, mixing, periodic, quality, secrets, sharding, simhash, spelling, substrings, topk, vectors
 
 
 def tokenizer(name):
@@ -69,6 +69,10 @@ def op12_embedding_near_dedup(spark, sf_dir):
     return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.group(spelling.vocabulary(_read(spark, sf_dir, "documents"), spoil=31))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
