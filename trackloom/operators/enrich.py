@@ -295,8 +295,12 @@ def _block_pairs(left, right, on, fn, schema):
 
 
 def _triangle(df, key, vector, fn, schema):
-    """Every two blocks of equal vector length once: each block is sent to those not before it."""
-    blocks = checkpoint(_blocks(df, key, vector))
+    """Every two blocks of equal vector length once."""
+    return _triangle_of(checkpoint(_blocks(df, key, vector)), fn, schema)
+
+
+def _triangle_of(blocks, fn, schema):
+    """Every two of :func:`_blocks` of one vector length once: each block is sent to those not before it."""
     left = blocks.select("_size", F.col("_b").alias("_a"), F.col("_rows").alias("_left"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_b"))
     right = blocks.select("_size", "_b", F.col("_rows").alias("_right"))
     return _block_pairs(left.withColumn("_same", F.col("_a") == F.col("_b")), right, ["_size", "_b"], fn, schema)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, times
+from .order import quantiles
 
 
 def shares(df: DataFrame, column) -> DataFrame:
@@ -16,8 +17,7 @@ def shares(df: DataFrame, column) -> DataFrame:
 
 def quantile_bins(df: DataFrame, column, n, name="bin") -> DataFrame:
     """Bin 0 .. of equal counts; equal values share a bin, equal edges are dropped."""
-    edges = F.percentile(column, [i / n for i in range(n + 1)]).alias("_e")
-    edges = df.agg(edges).select(F.array_distinct("_e").alias("_e"))
+    edges = quantiles(df, column, [i / n for i in range(n + 1)]).select(F.array_distinct("quantiles").alias("_e"))
     df = df.crossJoin(F.broadcast(edges))  # one row
     inner = F.slice("_e", F.lit(2), F.greatest(F.size("_e") - 1, F.lit(0)))
     above = F.size(F.filter(inner, lambda e: e < F.col(column)))

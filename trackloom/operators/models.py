@@ -148,30 +148,12 @@ def sweep(points, settings, columns):
     return out
 
 
-def predictive_power(df, a, b, bins=8):
-    """1 - R squared of each feature from the other's bins, the smaller of both ways: a distance of two features."""
-    from .stats import binned
-
-    def unexplained(x, y):
-        d = binned(df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna(), "x", bins)
-        w = d.withColumn("m", F.avg("y").over(Window.partitionBy("x")))
-        return w.agg(F.try_divide(F.avg((F.col("y") - F.col("m")) ** 2), F.var_pop("y")).alias("d"))
-
-    both = unexplained(a, b).unionAll(unexplained(b, a))
-    return both.agg(F.min("d").alias("d")).select(F.lit(a).alias("real"), F.lit(b).alias("pred"), "d")
-
-
 def feature_clusters(df, columns, height, bins=8, cap=None, least=None, by="species"):
     """Clusters of features by single linkage of their predictive power; rows may be capped and rare groups left out first."""
-    from .stats import single_linkage
+    from .stats import predictive_distances, single_linkage
 
     if least:
         df = prune.min_animals(df, least, by)
     if cap:
         df = prune.evenly_spaced(df, cap, (by,))
-    d = None
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            p = predictive_power(df, a, b, bins)
-            d = p if d is None else d.unionAll(p)
-    return single_linkage(d, height)
+    return single_linkage(predictive_distances(df, columns, bins), height)

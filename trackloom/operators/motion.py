@@ -6,7 +6,6 @@ that partition and order, so Spark sorts a track once.
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,46 +208,97 @@ def sampling_frequency(df: DataFrame) -> DataFrame:
     return fill_zero_dt(steps(df)).groupBy("id").agg(F.avg(f).alias("mean_freq"), F.stddev_pop(f).alias("std_freq"))
 
 
-# Ordered folds: each step depends on the moved position before it.
+# Dead reckoning: each step depends on the moved position before it.
 
+#: Fixes of a track that are folded as one array.
+STRETCH = 1024
+#: Radians by which a stretch's start may still move when all starts count as found.
+SETTLED = 1e-13
 
-def _fold(df, schema, fn):
-    """``fn`` of each track's frame, sorted; tracks are dealt out by id."""
-    return df.groupBy("id").applyInPandas(lambda p: fn(p.sort_values(list(ORDER), ignore_index=True)), schema)
 
+def _stretches(df, by):
+    """``id, k, rows, lat, lon``: fixes of each stretch in order, with their step's parts; the first position of the track in radians."""
+    n = F.hypot("south", "east")
+    k = F.when(n > 0, F.sin(n) / n).otherwise(1.0)
+    whole = F.col("south").isNotNull() & F.col("east").isNotNull() & ~F.isnan("south") & ~F.isnan("east")
+    move = F.when(whole, F.struct(F.cos(n).alias("c"), (k * F.col("south")).alias("s"), (k * F.col("east")).alias("e")))
+    placed = running_start(df.select("id", *reversed(ORDER), *by, move.alias("move")), ORDER, by="id")
+    row = F.struct("_start", *reversed(ORDER), "move")
+    first = lambda c: F.max(F.when(F.col("_start") == 0, F.col(c)))
+    return placed.groupBy("id", F.expr(f"_start div {STRETCH}").alias("k")).agg(F.array_sort(F.collect_list(row)).alias("rows"), *[F.radians(first(c)).alias(n) for c, n in zip(by, ("lat", "lon"), strict=True)])
 
-def _moved(lat, lon, south, east):
-    """End of a step from (lat, lon), in radians, by its local components."""
-    n = math.hypot(south, east)
-    k = math.sin(n) / n if n > 0 else 1.0
-    up = math.cos(n) * math.cos(lat) + k * south * math.sin(lat)  # along the meridian's direction in the equator's plane
-    x = up * math.cos(lon) - k * east * math.sin(lon)
-    y = up * math.sin(lon) + k * east * math.cos(lon)
-    z = math.cos(n) * math.sin(lat) - k * south * math.cos(lat)
-    return math.atan2(z, math.hypot(x, y)), math.atan2(y, x)
 
+def _moved(at, m):
+    """Latitude, longitude and slope (of the latitude reached by the latitude started from) after one step ``m``."""
+    up = m.c * F.cos(at.lat) + m.s * F.sin(at.lat)  # along the meridian's direction in the equator's plane
+    x, y = up * F.cos(at.lon) - m.e * F.sin(at.lon), up * F.sin(at.lon) + m.e * F.cos(at.lon)
+    z, flat = m.c * F.sin(at.lat) - m.s * F.cos(at.lat), F.hypot(up, m.e)
+    return {"lat": F.atan2(z, flat), "lon": F.atan2(y, x), "slope": at.slope * F.coalesce(F.try_divide(up, flat), F.lit(1.0))}
 
-def dead_reckon(df: DataFrame, start=None) -> DataFrame:
-    """Positions from a start point and the local components of each step.
 
-    ``df`` has ``south`` and ``east`` (radians, as from :func:`steps`); ``start`` is a (lat, lon) for all tracks, or each
-    track starts at its first fix.
+def _step(at, m, **more):
+    """State after a step; a missing step stays."""
+    fields = _moved(at, m)
+    return F.struct(*[F.when(m.isNull(), at[n]).otherwise(v).alias(n) for n, v in fields.items()], *[v.alias(n) for n, v in more.items()])
+
+
+def _state(lat, lon, **more):
+    return F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), F.lit(1.0).alias("slope"), *[v.alias(n) for n, v in more.items()])
+
+
+def _starts(parts):
+    """``id, k, lat, lon`` of the stretches after the first of a track.
+
+    Where a stretch ends follows from the latitude it starts from alone, as longitudes just add up. So all starts are guessed (steps to the
+    south added up) and all stretches folded at once, each with the slope of its end; Newton's method then follows the
+    chain of ends and slopes along the track. Slopes are at most 1, so guesses settle in a few rounds; as each round makes one more
+    stretch exact from the front, there are never more rounds than stretches.
     """
+    chain = Window.partitionBy("id").orderBy("k")
+    south = F.aggregate("rows", F.lit(0.0), lambda a, r: a + F.coalesce(r.move.s, F.lit(0.0)))
+    guess = F.first("lat").over(chain) - F.coalesce(F.sum(south).over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    known = parts.withColumns({"guess": F.greatest(F.lit(-math.pi / 2), F.least(F.lit(math.pi / 2), guess)), "first_lat": F.first("lat").over(chain), "first_lon": F.first("lon").over(chain)}).drop("lat", "lon")
+    known = checkpoint(known)
+    rounds = known.select("id", "k", "guess")
+    while True:
+        end = F.aggregate("rows", _state(F.col("guess"), F.lit(0.0)), lambda at, r: _step(at, r.move))
+        ends = known.drop("guess").join(rounds, ["id", "k"]).select("id", "k", "guess", "first_lat", "first_lon", end.alias("end"))
+        along = ends.groupBy("id").agg(F.first("first_lat").alias("lat"), F.first("first_lon").alias("lon"), F.array_sort(F.collect_list(F.struct("k", "guess", "end"))).alias("chain"))
+        out = F.array().cast("array<struct<k:bigint,guess:double,lat:double,lon:double>>")
+        follow = lambda at, p: F.struct((p.end.lat + p.end.slope * (at.lat - p.guess)).alias("lat"), (at.lon + p.end.lon).alias("lon"), F.array_append(at.out, F.struct(p.k.alias("k"), p.guess.alias("guess"), at.lat.alias("lat"), at.lon.alias("lon"))).alias("out"))
+        start = F.struct("lat", "lon", out.alias("out"))
+        found = checkpoint(along.select("id", F.inline(F.aggregate("chain", start, follow, lambda at: at.out))))
+        if not found.filter(F.abs(F.col("lat") - F.col("guess")) > SETTLED).limit(1).count():
+            return found.filter("k > 0").select("id", "k", "lat", "lon")
+        limited = F.greatest(F.lit(-math.pi / 2), F.least(F.lit(math.pi / 2), F.col("lat")))
+        rounds = found.select("id", "k", limited.alias("guess"))
+
 
-    def run(p):
-        at = tuple(map(math.radians, (p.latitude[0], p.longitude[0]) if start is None else start))
-        out = []
-        for s, e in zip(p.south.tolist(), p.east.tolist(), strict=True):
-            out.append((math.degrees(at[0]), math.degrees(at[1])))
-            if s == s and e == e:
-                at = _moved(*at, s, e)
-        return pd.DataFrame({"id": p.id, "fix_id": p.fix_id, "date_time": p.date_time, "latitude": [a for a, _ in out], "longitude": [b for _, b in out]})
+def dead_reckon(df: DataFrame, start=None) -> DataFrame:
+    """Positions from a start point and the local components of each step: ``id, fix_id, date_time, latitude, longitude``.
 
-    return _fold(df.select("id", *reversed(ORDER), "latitude", "longitude", "south", "east"), "id long, fix_id long, date_time timestamp, latitude double, longitude double", run)
+    ``df`` has ``south`` and ``east`` (radians, as from :func:`steps`); ``start`` is a (lat, lon) for all tracks, or each
+    track starts at its first fix. A step without components stays in place. Rows are laid out along their track and cut into stretches of
+    ``STRETCH`` fixes, which are folded as arrays inside expressions; a long track is the work of many tasks.
+    """
+    by = ("latitude", "longitude")
+    if start is not None:
+        df = df.withColumns({c: F.lit(float(x)) for c, x in zip(by, start, strict=True)})
+    parts = checkpoint(_stretches(df, by))
+    if parts.filter("k > 0").limit(1).count():
+        long = parts.join(parts.filter("k = 1").select("id"), "id", "left_semi")
+        found = _starts(long).select("id", "k", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+        parts = parts.join(found, ["id", "k"], "left").withColumns({"lat": F.coalesce("_lat", "lat"), "lon": F.coalesce("_lon", "lon")})
+    none = F.array().cast("array<struct<latitude:double,longitude:double>>")
+    here = lambda at: F.struct(F.degrees(at.lat).alias("latitude"), F.degrees(at.lon).alias("longitude"))
+    wrapped = F.atan2(F.sin("lon"), F.cos("lon"))
+    places = F.aggregate("rows", _state(F.col("lat"), F.when(F.col("k") == 0, F.col("lon")).otherwise(wrapped), out=none), lambda at, r: _step(at, r.move, out=F.array_append(at.out, here(at))), lambda at: at.out)
+    out = parts.select("id", F.explode(F.arrays_zip(F.col("rows"), places.alias("places"))).alias("r"))
+    return out.select("id", "r.rows.fix_id", "r.rows.date_time", "r.places.latitude", "r.places.longitude")
 
 
 def translate_to_origin(df: DataFrame) -> DataFrame:
-    """Each track moved to start at (0, 0), its steps' local components kept (parallel transport step by step)."""
+    """Each track moved to start at (0, 0), its steps' local components kept (step by step, by the north of each place)."""
     return dead_reckon(steps(df), (0.0, 0.0))
 
 

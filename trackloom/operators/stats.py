@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..store import checkpoint
 from .motion import average_rank
+from .order import bin_of, inner_levels, quantiles
 
 
 def _corr(x, y):
@@ -119,35 +120,74 @@ def entropy(df, column, name="entropy"):
 
 def binned(df, column, bins):
     """Bin numbers of equal counts as ``column``."""
-    edges = df.agg(F.percentile(column, [i / bins for i in range(1, bins)]).alias("_e"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(column, F.size(F.filter("_e", lambda e: e < F.col(column)))).drop("_e")  # one row
+    edges = quantiles(df, column, inner_levels(bins)).select(F.col("quantiles").alias("_e"))
+    return df.crossJoin(F.broadcast(edges)).withColumn(column, bin_of(F.col(column), F.col("_e"))).drop("_e")  # one row
 
 
-def mutual_information(df, a, b):
-    """Mutual information of two discrete columns in bits."""
-    n = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    na, nb, t = (F.sum("n").over(Window.partitionBy(*k)) for k in (["a"], ["b"], []))
-    return n.select((F.col("n") / t * F.log2(F.col("n") * t / (na * nb))).alias("m")).agg(F.sum("m").alias("mi"))
+def _joint_information(counts, key):
+    """``key, mi`` in bits from counts ``key, a, b, n``."""
+    na, nb, t = (F.sum("n").over(Window.partitionBy(key, *k)) for k in (["a"], ["b"], []))
+    return counts.select(key, (F.col("n") / t * F.log2(F.col("n") * t / (na * nb))).alias("m")).groupBy(key).agg(F.sum("m").alias("mi"))
 
 
 def feature_information(df, columns, label, bins=8):
-    """``feature, mi, normalised``: binned information of each feature about a class, and as a share of the class entropy."""
-    out = None
-    for c in columns:
-        m = mutual_information(binned(df.filter(F.col(c).isNotNull()), c, bins), c, label).select(F.lit(c).alias("feature"), "mi")
-        out = m if out is None else out.unionAll(m)
-    return out.crossJoin(F.broadcast(entropy(df, label, "_h"))).select("feature", "mi", F.try_divide("mi", "_h").alias("normalised"))  # one row
+    """``feature, mi, normalised``: binned information of each feature about a class, and as a share of the class entropy.
+
+    All features go through one plan, as rows of feature and value. The edges are one row a feature.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = checkpoint(df.select(F.col(label).alias("b"), F.explode(cells).alias("c")).select("b", "c.*").filter("value is not null"))
+    edges = quantiles(long, "value", inner_levels(bins), "feature").select("feature", "quantiles")
+    counts = long.filter("b is not null").join(F.broadcast(edges), "feature")  # len(columns) rows
+    counts = counts.groupBy("feature", bin_of(F.col("value"), F.col("quantiles")).alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    # A feature without a known value tells nothing.
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    out = named.join(_joint_information(counts, "feature"), "feature", "left").crossJoin(F.broadcast(entropy(df, label, "_h")))  # one row
+    return out.select("feature", "mi", F.try_divide("mi", "_h").alias("normalised"))
+
+
+def feature_pairs(df, columns, bins):
+    """``pair, x, y, i, j``: for every row and pair of features that it knows both of, their values and bins of equal counts among such rows.
+
+    ``pair`` holds the features' places in ``columns``, the smaller one first. The plan is as large for many features as for few.
+    """
+    # Two explodes, of places and of later places, instead of an expression for each pair.
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v")).select("v", F.posexplode("v").alias("a", "x")).filter("x is not null")
+    rows = rows.filter(F.col("a") < len(columns) - 1).select("v", "a", "x", F.explode(F.sequence(F.col("a") + 1, F.lit(len(columns) - 1))).alias("b")).withColumn("y", F.get("v", F.col("b"))).filter("y is not null")
+    rows = checkpoint(rows.select(F.struct("a", "b").alias("pair"), "x", "y"))
+    sides = rows.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("value")), F.struct(F.lit(1).alias("side"), F.col("y").alias("value")))).alias("s"))
+    edges = quantiles(sides.select(F.struct("pair", "s.side").alias("key"), "s.value"), "value", inner_levels(bins), "key")
+    edges = edges.groupBy("key.pair").agg(*[F.max(F.when(F.col("key.side") == k, F.col("quantiles"))).alias(f"e{k}") for k in (0, 1)])
+    binned_rows = rows.join(F.broadcast(edges), "pair")  # a row for each pair of columns
+    return binned_rows.select("pair", "x", "y", bin_of(F.col("x"), F.col("e0")).alias("i"), bin_of(F.col("y"), F.col("e1")).alias("j"))
+
+
+def _pair_names(columns):
+    """Expressions for the names of a ``pair``."""
+    names = F.array(*[F.lit(c) for c in columns])
+    return F.get(names, F.col("pair.a")), F.get(names, F.col("pair.b"))
 
 
 def feature_redundancy(df, columns, bins=8):
-    """``a, b, mi`` for pairs of features."""
-    out = None
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            known = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-            m = mutual_information(binned(binned(known, a, bins), b, bins), a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "mi")
-            out = m if out is None else out.unionAll(m)
-    return out
+    """``a, b, mi`` for pairs of features, over the rows that know both; all pairs in one plan."""
+    counts = feature_pairs(df, columns, bins).groupBy("pair", F.col("i").alias("a"), F.col("j").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    a, b = _pair_names(columns)
+    return _joint_information(counts, "pair").select(a.alias("a"), b.alias("b"), "mi")
+
+
+def predictive_distances(df, columns, bins=8):
+    """``real, pred, d`` for pairs of features: 1 - R squared of one from the other's bins, the smaller of both ways; null if neither varies.
+
+    Counts, means and deviations within (pair, way, bin) are all that leaves the rows; a bin's part of the variance is count times its deviation.
+    """
+    ways = F.array(F.struct(F.lit(0).alias("way"), F.col("i").alias("bin"), F.col("y").alias("value")), F.struct(F.lit(1).alias("way"), F.col("j").alias("bin"), F.col("x").alias("value")))
+    cells = feature_pairs(df, columns, bins).select("pair", F.explode(ways).alias("w")).groupBy("pair", "w.way", "w.bin").agg(F.count(F.lit(1)).alias("n"), F.avg("w.value").alias("m"), F.var_pop("w.value").alias("v"))
+    mean = F.sum(F.col("n") * F.col("m")).over(Window.partitionBy("pair", "way")) / F.sum("n").over(Window.partitionBy("pair", "way"))
+    cells = cells.withColumn("between", F.col("n") * (F.col("m") - mean) ** 2)
+    inner = F.sum(F.col("n") * F.col("v"))
+    per = cells.groupBy("pair", "way").agg(F.try_divide(inner, inner + F.sum("between")).alias("d"))
+    a, b = _pair_names(columns)
+    return per.groupBy("pair").agg(F.min("d").alias("d")).select(a.alias("real"), b.alias("pred"), "d")
 
 
 def mrmr_order(information, redundancy):
@@ -340,8 +380,8 @@ def single_linkage(distances, height, nodes=None):
 # Tables of distances.
 
 
-def pooled_distances(distances, labels, reduce=lambda d: F.percentile(d, 0.5)):
-    """Distances of tracks pooled by the species of both."""
+def pooled_distances(distances, labels, reduce=F.avg):
+    """A table of distances pooled by the species of both tracks by any aggregate (for quantiles over all pairs of rows see ``distances.pooled_quantile``)."""
     a, b = (labels.select(F.col("id").alias(k), F.col("species").alias(s)) for k, s in (("i", "sp_i"), ("j", "sp_j")))
     df = distances.join(a, "i").join(b, "j")
     return df.select(F.least("sp_i", "sp_j").alias("sp_i"), F.greatest("sp_i", "sp_j").alias("sp_j"), "d").groupBy("sp_i", "sp_j").agg(reduce("d").alias("d"))
@@ -356,12 +396,6 @@ def knn_accuracy(near, labels, most=5, by=()):
     return best.join(labels, "id").groupBy(*by, "k").agg(F.avg((F.col("vote") == F.col("class")).cast("double")).alias("accuracy"))
 
 
-def stress(d, other):
-    """Sum of squared differences of two distance tables over the sum of squares of the first."""
-    j = d.join(other.select("i", "j", F.col("d").alias("e")), ["i", "j"])
-    return j.agg((F.sum((F.col("e") - F.col("d")) ** 2) / F.sum(F.col("d") ** 2)).alias("stress"))
-
-
 def pca(df, columns, k):
     """Shares of variance of k principal components, and features' importance: sum of |loading| by share. d x k figures reach the driver."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import enrich, report as R, stats as S
+from ..operators import distances as D, enrich, report as R, stats as S
 from .base import query
 from .q_motion import r6, r9
 from .q_report import OK, rep, rounded
@@ -190,6 +190,12 @@ def distances(read):
 
 
 @query("t27_pooled_distances", "T27 X5", f"WITH {PD} SELECT concat('c',CAST(least(x.class,y.class) AS STRING)) AS sp_i, concat('c',CAST(greatest(x.class,y.class) AS STRING)) AS sp_j, round(quantile_cont(d,0.5),6)+0.0 AS d FROM d JOIN p x ON x.id=i JOIN p y ON y.id=j GROUP BY 1, 2")
+def _(read):
+    rows = read("points").withColumn("species", F.concat(F.lit("c"), F.col("class").cast("string")))
+    return rounded(D.pooled_quantile(rows), "d").drop("n")
+
+
+@query("t27_pooled_means", "T27 X5", f"WITH {PD} SELECT concat('c',CAST(least(x.class,y.class) AS STRING)) AS sp_i, concat('c',CAST(greatest(x.class,y.class) AS STRING)) AS sp_j, round(avg(d),6)+0.0 AS d FROM d JOIN p x ON x.id=i JOIN p y ON y.id=j GROUP BY 1, 2")
 def _(read):
     labels = read("points").select("id", F.concat(F.lit("c"), F.col("class").cast("string")).alias("species"))
     return rounded(S.pooled_distances(distances(read), labels), "d")
@@ -204,8 +210,7 @@ def _(read):
 
 @query("t29_stress", "T29", f"WITH {PD}, e AS (SELECT a.id AS i, b.id AS j, list_distance(a.v[1:8],b.v[1:8]) AS e FROM p a JOIN p b ON a.id<b.id) SELECT round(sum((e-d)*(e-d))/sum(d*d),6)+0.0 AS stress FROM d JOIN e USING (i, j)")
 def _(read):
-    cut = read("points").withColumn("embedding", F.slice("embedding", 1, 8))
-    return rounded(S.stress(distances(read), enrich.distance_matrix(cut)), "stress")
+    return rounded(D.stress(read("points").withColumn("cut", F.slice("embedding", 1, 8)), "cut"), "stress")
 
 
 @query("t30_pca", "T30")
