@@ -246,9 +246,40 @@ def _(read):
     return rounded(S.sample_size_intervals(curves(read), "species", 0.9), "n_required", "low", "high")
 
 
-@query("w16_impute_polynomial", "W16")
+def _forsythe(most=5, folds=4):
+    """Least squares by polynomials made orthogonal row by row (another way than the operator's), residuals summed up directly."""
+    legendre = ["1.0", "x", "(3*x*x-1)/2", "(5*x*x*x-3*x)/2", "(35*x*x*x*x-30*x*x+3)/8", "(63*x*x*x*x*x-70*x*x*x+15*x)/8"]
+    lead = [1.0, 1.0, 1.5, 2.5, 4.375, 7.875]
+    levels, ys = "", ("la", "lo")
+    for j in range(most + 1):
+        sums = f"sum(t*p*p) OVER u AS d, sum(t*x*p*p) OVER u AS xd, sum(t*{legendre[j]}*{legendre[j]}) OVER u AS g, " + ", ".join(f"sum(t*{y}*p) OVER u AS b{y}" for y in ys)
+        live = f"ok AND d*{lead[j] ** 2} > 1e-10*g"
+        fits = ", ".join(f"CASE WHEN {live} THEN b{y}/d END AS w{y}{j}, CASE WHEN {live} THEN {f'f{y}{j - 1}' if j else '0.0'}+b{y}/d*p END AS f{y}{j}" for y in ys)
+        levels += f""", s{j} AS (SELECT *, {sums} FROM r{j} WINDOW u AS (PARTITION BY id, fold)), q{j} AS (SELECT *, {live} AS ok1, {fits} FROM s{j}),
+            r{j + 1} AS (SELECT * EXCLUDE (p, q, d, xd, g, bla, blo, ok, ok1, dd), ok1 AS ok, d AS dd, (x-xd/d)*p-{"d/dd" if j else "0.0"}*q AS p, p AS q FROM q{j})"""
+    err = ", ".join(f"avg((f{y}{j}-{y})**2) FILTER (tested) AS e{y}{j}" for y in ys for j in range(most + 1))
+    mean = ", ".join(f"avg(CASE WHEN n-tests > {j} AND n-2 >= {j} THEN e{y}{j} END) AS e{y}{j}" for y in ys for j in range(most + 1))
+    chain = "SELECT *, " + ", ".join(f"e{y}0 AS best{y}, 0 AS deg{y}" for y in ys) + " FROM m JOIN v USING (id)"
+    for j in range(1, most + 1):
+        less = {y: f"e{y}{j} IS NOT NULL AND (best{y} IS NULL OR e{y}{j} < best{y}-1e-9*v{y})" for y in ys}
+        chain = "SELECT * REPLACE (" + ", ".join(f"CASE WHEN {less[y]} THEN e{y}{j} ELSE best{y} END AS best{y}, CASE WHEN {less[y]} THEN {j} ELSE deg{y} END AS deg{y}" for y in ys) + f") FROM ({chain})"
+    value = lambda y: f"m{y}+" + "+".join(f"CASE WHEN deg{y} >= {j} THEN coalesce({f'f{y}{j}-f{y}{j - 1}' if j else f'f{y}0'}, 0) ELSE 0 END" for j in range(most + 1))
+    return f"""WITH f AS (SELECT id, epoch_us(date_time) AS us, latitude, longitude, row_number() OVER (PARTITION BY id ORDER BY date_time, fix_id)-1 AS i FROM fixes),
+        b AS (SELECT id, min(us) AS a, max(us) AS z, greatest(max(us)-min(us), 1) AS span, count(*) AS n, avg(latitude) AS mla, avg(longitude) AS mlo FROM f GROUP BY id),
+        v AS (SELECT id, var_pop(latitude) AS vla, var_pop(longitude) AS vlo FROM f GROUP BY id),
+        r0 AS (SELECT id, n, mla, mlo, fold, CAST(NULL AS BIGINT) AS slot, i % {folds} = fold AS tested, CASE WHEN i % {folds} <> fold THEN 1.0 ELSE 0.0 END AS t, 2.0*(us-a)/span-1 AS x, latitude-mla AS la, longitude-mlo AS lo, 1.0 AS p, 0.0 AS q, true AS ok, 1.0 AS dd FROM f JOIN b USING (id), range({folds + 1}) g(fold)
+          UNION ALL SELECT id, n, mla, mlo, {folds}, slot, false, 0.0, 2.0*(slot*86400000000.0-a)/span-1, 0.0, 0.0, 1.0, 0.0, true, 1.0 FROM (SELECT *, unnest(generate_series(CAST(ceil(a/86400000000.0) AS BIGINT), CAST(floor(z/86400000000.0) AS BIGINT))) AS slot FROM b)){levels},
+        e AS (SELECT id, fold, any_value(n) AS n, count(*) FILTER (tested) AS tests, {err} FROM r{most + 1} WHERE fold < {folds} GROUP BY id, fold),
+        m AS (SELECT id, {mean} FROM e WHERE tests > 0 GROUP BY id), c AS ({chain})
+        SELECT id, slot, slot+0.0 AS t, round({value("la")},5)+0.0 AS latitude, round({value("lo")},5)+0.0 AS longitude, degla AS latitude_degree, round(bestla,6)+0.0 AS latitude_error, deglo AS longitude_degree, round(bestlo,6)+0.0 AS longitude_error
+        FROM r{most + 1} JOIN c USING (id) WHERE slot IS NOT NULL"""
+
+
+@query("w16_impute_polynomial", "W16", _forsythe())
 def _(read):
-    return resample.impute_polynomial(read("fixes"))
+    df = resample.impute_polynomial(read("fixes"))
+    five = lambda c, k: (F.round(c, k) + 0.0).alias(c)
+    return df.select("id", "slot", "t", five("latitude", 5), five("longitude", 5), "latitude_degree", five("latitude_error", 6), "longitude_degree", five("longitude_error", 6))
 
 
 _ = (geo, CURVE)
