@@ -28,6 +28,15 @@ def words(text):
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACES_RE))
 
 
+#: Columns of :func:`text_hashes`.
+TEXT_HASHES = ["_hash0", "_hash1"]
+
+
+def text_hashes(text):
+    """Two 64-bit hashes of a text, which order rows that tie in all else without moving their texts."""
+    return [F.xxhash64(F.lit(k), text).alias(name) for k, name in enumerate(TEXT_HASHES)]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

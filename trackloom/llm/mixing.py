@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in DataFrame expressions only.
 
-Each source's words, documents in order of doc_id, are packed into blocks of ``BLOCK`` words, the last one shorter.  A
+Each source's words, documents in order of doc_id (ties by size and text), are packed into blocks of ``BLOCK`` words, the last one shorter.  A
 source has as many slots as its target holds blocks; of the last slot's block only the words that the target
 still lacks are taken.  Every slot draws an output shard, which gives each shard multinomial counts of the
 sources under the condition that the sources' totals are exact.  A shard's slots of a source are
@@ -20,7 +20,8 @@ SHARE = 1.5
 MOST_REPEATS = 2
 #: Words in a block.
 BLOCK = 256
-#: Slots in an output shard, and slots that one row of the draw expands to.
+#: Output shards at least, slots in one at most (on average), and slots that one row of the draw expands to.
+SHARDS = 8
 SHARD_SLOTS = 65_536
 DRAW = 4_096
 SEED = 20240229
@@ -77,18 +78,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS) -
     return ranked.select("source", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, block=BLOCK, seed=SEED, shard_slots=SHARD_SLOTS, keep=(), with_pieces=False, packed=False) -> DataFrame:
+def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, block=BLOCK, seed=SEED, shards=SHARDS, shard_slots=SHARD_SLOTS, keep=(), with_pieces=False, packed=False) -> DataFrame:
     """``doc_id, size, source_size, target, taken, shards`` (and the columns ``keep``) for every row.
 
     taken: words that the mix takes of the document, repeats counted; 0 to ``most`` times its size. ``shards``: how
     many of them each output shard drew, as sorted structs of shard and words. A null
     text has no words; null sources form one source, the last. Rows that repeat a doc_id are
-    documents of their own. The same rows and seed give the same result, however they are dealt out,
-    unless rows that tie in doc_id differ in size. ``with_pieces`` adds the stretches of words taken, as structs of
+    documents of their own. The same rows and seed give the same result, however they are dealt out: rows that share a doc_id are ordered
+    by size and a 128-bit hash of the text. There are ``shards`` output shards, more if each would have over ``shard_slots`` slots. ``with_pieces`` adds the stretches of words taken, as structs of
     start, stop and layer (the first or the second time). ``packed`` returns the blocks themselves (see :func:`pack`).
     """
-    rows = common.checkpoint(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(common.words(F.col(text))).cast("long").alias("size"), *[F.col(c) for c in keep]))
-    rows = common.checkpoint(common.running_start(rows, ["doc_id"], F.col("size"), by="source"))
+    rows = common.checkpoint(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(common.words(F.col(text))).cast("long").alias("size"), *common.text_hashes(F.coalesce(F.col(text), F.lit(""))), *[F.col(c) for c in keep]))
+    rows = common.checkpoint(common.running_start(rows, ["doc_id", "size", *common.TEXT_HASHES], F.col("size"), by="source").drop(*common.TEXT_HASHES))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = lambda c: c.cast("long")
     plan = plan.withColumns({"full": whole(F.floor(F.col("source_size") / block)), "blocks": whole(F.ceil(F.col("source_size").cast("double") / block)), "_words": F.least(whole(F.round("target")), F.col("source_size") * most)})
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     plan = plan.withColumn("_last", last).withColumns({"slots": F.col("_passes") * F.col("blocks") + F.col("_last"), "cut": F.when(F.col("_rest") > 0, F.col("_rest") - F.least(F.col("_last") - 1, F.col("full")) * block)})
     plan = common.checkpoint(plan.drop("_words", "_passes", "_rest", "_last"))
     every = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    shards = max(1, -(-every // shard_slots))
+    shards = max(shards, -(-every // shard_slots))
     # Lots are few small rows that grow to many: their number, not their size, says how to deal them out.
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, every // (64 * DRAW) + 1)
 

@@ -50,8 +50,9 @@ def shard(docs: DataFrame, shards=SHARDS, doc_id="doc_id", text="text") -> DataF
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row.
 
     size: UTF-8 bytes of the text plus 1; a null text has no bytes, size 1 and the CRC of nothing, 0.
-    slot: gapless from 0 in each shard, by doc_id; equal rows take slots of their own. A null doc_id
-    is sharded as key 0 and comes first in its shard. Only these few columns are exchanged, no text.
+    slot: gapless from 0 in each shard, by doc_id, then size, CRC and a 128-bit hash of the text, so rows that share a doc_id have the same slots
+    however they are dealt out; equal rows take slots of their own. A null doc_id is sharded as key 0 and comes first in its
+    shard. Only these few columns are exchanged, no text.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -61,5 +62,6 @@ def shard(docs: DataFrame, shards=SHARDS, doc_id="doc_id", text="text") -> DataF
         F.lit("key").alias("law"),
         jump_hash(F.col(doc_id), shards).alias("shard"),
         jump_hash(F.col(doc_id), shards + 1).alias("grown_shard"),
+        *common.text_hashes(body),
     )
-    return common.running_start(common.checkpoint(rows), ["doc_id"], by="shard").select("doc_id", "size", "text_crc32", "law", "shard", F.col("_start").alias("slot"), "grown_shard")
+    return common.running_start(common.checkpoint(rows), ["doc_id", "size", "text_crc32", *common.TEXT_HASHES], by="shard").select("doc_id", "size", "text_crc32", "law", "shard", F.col("_start").alias("slot"), "grown_shard")
