@@ -271,6 +271,27 @@ def test_binomial_bound_is_exact_and_rejects_what_it_may(spark):
     assert quality.certify(many.filter("doc_id < 200"), "_stratum").count() == 0
 
 
+def test_strata_without_evidence_take_the_pooled_cutoffs(spark):
+    row = lambda i, lang, good: (i, 100, 500, (i % 10) if good else 400, 0, 0, lang, int(good), i % 5 > 0)
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _stratum string, good int, holdout boolean"
+    rows = [row(i, "large", i % 4 > 0) for i in range(2000)] + [row(3000 + i, lang, i % 4 > 0) for i in range(60) for lang in ("small", None)] + [row(5000 + i, "bad", False) for i in range(40)]
+    found = {(r._stratum, r.pooled): r.cutoff for r in quality.certify(spark.createDataFrame(rows, schema), "_stratum").filter("rule = 'symbols'").collect()}
+    assert found.keys() == {("large", False), ("small", True), (None, True)} and all(0.018 <= c < 0.8 for c in found.values())
+
+
+def test_false_rejections_stay_within_the_risk_on_random_splits(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    # Labels of a random half certify; rejections are counted among the good documents of the other half.
+    facts = common.checkpoint(quality.features(docs.join(labels.filter("quality is not null").select("doc_id"), "doc_id").withColumn("_stratum", F.col("lang")), keep=["_stratum"]))
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    rates = []
+    for seed in range(6):
+        part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2)) == 0
+        told = quality.judge(facts, quality.learn(facts, labels.filter(part))).join(good, "doc_id").filter(~part & ~F.col("base_failed"))
+        rates += [r.rate for r in told.groupBy("_stratum").agg(F.avg((~F.col("kept")).cast("int")).alias("rate")).collect()]
+    assert len(rates) == 24 and sum(rate > quality.RISK for rate in rates) <= 1
+
+
 def test_verdicts_follow_the_cutoffs_and_strata_hold_their_risk(spark):
     rng = np.random.default_rng(4)
     strata, n = 40, 1500
@@ -286,16 +307,18 @@ def test_verdicts_follow_the_cutoffs_and_strata_hold_their_risk(spark):
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _stratum string, good int, holdout boolean"
     df = spark.createDataFrame(rows, schema)
     cut = collections.defaultdict(dict)
-    for r in quality.certify(df, "_stratum").collect():
+    found = quality.certify(df, "_stratum").collect()
+    for r in found:
         cut[r._stratum][r.rule] = r.cutoff
-    assert len(cut) > strata // 2
+    own = {r._stratum for r in found if not r.pooled}
+    assert len(own) > strata // 2 and len(cut) == strata
     value = lambda r: {"symbols": r[3] / r[2], "duplicate_lines": r[4] / r[1], "repeats": r[5] / r[1], "long_words": r[2] / r[1], "short_words": r[1] / r[2]}
     falls = lambda r, c: any(x > c.get(k, math.inf) for k, x in value(r).items())
-    for s, c in cut.items():
-        held = [r for r in rows if r[6] == s and r[7] and r[8]]
+    for s, c in [*((s, cut[s]) for s in own), *[(None, cut[s]) for s in cut.keys() - own][:1]]:
+        held = [r for r in rows if s in (r[6], None) and r[7] and r[8]]
         x = sum(falls(r, c) for r in held)
         chance = sum(math.comb(len(held), k) * quality.RISK**k * (1 - quality.RISK) ** (len(held) - k) for k in range(x + 1))
-        assert chance <= quality.DELTA / strata
+        assert chance <= quality.DELTA / (strata + 1)
     # The true rate, over all strata's good documents, which share one distribution.
     good = [r for r in rows if r[7]]
     assert sum(sum(falls(r, c) for r in good[:: 7]) > quality.RISK * len(good[::7]) for c in cut.values()) == 0

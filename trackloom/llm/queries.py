@@ -102,7 +102,7 @@ def _license_sql():
 
 def _quality_sql():
     """Features, levels and exact binomial tests; the cutoffs of a level are the values at its rank among the proposing good documents."""
-    (keeps, factors), rules = (", ".join(map(str, x)) for x in zip(*quality.LEVELS, strict=True)), len(quality.RULES)
+    levels, rules = ", ".join(f"({i}, {keep}, {factor}, {margin}, {n})" for i, (keep, factor, margin, n) in enumerate(quality.LEVELS, 1)), len(quality.RULES)
     word = "[^\\x20\\x09-\\x0D]"
     ratio = lambda a, b: f"CASE WHEN {b} <> 0 THEN {a} / {b} END"
     values = ", ".join(ratio(*e.removeprefix("try_divide(").removesuffix(")").split(", ")) for e in quality.RULES.values())
@@ -117,19 +117,21 @@ def _quality_sql():
               CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
         v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, [{values}] AS v FROM f),
         q AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-        g AS (SELECT lang, v, CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 3 > 0 AS holdout FROM v JOIN q USING (doc_id) WHERE good = 1),
-        o AS (SELECT lang, k, list_sort(list(v[k])) AS o FROM g, range(1, {rules + 1}) t(k) WHERE NOT holdout AND v[k] IS NOT NULL GROUP BY lang, k),
-        p AS (SELECT lang, k, level, o[CAST(greatest(1, ceil(keep * len(o))) AS BIGINT)] * factor AS cut FROM o, (SELECT unnest([{keeps}]) AS keep, unnest([{factors}]) AS factor, unnest(range(1, {len(quality.LEVELS) + 1})) AS level)),
-        h AS (SELECT row_number() OVER () AS id, lang, v FROM g WHERE holdout),
-        s AS (SELECT id, h.lang, level, max(CASE WHEN v[k] > cut THEN 1 ELSE 0 END) AS falls FROM h JOIN p ON h.lang IS NOT DISTINCT FROM p.lang GROUP BY ALL),
-        n AS (SELECT lang, level, count(*) AS n, sum(falls) AS x FROM s GROUP BY ALL),
-        b AS (SELECT lang, level, x <= n * {quality.RISK} AND ln((SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({quality.RISK}) + (n - k) * ln(1 - {quality.RISK}))) FROM range(0, CAST(x + 1 AS BIGINT)) t(k)))
-              <= ln({quality.DELTA} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM g WHERE NOT holdout))) AS passed FROM n),
-        a AS (SELECT lang, max(level) AS level FROM (SELECT lang, level, bool_and(passed) OVER (PARTITION BY lang ORDER BY level) AS passed FROM b) WHERE passed GROUP BY lang),
-        z AS (SELECT a.lang, list(cut ORDER BY k) AS cuts, list(k ORDER BY k) AS ks FROM a JOIN p ON a.lang IS NOT DISTINCT FROM p.lang AND a.level = p.level GROUP BY a.lang)
+        m AS (SELECT coalesce('of ' || lang, 'none') AS s, v, CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % {quality.PROPOSING} > 0 AS holdout FROM v JOIN q USING (doc_id) WHERE good = 1),
+        g AS (SELECT * FROM m UNION ALL SELECT 'all', v, holdout FROM m),
+        o AS (SELECT s, k, list_sort(list(v[k])) AS o FROM g, range(1, {rules + 1}) t(k) WHERE NOT holdout AND v[k] IS NOT NULL GROUP BY s, k),
+        p AS (SELECT s, k, level, o[CAST(greatest(1, ceil(keep * len(o))) AS BIGINT)] * factor + margin AS cut FROM o JOIN (VALUES {levels}) l(level, keep, factor, margin, active) ON k <= active),
+        h AS (SELECT row_number() OVER () AS id, s, v FROM g WHERE holdout),
+        e AS (SELECT id, h.s, level, max(CASE WHEN v[k] > cut THEN 1 ELSE 0 END) AS falls FROM h JOIN p ON h.s = p.s GROUP BY ALL),
+        n AS (SELECT s, level, count(*) AS n, sum(falls) AS x FROM e GROUP BY ALL),
+        b AS (SELECT s, level, x <= n * {quality.RISK} AND ln((SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({quality.RISK}) + (n - k) * ln(1 - {quality.RISK}))) FROM range(0, CAST(x + 1 AS BIGINT)) t(k)))
+              <= ln({quality.DELTA} / (SELECT count(*) FROM (SELECT DISTINCT s FROM g WHERE NOT holdout))) AS passed FROM n),
+        a AS (SELECT s, max(level) AS level FROM (SELECT s, level, bool_and(passed) OVER (PARTITION BY s ORDER BY level) AS passed FROM b) WHERE passed GROUP BY s),
+        y1 AS (SELECT a.s, list(cut ORDER BY k) AS cuts, list(k ORDER BY k) AS ks FROM a JOIN p ON a.s = p.s AND a.level = p.level GROUP BY a.s),
+        z AS (SELECT d.s, coalesce(own.cuts, pool.cuts) AS cuts, coalesce(own.ks, pool.ks) AS ks FROM (SELECT DISTINCT s FROM m) d LEFT JOIN y1 own ON own.s = d.s LEFT JOIN y1 pool ON pool.s = 'all')
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT coalesce(list_bool_or(list_transform(ks, lambda k, j: coalesce(v[k] > cuts[j], false))), false) AS kept
-        FROM v LEFT JOIN z ON v.lang IS NOT DISTINCT FROM z.lang"""
+        FROM v LEFT JOIN z ON z.s = coalesce('of ' || v.lang, 'none')"""
 
 
 def oracle_sql():
