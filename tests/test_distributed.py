@@ -1,13 +1,17 @@
 """Operators that spread one group over many tasks, against plain versions with their blocks made small."""
 
+import hashlib
 import itertools
 import math
+import statistics
+import tempfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import distances, enrich, models, motion, order, stats
+from trackloom.operators import distances, enrich, models, motion, order, prune, stats
+from trackloom.sources import io
 
 
 def test_quantiles_are_those_of_percentile(spark):
@@ -126,3 +130,143 @@ def test_feature_plan_does_not_grow_with_features(spark):
     depth = lambda k: stats.feature_pairs(wide, [f"f{i}" for i in range(k)], 4)._jdf.queryExecution().optimizedPlan().toString().count("\n")
     assert depth(24) <= depth(4)
     assert stats.feature_redundancy(wide, wide.columns, 4).count() == 24 * 23 // 2
+
+
+def nearest(rows, k):
+    rows = [(i, v) for i, v in rows if v is not None and i is not None and None not in v]
+    out = {}
+    for n, (i, v) in enumerate(rows):
+        far = sorted((math.dist(v, w), j) for m, (j, w) in enumerate(rows) if m != n and j != i and len(w) == len(v))
+        out.setdefault(i, []).extend((j, d) for d, j in far[:k])
+    return out
+
+
+@pytest.mark.parametrize("block, pivots", [(7, 5), (25, 16), (512, 32)])
+def test_nearest_rows_by_pivots(spark, block, pivots):
+    rng = np.random.default_rng(block)
+    flat = [(i, [float(x) for x in np.round(rng.normal(100 * (i % 6), 10, 2))]) for i in range(150)]  # whole numbers: ties are exact
+    wide = [(200 + i, [float(x) for x in rng.normal(size=9)]) for i in range(40)]
+    rows = [*flat, *wide, (900, None), (None, [1.0, 2.0]), (901, [1.0, None]), (902, [7.0]), (903, [])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in distances.nearest_rows(df, 3, block=block, pivots=pivots).collect():
+        got.setdefault(r.id, []).append((r.other, r.d))
+    want = {i: v for i, v in nearest(rows, 3).items() if v}
+    assert got.keys() == want.keys()
+    for i, v in want.items():
+        near = sorted(got[i], key=lambda p: (p[1], p[0]))
+        assert [j for j, _ in near] == [j for j, _ in v] and np.allclose([d for _, d in near], [d for _, d in v])
+    assert distances.nearest_rows(df.filter("id < 0"), 3).count() == 0
+
+
+def test_pivots_leave_most_pairs_of_blocks_out_where_rows_lie_in_clusters(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.normal(50 * (i % 40), 1, 2)]) for i in range(4000)]
+    blocks = distances.metric_blocks(spark.createDataFrame(rows, "id long, embedding array<double>"), block=50)
+    n = blocks.count()
+    assert distances.block_pairs(blocks, 5).count() < 0.2 * n * (n - 1) / 2
+
+
+def test_close_pairs_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "ABCé"[i % 4], float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180)), float(rng.uniform(0, 10))) for i in range(150)]
+    rows += [(500 + i, "AB"[i % 2], 10.0 + 0.001 * (i % 7), 179.99 + 0.001 * (i % 5), 5.0) for i in range(60)]  # a colony in one cube
+    rows += [(900, None, 1.0, 1.0, 5.0), (901, "A", None, 1.0, 5.0), (902, "A", 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "fix_id long, species string, latitude double, longitude double, env double").repartition(3)
+    want = {}
+    for (a, s, la, lo, e), (b, t, lb, lp, f) in itertools.permutations([r for r in rows if None not in r and r[4] > 1], 2):
+        h = math.sin(math.radians(lb - la) / 2) ** 2 + math.cos(math.radians(la)) * math.cos(math.radians(lb)) * math.sin(math.radians(lp - lo) / 2) ** 2
+        d = 2 * math.asin(min(1.0, math.sqrt(h)))
+        if s < t and d < 0.3 and min(e, f) / max(e, f) > 0.2:
+            want[a, b] = d
+    for crowd in (8, 1024):
+        got = {(r.a, r.b): r.dist for r in enrich.close_pairs(df, 0.3, 0.2, 1.0, crowd=crowd).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], d, abs_tol=1e-12) for k, d in want.items())
+    assert enrich.close_pairs(df.filter("fix_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [1, 16])
+def test_far_points_find_their_site_down_the_tree(spark, monkeypatch, leaf):
+    monkeypatch.setattr(enrich, "LEAF", leaf)
+    rng = np.random.default_rng(leaf)
+    sites = [(float(a), float(b)) for a, b in zip(rng.normal(40, 5, 200), rng.normal(20, 5, 200), strict=True)] + [(-80.0, 0.0), (-80.0, 120.0), (-80.0, 120.0)]
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 120), rng.uniform(-180, 180, 120), strict=True))] + [(500, -90.0, 0.0), (501, None, 3.0)]
+    df = spark.createDataFrame(points, "fix_id long, latitude double, longitude double")
+    place = spark.createDataFrame(sites, "lat double, lon double")
+    for found in (enrich.nearest_site(df, place), enrich._descend(df.dropna(), place.distinct().toDF("site_lat", "site_lon"), leaf=leaf)):
+        got = {r.fix_id: (r.dist, r.site_lat, r.site_lon) for r in found.collect()}
+        assert len(got) == len(points) - 1
+        for i, la, lo in points:
+            if la is not None:
+                d = enrich._haversine(*np.radians([[la], [lo]]), *np.radians(np.array(sites)).T)[0]
+                assert math.isclose(got[i][0], d.min(), abs_tol=1e-7)
+    assert enrich.nearest_site(df, place.limit(0)).count() == 0 and enrich.nearest_site(df.limit(0), place).count() == 0
+
+
+def test_stored_tracks_need_no_exchange(spark):
+    rows = [(i % 30, i, f"2024-01-{1 + i % 28:02d} 00:00:00", float(i % 80), float(i % 170)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, fix_id long, date_time string, latitude double, longitude double").withColumn("date_time", F.to_timestamp("date_time"))
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    first = io.store_tracks(df.filter("fix_id < 400"), "stored_tracks", f"{root}/t", buckets=4)
+    stored = io.append_tracks(df.filter("fix_id >= 400"), "stored_tracks")
+    assert first.columns == stored.columns and stored.count() == 600
+    by_track = motion.steps(stored).groupBy("id").agg(F.sum("dist").alias("d"))
+    assert "Exchange" not in by_track._jdf.queryExecution().executedPlan().toString()
+    want = {r.id: r.d for r in motion.steps(df).groupBy("id").agg(F.sum("dist").alias("d")).collect()}
+    assert {r.id: r.d for r in by_track.collect()} == pytest.approx(want)
+    assert io.store_tracks(df, "more_tracks", f"{root}/u").count() == 600
+
+
+def counts(row, replicates):
+    """Poisson counts of a named row in plain Python."""
+    x = int(hashlib.md5(row.encode()).hexdigest()[:8], 16) % stats.PRIME
+    return [sum(x * stats.replicate_factor(r) % stats.PRIME >= t for t in stats.poisson_limits()) for r in range(replicates)]
+
+
+def test_bootstraps_are_sums_over_counts(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "abc"[i % 3] if i else "lone", float(v)) for i, v in enumerate(np.round(rng.normal(5, 2, 200), 1))] + [(900, "a", None)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(6)
+    replicates = 60
+    weight = {i: counts(f"{g}-{i}", replicates) for i, g, _ in rows}
+    means = {(r.g, r.rep): r["mean"] for r in stats.resampled_means(df, "g", "v", replicates).collect()}
+    medians = {(r.g, r.rep): r.median for r in stats.resampled_medians(df, "g", "v", replicates).collect()}
+    want_means, want_medians = {}, {}
+    for g in ("a", "b", "c", "lone"):
+        for r in range(replicates):
+            drawn = [v for i, h, v in rows if h == g and v is not None for _ in range(weight[i][r])]
+            if drawn:
+                want_means[g, r], want_medians[g, r] = statistics.fmean(drawn), statistics.median(drawn)
+    assert means == pytest.approx(want_means) and medians == pytest.approx(want_medians)
+    # Counts are Poisson(1): their mean and variance are 1, and replicates and rows are as good as independent.
+    c = np.array([counts(f"g-{i}", 200) for i in range(2000)])
+    assert abs(c.mean() - 1) < 0.01 and abs(c.var() - 1) < 0.02
+    assert np.abs(np.corrcoef(c.T) - np.eye(200)).max() < 0.15 and abs(np.corrcoef(c)[np.triu_indices(2000, 1)].mean()) < 0.005
+
+
+def test_intervals_cover_and_bca_follows_its_definition(spark):
+    normal = statistics.NormalDist()
+    p = [1e-9, 1e-4, 0.01, 0.3, 0.5, 0.77, 0.999, 1 - 1e-9]
+    for q, r in zip(p, spark.createDataFrame([(x,) for x in p], "p double").select(stats.normal_quantile(F.col("p")).alias("z")).collect(), strict=True):
+        assert math.isclose(r.z, normal.inv_cdf(q), rel_tol=1e-8, abs_tol=1e-8)
+    x = [-6.0, -2.0, -0.1, 0.0, 1.5, 5.0]
+    for v, r in zip(x, spark.createDataFrame([(v,) for v in x], "x double").select(stats.normal_cdf(F.col("x")).alias("p")).collect(), strict=True):
+        assert math.isclose(r.p, normal.cdf(v), rel_tol=2e-7)
+    rng = np.random.default_rng(3)
+    rows = [(g * 100 + i, g, float(v)) for g in range(60) for i, v in enumerate(rng.exponential(1, 40))]
+    df = spark.createDataFrame(rows, "id long, g long, v double")
+    plain = {r.g: (r.low, r.high) for r in stats.percentile_interval(df, "g", "v").collect()}
+    bca = {r.g: (r.low, r.high) for r in stats.bca_interval(df, "g", "v").collect()}
+    assert len(plain) == len(bca) == 60
+    assert sum(low <= 1 <= high for low, high in plain.values()) >= 48 and sum(low <= 1 <= high for low, high in bca.values()) >= 48
+    # Of a skewed sample the corrected interval lies further to the right.
+    assert np.mean([bca[g][1] - plain[g][1] for g in plain]) > 0
+
+
+def test_report_predicates(spark):
+    df = spark.createDataFrame([(1, "A", "Wrong"), (1, "A", "Wrong"), (2, "B", "Correct"), (3, None, "Wrong"), (4, "C", None)], "id long, species string, prediction string")
+    ids = lambda d: sorted(r.id for r in d.collect())
+    assert ids(prune.reported(df, "prediction = 'Wrong'")) == [1, 3]
+    assert ids(prune.reported(df, F.col("prediction") == "Wrong", ("A", "C"))) == [1]
+    assert ids(prune.reported(df, "true", df.filter("id in (2, 4)").select(F.col("species").alias("s")))) == [2, 4]
+    assert ids(prune.reported(df, "true", ())) == []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_oracles import DATA, QUERIES
 from trackloom import registry
 from trackloom.functions import times
-from trackloom.operators import enrich, motion, prune, report, resample, stats
+from trackloom.operators import distances, enrich, motion, prune, report, resample, stats
 from trackloom.sources import io
 from trackloom.streaming import rows
 
@@ -17,7 +17,7 @@ CALLS = [
     ("S1", io, "read_fixes"), ("S2", io, "read_metadata"), ("S3", io, "clean_legacy"), ("S4", io, "base_table"), ("S5", io, "write_base"), ("S6", io, "read_effort"), ("S7", io, "read_matrix"), ("S8", io, "melt_grid"),
     ("S12", io, "materialize"), ("S13", io, "read_reports"), ("S14", io, "append_results"), ("S15", io, "add_missing"), ("F14", prune, "keep_inside"), ("F15", prune, "common_window"), ("F16", prune, "select_columns"),
     ("J9", enrich, "nearest_l1"), ("J16", enrich, "merge_covariates"), ("J17", enrich, "merge_covariates"), ("J18", enrich, "nearest_site"), ("J19", enrich, "impute_nearest"), ("J21", enrich, "distance_matrix"), ("J22", enrich, "shapelet_distances"),
-    ("T4", stats, "representatives"), ("T12", stats, "bca_interval"), ("T17", stats, "sample_size_intervals"), ("T28", enrich, "nearest_rows"), ("V9", times, "day_from_periodic"), ("V16", times, "sentinel_to_null"),
+    ("T4", stats, "representatives"), ("T12", stats, "bca_interval"), ("T17", stats, "sample_size_intervals"), ("T27", distances, "pooled_quantile"), ("T28", distances, "nearest_rows"), ("T29", distances, "stress"), ("F20", prune, "reported"), ("T11", stats, "resampled_means"), ("T13", stats, "resampled_medians"), ("W21", motion, "dead_reckon"), ("T7", stats, "feature_information"), ("T8", stats, "feature_redundancy"), ("V9", times, "day_from_periodic"), ("V16", times, "sentinel_to_null"),
     ("A18", enrich, "species_overlap"), ("C15", report, "maintained_summary"), ("C17", report, "multi_transfer"), ("C27", report, "taxa_accuracy_intervals"), ("W15", resample, "resample"), ("W16", resample, "impute_polynomial"), ("W20", motion, "translate_to_origin"),
     ("J4", rows, "enrich_stream"),
 ]

@@ -1,11 +1,13 @@
 """Figures over all pairs of rows of vectors that no pair row leaves a task for."""
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import checkpoint
-from .enrich import _blocks, _euclidean, _triangle_of
+from .enrich import BLOCK, _block_pairs, _blocks, _euclidean, _triangle, _triangle_of
 
 #: Bits of a distance that the first pass counts by (sign, exponent and six bits behind the point), and that each later one adds.
 FIRST, MORE = 18, 10
@@ -115,3 +117,144 @@ def stress(df: DataFrame, other, key="id", vector="embedding") -> DataFrame:
 
     sums = _triangle_of(checkpoint(_blocks(rows, "key", "v")), pairs, "changes double, squares double")
     return sums.agg(F.try_divide(F.sum("changes"), F.sum("squares")).alias("stress"))
+
+
+# Nearest rows by an index of pivots.
+
+#: Rows that serve as pivots at most.
+PIVOTS = 32
+#: Part by which a bound is lowered against rounding.
+SLACK = 1e-9
+
+
+def metric_blocks(df: DataFrame, key="id", vector="embedding", block=BLOCK, pivots=PIVOTS) -> DataFrame:
+    """``_size, block, low, high, _rows``: vectors in blocks of neighbours, each with the least and greatest distance of its rows to every pivot.
+
+    Pivots are the rows of smallest hashes. Rows are laid out by their nearest pivot and the distance to it, by a range exchange, and
+    cut into blocks where they lie, so however many rows a pivot has, no task gathers them.
+    """
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    chosen = {}
+    for r in rows.orderBy(F.xxhash64("k"), "k").limit(pivots).collect():
+        chosen.setdefault(len(r.v), []).append(r.v)
+    chosen = {size: np.array(v) for size, v in chosen.items()}
+
+    def far(x):
+        """Distances to the pivots of the vectors' length; one column of zeros without any, which bounds nothing."""
+        return _euclidean(x, chosen[x.shape[1]]) if x.shape[1] in chosen and x.shape[1] else np.zeros((len(x), 1))
+
+    def place(batches):
+        for b in batches:
+            lists = b.column(1)
+            sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+            start = np.cumsum(sizes) - sizes
+            cell, r = np.zeros(len(sizes), np.int32), np.zeros(len(sizes))
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                d = far(flat[start[at][:, None] + np.arange(size)])
+                cell[at], r[at] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes.astype(np.int32)), pa.array(cell), pa.array(r)], ["k", "v", "_size", "_cell", "_r"])
+
+    laid = checkpoint(rows.mapInArrow(place, "k long, v array<double>, _size int, _cell int, _r double"))
+    order = ["_size", "_cell", "_r", "k"]
+    spread = max(laid.sparkSession.sparkContext.defaultParallelism, int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def cut(batches):
+        part, count, held = TaskContext.get().partitionId(), 0, None
+
+        def made(table):
+            nonlocal count
+            x = np.array(table["v"].to_pylist(), float).reshape(table.num_rows, -1)
+            d = far(x)
+            count += 1
+            out = pa.table({"_size": pa.array([x.shape[1]], pa.int32()), "block": pa.array([(part << 32) + count]), "low": pa.array([d.min(axis=0).tolist()]), "high": pa.array([d.max(axis=0).tolist()]),
+                            "_rows": pa.array([[{"k": k, "v": v} for k, v in zip(table["k"].to_pylist(), x.tolist(), strict=True)]], pa.list_(pa.struct([("k", pa.int64()), ("v", pa.list_(pa.float64()))])))})
+            return out.to_batches()
+
+        for b in [*batches, None]:
+            if b is not None:
+                t = pa.Table.from_batches([b])
+                held = t if held is None else pa.concat_tables([held, t])
+            while held is not None and held.num_rows and (b is None or held.num_rows > block):
+                cells = held["_size"].to_numpy() * (pivots + 1) + held["_cell"].to_numpy()
+                end = min(block, int(np.argmax(cells != cells[0])) or held.num_rows)
+                yield from made(held.slice(0, end))
+                held = held.slice(end)
+
+    return checkpoint(laid.repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(cut, "_size int, block long, low array<double>, high array<double>, _rows array<struct<k:long,v:array<double>>>"))
+
+
+def _best(x, y, kx, ky, k):
+    """Rows of ``x``, places in ``y`` and distances of the ``k`` nearest others: screened by squares, with a margin for their rounding, then measured."""
+    centre = y.mean(axis=0)
+    a, b = x - centre, y - centre
+    na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    square = na[:, None] + nb[None, :] - 2 * a @ b.T
+    square[kx[:, None] == ky[None, :]] = np.inf
+    most = min(k, len(y))
+    edge = np.partition(square, most - 1, axis=1)[:, most - 1]
+    i, j = np.nonzero((square <= (edge + 1e-12 * (na + nb.max()) * max(1, x.shape[1]))[:, None]) & np.isfinite(square))
+    d = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
+    order = np.lexsort((ky[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep], d[keep]
+
+
+def block_pairs(blocks: DataFrame, k) -> DataFrame:
+    """``a, b``: pairs of :func:`metric_blocks` (a < b) of which one may hold one of the ``k`` nearest rows of the other.
+
+    In a block the k-th nearest of each row is known; the largest such distance is the block's reach. By the triangle inequality two
+    blocks whose distances to some pivot are further apart than the larger reach have nothing for each other.
+    """
+
+    def reach(batches):
+        for b in batches:
+            out = []
+            for rows in b.column(1):
+                keys, x = rows.values.field(0).to_numpy(), rows.values.field(1).flatten().to_numpy().reshape(len(rows), -1)
+                i, _, d = _best(x, x, keys, keys, k)
+                whole = np.bincount(i, minlength=len(x)) >= k
+                out.append(float(d.max(initial=0.0)) if whole.all() else np.inf)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["block", "reach"])
+
+    known = blocks.select("block", "_rows").mapInArrow(reach, "block long, reach double")
+    # Blocks of blocks: the bounds of a block are its vector.
+    bounds = blocks.join(known, "block").select("block", F.concat(F.array(F.col("_size").cast("double"), "reach"), "low", "high").alias("v"))
+
+    def meet(ka, x, kb, y, same):
+        wide = (x.shape[1] - 2) // 2
+        gap = np.zeros((len(x), len(y)))
+        for t in range(2, 2 + wide):
+            gap = np.maximum(gap, np.maximum(x[:, t, None] - y[None, :, t + wide], y[None, :, t] - x[:, t + wide, None]))
+        near = (gap * (1 - SLACK) <= np.maximum(x[:, 1, None], y[None, :, 1])) & (x[:, 0, None] == y[None, :, 0])
+        if same:
+            near &= ka[:, None] < kb[None, :]
+        i, j = np.nonzero(near)
+        yield np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j])
+
+    return _triangle(bounds, "block", "v", meet, "a long, b long")
+
+
+def nearest_rows(df: DataFrame, k, key="id", vector="embedding", block=BLOCK, pivots=PIVOTS) -> DataFrame:
+    """``id, other, d``: each row's k nearest other rows by Euclidean distance, exact, ties to the smaller key.
+
+    Pairs of blocks that the pivots show to be too far apart (:func:`block_pairs`) are not compared; of the others a pair of blocks passes on
+    k rows for each row at most. How many pairs are left out rests on the vectors: most in few dimensions or in clusters, none
+    where all rows are about equally far from each other. Rows that share a key are never each other's neighbours; rows with a null in key or vector have none.
+    """
+    blocks = metric_blocks(df, key, vector, block, pivots)
+    pairs = block_pairs(blocks, k).unionAll(blocks.select(F.col("block").alias("a"), F.col("block").alias("b")))
+    left = blocks.select(F.col("block").alias("a"), F.col("_rows").alias("_left")).join(pairs, "a").withColumn("_same", F.col("a") == F.col("b"))
+    right = blocks.select(F.col("block").alias("b"), F.col("_rows").alias("_right"))
+
+    def compare(ki, x, kj, y, same):
+        i, j, d = _best(x, y, ki, kj, k)
+        yield ki[i], kj[j], d
+        if not same:
+            i, j, d = _best(y, x, kj, ki, k)
+            yield kj[i], ki[j], d
+
+    near = _block_pairs(left, right, ["b"], compare, "id long, other long, d double")
+    w = Window.partitionBy("id").orderBy("d", "other")
+    return near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import geo, times
 from ..store import checkpoint
 
-#: A grid of at most this many rows goes out by broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: A table goes out by broadcast if it has at most so many bytes, by its rows and the usual width of its columns; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
-def sized(df: DataFrame, most=BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the table is small enough."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def sized(df: DataFrame, most_bytes=BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the table is small enough; a table with arrays, maps or structs is measured as strings."""
+    plain = [f.dataType.typeName() not in ("array", "map", "struct", "variant", "string", "binary") for f in df.schema.fields]
+    wide = [F.octet_length(F.col(f"`{f.name}`").cast("string")) + 16 for f, p in zip(df.schema.fields, plain, strict=True) if not p]
+    fixed = 16 + 8 * sum(plain)
+    if not wide:
+        most = most_bytes // fixed
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    # No more rows are measured than would be too many anyway.
+    size = df.limit(most_bytes // (fixed + 16) + 1).agg(F.count(F.lit(1)) * fixed + F.coalesce(F.sum(sum((F.coalesce(w, F.lit(16)) for w in wide), F.lit(0))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most_bytes else df
 
 
 def with_metadata(fixes, animals, strict=True):
@@ -106,28 +114,78 @@ def _near(points, sites, chord):
     return pts.join(spread, ["_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz")
 
 
+#: Width of the coarsest cubes of the tree of sites; each level's cubes are a quarter as wide. Rounds with cubes of up to ``CLOSE`` come first.
+ROOT, CLOSE = 0.5, 0.2
+#: Sites in a leaf cube, unless the tree is ``DEEP`` levels deep.
+LEAF, DEEP = 16, 7
+
+
+def _bounds(point, cube, width):
+    """Least and greatest chord from a point to a cube: structs or names of three columns."""
+    low, high = F.lit(0.0), F.lit(0.0)
+    for p, c in zip(point, cube, strict=True):
+        a, b = c * F.lit(width) - p, p - (c + 1) * F.lit(width)
+        low, high = low + F.pow(F.greatest(a, b, F.lit(0.0)), 2), high + F.pow(F.greatest(F.abs(a), F.abs(b)), 2)
+    return F.sqrt(low), F.sqrt(high)
+
+
+def _descend(points, sites, root=ROOT, leaf=LEAF, deep=DEEP):
+    """``fix_id, dist, site_lat, site_lon``: each point's nearest site through a tree of cubes.
+
+    The point carries the cubes that may hold its nearest site from level to level: those whose least distance is not beyond the smallest of
+    the greatest distances. The cubes of the first level are at most a few hundred, in one row; the children of a cube are found by a join.
+    """
+    xyz, up = ("x", "y", "z"), ("px", "py", "pz")
+    place = lambda lat, lon: [c.alias(n) for n, c in zip(("ux", "uy", "uz"), geo.unit_vector(lat, lon), strict=True)]
+    pts = points.select("fix_id", "latitude", "longitude", *place("latitude", "longitude"))
+    u = [F.col(c) for c in ("ux", "uy", "uz")]
+    width, levels = root, []
+    placed = checkpoint(sites.select("site_lat", "site_lon", *place("site_lat", "site_lon")))
+    cells = lambda w: [F.floor(c / F.lit(w)).alias(n) for c, n in zip(u, xyz, strict=True)]
+    while True:
+        tree = placed.groupBy(*cells(width)).agg(F.count(F.lit(1)).alias("n"))
+        levels.append((width, checkpoint(tree.select(*xyz, *[F.floor(F.col(c) / 4).alias(p) for c, p in zip(xyz, up, strict=True)], "n"))))
+        if len(levels) == deep or not levels[-1][1].filter(F.col("n") > leaf).limit(1).count():
+            break
+        width /= 4
+    # Rounding must not lose a site on a bound, nor one that ties.
+    slack = 1 + 1e-9
+    top = levels[0][1].agg(F.collect_list(F.struct(*xyz)).alias("cubes"))  # (4 / root) ** 3 cubes at most
+    met = pts.crossJoin(F.broadcast(top))  # one row
+    limit = F.array_min(F.transform("cubes", lambda c: _bounds(u, [c[n] for n in xyz], root)[1]))
+    near = met.withColumn("_u", limit).withColumn("cubes", F.filter("cubes", lambda c: _bounds(u, [c[n] for n in xyz], root)[0] <= F.col("_u") * slack))
+    near = near.select("fix_id", "latitude", "longitude", *("ux", "uy", "uz"), F.inline("cubes"))
+    mine = Window.partitionBy("fix_id")
+    for width, tree in levels[1:]:
+        near = near.select("fix_id", "latitude", "longitude", *("ux", "uy", "uz"), *[F.col(c).alias(p) for c, p in zip(xyz, up, strict=True)]).join(sized(tree.drop("n")), list(up)).drop(*up)
+        low, high = _bounds(u, [F.col(c) for c in xyz], width)
+        near = near.withColumns({"_low": low, "_u": F.min(high).over(mine)}).filter(F.col("_low") <= F.col("_u") * slack).drop("_low", "_u")
+        near = checkpoint(near)
+    found = placed.select("site_lat", "site_lon", *cells(levels[-1][0]))
+    met = near.drop("ux", "uy", "uz").join(found, list(xyz)).withColumn("dist", geo.great_circle("latitude", "longitude", F.col("site_lat"), F.col("site_lon")))
+    return met.groupBy("fix_id").agg(F.min(F.struct("dist", "site_lat", "site_lon")).alias("_b")).select("fix_id", "_b.*")
+
+
 def nearest_site(points, sites, chord=0.05):
     """``fix_id, dist, site_lat, site_lon``: the nearest site by great circle, whatever its distance; ties to the smaller (lat, lon).
 
-    Points and sites meet in cubes of space, so poles and the antimeridian need no care. Points that
-    meet none within the cube's width try again with one four times as wide. Each round is a checkpoint, so
-    none is computed again by the next.
+    Points and sites meet in cubes of space, so poles and the antimeridian need no care. Points that meet none within the cube's width
+    try again with one four times as wide; each round is a checkpoint, so none is computed again by the next. What is far from every
+    site (beyond ``CLOSE``) goes down a tree of the sites' cubes instead (:func:`_descend`), so no point is compared with all sites.
     """
-    sites = sites.select(F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon")).distinct()
+    sites = checkpoint(sites.select(F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon")).dropna().distinct())
     left, found = checkpoint(points.select("fix_id", "latitude", "longitude")), None
     d = geo.great_circle("latitude", "longitude", F.col("site_lat"), F.col("site_lon"))
-    while True:
-        met = _near(left, sites, chord).withColumn("dist", d)
-        if chord < 2:
-            met = met.filter(2 * F.sin(F.col("dist") / 2) <= chord)
+    while chord <= CLOSE:
+        met = _near(left, sites, chord).withColumn("dist", d).filter(2 * F.sin(F.col("dist") / 2) <= chord)
         best = checkpoint(met.groupBy("fix_id").agg(F.min(F.struct("dist", "site_lat", "site_lon")).alias("_b")).select("fix_id", "_b.*"))
         found = best if found is None else found.unionAll(best)
-        if chord >= 2:
-            return found
         left = checkpoint(left.join(best, "fix_id", "left_anti"))
         if left.isEmpty():
             return found
-        chord = min(2.0, 4 * chord)
+        chord *= 4
+    best = _descend(left.dropna(), sites)
+    return best if found is None else found.unionAll(best)
 
 
 def nearest_level(df, levels, column="depth"):
@@ -213,12 +271,58 @@ def impute_nearest(df, column, width=0.25):
     return df.withColumn(column, F.coalesce(column, "_fill")).drop("cell_lat", "cell_lon", "_fill")
 
 
-def close_pairs(df, most=0.35, least_ratio=0.1, least_effort=0.0):
-    """Pairs of fixes of different species within a great circle distance, alike in effort and busy: ``a, b, dist, ratio``."""
-    left = df.select(F.col("fix_id").alias("a"), F.col("species").alias("sa"), "latitude", "longitude", F.col("env").alias("ea")).filter(F.col("ea") > least_effort)
-    right = left.select(F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("latitude").alias("site_lat"), F.col("longitude").alias("site_lon"), F.col("ea").alias("eb"))
-    met = _near(left, right, most).filter("sa < sb").withColumn("dist", geo.great_circle("latitude", "longitude", F.col("site_lat"), F.col("site_lon")))
-    return met.withColumn("ratio", F.least("ea", "eb") / F.greatest("ea", "eb")).filter((F.col("dist") < most) & (F.col("ratio") > least_ratio)).select("a", "b", "dist", "ratio")
+#: Offsets to the cubes that come after a cube, itself included: each pair of neighbours once.
+FORWARD = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+#: Fixes in a block of a cube.
+CROWD = 1024
+
+
+def _haversine(lat1, lon1, lat2, lon2):
+    """Central angles of all pairs of two arrays of places in radians."""
+    h = np.sin((lat2[None, :] - lat1[:, None]) / 2) ** 2 + np.cos(lat1)[:, None] * np.cos(lat2)[None, :] * np.sin((lon2[None, :] - lon1[:, None]) / 2) ** 2
+    return 2 * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
+def close_pairs(df, most=0.35, least_ratio=0.1, least_effort=0.0, crowd=CROWD):
+    """Pairs of fixes of different species within a great circle distance, alike in effort and busy: ``a, b, dist, ratio``; ``a`` is of the smaller species.
+
+    Fixes lie in cubes of space as wide as the distance. A cube's fixes are dealt out to blocks of about ``crowd``, and two
+    blocks of the same or of neighbouring cubes meet once, in the cube that comes first. So each fix goes where its neighbours' blocks are, not to
+    all 27 cubes around, and a colony that fills one cube is the work of as many tasks as it has pairs of blocks.
+    Rows with a null in position, species or effort have no pairs.
+    """
+    pts = df.select(F.col("fix_id").cast("long").alias("k"), F.col("species").cast("string").alias("s"), F.radians("latitude").alias("la"), F.radians("longitude").alias("lo"), F.col("env").cast("double").alias("e"), *[c.cast("long").alias(n) for n, c in zip("xyz", _cells("latitude", "longitude", most), strict=True)])
+    pts = pts.dropna().filter(F.col("e") > least_effort)
+    counts = pts.groupBy(*"xyz").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("n"))
+    counts = checkpoint(counts)
+    pts = pts.join(sized(counts), [*"xyz"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+    blocks = checkpoint(pts.groupBy(*"xyz", "block").agg(F.collect_list(F.struct("k", "s", "la", "lo", "e")).alias("rows")))  # about ``crowd``
+    # Where to: the blocks of the cubes that come after; in the own cube those that are not before the own one.
+    ways = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijk", o, strict=True)]) for o in FORWARD]))
+    moved = lambda n, o: (F.col(n) + F.col(f"o.{o}")).alias(n)
+    left = blocks.select("block", F.col("rows").alias("left"), *[F.col(n).alias(f"own_{n}") for n in "xyz"], *"xyz").withColumn("o", ways)
+    left = left.select(F.col("block").alias("own"), "left", (F.greatest(*[F.abs(f"o.{o}") for o in "ijk"]) == 0).alias("home"), *[moved(n, o) for n, o in zip("xyz", "ijk", strict=True)])
+    left = left.join(sized(counts), [*"xyz"]).withColumn("block", F.explode(F.sequence(F.when(F.col("home"), F.col("own")).otherwise(0), F.col("n") - 1)))
+    met = left.join(blocks.withColumnRenamed("rows", "right"), [*"xyz", "block"])
+
+    def run(batches):
+        for b in batches:
+            for x, y, same in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+                fields = [[r.values.field(i) for i in range(5)] for r in (x, y)]
+                (ka, _, *pa_), (kb, _, *pb) = [[f.to_numpy(zero_copy_only=False) for f in r] for r in fields]
+                # Species as numbers that order as they do.
+                code = np.unique(np.array([*fields[0][1].to_pylist(), *fields[1][1].to_pylist()], dtype=object).astype(str), return_inverse=True)[1]
+                sa, sb = code[: len(ka)], code[len(ka) :]
+                d = _haversine(pa_[0], pa_[1], pb[0], pb[1])
+                ratio = np.minimum(pa_[2][:, None], pb[2][None, :]) / np.maximum(pa_[2][:, None], pb[2][None, :])
+                keep = (d < most) & (ratio > least_ratio) & ((sa[:, None] < sb[None, :]) if same else (sa[:, None] != sb[None, :]))
+                i, j = np.nonzero(keep)
+                turned = sa[i] > sb[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(turned, kb[j], ka[i])), pa.array(np.where(turned, ka[i], kb[j])), pa.array(d[i, j]), pa.array(ratio[i, j])], ["a", "b", "dist", "ratio"])
+
+    same = F.col("home") & (F.col("own") == F.col("block"))
+    spread = max(met.sparkSession.sparkContext.defaultParallelism, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return met.select("left", "right", same).repartition(spread).mapInArrow(run, "a long, b long, dist double, ratio double")
 
 
 def time_bin_average(fixes, rate=3.0, columns=("env",)):
@@ -331,29 +435,6 @@ def distance_matrix(df, key="id", vector="embedding"):
     return _triangle(df, key, vector, pairs, "i long, j long, d double")
 
 
-def nearest_rows(df, k, key="id", vector="embedding"):
-    """``id, other, d``: each row's k nearest other rows, ties to the smaller key; a pair of blocks passes on k of each row at most."""
-
-    def best(ids, others, d):
-        most = min(k, d.shape[1])
-        order = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :most]
-        got = np.take_along_axis(d, order, axis=1)
-        keep = np.isfinite(got)
-        return np.broadcast_to(ids[:, None], got.shape)[keep], others[order][keep], got[keep]
-
-    def pairs(ki, x, kj, y, same):
-        d = _euclidean(x, y)
-        if same:
-            d[ki[:, None] == kj[None, :]] = np.inf
-        yield best(ki, kj, d)
-        if not same:
-            yield best(kj, ki, d.T)
-
-    near = _triangle(df, key, vector, pairs, "id long, other long, d double")
-    w = Window.partitionBy("id").orderBy("d", "other")
-    return near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
-
-
 def shapelet_distances(patterns, series, key="id", vector="v"):
     """``pid, id, d``: least Euclidean distance of each pattern over each series' alignments, the last left out, by the square root of
     the pattern's length; the plain distance if both are as long, none if the pattern is longer."""

@@ -114,6 +114,20 @@ def replace_inf(df, columns, largest=3.4028234663852886e38):
     return df.withColumns({c: F.when(inf(c), F.lit(largest)).otherwise(F.col(c)) for c in columns})
 
 
+def reported(report, condition, within=None, columns=("id",), classes="species"):
+    """Different ``columns`` of the rows of a report that meet a condition, of a set of classes if one is given.
+
+    ``condition``: a column or SQL text (such as ``prediction = 'Wrong'``). ``within``: any number of class names, or a table with one column of them, which
+    is matched by a join; a null class is in no set. Nulls in the condition count as false.
+    """
+    rows = report.filter(F.expr(condition) if isinstance(condition, str) else condition)
+    if isinstance(within, DataFrame):
+        rows = rows.join(within.select(F.col(within.columns[0]).alias(classes)).distinct(), classes, "left_semi")
+    elif within is not None:
+        rows = rows.filter(F.col(classes).isin(*within) if within else F.lit(False))
+    return rows.select(*columns).distinct()
+
+
 def add_confident(train, side, most_loss):
     """Training rows and the side rows whose loss is below a limit."""
     return train.unionByName(side.filter(F.col("loss") < most_loss).drop("loss"))

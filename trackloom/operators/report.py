@@ -138,14 +138,16 @@ def _maintained(df, by=()):
     return p.withColumns({"h": times.cohens_h("p_b_given_a", "p_b"), "p_value": chi_square_tail(F.col("chi2"))})
 
 
+#: Fixed coefficients of the published Chebyshev fit of erfc.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
 def chi_square_tail(chi):
     """P(chi-square with one degree of freedom > chi), from a rational approximation of erfc with relative error under 1.2e-7."""
     z = F.sqrt(chi / 2)
     t = 1 / (1 + z / 2)
-    # Fixed coefficients of the published Chebyshev fit.
-    c = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(c[-1])
-    for x in c[-2::-1]:
+    poly = F.lit(ERFC[-1])
+    for x in ERFC[-2::-1]:
         poly = poly * t + x
     return t * F.exp(poly - z * z)
 

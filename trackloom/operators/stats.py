@@ -1,16 +1,19 @@
 """Correlations, information, bootstrap, learning curves, graphs and clusters over tables."""
 
+import hashlib
 import math
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import checkpoint
 from .motion import average_rank
 from .order import bin_of, inner_levels, quantiles
+from .report import chi_square_tail
 
 
 def _corr(x, y):
@@ -202,20 +205,58 @@ def mrmr_order(information, redundancy):
     return out + sorted(left)
 
 
-# Bootstrap by hashes: replicate r takes for slot i the row numbered md5(r, i) modulo n.
+# Bootstrap by hashes. A row counts Poisson(1) times in each replicate, as it nearly does when as many rows as there are are drawn with
+# replacement; so replicates need no draw of rows, and all of them are sums over one reading of the table.
 
+#: Modulus of the hash, a prime, so that a row's hash times a replicate's spreads over all of its range.
+PRIME = (1 << 31) - 1
 
-def _hash_int(*columns):
-    return F.conv(F.substring(F.md5(F.concat_ws("-", *[c.cast("string") for c in columns])), 1, 12), 16, 10).cast("long")
+
+def replicate_factor(r):
+    """A replicate's factor, 1 .. PRIME - 1."""
+    return int(hashlib.md5(f"rep-{r}".encode()).hexdigest()[:8], 16) % (PRIME - 1) + 1
+
+
+def poisson_limits():
+    """Smallest hashes at which a row counts at least 1, 2, ... times."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 12):
+        total += term
+        term /= k
+        out.append(math.floor(total * PRIME))
+    return out
+
+
+def poisson_counts(replicates, *names):
+    """How often a row, named by columns, counts in each replicate: an array of longs."""
+    row = F.conv(F.substring(F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in names])), 1, 8), 16, 10).cast("long") % PRIME
+
+    def count(m):
+        u, out = (row * m) % PRIME, F.when(F.lit(False), F.lit(0))
+        for k, limit in enumerate(poisson_limits()):
+            out = out.when(u < limit, k)
+        return out.otherwise(len(poisson_limits()))
+
+    return F.transform(F.array(*[F.lit(replicate_factor(r)).cast("long") for r in range(replicates)]), count)
 
 
 def resampled_means(df, by, value, replicates=200, order="id"):
-    """``by, rep, mean`` of bootstrap resamples of each group."""
-    w = Window.partitionBy(by)
-    rows = df.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    picks = rows.select(by, "_n", F.col("_i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    picks = picks.withColumn("_i", F.pmod(_hash_int(F.col(by), F.col("rep"), F.col("slot")), F.col("_n")).cast("int"))
-    return picks.join(rows.select(by, "_i", F.col(value).alias("_v")), [by, "_i"]).groupBy(by, "rep").agg(F.avg("_v").alias("mean"))
+    """``by, rep, mean`` of bootstrap resamples of each group; no row if a group counts nothing in a replicate.
+
+    ``order`` names a row within its group. The table is read once: a row's counts are a vector, and its partial sums merge by group like any sum, so no
+    group meets in one task and no row is multiplied.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    counts = F.transform(poisson_counts(replicates, by, order), lambda c: c.cast("double"))
+    rows = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"), counts.alias("_c"))
+    sums = rows.groupBy(by).agg(Summarizer.sum(array_to_vector(F.concat("_c", F.transform("_c", lambda c: c * F.col("_v"))))).alias("_s"))
+    sums = sums.withColumn("_s", vector_to_array("_s"))
+    pairs = F.arrays_zip(F.slice("_s", 1, replicates).alias("n"), F.slice("_s", replicates + 1, replicates).alias("s"))
+    out = sums.select(by, F.posexplode(pairs).alias("rep", "_p"))
+    # The summed counts are whole numbers, up to rounding.
+    return out.filter("_p.n > 0.5").select(by, "rep", (F.col("_p.s") / F.round("_p.n")).alias("mean"))
 
 
 def percentile_interval(df, by, value, replicates=200, alpha=0.05, order="id"):
@@ -224,48 +265,139 @@ def percentile_interval(df, by, value, replicates=200, alpha=0.05, order="id"):
     return m.groupBy(by).agg(F.percentile("mean", alpha / 2).alias("low"), F.percentile("mean", 1 - alpha / 2).alias("high"))
 
 
+def normal_cdf(x):
+    """Standard normal distribution function, with a relative error under 1.2e-7 in the tails."""
+    tail = chi_square_tail(x * x) / 2
+    return F.when(x < 0, tail).otherwise(1 - tail)
+
+
+#: Fixed coefficients of a published rational approximation of the normal quantile (relative error under 1.2e-9): numerator and
+#: denominator in the middle, then in the tails.
+QUANTILE_MIDDLE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+)
+QUANTILE_TAIL = (
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+
+
+def normal_quantile(p):
+    """Standard normal quantile of 0 < p < 1."""
+
+    def poly(c, x):
+        out = F.lit(c[0])
+        for k in c[1:]:
+            out = out * x + k
+        return out
+
+    def tail(q):
+        x = F.sqrt(-2 * F.ln(q))
+        return poly(QUANTILE_TAIL[0], x) / poly(QUANTILE_TAIL[1], x)
+
+    middle = p - 0.5
+    square = middle * middle
+    return F.when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise(middle * poly(QUANTILE_MIDDLE[0], square) / poly(QUANTILE_MIDDLE[1], square))
+
+
+#: Part of a mean, or of 1, by which two means differ if they are not equal.
+SAME = 1e-9
+
+
 def bca_interval(df, by, value, replicates=200, alpha=0.05, order="id"):
-    """``by, low, high``: bootstrap interval of the mean corrected for bias and acceleration (jackknife)."""
-    w = Window.partitionBy(by)
-    loo = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_s": F.sum(value).over(w)}).filter("_n > 1").withColumn("_j", (F.col("_s") - F.col(value)) / (F.col("_n") - 1))
-    loo = loo.withColumn("_d", F.avg("_j").over(w) - F.col("_j"))
-    acc = loo.groupBy(by).agg(F.coalesce(F.try_divide(F.sum(F.col("_d") ** 3), 6 * F.sum(F.col("_d") ** 2) ** 1.5), F.lit(0.0)).alias("a"))
-    m = resampled_means(df, by, value, replicates, order).join(df.groupBy(by).agg(F.avg(value).alias("_m")), by)
-    bias = m.groupBy(by).agg(F.avg((F.col("mean") < F.col("_m")).cast("double") + (F.col("mean") == F.col("_m")).cast("double") / 2).alias("share")).join(acc, by)
-
-    @F.pandas_udf("array<double>")
-    def levels(share: pd.Series, a: pd.Series) -> pd.Series:
-        normal, out = NormalDist(), []
-        for s, k in zip(share, a, strict=True):
-            z = normal.inv_cdf(min(max(s, 1e-9), 1 - 1e-9))
-            out.append([normal.cdf(z + (z + q) / (1 - k * (z + q))) for q in (normal.inv_cdf(alpha / 2), normal.inv_cdf(1 - alpha / 2))])
-        return pd.Series(out)
-
-    # Linear interpolation between the sorted means at each group's own levels.
-    means = m.groupBy(by).agg(F.sort_array(F.collect_list("mean")).alias("_v"))  # replicates of a group
-    df = means.join(bias.withColumn("_q", levels("share", "a")), by)
-
-    def at(i):
-        x = F.get("_q", F.lit(i)) * (F.size("_v") - 1)
-        k = F.floor(x).cast("int")
+    """``by, low, high``: bootstrap interval of the mean corrected for bias and acceleration; for groups of two rows or more.
+
+    The acceleration of a mean by the jackknife is its skewness over 6 sqrt(n), so it needs no table of means without a row.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    facts = known.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_m"), F.skewness(value).alias("_skew")).filter("_n > 1")
+    a = F.when(F.col("_skew").isNull() | F.isnan("_skew"), 0.0).otherwise(F.col("_skew") / (6 * F.sqrt("_n")))
+    m = resampled_means(df, by, value, replicates, order).join(facts.select(by, "_m", a.alias("a")), by)
+    # Equal up to rounding counts as a half.
+    gap, slack = F.col("mean") - F.col("_m"), SAME * F.greatest(F.lit(1.0), F.abs("_m"))
+    below = F.avg(F.when(gap < -slack, 1.0).when(gap <= slack, 0.5).otherwise(0.0))
+    rows = m.groupBy(by).agg(F.first("a").alias("a"), below.alias("share"), F.array_sort(F.collect_list("mean")).alias("_v"))  # replicates of a group
+    rows = rows.withColumn("z", normal_quantile(F.least(F.greatest("share", F.lit(1e-9)), F.lit(1 - 1e-9))))
+    ends = {}
+    for name, q in (("low", NormalDist().inv_cdf(alpha / 2)), ("high", NormalDist().inv_cdf(1 - alpha / 2))):
+        ends[f"_{name}"] = normal_cdf(F.col("z") + (F.col("z") + q) / (1 - F.col("a") * (F.col("z") + q))) * (F.size("_v") - 1)
+    rows = rows.withColumns(ends)
+
+    def at(name):
+        # Linear interpolation between the sorted means at the group's own level.
+        k = F.floor(name).cast("int")
         lo, hi = F.get("_v", k), F.coalesce(F.get("_v", k + 1), F.get("_v", k))
-        return lo + (x - k) * (hi - lo)
-
-    return df.select(by, at(0).alias("low"), at(1).alias("high"))
-
-
-def mean_of_medians_interval(df, by, value, replicates=100, alpha=0.05):
-    """``low, high`` for the mean of group medians, groups resampled, then their rows; both by hash."""
-    groups = df.select(by).distinct().withColumn("_g", F.row_number().over(Window.orderBy(by)) - 1)
-    k = groups.count()
-    slots = df.sparkSession.range(replicates * k).select(F.floor(F.col("id") / k).alias("rep"), (F.col("id") % k).alias("gslot"))
-    slots = slots.withColumn("_g", F.pmod(_hash_int(F.lit("g"), F.col("rep"), F.col("gslot")), F.lit(k))).join(groups, "_g")
-    w = Window.partitionBy(by)
-    rows = df.withColumns({"_i": F.row_number().over(w.orderBy("id")) - 1, "_n": F.count(F.lit(1)).over(w)}).select(by, "_i", "_n", F.col(value).alias("_v"))
-    picks = slots.join(rows.select(by, "_n", F.col("_i").alias("slot")), by)
-    picks = picks.withColumn("_i", F.pmod(_hash_int(F.col("rep"), F.col("gslot"), F.col("slot")), F.col("_n")).cast("int")).drop("_n")
-    med = picks.join(rows.drop("_n"), [by, "_i"]).groupBy("rep", "gslot").agg(F.percentile("_v", 0.5).alias("m")).groupBy("rep").agg(F.avg("m").alias("m"))
-    return med.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))
+        return lo + (F.col(name) - k) * (hi - lo)
+
+    return rows.select(by, at("_low").alias("low"), at("_high").alias("high"))
+
+
+def _numpy_counts(rows, replicates):
+    """Counts as :func:`poisson_counts` gives them, from the rows' hashes."""
+    factors = np.array([replicate_factor(r) for r in range(replicates)], np.int64)
+    return np.searchsorted(np.array(poisson_limits()), rows[:, None] * factors[None, :] % PRIME, side="right")
+
+
+def resampled_medians(df, by, value, replicates=100, order="id"):
+    """``by, rep, median`` of bootstrap resamples of each group; no row if a group counts nothing in a replicate.
+
+    Rows are laid out by (group, value). Each task sums the counts of its rows by group and replicate; the sums before it tell which places of
+    a resample its rows hold, so it can tell whether the middle ones are its own. A group may span any number of tasks.
+    """
+    from pyspark.sql import types as T
+
+    row = F.conv(F.substring(F.md5(F.concat_ws("-", F.col(by).cast("string"), F.col(order).cast("string"))), 1, 8), 16, 10).cast("long") % PRIME
+    laid = df.filter(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"), row.alias("h"))
+    laid = laid.repartitionByRange("g", "v", "h").sortWithinPartitions("g", "v", "h").withColumn("part", F.spark_partition_id())
+    chunks = checkpoint(laid.groupBy("g", "part").agg(F.array_sort(F.collect_list(F.struct("v", "h"))).alias("rows")))  # what one task held of a group
+
+    def total(batches):
+        for b in batches:
+            sums = [_numpy_counts(x.values.field(1).to_numpy(), replicates).sum(axis=0).tolist() for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.list_(pa.int64()))], ["g", "part", "sums"])
+
+    group = laid.schema["g"].dataType
+    schema = T.StructType([T.StructField("g", group), T.StructField("part", T.IntegerType()), T.StructField("sums", T.ArrayType(T.LongType()))])
+    sums = chunks.select("g", "part", "rows").mapInArrow(total, schema)
+    zero = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda _: F.lit(0).cast("long"))
+    add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+    # One entry for each task that holds rows of the group.
+    along = sums.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("part", "sums"))).alias("all"))
+    start = F.struct(zero.alias("sum"), F.array().cast("array<struct<part:int,before:array<bigint>>>").alias("out"))
+    carried = F.aggregate("all", start, lambda a, x: F.struct(add(a["sum"], x["sums"]).alias("sum"), F.array_append(a["out"], F.struct(x["part"].alias("part"), a["sum"].alias("before"))).alias("out")))
+    along = along.select(F.col("g").alias("_g"), carried.alias("c")).select("_g", F.col("c.sum").alias("total"), F.inline("c.out"))
+
+    def middle(batches):
+        for b in batches:
+            out = [[], [], [], []]
+            for g, rows, before, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
+                v, counts = rows.values.field(0).to_numpy(), _numpy_counts(rows.values.field(1).to_numpy(), replicates)
+                n, ends = n.values.to_numpy(), before.values.to_numpy() + np.cumsum(counts, axis=0)
+                found = []
+                for place in ((n - 1) // 2, n // 2):
+                    at = (ends <= place).sum(axis=0)  # the row that holds the place, if the places before this task end at or below it
+                    here = (n > 0) & (at < len(v)) & (place >= before.values.to_numpy())
+                    found.append(np.where(here, v[np.minimum(at, len(v) - 1)], np.nan))
+                keep = np.flatnonzero(~(np.isnan(found[0]) & np.isnan(found[1])))
+                out[0] += [g] * len(keep)
+                for o, x in zip(out[1:], (keep, found[0][keep], found[1][keep]), strict=True):
+                    o.append(x)
+            flat = [np.concatenate(o) if o else np.zeros(0) for o in out[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.field(0).type), pa.array(flat[0].astype(np.int32)), pa.array(flat[1], from_pandas=True), pa.array(flat[2], from_pandas=True)], ["g", "rep", "low", "high"])
+
+    schema = T.StructType([T.StructField("g", group), T.StructField("rep", T.IntegerType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
+    met = chunks.join(along, F.col("g").eqNullSafe(F.col("_g")) & (chunks["part"] == along["part"])).select("g", "rows", "before", "total")
+    found = met.mapInArrow(middle, schema).groupBy("g", "rep").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    return found.select(F.col("g").alias(by), "rep", ((F.col("low") + F.col("high")) / 2).alias("median"))
+
+
+def mean_of_medians_interval(df, by, value, replicates=100, alpha=0.05, order="id"):
+    """``low, high`` for the mean of group medians: rows are resampled within their group, and groups among each other, both by Poisson counts."""
+    medians = resampled_medians(df, by, value, replicates, order).withColumn("_part", F.lit("group"))
+    weight = F.get(poisson_counts(replicates, "_part", by), F.col("rep"))
+    means = medians.withColumn("_w", weight).groupBy("rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("median")), F.sum("_w")).alias("m"))
+    return means.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))
 
 
 # Learning curves: accuracy by number of samples.

@@ -10,6 +10,17 @@ from .q_motion import r6, r9
 OK = "ok AS (SELECT *, CASE WHEN predicted=species THEN 1.0 ELSE 0.0 END AS ok FROM reports)"
 
 
+def poly(c, x):
+    """A polynomial in SQL, its highest coefficient first."""
+    return "".join("(" for _ in c[1:]) + repr(c[0]) + "".join(f"*{x}+{k!r})" for k in c[1:])
+
+
+def two_sided(x):
+    """Probability that a standard normal is beyond ``x`` on either side, in SQL."""
+    t = f"(1/(1+abs({x})/sqrt(2)/2))"
+    return f"({t}*exp({poly(R.ERFC[::-1], t)}-{x}*{x}/2))"
+
+
 def rep(read):
     return R.marked(read("reports"))
 
@@ -119,11 +130,11 @@ def _(read):
 
 @query("c15_maintained_accuracy", "C15 J23", f"""WITH {OK}, j AS (SELECT a.ok AS a, b.ok AS b FROM ok a JOIN ok b ON a.id=b.id AND a.random_state=1 AND b.random_state=2),
     t AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(a) AS na, sum(b) AS nb, sum(a*b) AS ab FROM j)
-    SELECT round(ab/na,6)+0.0 AS p_b_given_a, round(nb/n,6)+0.0 AS p_b, round(n*pow(n*ab-na*nb,2)/(na*nb*(n-na)*(n-nb)),6)+0.0 AS chi2, round(2*asin(sqrt(ab/na))-2*asin(sqrt(nb/n)),6)+0.0 AS h FROM t""")
+    SELECT round(ab/na,6)+0.0 AS p_b_given_a, round(nb/n,6)+0.0 AS p_b, round(n*pow(n*ab-na*nb,2)/(na*nb*(n-na)*(n-nb)),6)+0.0 AS chi2, round(2*asin(sqrt(ab/na))-2*asin(sqrt(nb/n)),6)+0.0 AS h, round({two_sided("sqrt(n*pow(n*ab-na*nb,2)/(na*nb*(n-na)*(n-nb)))")},6)+0.0 AS p_value FROM t""")
 def _(read):
     r = rep(read)
     df = R.maintained_accuracy(r.filter("random_state = 1"), r.filter("random_state = 2"), keys=["id"])
-    return rounded(df, "p_b_given_a", "p_b", "chi2", "h").drop("p_value")
+    return rounded(df, "p_b_given_a", "p_b", "chi2", "h", "p_value")
 
 
 TRANSFER = """transfer AS (SELECT species AS species_train, predicted AS species_test, CASE WHEN id%3=0 THEN 'switched-labels' ELSE 'real' END AS label_mode, kfold AS fold, ((id*37+random_state*11)%100)/100.0 AS acc FROM reports),
@@ -172,11 +183,12 @@ def _(read):
 
 @query("c23_lift", "C22 C23", f"""WITH {BASE}, {TRANSFER}, e AS (SELECT CASE WHEN gain>0.1 THEN 1.0 ELSE 0.0 END AS x, CASE WHEN gain>0.2 THEN 1.0 ELSE 0.0 END AS y FROM x),
     t AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS nx, CAST(sum(y) AS DOUBLE) AS ny, CAST(sum(x*y) AS DOUBLE) AS nxy FROM e)
-    SELECT n, nx, ny, nxy, round(nxy*n/(nx*ny),6)+0.0 AS lift, round(n*pow(greatest(0.0,abs(n*nxy-nx*ny)-n/2),2)/(nx*ny*(n-nx)*(n-ny)),6)+0.0 AS chi2 FROM t""")
+    SELECT n, nx, ny, nxy, round(nxy*n/(nx*ny),6)+0.0 AS lift, round(n*pow(greatest(0.0,abs(n*nxy-nx*ny)-n/2),2)/(nx*ny*(n-nx)*(n-ny)),6)+0.0 AS chi2,
+        round({two_sided("sqrt(n*pow(greatest(0.0,abs(n*nxy-nx*ny)-n/2),2)/(nx*ny*(n-nx)*(n-ny)))")},6)+0.0 AS p_value FROM t""")
 def _(read):
     t = transfer(read).select("species_train", "species_test", "gain")
     events = R.joined_events(t.withColumnRenamed("gain", "gain_a"), t, ["species_train", "species_test"], "gain_a", "gain", 0.1, 0.2)
-    return rounded(R.lift(events), "lift", "chi2").drop("p_value")
+    return rounded(R.lift(events), "lift", "chi2", "p_value")
 
 
 @query("c24_rmse_vs_constant", "C24", "WITH p AS (SELECT env AS y, env*0.5+10 AS pred FROM fixes WHERE env IS NOT NULL), m AS (SELECT avg(y) AS m FROM p) SELECT round(sqrt(avg(pow(y-pred,2))),6)+0.0 AS rmse, round(sqrt(avg(pow(y-m,2))),6)+0.0 AS base, round(1-sqrt(avg(pow(y-pred,2)))/sqrt(avg(pow(y-m,2))),6)+0.0 AS skill FROM p, m")

@@ -12,9 +12,9 @@ from ..store import folder
 from ..streaming import rows
 from .base import query
 from .q_enrich import labelled
-from .q_motion import r6, r9
-from .q_report import BASE, OK, baseline, rep, rounded
-from .q_stats import CURVE
+from .q_motion import r6, r9, steps_sql
+from .q_report import BASE, OK, baseline, rep, rounded, two_sided
+from .q_stats import CURVE, bca, boot
 
 DAY = "dayofyear(date_time)-1+hour(date_time)/24+minute(date_time)/1440+CAST(floor(second(date_time)) AS DOUBLE)/86400"
 
@@ -89,6 +89,17 @@ def _(read):
     return io.materialize(lambda least: counts(least).limit(0), root, "counts", f.sparkSession, least=0)
 
 
+@query("s12_bucketed_tracks", "S5 S12 S14", f"WITH {steps_sql()} SELECT id, count(dist) AS n_steps, round(sum(dist),6)+0.0 AS length, round(sum(abs(south)),6)+0.0 AS south FROM steps GROUP BY id")
+def _(read):
+    f = read("fixes").select("id", "fix_id", "date_time", "latitude", "longitude")
+    path = folder(f.sparkSession, "tracks")
+    table = "tracks_" + path.rsplit("-", 1)[1]
+    io.store_tracks(f.filter("fix_id % 5 > 0"), table, path, buckets=8)
+    stored = io.append_tracks(f.filter("fix_id % 5 = 0"), table)
+    # Steps along tracks and sums by track, without an exchange.
+    return motion.steps(stored).groupBy("id").agg(F.count("dist").alias("n_steps"), r6(F.sum("dist")).alias("length"), r6(F.sum(F.abs("south"))).alias("south"))
+
+
 @query("s13_report_table", "S13 S14", "SELECT id, species, predicted, random_state FROM reports WHERE random_state=2")
 def _(read):
     r = read("reports").select("id", "species", "predicted", "random_state")
@@ -194,10 +205,10 @@ def _(read):
     j AS (SELECT a.setting AS setting_a, b.setting AS setting_b, a.seed, a.ok AS a, b.ok AS b FROM q a JOIN q b ON a.id=b.id AND a.seed=b.seed AND a.setting<>b.setting),
     t AS (SELECT setting_a, setting_b, seed, CAST(count(*) AS DOUBLE) AS n, sum(a) AS na, sum(b) AS nb, sum(a*b) AS ab FROM j GROUP BY ALL),
     s AS (SELECT setting_a, setting_b, ab/na AS p1, nb/n AS p2, n*pow(n*ab-na*nb,2)/(na*nb*(n-na)*(n-nb)) AS chi FROM t)
-    SELECT setting_a, setting_b, round(avg(p1),6)+0.0 AS p_b_given_a, round(avg(p2),6)+0.0 AS p_b, round(avg(chi),6)+0.0 AS chi2, round(avg(2*asin(sqrt(p1))-2*asin(sqrt(p2))),6)+0.0 AS h, count(chi) AS n_seeds FROM s GROUP BY ALL""")
+    SELECT setting_a, setting_b, round(avg(p1),6)+0.0 AS p_b_given_a, round(avg(p2),6)+0.0 AS p_b, round(avg(chi),6)+0.0 AS chi2, round(avg(2*asin(sqrt(p1))-2*asin(sqrt(p2))),6)+0.0 AS h, round(avg({two_sided("sqrt(chi)")}),6)+0.0 AS p_value, count(chi) AS n_seeds FROM s GROUP BY ALL""")
 def _(read):
     r = rep(read).withColumns({"setting": F.col("random_state") % 2, "seed": F.floor(F.col("random_state") / 2)})
-    return rounded(R.maintained_summary(r, "setting", "seed"), "p_b_given_a", "p_b", "chi2", "h").drop("p_value")
+    return rounded(R.maintained_summary(r, "setting", "seed"), "p_b_given_a", "p_b", "chi2", "h", "p_value")
 
 
 @query("c17_multi_transfer", "C17", f"""WITH {BASE}, t AS (SELECT species AS species_train, predicted AS species_test, ((id*37+random_state*11)%100)/100.0 AS acc FROM reports),
@@ -208,7 +219,9 @@ def _(read):
     return rounded(R.multi_transfer(t, baseline(read), labelled(read).select("species", "stage")), "acc", "std", "base_acc")
 
 
-@query("c27_taxa_intervals", "C27")
+@query("c27_taxa_intervals", "C27", f"""WITH {OK}, p AS (SELECT random_state, taxa, species, concat_ws('|', CAST(random_state AS STRING), taxa) AS key, avg(ok) AS a FROM ok GROUP BY random_state, taxa, species),
+    t AS (SELECT key, random_state, taxa, avg(a) AS accuracy, count(*) AS n_species FROM p GROUP BY key, random_state, taxa), {boot("p", "key", "a", "species")}, {bca()}
+    SELECT random_state, taxa, round(accuracy,6)+0.0 AS accuracy, n_species, round(low,6)+0.0 AS low, round(high,6)+0.0 AS high FROM t LEFT JOIN i ON g = key""")
 def _(read):
     return rounded(R.taxa_accuracy_intervals(rep(read), "random_state"), "accuracy", "low", "high")
 
@@ -241,7 +254,17 @@ def curves(read):
     return read("reports").groupBy("species", "random_state", n.alias("n")).agg(F.avg(y).alias("accuracy"))
 
 
-@query("t17_sample_size_intervals", "T17")
+CURVES = """c0 AS (SELECT species, random_state, 10*(1+id%5) AS n, avg(1-0.5*exp(-0.02*(10*(1+id%5)))*(1+((id+random_state)%7)/50.0)) AS accuracy FROM reports GROUP BY ALL),
+    c1 AS (SELECT *, lag(accuracy) OVER (PARTITION BY species, random_state ORDER BY n) AS before FROM c0),
+    c2 AS (SELECT *, coalesce(sum(CASE WHEN accuracy-before>0.2 THEN 1 ELSE 0 END) OVER x, 0) AS jumps, max(CASE WHEN accuracy-before>0.2 THEN n END) OVER x AS jump, min(CASE WHEN accuracy>0.98 AND before>0.98 THEN n END) OVER x AS full_at FROM c1 WINDOW x AS (PARTITION BY species, random_state)),
+    c3 AS (SELECT * FROM c2 WHERE n>=CASE WHEN jumps=1 THEN jump ELSE n END AND n<=coalesce(full_at, n)),
+    f AS (SELECT species, random_state, exp(nullif(regr_intercept(ln(1-accuracy),n), CAST('nan' AS DOUBLE))) AS a, nullif(regr_slope(ln(1-accuracy),n), CAST('nan' AS DOUBLE)) AS b, nullif(regr_slope(accuracy,n), CAST('nan' AS DOUBLE)) AS s, nullif(regr_intercept(accuracy,n), CAST('nan' AS DOUBLE)) AS i0 FROM c3 GROUP BY species, random_state),
+    p AS (SELECT species, random_state, coalesce(CASE WHEN b<0 THEN greatest(1.0, ln((1-0.9)/a)/b) END, CASE WHEN s<>0 THEN greatest(1.0, (0.9-i0)/s) ELSE 1.0 END) AS n_required FROM f)"""
+
+
+@query("t17_sample_size_intervals", "T17", f"""WITH {CURVES}, {boot("p", "species", "n_required", "random_state")}
+    SELECT g AS species, round(avg(any_n),6)+0.0 AS n_required, any_value(any_c) AS n_seeds, round(quantile_cont(mean,0.025),6)+0.0 AS low, round(quantile_cont(mean,0.975),6)+0.0 AS high
+    FROM m JOIN (SELECT species, avg(n_required) AS any_n, count(*) AS any_c FROM p GROUP BY species) y ON y.species=g GROUP BY g""")
 def _(read):
     return rounded(S.sample_size_intervals(curves(read), "species", 0.9), "n_required", "low", "high")
 

@@ -1,11 +1,13 @@
 """Queries on statistics, bootstrap, graphs, distances and attributions."""
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..operators import distances as D, enrich, report as R, stats as S
 from .base import query
 from .q_motion import r6, r9
-from .q_report import OK, rep, rounded
+from .q_report import OK, poly, rep, rounded, two_sided
 
 
 @query("t01_correlations", "T1", "SELECT 'latitude' AS a, 'env' AS b, round(corr(latitude,env),6)+0.0 AS r, count(env) AS n FROM fixes UNION ALL SELECT 'latitude','longitude', round(corr(latitude,longitude),6)+0.0, count(*) FROM fixes UNION ALL SELECT 'longitude','env', round(corr(longitude,env),6)+0.0, count(env) FROM fixes")
@@ -19,9 +21,15 @@ def _(read):
     return rounded(S.correlations(read("fixes").filter("env is not null"), ["latitude", "env"], "spearman"), "r")
 
 
-@query("t02_significant_correlations", "T2")
+# Student's distribution of n - 2 degrees as a finite sum over powers of the cosine of the angle whose sine is r.
+STUDENT = """1-CASE WHEN n%2=0 THEN r*(SELECT sum(exp(lgamma(k+0.5)-lgamma(k+1))/sqrt(pi())*pow(1-r*r,k)) FROM range(CAST((n-2)//2 AS BIGINT)) t(k))
+    ELSE 2/pi()*(asin(r)+r*(SELECT coalesce(sum(sqrt(pi())/2*exp(lgamma(k+1)-lgamma(k+1.5))*pow(1-r*r,k+0.5)),0) FROM range(CAST((n-3)//2 AS BIGINT)) t(k))) END"""
+
+
+@query("t02_significant_correlations", "T2", f"""WITH c AS (SELECT 'latitude' AS a, 'env' AS b, corr(latitude,env) AS x, count(env) AS n FROM fixes UNION ALL SELECT 'latitude','longitude', corr(latitude,longitude), count(*) FROM fixes UNION ALL SELECT 'longitude','env', corr(longitude,env), count(env) FROM fixes),
+    p AS (SELECT a, b, x, n, {STUDENT} AS p FROM (SELECT *, abs(x) AS r FROM c)) SELECT a, b, round(CASE WHEN p<=0.05 THEN x END,6)+0.0 AS r, n, round(p,6)+0.0 AS p FROM p""")
 def _(read):
-    return S.significant(S.correlations(read("fixes"), ["latitude", "longitude", "env"]))
+    return rounded(S.significant(S.correlations(read("fixes"), ["latitude", "longitude", "env"])), "r", "p")
 
 
 @query("t03_mean_correlation", "T3", "WITH c AS (SELECT species, corr(env,latitude) AS la, corr(env,longitude) AS lo FROM fixes JOIN animals USING (id) GROUP BY species) SELECT 'latitude' AS feature, round(avg(la),6)+0.0 AS r, count(la) AS n_groups FROM c UNION ALL SELECT 'longitude', round(avg(lo),6)+0.0, count(lo) FROM c")
@@ -64,28 +72,57 @@ def _(read):
     return df.sparkSession.createDataFrame(list(enumerate(order)), "dropped int, feature string")
 
 
-BOOT = f"""{OK}, r AS (SELECT species, ok, row_number() OVER (PARTITION BY species ORDER BY id, random_state)-1 AS i, count(*) OVER (PARTITION BY species) AS n FROM ok WHERE random_state=1),
-    p AS (SELECT species, rep, CAST(concat('0x', substr(md5(concat(species,'-',CAST(rep AS STRING),'-',CAST(i AS STRING))),1,12)) AS BIGINT) % n AS pick FROM r, range(200) g(rep)),
-    m AS (SELECT p.species, rep, avg(r.ok) AS mean FROM p JOIN r ON p.species=r.species AND p.pick=r.i GROUP BY ALL)"""
+def hashed(*parts):
+    """A 32-bit hash of texts joined by dashes."""
+    return f"CAST(concat('0x', substr(md5(concat_ws('-', {', '.join(parts)})),1,8)) AS BIGINT)"
+
+
+def counts_sql(row, rep):
+    """How often a row with a hash counts in a replicate, by the limits of the Poisson distribution."""
+    return f"len(list_filter({S.poisson_limits()}, lambda t: t <= ({row} * ({hashed(repr('rep'), f'CAST({rep} AS STRING)')} % {S.PRIME - 1} + 1)) % {S.PRIME}))"
+
+
+def boot(source, by, value, order, replicates=200):
+    """``m (g, rep, mean)``: bootstrap means of groups of a table."""
+    return f"""w AS (SELECT CAST({by} AS STRING) AS g, {value} AS v, {hashed(f"CAST({by} AS STRING)", f"CAST({order} AS STRING)")} % {S.PRIME} AS h FROM {source} WHERE {value} IS NOT NULL),
+    m AS (SELECT g, rep, sum(n*v)/sum(n) AS mean FROM (SELECT g, rep, v, {counts_sql("h", "rep")} AS n FROM w, range({replicates}) t(rep)) GROUP BY g, rep HAVING sum(n) > 0)"""
+
+
+def bca(alpha=0.05):
+    """``i (g, low, high)`` after :func:`boot`: corrected intervals."""
+    tail = lambda q: f"{poly(S.QUANTILE_TAIL[0], f'sqrt(-2*ln({q}))')}/{poly(S.QUANTILE_TAIL[1], f'sqrt(-2*ln({q}))')}"
+    middle = f"(p-0.5)*{poly(S.QUANTILE_MIDDLE[0], '((p-0.5)*(p-0.5))')}/{poly(S.QUANTILE_MIDDLE[1], '((p-0.5)*(p-0.5))')}"
+    z = [float(NormalDist().inv_cdf(q)) for q in (alpha / 2, 1 - alpha / 2)]
+    half = lambda x: f"({two_sided(x)}/2)"
+    cdf = lambda x: f"CASE WHEN {x} < 0 THEN {half(x)} ELSE 1-{half(x)} END"
+    at = lambda x: f"v[CAST(floor({x}) AS BIGINT)+1]+({x}-floor({x}))*(coalesce(v[CAST(floor({x}) AS BIGINT)+2], v[CAST(floor({x}) AS BIGINT)+1])-v[CAST(floor({x}) AS BIGINT)+1])"
+    return f"""k AS (SELECT g, count(*) AS n, avg(v) AS m FROM w GROUP BY g HAVING count(*) > 1),
+    j AS (SELECT g, any_value(k.m) AS m, coalesce(sum(pow(v-k.m,3))/nullif(pow(sum(pow(v-k.m,2)),1.5),0)/6, 0) AS a FROM w JOIN k USING (g) GROUP BY g),
+    s AS (SELECT g, any_value(a) AS a, least(greatest(avg(CASE WHEN mean-j.m < -{S.SAME!r}*greatest(1.0,abs(j.m)) THEN 1.0 WHEN mean-j.m <= {S.SAME!r}*greatest(1.0,abs(j.m)) THEN 0.5 ELSE 0.0 END), 1e-9), 1-1e-9) AS p, list(mean ORDER BY mean) AS v FROM m JOIN j USING (g) GROUP BY g),
+    zs AS (SELECT g, a, v, CASE WHEN p < 0.02425 THEN {tail("p")} WHEN p > 1-0.02425 THEN -({tail("(1-p)")}) ELSE {middle} END AS z FROM s),
+    q AS (SELECT g, v, z+(z+({z[0]!r}))/(1-a*(z+({z[0]!r}))) AS x, z+(z+({z[1]!r}))/(1-a*(z+({z[1]!r}))) AS y FROM zs),
+    l AS (SELECT g, v, ({cdf("x")})*(len(v)-1) AS x, ({cdf("y")})*(len(v)-1) AS y FROM q),
+    i AS (SELECT g, {at("x")} AS low, {at("y")} AS high FROM l)"""
+
+
+FIRST_SEED = f"{OK}, o AS (SELECT * FROM ok WHERE random_state=1)"
 
 
-@query("t11_bootstrap_interval", "T11", f"WITH {BOOT} SELECT species, round(quantile_cont(mean,0.025),6)+0.0 AS low, round(quantile_cont(mean,0.975),6)+0.0 AS high FROM m GROUP BY species")
+@query("t11_bootstrap_interval", "T11", f"WITH {FIRST_SEED}, {boot('o', 'species', 'ok', 'id')} SELECT g AS species, round(quantile_cont(mean,0.025),6)+0.0 AS low, round(quantile_cont(mean,0.975),6)+0.0 AS high FROM m GROUP BY g")
 def _(read):
     return rounded(S.percentile_interval(rep(read).filter("random_state = 1"), "species", "ok"), "low", "high")
 
 
-@query("t12_bca_interval", "T12 X4")
+@query("t12_bca_interval", "T12 X4", f"WITH {FIRST_SEED}, {boot('o', 'species', 'ok', 'id')}, {bca()} SELECT g AS species, round(low,6)+0.0 AS low, round(high,6)+0.0 AS high FROM i")
 def _(read):
     return rounded(S.bca_interval(rep(read).filter("random_state = 1"), "species", "ok"), "low", "high")
 
 
-PICK = "CAST(concat('0x', substr(md5(concat({0})),1,12)) AS BIGINT)"
-MEDIANS = f"""v AS (SELECT f.id, species, avg(env) AS v FROM fixes f JOIN animals USING (id) WHERE env IS NOT NULL GROUP BY f.id, species),
-    g AS (SELECT species, row_number() OVER (ORDER BY species)-1 AS g FROM (SELECT DISTINCT species FROM v)),
-    r AS (SELECT species, row_number() OVER (PARTITION BY species ORDER BY id)-1 AS i, count(*) OVER (PARTITION BY species) AS n, v FROM v),
-    s AS (SELECT rep, g.g AS slot, {PICK.format("'g-', rep, '-', g.g")} % (SELECT count(*) FROM g) AS drawn FROM g, range(100) t(rep)),
-    p AS (SELECT rep, slot, r.species, {PICK.format("rep, '-', slot, '-', i")} % n AS pick FROM s JOIN g ON g.g=drawn JOIN r ON r.species=g.species),
-    m AS (SELECT rep, slot, quantile_cont(v,0.5) AS m FROM p JOIN r ON p.species=r.species AND pick=r.i GROUP BY rep, slot), a AS (SELECT rep, avg(m) AS m FROM m GROUP BY rep)"""
+MEDIANS = f"""r AS (SELECT species AS g, avg(env) AS v, {hashed("species", "CAST(f.id AS STRING)")} % {S.PRIME} AS h FROM fixes f JOIN animals USING (id) WHERE env IS NOT NULL GROUP BY f.id, species),
+    c AS (SELECT g, rep, v, {counts_sql("h", "rep")} AS n, h FROM r, range(100) t(rep)),
+    s AS (SELECT g, rep, v, sum(n) OVER (PARTITION BY g, rep ORDER BY v, h) AS upto, sum(n) OVER (PARTITION BY g, rep) AS total FROM c),
+    d AS (SELECT g, rep, (min(v) FILTER (upto > (total-1)//2) + min(v) FILTER (upto > total//2))/2 AS median FROM s WHERE total > 0 GROUP BY g, rep),
+    e AS (SELECT rep, median, {counts_sql(f"({hashed(repr('group'), 'g')} % {S.PRIME})", "rep")} AS n FROM d), a AS (SELECT rep, sum(n*median)/nullif(sum(n),0) AS m FROM e GROUP BY rep)"""
 
 
 @query("t13_mean_of_medians", "T13", f"WITH {MEDIANS} SELECT round(quantile_cont(m,0.025),6)+0.0 AS low, round(quantile_cont(m,0.975),6)+0.0 AS high FROM a")
@@ -205,7 +242,7 @@ def _(read):
     v AS (SELECT n.id, k, p.class AS vote, count(*) AS c FROM n JOIN p ON p.id=o, range(1,6) t(k) WHERE r<=k GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY c DESC, vote) AS q FROM v)
     SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN vote=class THEN 1.0 ELSE 0.0 END),6)+0.0 AS accuracy FROM w JOIN p ON p.id=w.id WHERE q=1 GROUP BY k""")
 def _(read):
-    return rounded(S.knn_accuracy(enrich.nearest_rows(read("points"), 5), read("points").select("id", "class")), "accuracy")
+    return rounded(S.knn_accuracy(D.nearest_rows(read("points"), 5), read("points").select("id", "class")), "accuracy")
 
 
 @query("t29_stress", "T29", f"WITH {PD}, e AS (SELECT a.id AS i, b.id AS j, list_distance(a.v[1:8],b.v[1:8]) AS e FROM p a JOIN p b ON a.id<b.id) SELECT round(sum((e-d)*(e-d))/sum(d*d),6)+0.0 AS stress FROM d JOIN e USING (i, j)")

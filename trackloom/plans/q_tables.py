@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import geo, times
-from ..operators import motion, prune, stages
+from ..operators import motion, prune, report as R, stages
 from .base import query
 from .q_motion import hav, r6
 
@@ -111,7 +111,13 @@ def _(read):
 
 @query("f20_wrong_predictions", "F20", "SELECT DISTINCT id, species FROM reports WHERE predicted<>species AND species IN ('S1','S2','S3')")
 def _(read):
-    return read("reports").filter("predicted <> species and species in ('S1','S2','S3')").dropDuplicates(["id", "species"]).select("id", "species")
+    return prune.reported(R.marked(read("reports")), "prediction = 'Wrong'", ("S1", "S2", "S3"), ("id", "species"))
+
+
+@query("f20_wrong_in_mixed_taxa", "F20", "SELECT DISTINCT id, random_state FROM reports WHERE predicted<>species AND species IN (SELECT species FROM animals GROUP BY species HAVING count(DISTINCT sex) > 1)")
+def _(read):
+    mixed = read("animals").groupBy("species").agg(F.count_distinct("sex").alias("n")).filter("n > 1").select("species")
+    return prune.reported(R.marked(read("reports")), F.col("prediction") == "Wrong", mixed, ("id", "random_state"))
 
 
 @query("f22_confident_side_rows", "F22 U1", "SELECT id, species FROM animals WHERE id%2=0 UNION ALL SELECT id, species FROM animals WHERE id%2=1 AND (id%10)/10.0 < 0.4")

@@ -96,6 +96,34 @@ def materialize(df_or_fn, root, name, spark=None, **params) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows that a bucket of stored tracks holds on average at most.
+BUCKET_ROWS = 2_000_000
+TRACK = ("id", "date_time", "fix_id")
+
+
+def store_tracks(fixes, table, path=None, buckets=None, mode="overwrite"):
+    """Store fixes as a table bucketed by track and sorted along it (``id, date_time, fix_id``), and return it read back.
+
+    Windows, aggregates and joins by ``id`` on the stored table need no exchange, however often it is read; the one exchange is paid here. Each
+    bucket is one file. ``buckets`` follows from the number of rows if it is not given; joins are free of an exchange between tables of as many buckets.
+    """
+    spark = fixes.sparkSession
+    if buckets is None:
+        buckets = max(1, -(-fixes.count() // BUCKET_ROWS))
+    writer = fixes.repartition(buckets, "id").write.mode(mode).format("parquet").bucketBy(buckets, "id").sortBy(*TRACK)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return spark.table(table)
+
+
+def append_tracks(fixes, table):
+    """Append fixes to a table of :func:`store_tracks`, in its buckets. A bucket then has several files."""
+    spark = fixes.sparkSession
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE FORMATTED {table}").collect()}
+    buckets = int(told["Num Buckets"])
+    fixes.select(*spark.table(table).columns).repartition(buckets, "id").write.mode("append").format("parquet").bucketBy(buckets, "id").sortBy(*TRACK).saveAsTable(table)
+    return spark.table(table)
+
+
 def append_results(df, path, by=("random_state",)):
     """Append to one report table, partitioned by the setting's columns."""
     df.write.mode("append").partitionBy(*by).parquet(path)
