@@ -194,15 +194,24 @@ def predictive_distances(df, columns, bins=8):
 
 
 def mrmr_order(information, redundancy):
-    """Features in the order in which they are dropped, the least useful first: information minus mean redundancy. Both tables hold a row for each (pair of) feature."""
-    mi = {r.feature: r.mi for r in information.collect()}
-    red = {frozenset((r.a, r.b)): r.mi for r in redundancy.collect()}
-    left, out = set(mi), []
-    while len(left) > 1:
-        score = {f: mi[f] - sum(red[frozenset((f, g))] for g in left if g != f) / (len(left) - 1) for f in left}
-        worst = min(sorted(left), key=score.get)
-        left.remove(worst), out.append(worst)
-    return out + sorted(left)
+    """``dropped, feature``: the order in which features are dropped, the least useful first (ties by name): information minus mean redundancy with those left.
+
+    The tables stay in Spark, a row for each feature and for each pair of them. A step brings the name of one feature to the driver, and takes its
+    part out of the others' sums.
+    """
+    one_way = redundancy.select(F.col("a").alias("feature"), F.col("b").alias("other"), "mi")
+    pairs = checkpoint(one_way.unionAll(redundancy.select(F.col("b").alias("feature"), F.col("a").alias("other"), "mi")))
+    sums = pairs.groupBy("feature").agg(F.sum("mi").alias("shared"))
+    left = checkpoint(information.select("feature", "mi").join(sums, "feature", "left").fillna(0.0, ["shared"]))
+    out, n = [], left.count()
+    while n > 1:
+        worst = left.orderBy(F.col("mi") - F.col("shared") / (n - 1), "feature").first().feature
+        gone = pairs.filter(F.col("other") == worst).select("feature", F.col("mi").alias("_m"))
+        left = checkpoint(left.filter(F.col("feature") != worst).join(gone, "feature", "left").select("feature", "mi", (F.col("shared") - F.coalesce("_m", F.lit(0.0))).alias("shared")))
+        out.append(worst)
+        n -= 1
+    out += [r.feature for r in left.select("feature").collect()]
+    return information.sparkSession.createDataFrame(list(enumerate(out)), "dropped int, feature string")
 
 
 # Bootstrap by hashes. A row counts Poisson(1) times in each replicate, as it nearly does when as many rows as there are are drawn with

@@ -64,12 +64,56 @@ def _(read):
     return rounded(S.feature_redundancy(read("fixes"), ["latitude", "longitude"], 4), "mi")
 
 
-@query("t10_mrmr_order", "T10")
+def _mrmr_sql(columns=("latitude", "longitude", "env"), bins=8):
+    """Information and redundancy by bins as in t07 and t08, and the two choices of three features one after the other."""
+    levels = [k / bins for k in range(1, bins)]
+    edges = ", ".join(f"quantile_cont({c},{levels}) OVER () AS e{k}" for k, c in enumerate(columns))
+    bin_sql = ", ".join(f"len(list_filter(e{k}, lambda v: v<{c})) AS b{k}" for k, c in enumerate(columns))
+    joint = lambda a, b: f"(SELECT sum(n/t*log2(n*t/(na*nb))) FROM (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM (SELECT {a} AS a, {b} AS b, count(*) AS n FROM x GROUP BY 1, 2)))"
+    info = " UNION ALL ".join(f"SELECT '{c}' AS f, {joint(f'b{k}', 'species')} AS m" for k, c in enumerate(columns))
+    red = " UNION ALL ".join(f"SELECT '{columns[i]}' AS a, '{columns[j]}' AS b, {joint(f'b{i}', f'b{j}')} AS m" for i in range(3) for j in range(3) if i != j)
+    worst = lambda left: f"SELECT f FROM (SELECT i.f, i.m-coalesce(avg(r.m),0) AS score FROM i LEFT JOIN r ON r.a=i.f AND r.b IN ({left}) WHERE i.f IN ({left}) GROUP BY i.f, i.m) ORDER BY score, f LIMIT 1"
+    return f"""WITH e AS (SELECT species, {", ".join(columns)}, {edges} FROM fixes JOIN animals USING (id) WHERE env IS NOT NULL), x AS (SELECT species, {bin_sql} FROM e), i AS ({info}), r AS ({red}),
+        w1 AS ({worst("SELECT f FROM i")}), w2 AS ({worst("SELECT f FROM i WHERE f NOT IN (SELECT f FROM w1)")})
+        SELECT CAST(0 AS INTEGER) AS dropped, f AS feature FROM w1 UNION ALL SELECT 1, f FROM w2 UNION ALL SELECT 2, f FROM i WHERE f NOT IN (SELECT f FROM w1) AND f NOT IN (SELECT f FROM w2)"""
+
+
+@query("t10_mrmr_order", "T10", _mrmr_sql())
 def _(read):
     df = read("fixes").filter("env is not null").join(read("animals"), "id")
     columns = ["latitude", "longitude", "env"]
-    order = S.mrmr_order(S.feature_information(df, columns, "species"), S.feature_redundancy(df, columns))
-    return df.sparkSession.createDataFrame(list(enumerate(order)), "dropped int, feature string")
+    return S.mrmr_order(S.feature_information(df, columns, "species"), S.feature_redundancy(df, columns))
+
+
+VIF = ("latitude", "longitude", "env", "near")
+
+
+def _vif_sql(most=10):
+    """Factors of every set of columns by determinants of the scaled sums of products; sets lose their largest factor until none is large."""
+
+    def det(rows, columns):
+        if not rows:
+            return "1.0"
+        return "(" + "+".join(f"{(-1) ** k}*r{min(rows[0], c)}{max(rows[0], c)}*{det(rows[1:], columns[:k] + columns[k + 1 :])}" for k, c in enumerate(columns)) + ")"
+
+    n = range(len(VIF))
+    sums = ", ".join(f"sum({VIF[i]}*{VIF[j]}) AS g{i}{j}" for i in n for j in n if i <= j)
+    scaled = ", ".join(f"g{i}{j}/sqrt(g{i}{i}*g{j}{j}) AS r{i}{j}" for i in n for j in n if i <= j)
+    rows = []
+    for s in range(1, 16):
+        held = [i for i in n if s >> i & 1]
+        rows += [f"SELECT {s} AS s, {i} AS i, {det([k for k in held if k != i], [k for k in held if k != i])}/{det(held, held)} AS v FROM c" for i in held]
+    return f"""WITH RECURSIVE d AS (SELECT latitude, longitude, env, latitude*2+(fix_id%97)/2.0 AS near FROM fixes WHERE env IS NOT NULL), g AS (SELECT {sums} FROM d), c AS (SELECT {scaled} FROM g),
+        v AS ({" UNION ALL ".join(rows)}), m AS (SELECT s, arg_max(i, v) AS i, max(v) AS v, count(*) AS n FROM v GROUP BY s),
+        r AS (SELECT 15 AS s UNION ALL SELECT r.s-CAST(pow(2, m.i) AS INTEGER) FROM r JOIN m ON m.s=r.s WHERE m.v>={most} AND m.n>1)
+        SELECT ['{"','".join(VIF)}'][i+1] AS feature, round(v,4)+0.0 AS vif, ((SELECT min(s) FROM r)//CAST(pow(2,i) AS INTEGER))%2=1 AS kept FROM v WHERE s=15"""
+
+
+@query("t05_vif_elimination", "T5 T6", _vif_sql())
+def _(read):
+    df = read("fixes").filter("env is not null").withColumn("near", F.col("latitude") * 2 + F.col("fix_id") % 97 / 2)
+    left, found = S.eliminate_by_vif(df, list(VIF)), S.vif(df, list(VIF))
+    return df.sparkSession.createDataFrame([(c, round(found[c], 4) + 0.0, c in left) for c in VIF], "feature string, vif double, kept boolean")
 
 
 def hashed(*parts):
