@@ -159,6 +159,26 @@ def test_nearest_rows_by_pivots(spark, block, pivots):
     assert distances.nearest_rows(df.filter("id < 0"), 3).count() == 0
 
 
+@pytest.mark.parametrize("block", [6, 512])
+def test_close_rows_and_closest_series(spark, block):
+    rng = np.random.default_rng(block)
+    rows = [(i, [float(x) for x in np.round(rng.normal(30 * (i % 4), 10, 3))]) for i in range(120)] + [(900, None), (None, [1.0, 2.0, 3.0]), (902, [7.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    whole = [r for r in rows if r[0] is not None and r[1]]
+    want = {(i, j): math.dist(v, w) for (i, v), (j, w) in itertools.combinations(whole, 2) if len(v) == len(w) and sum((a - b) ** 2 for a, b in zip(v, w, strict=True)) <= 225}
+    got = {(r.i, r.j): r.d for r in distances.close_rows(df, 15.0, block=block, pivots=4).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], d) for k, d in want.items())
+    patterns = df.filter("id < 20").select("id", F.slice("embedding", 1, 2).alias("v"))
+    series = df.select("id", F.col("embedding").alias("v"))
+    best = {}
+    for r in sorted(enrich.shapelet_distances(patterns, series).collect(), key=lambda r: (r.pid, r.d, r.id)):
+        best.setdefault(r.pid, []).append((r.id, r.d))
+    got = {}
+    for r in sorted(enrich.shapelet_distances(patterns, series, k=4).collect(), key=lambda r: (r.pid, r.d, r.id)):
+        got.setdefault(r.pid, []).append((r.id, r.d))
+    assert got == {p: v[:4] for p, v in best.items()}
+
+
 def test_pivots_leave_most_pairs_of_blocks_out_where_rows_lie_in_clusters(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(50 * (i % 40), 1, 2)]) for i in range(4000)]

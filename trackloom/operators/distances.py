@@ -218,7 +218,11 @@ def block_pairs(blocks: DataFrame, k) -> DataFrame:
                 out.append(float(d.max(initial=0.0)) if whole.all() else np.inf)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["block", "reach"])
 
-    known = blocks.select("block", "_rows").mapInArrow(reach, "block long, reach double")
+    return _pairs_within(blocks, blocks.select("block", "_rows").mapInArrow(reach, "block long, reach double"))
+
+
+def _pairs_within(blocks, known):
+    """Pairs of blocks of which the pivots do not show that they are further apart than the larger ``reach`` of the two."""
     # Blocks of blocks: the bounds of a block are its vector.
     bounds = blocks.join(known, "block").select("block", F.concat(F.array(F.col("_size").cast("double"), "reach"), "low", "high").alias("v"))
 
@@ -236,6 +240,34 @@ def block_pairs(blocks: DataFrame, k) -> DataFrame:
     return _triangle(bounds, "block", "v", meet, "a long, b long")
 
 
+def close_rows(df: DataFrame, most, key="id", vector="embedding", block=BLOCK, pivots=PIVOTS) -> DataFrame:
+    """``i, j, d``: pairs i < j of rows of vectors of one length whose Euclidean distance is at most ``most``; exact.
+
+    The threshold form of a distance matrix: its size follows from the close pairs, and pairs of blocks that the pivots show to be too far
+    apart are not compared. Rows with a null in key or vector, or with one key, have no pairs.
+    """
+    blocks = metric_blocks(df, key, vector, block, pivots)
+    same = F.col("block")
+    pairs = _pairs_within(blocks, blocks.select("block", F.lit(float(most)).alias("reach"))).unionAll(blocks.select(same.alias("a"), same.alias("b")))
+    left = blocks.select(F.col("block").alias("a"), F.col("_rows").alias("_left")).join(pairs, "a").withColumn("_same", F.col("a") == F.col("b"))
+    right = blocks.select(F.col("block").alias("b"), F.col("_rows").alias("_right"))
+
+    def compare(ki, x, kj, y, alone):
+        centre = y.mean(axis=0)
+        a, b = x - centre, y - centre
+        na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        square = na[:, None] + nb[None, :] - 2 * a @ b.T
+        # Screened by squares with a margin for their rounding, then measured.
+        near = square <= most * most + 1e-12 * (na[:, None] + nb[None, :]) * max(1, x.shape[1])
+        near &= ki[:, None] < kj[None, :] if alone else ki[:, None] != kj[None, :]
+        i, j = np.nonzero(near)
+        d = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
+        i, j, d = i[d <= most], j[d <= most], d[d <= most]
+        yield np.minimum(ki[i], kj[j]), np.maximum(ki[i], kj[j]), d
+
+    return _block_pairs(left, right, ["b"], compare, "i long, j long, d double")
+
+
 def nearest_rows(df: DataFrame, k, key="id", vector="embedding", block=BLOCK, pivots=PIVOTS) -> DataFrame:
     """``id, other, d``: each row's k nearest other rows by Euclidean distance, exact, ties to the smaller key.
 

@@ -435,9 +435,13 @@ def distance_matrix(df, key="id", vector="embedding"):
     return _triangle(df, key, vector, pairs, "i long, j long, d double")
 
 
-def shapelet_distances(patterns, series, key="id", vector="v"):
+def shapelet_distances(patterns, series, key="id", vector="v", k=None):
     """``pid, id, d``: least Euclidean distance of each pattern over each series' alignments, the last left out, by the square root of
-    the pattern's length; the plain distance if both are as long, none if the pattern is longer."""
+    the pattern's length; the plain distance if both are as long, none if the pattern is longer.
+
+    With ``k`` only each pattern's ``k`` closest series (ties to the smaller key): a pair of blocks passes on k of them at most, so the
+    result grows with the patterns, not with patterns times series.
+    """
     p, s = _blocks(patterns, key, vector), _blocks(series, key, vector)
     blocks = checkpoint(s.select(F.col("_size").alias("_long"), F.col("_b").alias("_sb"), F.col("_rows").alias("_right")))
     # Every block of patterns is sent to every block of series, by the blocks' names.
@@ -449,6 +453,12 @@ def shapelet_distances(patterns, series, key="id", vector="v"):
         windows = np.lib.stride_tricks.sliding_window_view(y, n, axis=1)[:, : max(1, m - n)]
         for i in range(len(x)):
             d = np.sqrt(((windows - x[i]) ** 2).sum(axis=2).min(axis=1))
-            yield np.full(len(ks), kp[i]), ks, d if n == m else d / np.sqrt(n)
-
-    return _block_pairs(left, blocks, ["_long", "_sb"], pairs, "pid long, id long, d double")
+            d = d if n == m else d / np.sqrt(n)
+            best = np.lexsort((ks, d))[:k]
+            yield np.full(len(best), kp[i]), ks[best], d[best]
+
+    out = _block_pairs(left, blocks, ["_long", "_sb"], pairs, "pid long, id long, d double")
+    if k is None:
+        return out
+    nearest = Window.partitionBy("pid").orderBy("d", "id")
+    return out.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= k).drop("_r")

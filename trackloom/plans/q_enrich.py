@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import geo, times
-from ..operators import enrich, gridstats, motion, resample
+from ..operators import distances, enrich, gridstats, motion, resample
 from .base import query
 from .q_motion import ORIGIN, SPEED, hav, r6, r9
 
@@ -133,6 +133,20 @@ def _(read):
     return enrich.distance_matrix(read("points")).select("i", "j", r6("d").alias("d"))
 
 
+@query("j21_close_rows", "J21", "WITH p AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM points) SELECT a.id AS i, b.id AS j, round(list_distance(a.v,b.v),6)+0.0 AS d FROM p a JOIN p b ON a.id<b.id WHERE list_distance(a.v,b.v) <= 1.15")
+def _(read):
+    return distances.close_rows(read("points"), 1.15).select("i", "j", r6("d").alias("d"))
+
+
+@query("j22_closest_series", "J22", """WITH s AS (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM points), p AS (SELECT id AS pid, v[1:8] AS p FROM s),
+    d AS (SELECT pid, id, (SELECT min(sqrt(list_sum(list_transform(list_zip(p, v[k+1:k+8]), lambda z: (z[1]-z[2])*(z[1]-z[2]))))) FROM range(56) t(k)) AS m FROM p, s),
+    r AS (SELECT pid, id, m, row_number() OVER (PARTITION BY pid ORDER BY m, id) AS n FROM d) SELECT pid, id, round(m/sqrt(8),6)+0.0 AS d FROM r WHERE n <= 3""")
+def _(read):
+    s = read("points").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    p = s.select("id", F.slice("v", 1, 8).alias("v"))
+    return enrich.shapelet_distances(p, s, k=3).select("pid", "id", r6("d").alias("d"))
+
+
 @query("j22_shapelet_distance", "J22", """WITH s AS (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM points), p AS (SELECT id AS pid, v[1:8] AS p FROM s),
     d AS (SELECT pid, id, (SELECT min(sqrt(list_sum(list_transform(list_zip(p, v[k+1:k+8]), lambda z: (z[1]-z[2])*(z[1]-z[2]))))) FROM range(56) t(k)) AS m FROM p, s)
     SELECT pid, id, round(m/sqrt(8),6)+0.0 AS d FROM d""")
