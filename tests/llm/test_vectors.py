@@ -41,15 +41,15 @@ def near_copies(rng, groups, dim, start=0):
     return rows
 
 
-@pytest.mark.parametrize("block", [3, 512])
+@pytest.mark.parametrize("block, small", [(3, 32), (512, 1), (512, 32)])
 @pytest.mark.parametrize("dim", [64, 24])
-def test_links_and_components_are_those_of_all_pairs(spark, monkeypatch, block, dim):
+def test_links_and_components_are_those_of_all_pairs(spark, monkeypatch, block, small, dim):
     monkeypatch.setattr(vectors, "HOT", 20)
     rng = np.random.default_rng(dim)
     rows = near_copies(rng, [(1, 0)] * 100 + [(2, 0.2), (9, 0.1), (60, 0.15), (40, 0.02)], dim)
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     # More tables than by default, as every link is wanted here.
-    got = vectors.near_duplicates(table, block=block, tables=8).collect()
+    got = vectors.near_duplicates(table, block=block, small=small, tables=8).collect()
     assert key(got) == key(brute(rows))
 
 

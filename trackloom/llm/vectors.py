@@ -29,8 +29,10 @@ PROBES = 2
 SEED = 20240311
 #: Classes of one bucket that meet in one task; more are dealt out as pairs of blocks of so many.
 BLOCK = 512
-#: Pairs at or above the threshold whose codes are compared at once.
-PAIRS = 1 << 18
+#: Rows of a cell that is compared pair by pair together with others; larger ones are compared by products of matrices.
+SMALL = 32
+#: Pairs that are compared at once.
+PAIRS = 1 << 17
 #: Rows are looked up by the vectors of classes of more than a (HOT-th of all) copies by a broadcast of at most HOT rows.
 HOT = 1000
 
@@ -119,15 +121,17 @@ def _code(settings):
 
 
 def _first_shared(code, i, j, nth, bucket, dim):
-    """Whether ``bucket`` of table ``nth`` is the first one that rows ``i`` and ``j`` share."""
+    """Whether the bucket of table ``nth`` (both for each pair) is the first one that rows ``i`` and ``j`` share."""
     own = np.ones(len(i), bool)
-    for t in range(nth):
-        same = code[i, t][..., :, None] == code[j, t][..., None, :]
-        own &= ~same.any((-1, -2)).all(-1)
+    for t in range(int(nth.max(initial=0))):
+        later = np.flatnonzero(own & (nth > t))
+        same = code[i[later], t][..., :, None] == code[j[later], t][..., None, :]
+        own[later] &= ~same.any((-1, -2)).all(-1)
     least = np.zeros(len(i), np.int64)
     for r in range(code.shape[2]):
-        same = (code[i, nth, r][:, :, None] == code[j, nth, r][:, None, :]).any(-1)
-        least = least * (2 * _padded(dim)) + np.where(same, code[i, nth, r], np.iinfo(np.int32).max).min(axis=1).astype(np.int64)
+        a, b = code[i, nth, r], code[j, nth, r]
+        same = (a[:, :, None] == b[:, None, :]).any(-1)
+        least = least * (2 * _padded(dim)) + np.where(same, a, np.iinfo(np.int32).max).min(axis=1).astype(np.int64)
     return own & (least == bucket)
 
 
@@ -145,41 +149,81 @@ def _smallest(n, edges):
             return label
 
 
-def _cell(rows, cosine, settings):
-    """Links of one pair of blocks (or of one block within itself): representative, links and the smallest one it is tied to."""
-    reps, sizes, side = (rows[c].to_numpy() for c in ("rep", "size", "side"))
-    dim, nth, bucket = (rows[c][0].as_py() for c in ("dim", "nth", "bucket"))
-    order = np.argsort(reps)
-    reps, sizes, side = reps[order], sizes[order], side[order]
-    values = rows["values"].take(pa.array(order)).to_pylist()
+def _unpacked(rows, settings):
+    """Unit vectors and codes of rows of one length."""
+    dim, values = rows["dim"][0].as_py(), rows["values"].to_pylist()
     x = np.frombuffer(b"".join(values), np.float32 if len(values[0]) == 4 * dim else np.float64).reshape(len(values), dim)
-    x = unit(x.astype(np.float64))
-    code = np.frombuffer(b"".join(rows["codes"].take(pa.array(order)).to_pylist()), np.uint32).reshape(len(reps), settings["tables"], settings["rotations"], settings["probes"])
+    code = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint32).reshape(len(values), settings["tables"], settings["rotations"], settings["probes"])
+    return dim, unit(x.astype(np.float64)), code
+
+
+def _found(reps, sizes, pairs):
+    """Rows to send for pairs of places that link: representative, links and the smallest one it is tied to."""
+    links, down = np.zeros(len(reps), np.int64), np.argsort(reps, kind="stable")
+    place = np.empty(len(reps), np.int64)
+    place[down] = np.arange(len(reps))  # labels are places in the order of representatives
+    for i, j in pairs:
+        np.add.at(links, i, sizes[j])
+        np.add.at(links, j, sizes[i])
+    tied = _smallest(len(reps), [(place[i], place[j]) for i, j in pairs])
+    m = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays([pa.array(reps[m]), pa.array(links[m]), pa.array(reps[down[tied[place[m]]]])], ["rep", "links", "tied"])
+
+
+def _crowded(rows, cosine, settings):
+    """Links of one pair of blocks, or of one block within itself, by products of matrices."""
+    reps, sizes, side = (rows[c].to_numpy() for c in ("rep", "size", "side"))
+    dim, x, code = _unpacked(rows, settings)
+    nth, bucket = rows["nth"][0].as_py(), rows["bucket"][0].as_py()
     alone = rows["x"][0].as_py() == rows["y"][0].as_py()
     left, right = (np.arange(len(reps)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    links, edges = np.zeros(len(reps), np.int64), []
-    step = max(1, PAIRS // max(1, len(right)))
+    pairs, step = [], max(1, PAIRS // max(1, len(right)))
     for k in range(0, len(left), step):
         some = left[k : k + step]
         i, j = np.nonzero(x[some] @ x[right].T >= cosine)
         i, j = some[i], right[j]
         if alone:
             i, j = i[i < j], j[i < j]
-        if len(i):
-            own = _first_shared(code, i, j, nth, bucket, dim)
-            i, j = i[own], j[own]
-            np.add.at(links, i, sizes[j])
-            np.add.at(links, j, sizes[i])
-            edges.append((i, j))
-    tied = _smallest(len(reps), edges)
-    m = np.flatnonzero(links)
-    return pa.RecordBatch.from_arrays([pa.array(reps[m]), pa.array(links[m]), pa.array(reps[tied[m]])], ["rep", "links", "tied"])
-
-
-def _cells(cosine, settings):
-    """Cells of a partition sorted by cell; one cell is held at a time."""
+        own = _first_shared(code, i, j, np.full(len(i), nth), bucket, dim)
+        pairs.append((i[own], j[own]))
+    return _found(reps, sizes, pairs)
+
+
+def _few(rows, cell, cosine, settings):
+    """Links of many small cells at once, pair by pair; ``cell`` numbers the rows' cells, which lie together."""
+    reps, sizes, nth, bucket = (rows[c].to_numpy() for c in ("rep", "size", "nth", "bucket"))
+    dim, x, code = _unpacked(rows, settings)
+    # Row i pairs with the later rows of its cell.
+    end = np.searchsorted(cell, cell, side="right")
+    later = end - np.arange(len(cell)) - 1
+    i = np.repeat(np.arange(len(cell)), later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    pairs = []
+    for k in range(0, len(i), PAIRS):
+        a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+        near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+        a, b = a[near], b[near]
+        own = _first_shared(code, a, b, nth[a], bucket[a], dim)
+        pairs.append((a[own], b[own]))
+    return _found(reps, sizes, pairs)
+
+
+def _cells(cosine, settings, small):
+    """Cells of a partition sorted by cell: small ones together, crowded ones one by one."""
     names = ("dim", "nth", "bucket", "x", "y")
 
+    def solve(rows, turn):
+        size = np.diff(turn)
+        cell = np.repeat(np.arange(len(size)), size)
+        single_block = rows["x"].to_numpy() == rows["y"].to_numpy()
+        dims = rows["dim"].to_numpy()
+        few = (size[cell] > 1) & (size[cell] <= small) & single_block
+        for dim in np.unique(dims[few]).tolist():
+            m = np.flatnonzero(few & (dims == dim))
+            yield _few(rows.take(pa.array(m)), cell[m], cosine, settings)
+        for c in np.unique(cell[(size[cell] > 1) & ~few]).tolist():
+            yield _crowded(rows.slice(int(turn[c]), int(size[c])), cosine, settings)
+
     def run(batches):
         held = None
         for b in batches:
@@ -187,19 +231,16 @@ def _cells(cosine, settings):
             held = t if held is None else pa.concat_tables([held, t])
             keys = [held[c].to_numpy() for c in names]
             turn = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            start = 0
-            for end in turn.tolist():
-                if end - start > 1:
-                    yield _cell(held.slice(start, end - start), cosine, settings)
-                start = end
-            held = held.slice(start)
+            if len(turn):
+                yield from solve(held.slice(0, int(turn[-1])), np.concatenate(([0], turn)))
+                held = held.slice(int(turn[-1]))
         if held is not None and held.num_rows > 1:
-            yield _cell(held, cosine, settings)
+            yield from solve(held, np.array([0, held.num_rows]))
 
     return run
 
 
-def links(classes: DataFrame, cosine=COSINE, tables=TABLES, rotations=ROTATIONS, probes=PROBES, seed=SEED, block=BLOCK) -> DataFrame:
+def links(classes: DataFrame, cosine=COSINE, tables=TABLES, rotations=ROTATIONS, probes=PROBES, seed=SEED, block=BLOCK, small=SMALL) -> DataFrame:
     """``rep, links, tied``, several rows for a class: shares of its number of links (weighted by ``size``) and a smaller class it is tied to.
 
     ``classes`` has ``rep`` (long, unique), ``size`` (long) and ``v`` (arrays of different finite vectors, none zero).
@@ -217,7 +258,7 @@ def links(classes: DataFrame, cosine=COSINE, tables=TABLES, rotations=ROTATIONS,
     spread = spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     spread = spread.select("rep", "size", *key, "codes", "values", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     cell = [*key, "x", "y"]
-    return spread.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cells(cosine, settings), "rep long, links long, tied long")
+    return spread.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cells(cosine, settings, small), "rep long, links long, tied long")
 
 
 def near_duplicates(vectors: DataFrame, cosine=COSINE, vec_id="vec_id", embedding="embedding", **settings) -> DataFrame:
