@@ -134,8 +134,58 @@ def _quality_sql():
         FROM v LEFT JOIN z ON z.s = coalesce('of ' || v.lang, 'none')"""
 
 
+#: Rows ``t (t)`` with the table of CRC-32, and the CRC of the text ``_x`` given ``t``, in SQL.
+_CRC_TABLE = "t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, " + "list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)" + " AS v FROM range(256) r(i)))"
+
+
+def _crc(x):
+    byte = f"CAST(concat('0x', substr(hex(encode({x})), CAST(2 * k + 1 AS BIGINT), 2)) AS BIGINT)"
+    bytes_ = f"list_transform(range(CAST(octet_length(encode({x})) AS BIGINT)), lambda k: {byte})"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS BIGINT) + 1])), 4294967295)"
+
+
+def _periodic_sql():
+    """Equal words a period apart, in stretches; those inside a stretch of a divisor's period are none of their own."""
+    return f"""
+        WITH {_CRC_TABLE},
+        d AS (SELECT doc_id, w, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS hit FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_crc("CAST(doc_id AS VARCHAR)")} AS h FROM documents, t)),
+        e AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM d WHERE hit),
+        x AS (SELECT doc_id, n, i, w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] AS y FROM (SELECT *, unnest(range(n)) AS i FROM e)
+              UNION ALL SELECT doc_id, n, i, w[i + 1] FROM (SELECT *, unnest(range(n)) AS i FROM d WHERE NOT hit)),
+        q AS (SELECT b.doc_id, b.i AS i, c.i - b.i AS q FROM x b JOIN x c ON b.doc_id = c.doc_id AND b.y = c.y AND c.i > b.i AND 3 * (c.i - b.i) <= b.n),
+        s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS size FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM q) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+        r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.q < s.q AND s.q % o.q = 0 AND o.start <= s.start AND o.start + o.size >= s.start + s.size)),
+        k AS (SELECT doc_id, string_agg(y, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.q AND x.i < r.start + r.size) GROUP BY doc_id),
+        l AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', size, ',', q, chr(10)), '' ORDER BY start, q) AS listed FROM r GROUP BY doc_id),
+        f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(size AS DOUBLE) / q DESC, start, q) AS rank FROM r) WHERE rank = 1)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, size AS length, f.q AS period, 1000 * size // f.q AS exponent_milli,
+               sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, n AS n_words
+        FROM d LEFT JOIN l USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+def _spelling_sql():
+    """Words that share a form with one letter wiped, or of which one is the other without a letter."""
+    return f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        o AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY doc_id, w),
+        h AS (SELECT w, n, {_crc("concat(CAST(doc_id AS VARCHAR), ':', w)")} AS h FROM o, t),
+        c AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(w, 1, CAST(h % length(w) AS BIGINT)), substr(w, CAST(h % length(w) + 2 AS BIGINT))) ELSE w END AS w, n FROM h),
+        v AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+        p AS (SELECT w, n, i, concat(substr(w, 1, CAST(i AS BIGINT)), '?', substr(w, CAST(i + 2 AS BIGINT))) AS wiped, concat(substr(w, 1, CAST(i AS BIGINT)), substr(w, CAST(i + 2 AS BIGINT))) AS less FROM (SELECT w, n, unnest(range(length(w))) AS i FROM v)),
+        e AS (SELECT a.w AS w, a.n AS n, b.w AS o, b.n AS m FROM p a JOIN p b ON a.wiped = b.wiped AND a.w <> b.w
+              UNION SELECT p.w, p.n, v.w, v.n FROM p JOIN v ON p.less = v.w UNION SELECT v.w, v.n, p.w, p.n FROM p JOIN v ON p.less = v.w),
+        b AS (SELECT w, count(*) AS n_near, max(m) AS most FROM e GROUP BY w),
+        f AS (SELECT e.w, any_value(e.n) AS n, min(e.o) AS o, any_value(e.m) AS m FROM e JOIN b ON b.w = e.w AND e.m = b.most GROUP BY e.w),
+        g AS (SELECT w, o AS form, m AS form_n FROM f WHERE m >= 10 * n),
+        r AS (SELECT w, form AS up FROM g UNION ALL SELECT r.w, g.form FROM r JOIN g ON g.w = r.up),
+        z AS (SELECT w, up AS root FROM r WHERE up NOT IN (SELECT w FROM g))
+        SELECT v.w AS word, form, coalesce(root, v.w) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN b ON b.w = v.w LEFT JOIN g ON g.w = v.w LEFT JOIN z ON z.w = v.w"""
+
+
 def oracle_sql():
     return {
+        "op11_periodic_runs": _periodic_sql(),
+        "op13_spelling_variants": _spelling_sql(),
         "op3_substring_dedup": """
             WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
             w AS (SELECT doc_id, substr(h, CAST(2 * i + 1 AS BIGINT), 200) AS s, i FROM (SELECT doc_id, h, unnest(range(greatest(len(h) // 2 - 99, 0))) AS i FROM d)),
