@@ -182,9 +182,9 @@ def test_close_rows_and_closest_series(spark, block):
 def test_pivots_leave_most_pairs_of_blocks_out_where_rows_lie_in_clusters(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(50 * (i % 40), 1, 2)]) for i in range(4000)]
-    blocks = distances.metric_blocks(spark.createDataFrame(rows, "id long, embedding array<double>"), block=50)
+    blocks = distances.metric_blocks(spark.createDataFrame(rows, "id long, embedding array<double>"), block=50, k=5)
     n = blocks.count()
-    assert distances.block_pairs(blocks, 5).count() < 0.2 * n * (n - 1) / 2
+    assert distances.block_pairs(blocks).count() < 0.2 * n * (n - 1) / 2
 
 
 def test_close_pairs_are_those_of_all_pairs(spark):

@@ -127,11 +127,13 @@ PIVOTS = 32
 SLACK = 1e-9
 
 
-def metric_blocks(df: DataFrame, key="id", vector="embedding", block=BLOCK, pivots=PIVOTS) -> DataFrame:
-    """``_size, block, low, high, _rows``: vectors in blocks of neighbours, each with the least and greatest distance of its rows to every pivot.
+def metric_blocks(df: DataFrame, key="id", vector="embedding", block=BLOCK, pivots=PIVOTS, k=None) -> DataFrame:
+    """``_size, block, low, high, reach, _rows``: vectors in blocks of neighbours, each with the least and greatest distance of its rows to every pivot.
+
+    ``reach``: the largest distance of a row to its ``k``-th nearest other row in the block, infinite if a row has fewer (or without ``k``).
 
     Pivots are the rows of smallest hashes. Rows are laid out by their nearest pivot and the distance to it, by a range exchange, and
-    cut into blocks where they lie, so however many rows a pivot has, no task gathers them.
+    cut into blocks where they lie, so however many rows a pivot has, no task gathers them. A block ends with its pivot's rows once it is a quarter full.
     """
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
     chosen = {}
@@ -155,7 +157,7 @@ def metric_blocks(df: DataFrame, key="id", vector="embedding", block=BLOCK, pivo
                 cell[at], r[at] = d.argmin(axis=1), d.min(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes.astype(np.int32)), pa.array(cell), pa.array(r)], ["k", "v", "_size", "_cell", "_r"])
 
-    laid = checkpoint(rows.mapInArrow(place, "k long, v array<double>, _size int, _cell int, _r double"))
+    laid = rows.mapInArrow(place, "k long, v array<double>, _size int, _cell int, _r double")
     order = ["_size", "_cell", "_r", "k"]
     spread = max(laid.sparkSession.sparkContext.defaultParallelism, int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -167,8 +169,14 @@ def metric_blocks(df: DataFrame, key="id", vector="embedding", block=BLOCK, pivo
             x = np.array(table["v"].to_pylist(), float).reshape(table.num_rows, -1)
             d = far(x)
             count += 1
-            out = pa.table({"_size": pa.array([x.shape[1]], pa.int32()), "block": pa.array([(part << 32) + count]), "low": pa.array([d.min(axis=0).tolist()]), "high": pa.array([d.max(axis=0).tolist()]),
-                            "_rows": pa.array([[{"k": k, "v": v} for k, v in zip(table["k"].to_pylist(), x.tolist(), strict=True)]], pa.list_(pa.struct([("k", pa.int64()), ("v", pa.list_(pa.float64()))])))})
+            keys = table["k"].to_numpy()
+            reach = np.inf
+            if k is not None:
+                i, _, near = _best(x, x, keys, keys, k)
+                if (np.bincount(i, minlength=len(x)) >= k).all():
+                    reach = float(near.max(initial=0.0))
+            out = pa.table({"_size": pa.array([x.shape[1]], pa.int32()), "block": pa.array([(part << 32) + count]), "low": pa.array([d.min(axis=0).tolist()]), "high": pa.array([d.max(axis=0).tolist()]), "reach": pa.array([reach], pa.float64()),
+                            "_rows": pa.array([[{"k": i, "v": v} for i, v in zip(keys.tolist(), x.tolist(), strict=True)]], pa.list_(pa.struct([("k", pa.int64()), ("v", pa.list_(pa.float64()))])))})
             return out.to_batches()
 
         for b in [*batches, None]:
@@ -176,12 +184,16 @@ def metric_blocks(df: DataFrame, key="id", vector="embedding", block=BLOCK, pivo
                 t = pa.Table.from_batches([b])
                 held = t if held is None else pa.concat_tables([held, t])
             while held is not None and held.num_rows and (b is None or held.num_rows > block):
-                cells = held["_size"].to_numpy() * (pivots + 1) + held["_cell"].to_numpy()
-                end = min(block, int(np.argmax(cells != cells[0])) or held.num_rows)
+                sizes, cells = held["_size"].to_numpy()[:block], held["_cell"].to_numpy()[:block]
+                ends = np.flatnonzero((cells[1:] != cells[:-1]) | (sizes[1:] != sizes[:-1])) + 1
+                other = ends[sizes[ends] != sizes[0]]
+                end = int(other[0]) if len(other) else len(cells)
+                full = ends[(ends >= block // 4) & (ends < end)]
+                end = int(full[0]) if len(full) else end
                 yield from made(held.slice(0, end))
                 held = held.slice(end)
 
-    return checkpoint(laid.repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(cut, "_size int, block long, low array<double>, high array<double>, _rows array<struct<k:long,v:array<double>>>"))
+    return checkpoint(laid.repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(cut, "_size int, block long, low array<double>, high array<double>, reach double, _rows array<struct<k:long,v:array<double>>>"))
 
 
 def _best(x, y, kx, ky, k):
@@ -201,30 +213,14 @@ def _best(x, y, kx, ky, k):
     return i[keep], j[keep], d[keep]
 
 
-def block_pairs(blocks: DataFrame, k) -> DataFrame:
-    """``a, b``: pairs of :func:`metric_blocks` (a < b) of which one may hold one of the ``k`` nearest rows of the other.
+def block_pairs(blocks: DataFrame, most=None) -> DataFrame:
+    """``a, b``: pairs of :func:`metric_blocks` (a < b) of which one may hold rows within the other's reach, or within ``most`` for all blocks.
 
-    In a block the k-th nearest of each row is known; the largest such distance is the block's reach. By the triangle inequality two
-    blocks whose distances to some pivot are further apart than the larger reach have nothing for each other.
+    By the triangle inequality two blocks whose distances to some pivot are further apart than the larger reach have nothing for each other.
     """
-
-    def reach(batches):
-        for b in batches:
-            out = []
-            for rows in b.column(1):
-                keys, x = rows.values.field(0).to_numpy(), rows.values.field(1).flatten().to_numpy().reshape(len(rows), -1)
-                i, _, d = _best(x, x, keys, keys, k)
-                whole = np.bincount(i, minlength=len(x)) >= k
-                out.append(float(d.max(initial=0.0)) if whole.all() else np.inf)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["block", "reach"])
-
-    return _pairs_within(blocks, blocks.select("block", "_rows").mapInArrow(reach, "block long, reach double"))
-
-
-def _pairs_within(blocks, known):
-    """Pairs of blocks of which the pivots do not show that they are further apart than the larger ``reach`` of the two."""
     # Blocks of blocks: the bounds of a block are its vector.
-    bounds = blocks.join(known, "block").select("block", F.concat(F.array(F.col("_size").cast("double"), "reach"), "low", "high").alias("v"))
+    reach = F.col("reach") if most is None else F.lit(float(most))
+    bounds = blocks.select("block", F.concat(F.array(F.col("_size").cast("double"), reach), "low", "high").alias("v"))
 
     def meet(ka, x, kb, y, same):
         wide = (x.shape[1] - 2) // 2
@@ -247,8 +243,7 @@ def close_rows(df: DataFrame, most, key="id", vector="embedding", block=BLOCK, p
     apart are not compared. Rows with a null in key or vector, or with one key, have no pairs.
     """
     blocks = metric_blocks(df, key, vector, block, pivots)
-    same = F.col("block")
-    pairs = _pairs_within(blocks, blocks.select("block", F.lit(float(most)).alias("reach"))).unionAll(blocks.select(same.alias("a"), same.alias("b")))
+    pairs = block_pairs(blocks, most).unionAll(blocks.select(F.col("block").alias("a"), F.col("block").alias("b")))
     left = blocks.select(F.col("block").alias("a"), F.col("_rows").alias("_left")).join(pairs, "a").withColumn("_same", F.col("a") == F.col("b"))
     right = blocks.select(F.col("block").alias("b"), F.col("_rows").alias("_right"))
 
@@ -275,8 +270,8 @@ def nearest_rows(df: DataFrame, k, key="id", vector="embedding", block=BLOCK, pi
     k rows for each row at most. How many pairs are left out rests on the vectors: most in few dimensions or in clusters, none
     where all rows are about equally far from each other. Rows that share a key are never each other's neighbours; rows with a null in key or vector have none.
     """
-    blocks = metric_blocks(df, key, vector, block, pivots)
-    pairs = block_pairs(blocks, k).unionAll(blocks.select(F.col("block").alias("a"), F.col("block").alias("b")))
+    blocks = metric_blocks(df, key, vector, block, pivots, k)
+    pairs = block_pairs(blocks).unionAll(blocks.select(F.col("block").alias("a"), F.col("block").alias("b")))
     left = blocks.select(F.col("block").alias("a"), F.col("_rows").alias("_left")).join(pairs, "a").withColumn("_same", F.col("a") == F.col("b"))
     right = blocks.select(F.col("block").alias("b"), F.col("_rows").alias("_right"))
 
