@@ -91,7 +91,8 @@ def dataset_totals(fixes: DataFrame) -> DataFrame:
     """Fixes, animals and species, animals and fixes of a species on average, and a track's median length."""
     per = fixes.groupBy("species", "id").agg(F.count(F.lit(1)).alias("n"))
     sp = per.groupBy("species").agg(F.count(F.lit(1)).alias("animals"), F.sum("n").alias("fixes"))
-    a = per.agg(F.sum("n").alias("n_fixes"), F.count(F.lit(1)).alias("n_animals"), F.percentile("n", 0.5).alias("median_length"))
+    a = per.agg(F.sum("n").alias("n_fixes"), F.count(F.lit(1)).alias("n_animals"))
+    a = a.crossJoin(quantiles(per, "n", [0.5]).select(F.try_element_at("quantiles", F.lit(1)).alias("median_length")))  # one row each
     b = sp.agg(F.count(F.lit(1)).alias("n_species"), F.avg("animals").alias("mean_animals"), F.avg("fixes").alias("mean_fixes"))
     return a.crossJoin(b)  # one row each
 
