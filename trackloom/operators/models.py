@@ -1,10 +1,13 @@
 """Model preparation, Spark classifiers on points, votes of points to tracks, and reports."""
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +18,12 @@ from . import motion, prune, report
 CLASSIFIERS = {
     "tree": lambda **k: DecisionTreeClassifier(**k),
     "forest": lambda numTrees=60, maxDepth=12, **k: RandomForestClassifier(numTrees=numTrees, maxDepth=maxDepth, **k),
-    "svm": lambda **k: OneVsRest(classifier=LinearSVC(maxIter=20), **k),
-    "boosting": lambda maxIter=10, **k: OneVsRest(classifier=GBTClassifier(maxIter=maxIter), **k),
+    "svm": lambda featuresCol, labelCol, maxIter=20, **k: OneVsRest(classifier=LinearSVC(maxIter=maxIter, **k), featuresCol=featuresCol, labelCol=labelCol),
+    "boosting": lambda featuresCol, labelCol, maxIter=10, **k: OneVsRest(classifier=GBTClassifier(maxIter=maxIter, **k), featuresCol=featuresCol, labelCol=labelCol),
 }
-REGRESSORS = {"forest": lambda **k: RandomForestRegressor(**k), "boosting": lambda **k: GBTRegressor(**k)}
+REGRESSORS = {"forest": lambda **k: RandomForestRegressor(**k), "boosting": lambda **k: GBTRegressor(**k), "linear": lambda **k: LinearRegression(**k)}
+#: Models of folds that are fitted at once.
+PARALLEL = 4
 
 
 def prepare(fixes: DataFrame, tracks: DataFrame, origin="periodic", common_origin=False, delete=(), label="species", prune_options=None, side=None, pad_days=False) -> DataFrame:
@@ -110,15 +115,26 @@ def log_loss(rows, label="code", by="fold"):
     return rows.groupBy(by).agg(F.avg(-F.ln(p)).alias("loss"))
 
 
-def cross_validate(points, columns, label="code", k=5, kind="tree", **options):
+def _out_of_fold(spark, k, one, parallel):
+    """Union of ``one(fold)`` over the folds; up to ``parallel`` folds are fitted at once, each in jobs of its own."""
+    with ThreadPool(max(1, min(parallel, k))) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(one), range(k))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def cross_validate(points, columns, label="code", k=5, kind="tree", parallel=PARALLEL, **options):
     """``id, fold, predicted, confidence``: stratified folds over tracks, one fit for each fold, votes of the points."""
     folds = prune.folds(points.select("id", label).distinct(), k, label).select("id", "fold")
-    df, out = checkpoint(points.join(folds, "id")), None  # read by every fit
-    for f in range(k):
+    df = checkpoint(points.join(folds, "id"))  # read by every fit
+
+    def one(f):
         model = fit(df.filter(F.col("fold") != f), columns, label, kind, **options)
-        voted = majority_vote(predict(model, df.filter(F.col("fold") == f))).select("id", F.lit(f).alias("fold"), F.col("pred").alias("predicted"), "confidence")
-        out = voted if out is None else out.unionAll(voted)
-    return out
+        return majority_vote(predict(model, df.filter(F.col("fold") == f))).select("id", F.lit(f).alias("fold"), F.col("pred").alias("predicted"), "confidence")
+
+    return _out_of_fold(points.sparkSession, k, one, parallel)
 
 
 def classification_report(tracks, predictions, label="code", classifier="tree"):
@@ -126,24 +142,29 @@ def classification_report(tracks, predictions, label="code", classifier="tree"):
     return report.marked(tracks.join(predictions, "id"), label, "predicted").withColumn("classifier", F.lit(classifier))
 
 
-def cross_validated_regression(df, columns, target, k=5, kind="forest", **options):
+def cross_validated_regression(df, columns, target, k=5, kind="forest", parallel=PARALLEL, **options):
     """``id, fold, y, pred``: out-of-fold predictions; folds are stratified over bins of the target."""
     bins = df.withColumn("_b", F.floor(F.col(target) * 10))
-    df, out = checkpoint(prune.folds(bins, k, "_b").drop("_b")), None
+    df = checkpoint(prune.folds(bins, k, "_b").drop("_b"))
     assemble = VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="skip")
-    for f in range(k):
+
+    def one(f):
         model = Pipeline(stages=[assemble, REGRESSORS[kind](featuresCol="_features", labelCol=target, **options)]).fit(df.filter(F.col("fold") != f))
-        got = model.transform(df.filter(F.col("fold") == f)).select("id", "fold", F.col(target).alias("y"), F.col("prediction").alias("pred"))
-        out = got if out is None else out.unionAll(got)
-    return out
+        return model.transform(df.filter(F.col("fold") == f)).select("id", "fold", F.col(target).alias("y"), F.col("prediction").alias("pred"))
 
+    return _out_of_fold(df.sparkSession, k, one, parallel)
 
-def sweep(points, settings, columns):
-    """Reports of all rows of a small settings table (``kind, seed, n``), a ``setting`` column telling them apart."""
+
+def sweep(points, settings, columns, label="code", k=2, parallel=PARALLEL):
+    """Reports of all rows of a small settings table (``kind, seed, n``), a ``setting`` column telling them apart.
+
+    Further columns of ``settings`` are options of the classifier, null where one keeps its default.
+    """
     out = None
     for i, s in enumerate(settings.collect()):
+        options = {c: v for c, v in s.asDict().items() if c not in ("kind", "seed", "n") and v is not None}
         chosen = prune.sample_by_hash(points.select("id").distinct(), s.n, s.seed)
-        got = cross_validate(points.join(chosen, "id"), columns, kind=s.kind, k=2).select(F.lit(i).alias("setting"), "*")
+        got = cross_validate(points.join(chosen, "id"), columns, label, k, s.kind, parallel, **options).select(F.lit(i).alias("setting"), "*")
         out = got if out is None else out.unionAll(got)
     return out
 

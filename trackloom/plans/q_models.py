@@ -7,7 +7,7 @@ from ..sources import io
 from .base import query
 from .q_motion import r6
 from .q_report import rounded
-from .q_tables import tracks
+from .q_tables import MD5, tracks
 
 
 def points(read):
@@ -102,6 +102,65 @@ def _(read):
     return M.cross_validated_regression(df, ["lat", "env", "n"], "accuracy", k=2, numTrees=5)
 
 
+# Trees of one split over bands of latitude: SQL finds the same split, midway between two bands, from counts by band.
+
+BANDED = "b AS (SELECT id, CAST(dense_rank() OVER (ORDER BY species)-1 AS INTEGER) AS code FROM animals), pts AS (SELECT fix_id, id, code, floor(latitude/20) AS v FROM fixes JOIN b USING (id))"
+STUMP = """c AS (SELECT p.g, f.fold, p.v, p.code, count(*) AS n FROM p JOIN (SELECT DISTINCT g, fold FROM p) f ON p.g=f.g AND p.fold<>f.fold GROUP BY ALL),
+    t AS (SELECT g, fold, (v+lead(v, 1, v) OVER (PARTITION BY g, fold ORDER BY v))/2 AS t FROM (SELECT DISTINCT g, fold, v FROM c)), s AS (SELECT g, fold, t, v<=t AS l, code, sum(n) AS n FROM c JOIN t USING (g, fold) GROUP BY ALL),
+    u AS (SELECT g, fold, t, l, sum(n*n)/sum(n) AS u FROM s GROUP BY ALL), w AS (SELECT g, fold, t, sum(u) AS u FROM u GROUP BY ALL),
+    best AS (SELECT g, fold, t FROM w QUALIFY row_number() OVER (PARTITION BY g, fold ORDER BY u DESC, t)=1),
+    leaf AS (SELECT g, fold, l, t, code AS predicted FROM s JOIN best USING (g, fold, t) QUALIFY row_number() OVER (PARTITION BY g, fold, l ORDER BY n DESC, code)=1),
+    x AS (SELECT p.g, p.fold, id, predicted, count(*) AS n FROM p JOIN leaf ON p.g=leaf.g AND p.fold=leaf.fold AND (p.v<=t)=l GROUP BY ALL),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY g, id) AS total, row_number() OVER (PARTITION BY g, id ORDER BY n DESC, predicted) AS k FROM x)"""
+
+
+def banded(read):
+    labels = prune.dense_codes(read("animals").select("id", "species"), "species")
+    return M.point_table(read("fixes").select("id", "fix_id", F.floor(F.col("latitude") / 20).cast("double").alias("v")), labels)
+
+
+@query("m07_one_split", "M5 M7 M10 M13", f"""WITH {BANDED}, fold AS (SELECT id, (row_number() OVER (PARTITION BY code ORDER BY {MD5}, id)-1)%3 AS fold FROM (SELECT DISTINCT id, code FROM pts)),
+    p AS (SELECT 0 AS g, fold, id, code, v FROM pts JOIN fold USING (id)), {STUMP}
+    SELECT r.id, CAST(fold AS INTEGER) AS fold, predicted, CASE WHEN predicted=code THEN 'Correct' ELSE 'Wrong' END AS prediction, round(n/total,6)+0.0 AS confidence FROM r JOIN b USING (id) WHERE k=1""")
+def _(read):
+    p = banded(read)
+    voted = M.cross_validate(p, ["v"], k=3, kind="tree", maxDepth=1)
+    return rounded(M.classification_report(p.select("id", "code").distinct(), voted), "confidence").select("id", "fold", "predicted", "prediction", "confidence")
+
+
+@query("m18_sweep_of_splits", "M18", f"""WITH {BANDED}, seeds AS (SELECT * FROM (VALUES (0,1,60),(1,2,90)) s(g, seed, n)),
+    chosen AS (SELECT g, id, code FROM seeds CROSS JOIN (SELECT DISTINCT id, code FROM pts) QUALIFY row_number() OVER (PARTITION BY g ORDER BY md5(concat(id,'-',seed)), id)<=n),
+    fold AS (SELECT g, id, (row_number() OVER (PARTITION BY g, code ORDER BY {MD5}, id)-1)%2 AS fold FROM chosen),
+    p AS (SELECT g, fold, id, code, v FROM pts JOIN fold USING (id)), {STUMP}
+    SELECT CAST(g AS INTEGER) AS setting, id, CAST(fold AS INTEGER) AS fold, predicted, round(n/total,6)+0.0 AS confidence FROM r WHERE k=1""")
+def _(read):
+    p = banded(read)
+    settings = p.sparkSession.createDataFrame([("tree", 1, 60, 1), ("tree", 2, 90, 1)], "kind string, seed int, n int, maxDepth int")
+    return rounded(M.sweep(p, settings, ["v"]), "confidence")
+
+
+@query("m09_boosted_splits", "M9", f"""WITH {BANDED}, c AS (SELECT v, code, count(*) AS n FROM pts WHERE id%4<>0 GROUP BY ALL), k AS (SELECT DISTINCT code AS cls FROM c), t AS (SELECT (v+lead(v, 1, v) OVER (ORDER BY v))/2 AS t FROM (SELECT DISTINCT v FROM c)),
+    s AS (SELECT cls, t, v<=t AS l, sum(n) AS n, sum(CASE WHEN code=cls THEN n ELSE -n END) AS y FROM c, k, t GROUP BY ALL), w AS (SELECT cls, t, sum(y*y/n) AS u FROM s GROUP BY ALL),
+    best AS (SELECT cls, t FROM w QUALIFY row_number() OVER (PARTITION BY cls ORDER BY u DESC, t)=1), leaf AS (SELECT cls, t, l, y/n AS score FROM s JOIN best USING (cls, t)),
+    a AS (SELECT fix_id, id, cls AS pred FROM pts JOIN leaf ON (v<=t)=l WHERE id%4=0 QUALIFY row_number() OVER (PARTITION BY fix_id, id ORDER BY score DESC, cls)=1),
+    x AS (SELECT id, pred, count(*) AS n FROM a GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY id) AS total, row_number() OVER (PARTITION BY id ORDER BY n DESC, pred) AS k FROM x)
+    SELECT id, pred, round(n/total,6)+0.0 AS confidence FROM r WHERE k=1""")
+def _(read):
+    p = banded(read)
+    model = M.fit(p.filter("id % 4 <> 0"), ["v"], kind="boosting", maxIter=1, maxDepth=1)
+    return rounded(M.majority_vote(M.predict(model, p.filter("id % 4 = 0"))), "confidence").select("id", "pred", "confidence")
+
+
+@query("m15_linear_regression", "M15", f"""WITH d AS (SELECT id, avg(latitude) AS a, count(*) AS b, (id*37%100)/100 AS y FROM fixes GROUP BY id),
+    f AS (SELECT *, (row_number() OVER (PARTITION BY floor(y*10) ORDER BY {MD5}, id)-1)%4 AS fold FROM d),
+    m AS (SELECT t.fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a,b) AS ab, covar_pop(a,y) AS ay, covar_pop(b,y) AS yb
+          FROM f JOIN (SELECT DISTINCT fold FROM f) t ON f.fold<>t.fold GROUP BY t.fold)
+    SELECT id, CAST(fold AS INTEGER) AS fold, y, round(my+((bb*ay-ab*yb)*(a-ma)+(aa*yb-ab*ay)*(b-mb))/(aa*bb-ab*ab),6)+0.0 AS pred FROM f JOIN m USING (fold)""")
+def _(read):
+    df = read("fixes").groupBy("id").agg(F.avg("latitude").alias("a"), F.count(F.lit(1)).alias("b")).withColumn("accuracy", (F.col("id") * 37 % 100) / 100)
+    return rounded(M.cross_validated_regression(df, ["a", "b"], "accuracy", k=4, kind="linear"), "pred")
+
+
 @query("m16_feature_clusters", "M16 M17 T26")
 def _(read):
     df = read("fixes").filter("env is not null").withColumn("near", F.col("latitude") + F.col("env") / 1000)

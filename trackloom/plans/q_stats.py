@@ -294,9 +294,15 @@ def _(read):
     return rounded(D.stress(read("points").withColumn("cut", F.slice("embedding", 1, 8)), "cut"), "stress")
 
 
-@query("t30_pca", "T30")
-def _(read):
-    return S.pca(read("fixes").filter("env is not null"), ["latitude", "longitude", "env"], 2)[1]
+# The correlation matrix of three columns has its eigenvalues in closed form; a vector is the cross product of two rows of it minus one.
+@query("t30_pca", "T30", """WITH m AS (SELECT corr(latitude,longitude) AS a, corr(latitude,env) AS b, corr(longitude,env) AS c FROM fixes WHERE env IS NOT NULL),
+    p AS (SELECT *, sqrt((a*a+b*b+c*c)/3) AS p FROM m), e AS (SELECT *, acos(greatest(-1,least(1,a*b*c/(p*p*p))))/3 AS phi FROM p),
+    l AS (SELECT a, b, c, 1+2*p*cos(phi) AS l FROM e UNION ALL SELECT a, b, c, 1-2*p*cos(phi)-2*p*cos(phi+2*pi()/3) FROM e),
+    v AS (SELECT l/3 AS share, [a*c-b*(1-l), a*b-c*(1-l), (1-l)*(1-l)-a*a] AS v FROM l),
+    w AS (SELECT unnest(['latitude','longitude','env']) AS feature, unnest(v) AS x, sqrt(list_inner_product(v,v)) AS n, share FROM v)
+    SELECT feature, round(sum(abs(x)/n*share),6)+0.0 AS importance FROM w GROUP BY feature""")
+def _(read):
+    return rounded(S.pca(read("fixes").filter("env is not null"), ["latitude", "longitude", "env"], 2)[1], "importance")
 
 
 @query("t31_device_effect", "T31", f"WITH {OK}, s AS (SELECT species, avg(CASE WHEN id%5<2 THEN 1.0 ELSE 0.0 END) AS share, avg(ok) AS accuracy FROM ok WHERE random_state=1 GROUP BY species) SELECT 'share' AS a, 'accuracy' AS b, round(nullif(corr(share,accuracy), CAST('nan' AS DOUBLE)),6)+0.0 AS r, count(*) AS n FROM s WHERE share>0 AND share<1")
