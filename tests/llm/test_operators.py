@@ -409,44 +409,81 @@ def test_licenses(docs, empty, spark):
     assert {x[0]: x[2] for x in got if x[0] in (1, 5, 6)} == {1: 1.0, 5: 1.0, 6: 1.0} and all(x[2] < 0.8 for x in got if x[0] in (3, 7))
 
 
+def _words(t):
+    return re.findall(r"[a-z0-9]+", t.lower())
+
+
+def _license_grams(words, k=licenses.GRAM):
+    return [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+
+
+def _diagonals(known, text, k=licenses.GRAM):
+    """Labels and score by a plain count over all diagonals; ``known``: label and k-grams of each template."""
+    places = collections.defaultdict(list)
+    for at, g in enumerate(_license_grams(_words(text))):
+        places[g].append(at)
+    spans = set()
+    for t, (_, grams_of) in enumerate(known):
+        by = collections.defaultdict(set)
+        for place, g in enumerate(grams_of):
+            for at in places.get(g, ()):
+                by[at - place].add((place, at))
+        for d in by:
+            held = set().union(*[by[x] for x in range(d - licenses.NEAR, d + licenses.NEAR + 1) if x in by])
+            spans.add((len({p for p, _ in held}) / len(grams_of), len(grams_of), -min(a for _, a in held), -max(a for _, a in held) - k, -t))
+    good = [s for s in spans if s[0] >= licenses.LEAST]
+    best = {known[-s[4]][0] for s in good if not any(o > s and -o[2] < -s[3] and -o[3] > -s[2] for o in good)}
+    return best, max((s[0] for s in spans), default=0.0)
+
+
+def _with_edits(rng, part):
+    for _ in range(rng.choice((0, 0, 1, 4))):
+        at = rng.randrange(len(part))
+        part[at : at + rng.randrange(3)] = ["odd"] * rng.randrange(3)
+    return part
+
+
+def _same_licenses(spark, texts, known, **options):
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), **options).collect()}
+    for i, t in enumerate(texts):
+        best, share = _diagonals(known, t)
+        assert got[i].score == pytest.approx(share) and set(filter(None, got[i].labels.split(","))) == best | set(filter(None, got[i].base_labels.split(",")))
+    return got
+
+
 def test_license_votes_equal_a_count_by_diagonals(spark):
-    """labels and score against a plain count over all diagonals."""
-    rng, k = random.Random(8), licenses.GRAM
-    w = lambda t: re.findall(r"[a-z0-9]+", t.lower())
-    grams = lambda v: [tuple(v[i : i + k]) for i in range(len(v) - k + 1)]
-    known = [(label, grams(w(t))) for label, t in licenses.TEMPLATES]
-    texts = []
+    rng, texts = random.Random(8), []
     for _ in range(60):
         v = []
         for _ in range(rng.randrange(1, 4)):
-            part = w(rng.choice(licenses.TEMPLATES)[1])
-            for _ in range(rng.choice((0, 0, 1, 4))):
-                at = rng.randrange(len(part))
-                part[at : at + rng.randrange(3)] = ["odd"] * rng.randrange(3)
-            v += ["word"] * rng.randrange(4) + part
+            v += ["word"] * rng.randrange(4) + _with_edits(rng, _words(rng.choice(licenses.TEMPLATES)[1]))
         texts.append(" ".join(v))
-
-    def want(text):
-        places = collections.defaultdict(list)
-        for at, g in enumerate(grams(w(text))):
-            places[g].append(at)
-        spans = set()
-        for t, (_, grams_of) in enumerate(known):
-            by = collections.defaultdict(set)
-            for place, g in enumerate(grams_of):
-                for at in places.get(g, ()):
-                    by[at - place].add((place, at))
-            for d in by:
-                held = set().union(*[by[x] for x in range(d - licenses.NEAR, d + licenses.NEAR + 1) if x in by])
-                spans.add((len({p for p, _ in held}) / len(grams_of), len(grams_of), -min(a for _, a in held), -max(a for _, a in held) - k, -t))
-        good = [s for s in spans if s[0] >= licenses.LEAST]
-        best = {known[-s[4]][0] for s in good if not any(o > s and -o[2] < -s[3] and -o[3] > -s[2] for o in good)}
-        return best, max((s[0] for s in spans), default=0.0)
-
-    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
-    for i, t in enumerate(texts):
-        best, share = want(t)
-        assert got[i].score == pytest.approx(share) and set(filter(None, got[i].labels.split(","))) == best | set(filter(None, got[i].base_labels.split(",")))
+    _same_licenses(spark, texts, [(label, _license_grams(_words(t))) for label, t in licenses.TEMPLATES])
+
+
+def test_license_texts_of_a_table_are_found_without_their_beginning(spark):
+    rng, k, piece = random.Random(9), licenses.GRAM, 40
+    vocabulary = [f"w{i}" for i in range(300)]
+    shared = rng.choices(vocabulary, k=60)
+    table = sorted((f"own-{i}", " ".join(rng.choices(vocabulary, k=rng.randrange(100, 400)) + shared)) for i in range(6)) + [("short", "two words"), ("tiny", " ".join(vocabulary[:k]))]
+    known = []
+    for label, t in table:
+        g = _license_grams(_words(t))
+        if g:
+            each = math.ceil(len(g) / math.ceil(len(g) / piece))
+            known += [(label, g[i : i + each]) for i in range(0, len(g), each)]
+    texts = []
+    for label, t in table[:6]:
+        w = _words(t)
+        texts += [t, " ".join(w[70:]), " ".join(_with_edits(rng, w[90:])), " ".join(w[:30]), " ".join(["word"] * 9 + w[60:] + _with_edits(rng, _words(rng.choice(table[:6])[1])))]
+    texts += ["plain words of no license", "", " ".join(rng.choices(vocabulary, k=500))]
+    rows = spark.createDataFrame([*table, table[0], (None, "x y z a"), ("null", None)], "label string, text string").withColumn("template", F.lit("x")).repartition(4)
+    got = _same_licenses(spark, texts, known, templates=rows, piece=piece)
+    for i, (label, _) in enumerate(table[:6]):
+        assert all(label in got[5 * i + j].labels.split(",") for j in (0, 1, 4))
+    assert got[len(texts) - 3].labels == got[len(texts) - 1].labels == ""
+    none = licenses.scan(spark.createDataFrame([(1, "MIT License here")], "doc_id long, text string"), templates=rows.limit(0)).collect()
+    assert [(r.labels, r.score) for r in none] == [("mit", 0.0)]
 
 
 def test_mixing(docs, empty):

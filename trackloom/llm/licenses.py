@@ -5,6 +5,9 @@ license templates.  A match votes for its diagonal, document position minus temp
 position; the votes of a template are summed by diagonal and its neighbours (a few inserted
 or dropped words apart), so a span is never much longer than its template, and a span is verified by the
 share of the template's k-grams that it holds.  Of overlapping spans the best names the license.
+
+Templates are the notices below or a table of whole license texts. Long texts are cut into pieces, each a template of
+its own, so a license that lacks its title or a paragraph is still found by the others.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -45,8 +48,10 @@ GRAM = 3
 #: Diagonals at most this far apart vote together; the share of a template's k-grams from which a span counts.
 NEAR = 3
 LEAST = 0.8
-#: Cells of the table that tells in a scan which k-grams no template holds.
-CELLS = 1 << 15
+#: Words of a piece of a template, at most.
+PIECE = 150
+#: Cells of the table that tells in a scan which k-grams no template holds: eight for each k-gram of a template, within these bounds.
+CELLS, MOST_CELLS = 1 << 15, 1 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -64,11 +69,24 @@ def grams(words, k=GRAM):
     return F.when(F.size(words) < k, F.array().cast("array<bigint>")).otherwise(one)
 
 
-def template_grams(spark, templates=TEMPLATES, k=GRAM) -> DataFrame:
-    """``gram, template, label, place, size`` of all templates; a table of fixed size."""
-    rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
-    rows = rows.select("template", "label", common.let(words(F.col("text")), lambda w: grams(w, k)).alias("g"))
-    return rows.select("template", "label", F.size("g").alias("size"), F.posexplode("g").alias("place", "gram"))
+def template_grams(spark, templates=TEMPLATES, k=GRAM, piece=PIECE) -> DataFrame:
+    """``gram, template, label, place, size`` of all pieces of the templates, in order of the templates.
+
+    ``templates`` are pairs of a label and a text, or a DataFrame with the columns label and text (other columns are
+    ignored, equal rows count once, rows with a null label or text not at all), taken in order of label and text. A text of over ``piece`` words
+    is cut into pieces of nearly equal size that share k-1 words, so each of its k-grams is in one piece.
+    """
+    if isinstance(templates, DataFrame):
+        rows = templates.select(F.col("label").cast("string").alias("label"), F.col("text").cast("string").alias("text")).dropna().distinct()
+        rows = common.running_start(rows, ["label", "text"]).withColumnRenamed("_start", "number")
+    else:
+        rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "number long, label string, text string")
+    n = F.size("w") - (k - 1)
+    each = F.ceil(n / F.ceil(n / piece)).cast("int")
+    cut = rows.select("number", "label", words(F.col("text")).alias("w")).filter(n > 0).withColumn("each", each)
+    cut = cut.select("number", "label", "each", "w", F.explode(F.sequence(F.lit(0), F.ceil(n / F.col("each")).cast("int") - 1)).alias("part"))
+    cut = cut.select((F.col("number") * (1 << 20) + F.col("part")).alias("template"), "label", grams(F.slice("w", F.col("part") * F.col("each") + 1, F.col("each") + (k - 1)), k).alias("g"))
+    return cut.select("template", "label", F.size("g").alias("size"), F.posexplode("g").alias("place", "gram"))
 
 
 def _finder(phrase):
@@ -105,20 +123,21 @@ def votes(hits: DataFrame, table: DataFrame, k=GRAM) -> DataFrame:
     return spans.select("row", "label", "template", "start", "stop", "share", ((F.col("share") >= LEAST) & ~beaten(F.col("_near"))).alias("best"))
 
 
-def scan(docs: DataFrame, doc_id="doc_id", text="text", templates=TEMPLATES, k=GRAM) -> DataFrame:
+def scan(docs: DataFrame, doc_id="doc_id", text="text", templates=TEMPLATES, k=GRAM, piece=PIECE) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row.
 
-    labels: those of base phrases, and of each span's best template. score: the largest share of a template's k-grams
-    that neighbouring diagonals of the text hold, whether it is enough for a label or not, so a base phrase outside of
+    ``templates``, ``piece``: as in :func:`template_grams`. labels: those of base phrases, and of each span's best template; of
+    templates that fit a span equally the first in their order. score: the largest share of a template's k-grams that neighbouring diagonals of the text hold, whether it is enough for a label or not, so a base phrase outside of
     any notice scores low. A null text has no words. Rows are scanned each by itself, whatever ids they share. Texts are
     read once; what goes on are the facts of a row and its places of k-grams that templates may hold.
     """
     spark = docs.sparkSession
-    table = common.checkpoint(template_grams(spark, templates, k))
-    cells = bytearray(CELLS)
-    for r in table.select(F.pmod("gram", F.lit(CELLS)).alias("cell")).distinct().collect():  # as many as the table has cells, at most
+    table = common.checkpoint(template_grams(spark, templates, k, piece))
+    many = min(MOST_CELLS, max(CELLS, 1 << (8 * table.count()).bit_length()))
+    cells = bytearray(many)
+    for r in table.select(F.pmod("gram", F.lit(many)).alias("cell")).distinct().collect():  # as many as the table has cells, at most
         cells[r.cell] = 1
-    held = lambda gram: F.substring(F.lit(cells), F.pmod(gram, F.lit(CELLS)).cast("int") + 1, 1) == F.lit(bytearray([1]))
+    held = lambda gram: F.substring(F.lit(cells), F.pmod(gram, F.lit(many)).cast("int") + 1, 1) == F.lit(bytearray([1]))
     places = lambda g: F.transform(F.filter(F.transform(g, lambda x, i: F.when(held(x), F.struct(i.alias("at"), x.alias("gram")))), lambda x: x.isNotNull()), lambda x: x)
     facts = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" ")).alias("flat"), common.let(grams(w, k), places).alias("hits"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(common.let(words(F.col(text)), facts))).alias("_w"))
