@@ -139,6 +139,14 @@ def _(read):
     return rounded(M.sweep(p, settings, ["v"]), "confidence")
 
 
+# Tracks lie in one hemisphere each, so a linear boundary tells all rows that it is fitted to apart.
+@query("m08_hemispheres", "M8", "SELECT id, CASE WHEN avg(latitude)>=0 THEN 1 ELSE 0 END AS pred, 1.0::DOUBLE AS confidence FROM fixes GROUP BY id")
+def _(read):
+    f = read("fixes").select("id", "latitude")
+    p = M.point_table(f, f.groupBy("id").agg((F.avg("latitude") >= 0).cast("int").alias("code")))
+    return M.majority_vote(M.predict(M.fit(p, ["latitude"], kind="svm", maxIter=200), p)).select("id", "pred", "confidence")
+
+
 @query("m09_boosted_splits", "M9", f"""WITH {BANDED}, c AS (SELECT v, code, count(*) AS n FROM pts WHERE id%4<>0 GROUP BY ALL), k AS (SELECT DISTINCT code AS cls FROM c), t AS (SELECT (v+lead(v, 1, v) OVER (ORDER BY v))/2 AS t FROM (SELECT DISTINCT v FROM c)),
     s AS (SELECT cls, t, v<=t AS l, sum(n) AS n, sum(CASE WHEN code=cls THEN n ELSE -n END) AS y FROM c, k, t GROUP BY ALL), w AS (SELECT cls, t, sum(y*y/n) AS u FROM s GROUP BY ALL),
     best AS (SELECT cls, t FROM w QUALIFY row_number() OVER (PARTITION BY cls ORDER BY u DESC, t)=1), leaf AS (SELECT cls, t, l, y/n AS score FROM s JOIN best USING (cls, t)),
