@@ -56,3 +56,18 @@ def test_every_similar_pair_shares_a_viable_key():
             held = {int(t): int(c) for d, t, c in zip(doc, token, chain) if d == 0}
             met = [held[int(t)] ^ int(c) for d, t, c in zip(doc, token, chain) if d == 1 and int(t) in held]
             assert any(all(bin(x & (1 << 16 * k) - 1).count("1") <= k for k in range(1, ringsets.CHAIN + 1)) for x in met), n
+
+
+def test_crowded_keys_pass_on_a_pair_about_once(spark):
+    rng = random.Random(11)
+    base, rows, sets = [rng.getrandbits(63) for _ in range(120)], [], []
+    for key in range(40):
+        held = {t: sum(1 << b for b in rng.sample(range(48), rng.choice((0, 0, 1, 3)))) for t in base if rng.random() < 0.6}
+        sets.append((key % 7, held))
+        rows += [(t, key, chain, key % 7, 100, [0] * ringsets.SKETCH) for t, chain in held.items()]
+    hot = spark.createDataFrame(rows, "token long, key long, chain long, component long, n long, sketch array<long>").repartition(3)
+    viable = lambda x: all(bin(x & (1 << 16 * k) - 1).count("1") <= k for k in range(1, ringsets.CHAIN + 1))
+    met = {(a, b): sum(viable(sets[a][1][t] ^ sets[b][1][t]) for t in sets[a][1].keys() & sets[b][1].keys()) for b in range(40) for a in range(b) if sets[a][0] != sets[b][0]}
+    got = [(r.key_a, r.key_b) for r in ringsets.across(hot).collect()]
+    assert set(got) == {p for p, n in met.items() if n}
+    assert 10 * len(set(got)) < sum(met.values()) and len(got) < 2 * len(set(got))
