@@ -71,3 +71,27 @@ def test_crowded_keys_pass_on_a_pair_about_once(spark):
     got = [(r.key_a, r.key_b) for r in ringsets.across(hot).collect()]
     assert set(got) == {p for p, n in met.items() if n}
     assert 10 * len(set(got)) < sum(met.values()) and len(got) < 2 * len(set(got))
+
+
+def test_the_stage_links_fingerprints_first(spark, monkeypatch):
+    import corpus_pipeline
+    from trackloom.llm import simhash
+
+    rng = random.Random(2)
+    texts, far = [], lambda a, b: bin(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).count("1")
+    for g in range(6):
+        base = [f"w{rng.randrange(9000)}" for _ in range(3000)]
+        texts.append(" ".join(base))
+        texts.append(" ".join([*base[:-1], f"edited{g}"]))
+    near = [(i, i + 1) for i in range(0, 12, 2) if far(texts[i], texts[i + 1]) <= simhash.DISTANCE]
+    assert len(near) > 3
+    # One fingerprint, but other words: the check on the sets keeps these apart.
+    texts += ["ab " * 900 + " ".join(f"{c}{i}" for i in range(60)) for c in "xy"]
+    assert far(texts[-2], texts[-1]) <= simhash.DISTANCE
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()}
+    assert whole == {*range(0, 12, 2), 12, 13}
+    members = ringsets.members
+    monkeypatch.setattr(ringsets, "members", lambda rows, often: members(rows.limit(0), often))  # the later step finds nothing
+    alone = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()}
+    assert alone == set(range(14)) - {b for _, b in near}

@@ -12,8 +12,10 @@ near and a far variant that agree are at most t bits apart, and any two members
 one, so tying each variant's members to a near one keeps every component.
 
 Texts that are alike but not nearly equal (a similarity of 0.8, say) have fingerprints so far apart that no radius
-both catches them and prunes. :func:`keep_first` therefore runs the same filter on the shingle sets themselves
-(:mod:`ringsets`) unless a distance is asked for.
+both catches them and prunes. :func:`keep_first` therefore has two steps unless a distance is asked for: links of
+fingerprints first, each checked on the shingle sets; then the same filter on the sets themselves (:mod:`ringsets`), which
+adds the similar pairs out of the radius. Of each text's candidates the check takes those of the first step first, and of
+the others only such as are not in one component by then.
 """
 
 from itertools import combinations
@@ -156,18 +158,35 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", distance=DIST
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def close(docs: DataFrame, doc_id="doc_id", text="text", distance=DISTANCE) -> DataFrame:
+    """``key_a, key_b``: pairs of rows whose components are those of all fingerprints within ``distance``; ids unique, not null.
+
+    Of rows with one fingerprint each is paired with the first; first rows are paired as :func:`links` ties their fingerprints.
+    """
+    fps = common.checkpoint(fingerprints(docs, doc_id, text))
+    classes = common.checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    found = links(classes.select("fp"), distance)
+    for s in ("a", "b"):
+        found = found.join(classes.select(F.col("fp").alias(s), F.col("rep").alias(f"key_{s}")), s)
+    several = classes.filter("n > 1")
+    hot, cold = common.small(several.filter(F.col("n") > HOT).drop("n")), common.small(several.filter(F.col("n") <= HOT).drop("n"))
+    same = fps.join(hot, "fp").unionAll(fps.join(hot, "fp", "left_anti").join(cold, "fp")).filter("doc_id <> rep")
+    return found.select("key_a", "key_b").unionAll(same.select(F.col("rep").alias("key_a"), F.col("doc_id").alias("key_b")))
+
+
 def keep_first(docs: DataFrame, doc_id="doc_id", text="text", distance=None) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one of smallest doc_id, ties by text; all columns as they are.
 
-    Groups are components of pairs whose sets of five-word shingles have a Jaccard similarity of at least 0.8, or
-    with ``distance`` those of :func:`near_duplicates`. Rows without words, null texts too, form one group. Of
-    repeated rows one stays; a null doc_id comes first. An empty table stays empty.
+    Groups are components of pairs whose sets of five-word shingles have a Jaccard similarity of at least 0.8: those with
+    fingerprints within DISTANCE are linked (:func:`close`), and all others. With ``distance`` groups are those of
+    :func:`near_duplicates`. Rows without words, null texts too, form one group. Of repeated rows one stays; a null doc_id
+    comes first. An empty table stays empty.
     """
     key = common.fresh(docs, "_key")
     rows = common.keyed(docs, key, doc_id, text)
     texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
     if distance is None:
-        gone = ringsets.later_copies(texts)
+        gone = ringsets.later_copies(texts, near=lambda rows: close(rows, "key"))
     else:
         gone = near_duplicates(texts, "key", "text", distance).filter("doc_id <> component_id").select(F.col("doc_id").alias("key"))
     gone = common.checkpoint(gone.withColumnRenamed("key", key))
