@@ -248,7 +248,7 @@ def round_trip(docs: DataFrame, path, doc_id="doc_id", text="text", with_ids=Fal
 
     def run(batches):
         codec = Codec(tables.value)
-        for b in batches:
+        for b in common.pieces(batches):
             rows = []
             for g in _groups(b.column(1).to_pylist()):
                 for ids in codec.encode_batch(g):

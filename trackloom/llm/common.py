@@ -1,5 +1,6 @@
 """What several operators need: checkpoints, size-checked broadcasts, distributed ranks, components."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ SPACES = " \t\n\x0b\f\r"
 SPACES_RE = r"[\x20\x09-\x0D]+"
 #: Rows that leave by a broadcast at most; more are matched by a shuffle.
 BROADCAST_ROWS = 250_000
+#: Bytes of a record batch that a Python function works on at once.
+PIECE_BYTES = 1 << 20
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -17,6 +20,19 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def pieces(batches, most: int = PIECE_BYTES):
+    """All rows of the record batches in order, cut so that about ``most`` bytes, or one row, are held as Python objects at once.
+
+    Spark's batches hold 10,000 rows whatever their size, and what a worker has once taken for one it keeps for later stages.
+    """
+    for b in batches:
+        rows = max(1, b.num_rows * most // max(1, b.nbytes))
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+        b = None
+    pa.default_memory_pool().release_unused()
+
+
 def let(value, body):
     """``body`` of a value that is computed once, for use inside larger expressions."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a long) for every row; a null text has no words."""
 
     def run(batches):
-        for b in batches:
+        for b in common.pieces(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
