@@ -150,6 +150,15 @@ def test_vif_elimination(spark):
     assert len(stats.eliminate_by_vif(df, ["a", "b", "c"])) == 2 and "a" in stats.eliminate_by_vif(df, ["a", "b", "c"], keep=["a"])
 
 
+def test_transfer_statistics_of_accuracies_that_do_not_vary(spark):
+    rows = [("S1", n, a) for n in (10, 20, 30) for a in (0.8,) * 12] + [("S2", n, 0.01 * n + d) for n in (10, 20, 30) for d in (0.1, 0.3)] + [("S3", 10, 0.5), ("S4", 10, None)]
+    df = spark.createDataFrame(rows, "species_downsampled string, n long, accuracy double").repartition(5)
+    got = {r.species_downsampled: (r.corr, r.slope, r["diff"]) for r in report.transfer_statistics(report.mean_accuracy(df), ["species_downsampled"]).collect()}
+    assert math.isnan(got["S1"][0]) and got["S1"][1:] == (0.0, 0.0)
+    assert got["S2"] == pytest.approx((1.0, 0.01, 0.2))
+    assert math.isnan(got["S3"][0]) and math.isnan(got["S3"][1]) and got["S3"][2] == 0.0 and got["S4"] == (None, None, None)
+
+
 def test_empty_tables(spark):
     df = fixes(spark, [(1, "2020-01-01T00:00", 0, 0)]).filter("id < 0")
     for f in (motion.speed_stats, motion.common_origin, motion.extension, motion.best_year_run, prune.track_table, enrich.time_bin_average):

@@ -113,9 +113,18 @@ def accuracy_by_sample_size(report, keys=("species_downsampled", "n", "random_st
     return df.groupBy(*keys, F.col("species").alias("species_eval")).agg(F.avg("ok").alias("accuracy"))
 
 
+def mean_accuracy(sized, by=("species_downsampled", "n")):
+    """Mean accuracy over species. Values are added by size, so that equal accuracies give equal means on any layout; a species is one value."""
+    listed = F.array_sort(F.collect_list("accuracy"))
+    return sized.groupBy(*by).agg((F.try_divide(F.aggregate(listed, F.lit(0.0), lambda s, x: s + x), F.count("accuracy"))).alias("accuracy"))
+
+
 def transfer_statistics(sized, by=("species_downsampled", "species_eval")):
-    """Correlation, slope and difference of accuracy with the sample size."""
-    return sized.groupBy(*by).agg(F.corr("n", "accuracy").alias("corr"), F.regr_slope("accuracy", "n").alias("slope"), (F.max_by("accuracy", "n") - F.min_by("accuracy", "n")).alias("diff"))
+    """Correlation, slope and difference of accuracy with the sample size; NaN, as in SQL, where the sizes (for the correlation: or accuracies) do not vary."""
+    x, y = (F.when(F.col("n").isNotNull() & F.col("accuracy").isNotNull(), F.col(c).cast("double")) for c in ("n", "accuracy"))
+    defined = lambda v: F.when(F.count(x) > 0, F.coalesce(v, F.lit(float("nan"))))
+    over = lambda v: F.try_divide(F.covar_pop(x, y), F.nullif(v, F.lit(0.0)))
+    return sized.groupBy(*by).agg(defined(over(F.stddev_pop(x) * F.stddev_pop(y))).alias("corr"), defined(over(F.var_pop(x))).alias("slope"), (F.max_by("accuracy", "n") - F.min_by("accuracy", "n")).alias("diff"))
 
 
 def maintained_accuracy(report_a, report_b, keys=("id", "kfold", "random_state")):

@@ -124,7 +124,7 @@ def _(read):
     g AS (SELECT species_downsampled, 'all' AS species_eval, n, avg(accuracy) AS accuracy FROM a GROUP BY ALL)
     SELECT species_downsampled, round(corr(n,accuracy),6)+0.0 AS corr, round(regr_slope(accuracy,n),6)+0.0 AS slope, round(arg_max(accuracy,n)-arg_min(accuracy,n),6)+0.0 AS diff FROM g GROUP BY species_downsampled""")
 def _(read):
-    a = R.accuracy_by_sample_size(sized(read), keys=("species_downsampled", "n")).groupBy("species_downsampled", "n").agg(F.avg("accuracy").alias("accuracy"))
+    a = R.mean_accuracy(R.accuracy_by_sample_size(sized(read), keys=("species_downsampled", "n")))
     return rounded(R.transfer_statistics(a, ["species_downsampled"]), "corr", "slope", "diff")
 
 
