@@ -66,6 +66,14 @@ def test_polygon_edges_and_notch(spark):
     assert [r[0] for r in pts.select(geo.in_polygon("y", "x", ring)).collect()] == [True, True, False, True]
 
 
+def test_points_on_a_slanted_edge_are_inside(spark):
+    ring = [(-40.0, -150.0), (-40.0, 100.0), (10.0, 100.0), (40.0, 150.0), (40.0, -150.0)]
+    rows = [(y, 100.0 + (y - 10.0) * 50.0 / 30.0) for y in (10.0 + 3 * k / 500 for k in range(5001))]
+    beyond = [(y, x + 1e-9) for y, x in rows if y < 40]
+    pts = spark.createDataFrame([(y, x, True) for y, x in rows] + [(y, x, False) for y, x in beyond], "y double, x double, want boolean")
+    assert pts.filter(geo.in_polygon("y", "x", ring) != F.col("want")).count() == 0
+
+
 def test_longest_run_is_the_first_on_a_tie(spark):
     df = fixes(spark, [(1, f"2020-01-0{i + 1}T00:00", 1 if inside else 9, 1) for i, inside in enumerate([1, 1, 0, 1, 1])])
     ring = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)]
