@@ -86,6 +86,18 @@ def test_vote_ties_go_to_the_lowest_class(spark):
     assert models.majority_vote(p).first()[1:] == (1, 0.5)
 
 
+def test_summed_probabilities_do_not_rest_on_the_layout(spark):
+    rng = np.random.default_rng(5)
+    rows = [(t, 100 * t + k, [int(v) / 33 for v in rng.permutation([1, 2, 3])]) for t in range(300) for k in range(12)]
+    want = {}
+    for t, _, probs in rows:
+        want.setdefault(t, [0.0, 0.0, 0.0])
+        want[t] = [s + p for s, p in zip(want[t], probs, strict=True)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "id long, fix_id long, probs array<double>").repartition(7)
+    got = {r.id: r.pred for r in models.probability_vote(df).collect()}
+    assert got == {t: s.index(max(s)) for t, s in want.items()}
+
+
 def test_stage_runs(spark):
     df = fixes(spark, [(7, f"2020-01-0{i + 1}T00:00", 0, 0, s) for i, s in enumerate("AABA")])
     assert [tuple(r) for r in stages.run_days(stages.stage_runs(df)).select("new_id", "length").collect()] == [("7-A-1", 2)]

@@ -96,9 +96,16 @@ def majority_vote(points):
     return n.groupBy("id").agg(F.max_by("pred", F.struct("n", -F.col("pred"))).alias("p"), (F.max("n") / F.sum("n")).alias("confidence")).withColumnRenamed("p", "pred")
 
 
-def probability_vote(points):
-    """Class of the largest summed probability, the lowest on a tie, and its share."""
-    long = points.select("id", F.posexplode("probs").alias("pred", "p")).groupBy("id", "pred").agg(F.sum("p").alias("p"))
+def probability_vote(points, order="fix_id"):
+    """Class of the largest summed probability, the lowest on a tie, and its share.
+
+    Probabilities are added one by one in the order of a column, so sums, and with them ties that rest on a last digit, are those of a plain
+    SQL sum over the ordered table, whatever the layout.
+    """
+    w = Window.partitionBy("id", "pred").orderBy(order, "p")
+    long = points.select("id", order, F.posexplode("probs").alias("pred", "p"))
+    long = long.withColumns({"_s": F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_n": F.row_number().over(w)})
+    long = long.groupBy("id", "pred").agg(F.max_by("_s", "_n").alias("p"))
     return long.groupBy("id").agg(F.max_by("pred", F.struct("p", -F.col("pred"))).alias("pred"), (F.max("p") / F.sum("p")).alias("confidence"))
 
 
