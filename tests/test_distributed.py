@@ -179,6 +179,43 @@ def test_close_rows_and_closest_series(spark, block):
     assert got == {p: v[:4] for p, v in best.items()}
 
 
+def test_pairs_of_blocks_are_neither_sent_nor_written(spark, monkeypatch):
+    monkeypatch.setattr(enrich, "BLOCK", 20)
+    monkeypatch.setattr(enrich, "GROUP", 2)
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(150)], "id long, embedding array<double>")
+    s = df.select("id", F.col("embedding").alias("v"))
+    plan = lambda found: found._jdf.queryExecution().sparkPlan().toString()
+    for found in (enrich.distance_matrix(df), distances.close_rows(df, 1.0, block=20), enrich.shapelet_distances(s, s)):
+        whole = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in whole and "Exchange" not in whole
+    for found in (distances.stress(df, "embedding"), distances.nearest_rows(df, 2, block=20), enrich.shapelet_distances(s, s, k=2)):
+        assert plan(found).count("MapInArrow") == 1 and "CartesianProduct" in plan(found)
+    assert enrich.distance_matrix(df).count() == enrich.distance_matrix(df).select("i", "j").distinct().count() == 150 * 149 // 2
+    # Far from the origin squares lose all digits of a distance.
+    far = df.withColumn("embedding", F.transform("embedding", lambda x: x + 1e6))
+    near = lambda df: {(r.pid, r.id): r.d for r in enrich.shapelet_distances(df.select("id", F.slice("embedding", 1, 2).alias("v")), df.select("id", F.col("embedding").alias("v"))).collect()}
+    want, got = near(df), near(far)
+    assert got.keys() == want.keys() and all(abs(got[p] - d) < 1e-6 for p, d in want.items())
+    best = {(r.pid, r.id) for r in enrich.shapelet_distances(far.select("id", F.slice("embedding", 1, 2).alias("v")), far.select("id", F.col("embedding").alias("v")), k=1).collect()}
+    assert best == {(i, i) for i in range(150)}
+
+
+def test_pooled_means_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(enrich, "BLOCK", 20)
+    monkeypatch.setattr(enrich, "HELD", 4)
+    rng = np.random.default_rng(2)
+    rows = [(k, "abc"[k % 3] if k % 17 else None, [float(x) for x in np.round(rng.normal(size=3), 1)]) for k in range(90)] + [(200, "a", None), (201, "a", [1.0, None, 2.0]), (202, "d", [0.0, 0.0, 0.0]), (203, "d", [1.0])]
+    df = spark.createDataFrame(rows, "id long, species string, embedding array<double>")
+    pools = {}
+    for (_, s, v), (_, t, w) in itertools.combinations([r for r in rows if r[1] and r[2] and None not in r[2]], 2):
+        if len(v) == len(w):
+            pools.setdefault((min(s, t), max(s, t)), []).append(math.dist(v, w))
+    got = {(r.sp_i, r.sp_j): (r.n, r.d) for r in distances.pooled_mean(df).collect()}
+    assert got.keys() == pools.keys() and all(got[p][0] == len(d) and math.isclose(got[p][1], statistics.fmean(d), rel_tol=1e-9) for p, d in pools.items())
+    assert distances.pooled_mean(df.filter("id < 0")).collect() == []
+
+
 def test_pivots_leave_most_pairs_of_blocks_out_where_rows_lie_in_clusters(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(50 * (i % 40), 1, 2)]) for i in range(4000)]

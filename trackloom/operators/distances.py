@@ -1,5 +1,7 @@
 """Figures over all pairs of rows of vectors that no pair row leaves a task for."""
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -7,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import checkpoint
-from .enrich import BLOCK, _block_pairs, _blocks, _euclidean, _triangle, _triangle_of
+from .enrich import BLOCK, _block_pairs, _blocks, _by_squares, _closest, _dealt, _euclidean, _once, _ranked, _triangle_of
 
 #: Bits of a distance that the first pass counts by (sign, exponent and six bits behind the point), and that each later one adds.
 FIRST, MORE = 18, 10
@@ -15,42 +17,63 @@ FIRST, MORE = 18, 10
 LISTED = 4096
 
 
-def _counted(group, digit, wanted=None):
-    """Columns ``group, wanted, digit, n`` of equal cells."""
+#: Cells that are counted in one array; more are sorted.
+CELLS = 1 << 20
+
+
+def _counted(group, digit, wanted=None, n=None):
+    """Columns ``group, wanted, digit, n`` of equal cells, their ``n`` (1 each) added."""
     wanted = np.zeros(len(group), np.int64) if wanted is None else wanted
+    if not len(group):
+        return group, wanted, digit, np.zeros(0, np.int64)
+    low, wide, groups = digit.min(), int(digit.max() - digit.min()) + 1, int(group.max()) + 1
+    if n is None and (int(wanted.max()) + 1) * groups * wide <= CELLS:
+        found = np.bincount((wanted * groups + group) * wide + (digit - low))
+        cell = np.flatnonzero(found)
+        place, digit = np.divmod(cell, wide)
+        wanted, group = np.divmod(place, groups)
+        return group, wanted, digit + low, found[cell]
     order = np.lexsort((digit, wanted, group))
     group, wanted, digit = group[order], wanted[order], digit[order]
     new = np.ones(len(group), bool)
     new[1:] = (group[1:] != group[:-1]) | (wanted[1:] != wanted[:-1]) | (digit[1:] != digit[:-1])
     first = np.flatnonzero(new)
-    return group[first], wanted[first], digit[first], np.diff(np.append(first, len(group)))
+    return group[first], wanted[first], digit[first], np.diff(np.append(first, len(group))) if n is None else np.add.reduceat(n[order], first)
+
+
+def _added(group, wanted, digit, n):
+    return _counted(group, digit, wanted, n)
+
+
+def _labelled(df, label, key, vector):
+    """Sorted labels, and blocks of rows whose label's number rides in front of their vector."""
+    rows = df.filter(F.col(label).isNotNull())
+    names = sorted(r[0] for r in rows.select(label).distinct().collect())  # classes
+    code = F.array_position(F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>"), F.col(label)) - 1
+    rows = rows.select(F.col(key).alias("key"), F.concat(F.array(code.cast("double")), F.col(vector).cast("array<double>")).alias("v"))
+    return names, _dealt(_blocks(rows, "key", "v"))
 
 
 def pooled_quantile(df: DataFrame, label="species", level=0.5, key="id", vector="embedding") -> DataFrame:
     """``sp_i, sp_j, n, d``: an exact quantile of the Euclidean distances of all pairs of rows, pooled by the labels of both.
 
     A radix selection: the bits of a distance order as it does, so passes over the pairs count by the leading bits, and only within the
-    range that holds the wanted rank by the next ones, until few enough distances share a range to be listed. Pairs of blocks send
+    range that holds the wanted rank by the next ones, until few enough distances share a range to be listed. Tasks send
     counts by labels and range, and recompute their distances in each pass (three of them up to some millions of rows), so
-    memory does not grow with the pairs. The labels are classes: two rows for each pair of them reach the driver between passes.
+    neither memory nor disk grows with the pairs. The labels are classes: two rows for each pair of them reach the driver between passes.
 
     Rows with a null in key, vector or label have no pairs; vectors meet those of their length. The quantile lies between ranks as ``percentile`` does.
     """
-    rows = df.filter(F.col(label).isNotNull())
-    names = sorted(r[0] for r in rows.select(label).distinct().collect())  # classes
-    code = F.array_position(F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>"), F.col(label)) - 1
-    # A row's class rides in front of its vector.
-    rows = rows.select(F.col(key).alias("key"), F.concat(F.array(code.cast("double")), F.col(vector).cast("array<double>")).alias("v"))
-    blocks = checkpoint(_blocks(rows, "key", "v"))
+    names, blocks = _labelled(df, label, key, vector)
     classes = len(names)
 
     def cells(ki, x, kj, y, same):
         """Class pair and bits of each distance."""
         d = _euclidean(x[:, 1:], y[:, 1:])
-        a, b = np.broadcast_arrays(x[:, :1].astype(np.int64), y[None, :, 0].astype(np.int64))
-        keep = ki[:, None] < kj[None, :] if same else np.ones(d.shape, bool)
-        d, a, b = d[keep], a[keep], b[keep]
-        return np.minimum(a, b) * classes + np.maximum(a, b), d.view(np.int64)
+        a, b = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
+        group, bits = np.minimum.outer(a, b) * classes + np.maximum.outer(a, b), d.view(np.int64)
+        keep = ki[:, None] < kj[None, :] if same else slice(None)
+        return group[keep].ravel(), bits[keep].ravel()
 
     def count(prefixes, above, shift):
         """Counts by the bits from ``shift`` on, of the distances whose bits from ``above`` on are a prefix of their class pair."""
@@ -64,7 +87,7 @@ def pooled_quantile(df: DataFrame, label="species", level=0.5, key="id", vector=
                 m = known[group] == bits >> above
                 yield _counted(group[m], bits[m] >> shift, np.full(m.sum(), w))
 
-        found = _triangle_of(blocks, pairs, "group long, wanted long, digit long, n long")
+        found = _triangle_of(blocks, pairs, "group long, wanted long, digit long, n long", _added)
         return found.groupBy("group", "wanted", "digit").agg(F.sum("n").alias("n"))
 
     def chosen(counts, ranks):
@@ -97,10 +120,38 @@ def pooled_quantile(df: DataFrame, label="species", level=0.5, key="id", vector=
     return spark.createDataFrame(out, f"sp_i {kind}, sp_j {kind}, n long, d double")
 
 
+def pooled_mean(df: DataFrame, label="species", key="id", vector="embedding") -> DataFrame:
+    """``sp_i, sp_j, n, d``: the mean Euclidean distance of all pairs of rows, pooled by the labels of both.
+
+    Tasks send sums by labels. Rows with a null in key, vector or label have no pairs; vectors meet those of their length.
+    """
+    names, blocks = _labelled(df, label, key, vector)
+    classes = len(names)
+
+    def pairs(ki, x, kj, y, same):
+        i, j = np.argsort(x[:, 0], kind="stable"), np.argsort(y[:, 0], kind="stable")
+        (a, first), (b, second) = (np.unique(v, return_index=True) for v in (x[i, 0].astype(np.int64), y[j, 0].astype(np.int64)))
+        pooled = lambda v: np.add.reduceat(np.add.reduceat(v, first, axis=0), second, axis=1).ravel()
+        keep = (ki[i][:, None] < kj[j][None, :] if same else np.ones((len(i), len(j)), bool)).astype(float)
+        d = _by_squares(x[i, 1:], y[j, 1:])
+        yield _summed((np.minimum.outer(a, b) * classes + np.maximum.outer(a, b)).ravel(), pooled(keep), pooled(np.where(keep > 0, d, 0.0)))
+
+    sums = _triangle_of(blocks, pairs, "group long, n double, d double", _summed).groupBy("group").agg(F.sum("n").cast("long").alias("n"), F.sum("d").alias("d")).filter("n > 0")
+    named = lambda c: F.element_at(F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>"), (c + 1).cast("int"))
+    kind = df.schema[label].dataType
+    return sums.select(named(F.floor(F.col("group") / max(1, classes))).cast(kind).alias("sp_i"), named(F.col("group") % max(1, classes)).cast(kind).alias("sp_j"), "n", (F.col("d") / F.col("n")).alias("d"))
+
+
+def _summed(group, *amounts):
+    """Amounts added by group."""
+    group, at = np.unique(group, return_inverse=True)
+    return group, *[np.bincount(at, weights=v, minlength=len(group)) for v in amounts]
+
+
 def stress(df: DataFrame, other, key="id", vector="embedding") -> DataFrame:
     """``stress``: squared differences of the distances of all pairs in two vector columns, as a share of the squared distances in the first.
 
-    A pair of blocks computes both distances and sends two sums. Rows with a null in one of the columns have no pairs.
+    Tasks compute both distances and send two sums. Rows with a null in one of the columns have no pairs.
     """
     whole = lambda c: F.col(c).cast("array<double>")
     # Both vectors ride in one array, after the length of the first.
@@ -111,11 +162,12 @@ def stress(df: DataFrame, other, key="id", vector="embedding") -> DataFrame:
         for size in np.intersect1d(x[:, 0], y[:, 0]).astype(int).tolist():
             i, j = np.flatnonzero(x[:, 0] == size), np.flatnonzero(y[:, 0] == size)
             keep = ki[i][:, None] < kj[j][None, :] if same else np.ones((len(i), len(j)), bool)
-            d, e = (_euclidean(x[i, s], y[j, s])[keep] for s in (slice(1, 1 + size), slice(1 + size, None)))
+            d, e = (_by_squares(x[i, s], y[j, s])[keep] for s in (slice(1, 1 + size), slice(1 + size, None)))
             changes, squares = changes + float(((e - d) ** 2).sum()), squares + float((d**2).sum())
         yield [changes], [squares]
 
-    sums = _triangle_of(checkpoint(_blocks(rows, "key", "v")), pairs, "changes double, squares double")
+    added = lambda *sums: [[float(v.sum())] for v in sums]
+    sums = _triangle_of(_dealt(_blocks(rows, "key", "v")), pairs, "changes double, squares double", added)
     return sums.agg(F.try_divide(F.sum("changes"), F.sum("squares")).alias("stress"))
 
 
@@ -213,27 +265,34 @@ def _best(x, y, kx, ky, k):
     return i[keep], j[keep], d[keep]
 
 
+def _sides(blocks, *columns):
+    """Both sides of :func:`metric_blocks`, dealt out, with their bounds and some columns."""
+    return [blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in ("_size", "block", "low", "high", "reach")], *[F.col(c).alias(f"{n}{c}") for c in columns]) for s, n in (("a", "_left"), ("b", "_right"))]
+
+
+def _within(most=None):
+    """Whether a pair of blocks is met (once, each block with itself, too) and may hold rows within the larger reach, or within ``most``."""
+    apart = lambda x, y: F.array_max(F.zip_with(f"low_{x}", f"high_{y}", lambda p, q: p - q))
+    reach = F.greatest("reach_a", "reach_b") if most is None else F.lit(float(most))
+    a, b = F.col("block_a"), F.col("block_b")
+    return (F.col("_size_a") == F.col("_size_b")) & _once(a, b) & ((a == b) | (F.greatest(apart("a", "b"), apart("b", "a")) * (1 - SLACK) <= reach))
+
+
 def block_pairs(blocks: DataFrame, most=None) -> DataFrame:
     """``a, b``: pairs of :func:`metric_blocks` (a < b) of which one may hold rows within the other's reach, or within ``most`` for all blocks.
 
     By the triangle inequality two blocks whose distances to some pivot are further apart than the larger reach have nothing for each other.
     """
-    # Blocks of blocks: the bounds of a block are its vector.
-    reach = F.col("reach") if most is None else F.lit(float(most))
-    bounds = blocks.select("block", F.concat(F.array(F.col("_size").cast("double"), reach), "low", "high").alias("v"))
-
-    def meet(ka, x, kb, y, same):
-        wide = (x.shape[1] - 2) // 2
-        gap = np.zeros((len(x), len(y)))
-        for t in range(2, 2 + wide):
-            gap = np.maximum(gap, np.maximum(x[:, t, None] - y[None, :, t + wide], y[None, :, t] - x[:, t + wide, None]))
-        near = (gap * (1 - SLACK) <= np.maximum(x[:, 1, None], y[None, :, 1])) & (x[:, 0, None] == y[None, :, 0])
-        if same:
-            near &= ka[:, None] < kb[None, :]
-        i, j = np.nonzero(near)
-        yield np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j])
+    left, right = _sides(blocks)
+    met = left.hint("shuffle_replicate_nl").join(right, _within(most)).filter("block_a <> block_b")
+    return met.select(F.least("block_a", "block_b").alias("a"), F.greatest("block_a", "block_b").alias("b"))
+
 
-    return _triangle(bounds, "block", "v", meet, "a long, b long")
+def _compared(blocks, most, fn, schema, merge=None):
+    """``fn`` of the pairs of blocks that are :func:`_within`."""
+    left, right = _sides(_dealt(blocks), "_rows")
+    left, right = left.withColumnRenamed("_left_rows", "_left"), right.withColumnRenamed("_right_rows", "_right")
+    return _block_pairs(left, right, _within(most), fn, schema, merge, F.col("block_a") == F.col("block_b"))
 
 
 def close_rows(df: DataFrame, most, key="id", vector="embedding", block=BLOCK, pivots=PIVOTS) -> DataFrame:
@@ -242,11 +301,6 @@ def close_rows(df: DataFrame, most, key="id", vector="embedding", block=BLOCK, p
     The threshold form of a distance matrix: its size follows from the close pairs, and pairs of blocks that the pivots show to be too far
     apart are not compared. Rows with a null in key or vector, or with one key, have no pairs.
     """
-    blocks = metric_blocks(df, key, vector, block, pivots)
-    pairs = block_pairs(blocks, most).unionAll(blocks.select(F.col("block").alias("a"), F.col("block").alias("b")))
-    left = blocks.select(F.col("block").alias("a"), F.col("_rows").alias("_left")).join(pairs, "a").withColumn("_same", F.col("a") == F.col("b"))
-    right = blocks.select(F.col("block").alias("b"), F.col("_rows").alias("_right"))
-
     def compare(ki, x, kj, y, alone):
         centre = y.mean(axis=0)
         a, b = x - centre, y - centre
@@ -260,21 +314,16 @@ def close_rows(df: DataFrame, most, key="id", vector="embedding", block=BLOCK, p
         i, j, d = i[d <= most], j[d <= most], d[d <= most]
         yield np.minimum(ki[i], kj[j]), np.maximum(ki[i], kj[j]), d
 
-    return _block_pairs(left, right, ["b"], compare, "i long, j long, d double")
+    return _compared(metric_blocks(df, key, vector, block, pivots), most, compare, "i long, j long, d double")
 
 
 def nearest_rows(df: DataFrame, k, key="id", vector="embedding", block=BLOCK, pivots=PIVOTS) -> DataFrame:
     """``id, other, d``: each row's k nearest other rows by Euclidean distance, exact, ties to the smaller key.
 
-    Pairs of blocks that the pivots show to be too far apart (:func:`block_pairs`) are not compared; of the others a pair of blocks passes on
-    k rows for each row at most. How many pairs are left out rests on the vectors: most in few dimensions or in clusters, none
+    Pairs of blocks that the pivots show to be too far apart (:func:`block_pairs`) are not compared; of the others a task passes on
+    k rows for each of its rows at most. How many pairs are left out rests on the vectors: most in few dimensions or in clusters, none
     where all rows are about equally far from each other. Rows that share a key are never each other's neighbours; rows with a null in key or vector have none.
     """
-    blocks = metric_blocks(df, key, vector, block, pivots, k)
-    pairs = block_pairs(blocks).unionAll(blocks.select(F.col("block").alias("a"), F.col("block").alias("b")))
-    left = blocks.select(F.col("block").alias("a"), F.col("_rows").alias("_left")).join(pairs, "a").withColumn("_same", F.col("a") == F.col("b"))
-    right = blocks.select(F.col("block").alias("b"), F.col("_rows").alias("_right"))
-
     def compare(ki, x, kj, y, same):
         i, j, d = _best(x, y, ki, kj, k)
         yield ki[i], kj[j], d
@@ -282,6 +331,5 @@ def nearest_rows(df: DataFrame, k, key="id", vector="embedding", block=BLOCK, pi
             i, j, d = _best(y, x, kj, ki, k)
             yield kj[i], ki[j], d
 
-    near = _block_pairs(left, right, ["b"], compare, "id long, other long, d double")
-    w = Window.partitionBy("id").orderBy("d", "other")
-    return near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    near = _compared(metric_blocks(df, key, vector, block, pivots, k), None, compare, "id long, other long, d double", partial(_closest, k))
+    return _ranked(near, k, "id", "other")
