@@ -4,7 +4,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from ..operators import distances as D, enrich, report as R, stats as S
+from ..operators import distances as D, report as R, stats as S
 from .base import query
 from .q_motion import r6, r9
 from .q_report import OK, poly, rep, rounded, two_sided
@@ -266,20 +266,18 @@ def _(read):
 PD = "p AS (SELECT id, class, CAST(embedding AS DOUBLE[]) AS v FROM points), d AS (SELECT a.id AS i, b.id AS j, list_distance(a.v,b.v) AS d FROM p a JOIN p b ON a.id<b.id)"
 
 
-def distances(read):
-    return enrich.distance_matrix(read("points"))
+def labelled_points(read):
+    return read("points").withColumn("species", F.concat(F.lit("c"), F.col("class").cast("string")))
 
 
 @query("t27_pooled_distances", "T27 X5", f"WITH {PD} SELECT concat('c',CAST(least(x.class,y.class) AS STRING)) AS sp_i, concat('c',CAST(greatest(x.class,y.class) AS STRING)) AS sp_j, round(quantile_cont(d,0.5),6)+0.0 AS d FROM d JOIN p x ON x.id=i JOIN p y ON y.id=j GROUP BY 1, 2")
 def _(read):
-    rows = read("points").withColumn("species", F.concat(F.lit("c"), F.col("class").cast("string")))
-    return rounded(D.pooled_quantile(rows), "d").drop("n")
+    return rounded(D.pooled_quantile(labelled_points(read)), "d").drop("n")
 
 
 @query("t27_pooled_means", "T27 X5", f"WITH {PD} SELECT concat('c',CAST(least(x.class,y.class) AS STRING)) AS sp_i, concat('c',CAST(greatest(x.class,y.class) AS STRING)) AS sp_j, round(avg(d),6)+0.0 AS d FROM d JOIN p x ON x.id=i JOIN p y ON y.id=j GROUP BY 1, 2")
 def _(read):
-    labels = read("points").select("id", F.concat(F.lit("c"), F.col("class").cast("string")).alias("species"))
-    return rounded(S.pooled_distances(distances(read), labels), "d")
+    return rounded(D.pooled_mean(labelled_points(read)), "d").drop("n")
 
 
 @query("t28_knn_accuracy", "T28", f"""WITH {PD}, b AS (SELECT i AS id, j AS o, d FROM d UNION ALL SELECT j, i, d FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS r FROM b),
