@@ -242,6 +242,12 @@ def test_close_pairs_are_those_of_all_pairs(spark):
     assert enrich.close_pairs(df.filter("fix_id < 0")).count() == 0
 
 
+def test_blocks_of_close_fixes_are_neither_sent_nor_written(spark):
+    df = spark.range(300).selectExpr("id AS fix_id", "concat('S', id % 3) AS species", "CAST(id % 50 AS double) AS latitude", "CAST(id % 40 AS double) AS longitude", "5.0D AS env")
+    plan = enrich.close_pairs(df, crowd=8)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 @pytest.mark.parametrize("leaf", [1, 16])
 def test_far_points_find_their_site_down_the_tree(spark, monkeypatch, leaf):
     monkeypatch.setattr(enrich, "LEAF", leaf)
