@@ -128,6 +128,15 @@ def test_resampling_crosses_the_antimeridian(spark):
     assert got == [(0.0, 179.0), (1.0, 180.0), (2.0, 179.0)]
 
 
+def test_resampling_sorts_a_track_once(spark):
+    rows = [(1, "2020-12-30T06:00", 1, 0), (1, "2020-12-30T06:00", 9, 9), (1, "2020-12-31T06:00", 3, 2), (1, "2021-01-02T06:00", 7, 7), (2, "2020-01-01T00:00", 5, 5)]
+    found = resample.resample(fixes(spark, rows), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    got = [(r.id, r.year, r.latitude, r.longitude) for r in found.orderBy("id", "slot").collect()]
+    assert got == [(1, 2020, 1.5, 0.5), (1, 2020, 2.5, 1.5), (2, 2020, 5.0, 5.0)]
+
+
 def test_nearest_site_reaches_far_and_over_the_pole(spark):
     pts = spark.createDataFrame([(1, 89.0, 0.0), (2, 0.0, 0.0)], "fix_id long, latitude double, longitude double")
     sites = spark.createDataFrame([(88.0, 180.0), (-80.0, 10.0)], "lat double, lon double")
